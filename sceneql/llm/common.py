@@ -27,7 +27,7 @@ def shipped(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as d:
         path = Path(d, f"{top.name}.zip")
         with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(top.rglob("*.py")):
+            for p in [*sorted(top.rglob("*.py")), top.parent / "corpus_pipeline.py"]:
                 z.write(p, p.relative_to(top.parent))
         keep = Path(tempfile.gettempdir(), f"{top.name}-{sc.applicationId}.zip")
         path.replace(keep)

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from sceneql.llm import op05_mixing
+from sceneql.llm.op03_toxicity import op3_toxicity
 from sceneql.llm.op04_substrings import op4_substrings
+from sceneql.llm.op05_mixing import op5_mixing
+from sceneql.llm.op08_packing import op8_packing
 from sceneql.llm.op09_minhash import op9_minhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substrings, op9_minhash)}
+    ops = (op3_toxicity, op4_substrings, op5_mixing, op8_packing, op9_minhash)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": op05_mixing.SQL}

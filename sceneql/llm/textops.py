@@ -12,6 +12,10 @@ import pyarrow as pa
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Everything but ASCII letters and bytes of longer characters: what parts words without their punctuation.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
+
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 
@@ -72,13 +76,13 @@ def slices(off: np.ndarray, most: int = 1 << 20):
         i = j
 
 
-def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = EXACT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = EXACT, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, index of each row's first word and the end, start byte, end byte)."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), z, z
-    gap = SPACE[raw]
+    gap = gaps[raw]
     first = np.zeros(n + 1, dtype=bool)
     first[off] = True
     before = np.empty(n, dtype=bool)
