@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,31 +23,25 @@ from sceneql.llm import textops as X
 from sceneql.llm.common import parts, prepared, table
 
 WINDOW, GRAM = 50, 8
-#: Stretches that may share a prefix in one task; bytes of text of the groups that are built into subtrees at once.
-COMMON, CHUNK = 20_000, 6_000_000
+#: Suffixes that may share a prefix in one task; bytes of text of the groups that are built into subtrees at once.
+COMMON, CHUNK = 500_000, 6_000_000
 _U = np.uint64
-_POS = _U((1 << 24) - 1)
 
 
 def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start word, number of windows, prefix hash) of each run of windows of one row that share their smallest gram."""
-    n = np.diff(first)
-    valid = X.ranges(first[:-1], np.maximum(n - window + 1, 0))
+    """(start word, number of windows, prefix hash) of each run of windows of one row with the same smallest gram.
+
+    The prefix is a property of the window's words alone; where a run ends doesn't matter for what is found.
+    """
+    valid = X.ranges(first[:-1], np.maximum(np.diff(first) - window + 1, 0))
     if not len(valid):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
-    g = X.grams(h, gram)
-    wide = len(g) > int(_POS)
-    if wide:  # one huge row: ranks hold the hash's order in fewer bits
-        key = np.unique(g, return_inverse=True)[1].astype(np.uint64) << _U(32) | np.arange(len(g), dtype=np.uint64)
-        mask = _U((1 << 32) - 1)
-    else:
-        key, mask = g & ~_POS | np.arange(len(g), dtype=np.uint64), _POS
-    at = (X.window_min(key, window - gram + 1) & mask).astype(np.int64)[valid]
+    g = X.window_min(X.grams(h, gram), window - gram + 1)[valid]
     new = np.ones(len(valid), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1)
+    new[1:] = (g[1:] != g[:-1]) | (valid[1:] != valid[:-1] + 1)
     i = np.flatnonzero(new)
-    return valid[i], np.diff(np.append(i, len(valid))), g[at[i]]
+    return valid[i], np.diff(np.append(i, len(valid))), g[i]
 
 
 def _list(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -64,6 +59,7 @@ def _list(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, hits list of (prefix, start, n)): the text of each hit."""
     for b in batches:
+        b = b.filter(pa.compute.is_valid(b.column(2)))
         raw, off = X.utf8(b.column(1))
         ids, hits = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
         hit_off = np.asarray(hits.offsets)
@@ -187,17 +183,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, comm
     docs: doc_id long, text string. Null ids take no part.
     """
     spark = prepared(docs.sparkSession)
-    docs = docs.where("doc_id is not null")
-    runs = docs.mapInArrow(lambda it: _list(it, window, gram), "prefix long, doc_id long, start int, n int").checkpoint()
-    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows")).where("least < most").select("prefix", (F.col("rows") > common).alias("deep")).checkpoint()
-    pieces = {}
-    for deep in (False, True):
-        hits = runs.join(shared.where("deep" if deep else "not deep").select("prefix"), "prefix").groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "start", "n")).alias("hits"))
-        pieces[deep] = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(lambda it: _cut(it, window), "prefix long, doc_id long, start int, n int, words binary")
-    dealt = pieces[False].repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
+    listed = docs.where("doc_id is not null").mapInArrow(lambda it: _list(it, window, gram), "prefix long, doc_id long, start int, n int")
+    runs = listed.checkpoint()
+    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("all")).where("least < most").select("prefix", (F.col("all") > common).alias("deep")).checkpoint()
+
+    def pieces(which: str) -> DataFrame:
+        hits = runs.join(shared.where(which).select("prefix"), "prefix").groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "start", "n")).alias("hits"))
+        # a left join, so that it and the one by which repeats are removed read one and the same shuffle of the texts
+        return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(lambda it: _cut(it, window), "prefix long, doc_id long, start int, n int, words binary")
+
+    dealt = pieces("not deep").repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
     found = dealt.mapInArrow(lambda it: _repeats(it, window, chunk), "doc_id long, first int, end int")
     if shared.where("deep").limit(1).count():
-        wide = pieces[True].mapInArrow(lambda it: _deep(it, window), "x long, y long, doc_id long, first int").checkpoint()
+        wide = pieces("deep").mapInArrow(lambda it: _deep(it, window), "x long, y long, doc_id long, first int").checkpoint()
         least = wide.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
         late = wide.join(least, ["x", "y"]).where("doc_id > least")
         found = found.unionByName(late.select("doc_id", "first", (F.col("first") + window).cast("int").alias("end")))
