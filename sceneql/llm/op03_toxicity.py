@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier on word presence is trained from confirmed toxic texts (P) and unlabelled texts (U) under the
+A linear classifier on the presence of words and of five-byte grams within words is trained from confirmed toxic texts (P) and unlabelled texts (U) under the
 non-negative risk  pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]),  pi being the share of toxic rows among
 the labelled training rows. It is fitted on a bounded sample: MOST_P confirmed and MOST_U unlabelled rows, the first by a
 hash of their ids. Labels 0 count for pi alone. Scores read every whole text.
@@ -18,17 +18,38 @@ from pyspark.sql import functions as F
 from sceneql.llm import textops as X
 from sceneql.llm.common import held_out, prepared, table
 
-#: Bounds of the sample; hashed word space; words kept by association with P.
-MOST_P, MOST_U, BITS, WORDS = 6000, 14000, 18, 512
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
-_SHIFT = np.uint64(64 - BITS)
+#: Bounds of the sample; hashed space, half of it words, half grams; features kept by association with P.
+MOST_P, MOST_U, BITS, KEPT = 6000, 14000, 20, 512
+STEPS, RATE, DECAY = 500, 0.05, 1e-4
+_HALF = np.uint64(65 - BITS)
+_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD[ord("A") : ord("Z") + 1] += np.uint64(32)
+_FOLD[X.NOT_LETTERS] = np.uint64(32)
 
 
-def buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each distinct word of each row, letters only, in lower case."""
+def _all(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every word, letters only, in lower case, and of every five bytes within a word or at its ends."""
+    n = len(off) - 1
     h, first, _, _ = X.words(raw, off, X.LOWER, X.NOT_LETTERS)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    pair = np.unique(row << BITS | (h >> _SHIFT).astype(np.int64))
+    row = np.repeat(np.arange(n), np.diff(first))
+    if not len(h):
+        return row, np.zeros(0, np.int64)
+    text = np.full(len(raw) + 2 * n, 32, dtype=np.uint64)
+    text[np.arange(len(raw)) + np.repeat(2 * np.arange(n) + 1, np.diff(off))] = _FOLD[raw]
+    of = np.repeat(np.arange(n), np.diff(off) + 2)
+    inner = (text[1:-3] != 32) & (text[2:-2] != 32) & (text[3:-1] != 32)
+    at = np.flatnonzero(inner & (of[:-4] == of[4:]))
+    gram = text[at]
+    for k in range(1, 5):
+        gram = gram << np.uint64(8) | text[at + k]
+    gram = (gram * np.uint64(0x9E3779B97F4A7C15)) >> _HALF
+    return np.concatenate([row, of[at]]), np.concatenate([h >> _HALF, gram | np.uint64(1 << (BITS - 1))]).astype(np.int64)
+
+
+def buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each distinct feature of each row."""
+    row, k = _all(raw, off)
+    pair = np.unique(row << BITS | k)
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -38,10 +59,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in X.slices(off):
             row, k = buckets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(k.astype(np.int32)))], names=["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(k.astype(np.int32)))], names=["toxic", "features"])
 
 
-def associated(p: list[np.ndarray], u: list[np.ndarray], most: int = WORDS) -> np.ndarray:
+def associated(p: list[np.ndarray], u: list[np.ndarray], most: int = KEPT) -> np.ndarray:
     """The buckets whose presence differs most between P and U by the likelihood ratio statistic."""
     n, m = len(p), len(u)
     a = np.bincount(np.concatenate([*p, np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
@@ -53,7 +74,7 @@ def associated(p: list[np.ndarray], u: list[np.ndarray], most: int = WORDS) -> n
 
     g = part(a, n, share) + part(n - a, n, 1 - share) + part(b, m, share) + part(m - b, m, 1 - share)
     top = np.argsort(-g, kind="stable")[:most]
-    # as many words as were seen are tested: chance alone reaches about twice the logarithm of their number
+    # as many features as were seen are tested: chance alone reaches about twice the logarithm of their number
     return np.sort(top[g[top] > 2 * np.log(max(2, int((a + b > 0).sum())))])
 
 
@@ -103,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = positive.unionByName(other.join(positive, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic")))
     # at most MOST_P + MOST_U rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = texts.mapInArrow(_features, "toxic int, words array<int>").toArrow()
+    got = texts.mapInArrow(_features, "toxic int, features array<int>").toArrow()
     role, words = got.column(0).to_numpy(), got.column(1).combine_chunks()
     at = np.asarray(words.offsets)
     values = words.values.to_numpy()
@@ -126,11 +147,9 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         score = np.zeros(b.num_rows)
         if model:
             for i, j in X.slices(off):
-                h, first, _, _ = X.words(raw[off[i] : off[j]], off[i : j + 1] - off[i], X.LOWER, X.NOT_LETTERS)
-                k = (h >> _SHIFT).astype(np.int64)
-                hit = np.flatnonzero(known[k])
-                row = np.searchsorted(first, hit, "right") - 1
-                pair = np.unique(row << BITS | k[hit])
+                row, k = _all(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                hit = known[k]
+                pair = np.unique(row[hit] << BITS | k[hit])
                 z = np.bincount(pair >> BITS, weight[pair & ((1 << BITS) - 1)], j - i) + bias
                 score[i:j] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
