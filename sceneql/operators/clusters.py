@@ -1,0 +1,168 @@
+"""Clustering of a video's faces and voices: bounded groups of observations with few hundred vectors."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def unit(x) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
+    return x / np.where(n > 1e-12, n, 1.0)
+
+
+def agglomerate(vectors, distance: float) -> list[int]:
+    """Average-link clusters by cosine distance, merged while the nearest two lie under `distance`; labels by first row."""
+    x = unit(vectors)
+    members = [[i] for i in range(len(x))]
+    d = 1 - x @ x.T
+    size = np.ones(len(x))
+    np.fill_diagonal(d, np.inf)
+    alive = np.ones(len(x), dtype=bool)
+    while alive.sum() > 1:
+        i, j = divmod(int(np.argmin(d)), len(x))
+        if d[i, j] >= distance:
+            break
+        i, j = min(i, j), max(i, j)
+        d[i] = d[:, i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        size[i] += size[j]
+        members[i] += members[j]
+        alive[j] = False
+    label = [0] * len(x)
+    for k, i in enumerate(np.flatnonzero(alive)):
+        for m in members[i]:
+            label[m] = k
+    return label
+
+
+def merge_clusters(vectors, labels: list[int], frames: list[tuple], same: tuple[float, float] = (0.42, 0.22), cross: tuple[float, float] = (0.46, 0.40)) -> list[int]:
+    """Clusters joined by their centres' and best pair's similarity, strongest first; two seen in one frame never join."""
+    x = unit(vectors)
+    groups: dict[int, list[int]] = {}
+    for i, c in enumerate(labels):
+        groups.setdefault(c, []).append(i)
+
+    def linked(a: list[int], b: list[int]) -> float | None:
+        if {frames[i] for i in a} & {frames[i] for i in b}:
+            return None
+        centre = float(unit(x[a].mean(axis=0)) @ unit(x[b].mean(axis=0)))
+        best = float((x[a] @ x[b].T).max())
+        scenes = {frames[i][0] for i in a} & {frames[i][0] for i in b}
+        c, p = same if scenes else cross
+        return 0.7 * centre + 0.3 * best if centre >= c and best >= p else None
+
+    while True:
+        keys = sorted(groups)
+        found = [(s, a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if (s := linked(groups[a], groups[b])) is not None]
+        if not found:
+            break
+        _, a, b = max(found, key=lambda t: (t[0], -t[1], -t[2]))
+        groups[a] += groups.pop(b)
+    out = [0] * len(labels)
+    for k, c in enumerate(sorted(groups)):
+        for i in groups[c]:
+            out[i] = k
+    return out
+
+
+def k_means(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
+    """Labels from farthest-first centres: no randomness."""
+    centres = [0]
+    while len(centres) < k:
+        centres.append(int(np.argmin((x @ x[centres].T).max(axis=1))))
+    c = x[centres]
+    label = np.zeros(len(x), dtype=int)
+    for _ in range(rounds):
+        new = np.argmax(x @ c.T, axis=1)
+        c = unit(np.stack([x[new == j].mean(axis=0) if (new == j).any() else c[j] for j in range(k)]))
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    d = 1 - x @ x.T
+    out = []
+    for i in range(len(x)):
+        own = (label == label[i]) & (np.arange(len(x)) != i)
+        if not own.any():
+            out.append(0.0)
+            continue
+        a = d[i, own].mean()
+        b = min(d[i, label == j].mean() for j in set(label.tolist()) - {label[i]})
+        out.append((b - a) / max(a, b, 1e-12))
+    return float(np.mean(out))
+
+
+def voices(vectors, weak: float = 0.035) -> list[int]:
+    """Two to the root of n speakers, by silhouette and balance less a share for each; one where nothing is convincing."""
+    x = unit(vectors)
+    n = len(x)
+    best, chosen = weak, np.zeros(n, dtype=int)
+    least = max(3, round(0.015 * n))
+    for k in range(2, int(n**0.5) + 1):
+        label = k_means(x, k)
+        sizes = np.bincount(label, minlength=k)
+        if sizes.min() < least:
+            continue
+        score = silhouette(x, label) + 0.05 * sizes.min() / sizes.max() - 0.025 * k
+        if score > best:
+            best, chosen = score, label
+    return chosen.tolist()
+
+
+def reassign(vectors, speakers: list[str], weights, busy: list[set], rounds: int = 2) -> list[str]:
+    """Turns go to the speaker whose weighted mean voice is much nearer (.72, margin .15) unless that one speaks at the time."""
+    x, w, now = unit(vectors), np.asarray(weights, dtype=float), list(speakers)
+    for _ in range(rounds):
+        names = sorted(set(now))
+        if len(names) < 2:
+            break
+        means = unit(np.stack([np.average(x[[s == n for s in now]], axis=0, weights=w[[s == n for s in now]]) for n in names]))
+        sim = x @ means.T
+        new = list(now)
+        for i in range(len(x)):
+            order = np.argsort(-sim[i], kind="stable")
+            best = names[order[0]]
+            margin = sim[i, order[0]] - sim[i, order[1]]
+            if best != now[i] and sim[i, order[0]] >= 0.72 and margin >= 0.15 and best not in busy[i]:
+                new[i] = best
+        if new == now:
+            break
+        now = new
+    return now
+
+
+def merge_speakers(vectors, speakers: list[str], weights, overlapping: set[tuple[str, str]], limit: float = 0.88) -> list[str]:
+    """Speakers with means at or above the limit become one, unless any of their members speak at the same time."""
+    x, w = unit(vectors), np.asarray(weights, dtype=float)
+    names = sorted(set(speakers))
+    mean = {n: unit(np.average(x[[s == n for s in speakers]], axis=0, weights=w[[s == n for s in speakers]])) for n in names}
+    group = {n: {n} for n in names}
+    pairs = sorted(((float(mean[a] @ mean[b]), a, b) for i, a in enumerate(names) for b in names[i + 1 :]), key=lambda t: (-t[0], t[1], t[2]))
+    for s, a, b in pairs:
+        if s < limit or group[a] is group[b]:
+            continue
+        if any((p, q) in overlapping or (q, p) in overlapping for p in group[a] for q in group[b]):
+            continue
+        both = group[a] | group[b]
+        for n in both:
+            group[n] = both
+    return [min(group[s]) for s in speakers]
+
+
+def split_speaker(vectors) -> list[int]:
+    """Two halves of one speaker's turns where a two-means split separates them well (centres under .55, gain of .10), else one."""
+    x = unit(vectors)
+    if len(x) < 4:
+        return [0] * len(x)
+    label = k_means(x, 2)
+    if len(set(label.tolist())) < 2:
+        return [0] * len(x)
+    c = unit(np.stack([x[label == j].mean(axis=0) for j in (0, 1)]))
+    whole = float((x @ unit(x.mean(axis=0))).mean())
+    parts = float(np.mean([x[i] @ c[label[i]] for i in range(len(x))]))
+    return label.tolist() if float(c[0] @ c[1]) < 0.55 and parts - whole >= 0.10 else [0] * len(x)

@@ -50,7 +50,8 @@ def neighbours(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[s
 
 def sustained(df: DataFrame, start: str, seconds: float, least: int, out: str, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """Whether at least `least` rows start within the next `seconds`, the row itself included."""
-    w = Window.partitionBy(*keys).orderBy(start).rangeBetween(0, seconds)
+    # whole milliseconds: a range frame needs an integer order
+    w = Window.partitionBy(*keys).orderBy(F.round(F.col(start) * 1000).cast("long")).rangeBetween(0, round(seconds * 1000))
     return df.withColumn(out, F.count("*").over(w) >= least)
 
 
