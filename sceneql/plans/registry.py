@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 #: Modules that register queries, by theme.
-MODULES = ("q_intervals", "q_scoring", "q_joins", "q_aggregates", "q_windows", "q_functions", "q_similarity")
+MODULES = ("q_intervals", "q_scoring", "q_joins", "q_aggregates", "q_windows", "q_functions", "q_selection", "q_similarity", "q_speech", "q_evaluation", "q_sources")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
