@@ -35,8 +35,7 @@ def read_catalog(spark: SparkSession, path: str, expected: int | None = None) ->
     """A tab-separated catalog with alias video1, video2, .. by its ordinal column or, without one, by file order of a
     single file. Raises unless ids are unique and as many as expected."""
     d = spark.read.option("sep", "\t").option("header", True).csv(path)
-    order = "ordinal" if "ordinal" in d.columns else "_metadata.file_block_start"
-    d = d.withColumn("_n", F.monotonically_increasing_id()) if order != "ordinal" else d.withColumn("_n", F.col("ordinal").cast("long"))
+    d = d.withColumn("_n", F.col("ordinal").cast("long") if "ordinal" in d.columns else F.monotonically_increasing_id())
     rank = F.row_number().over(Window.orderBy("_n"))  # one row a video of the catalog
     d = d.withColumn("alias", F.concat(F.lit("video"), rank)).drop("_n")
     n, unique = d.agg(F.count("*"), F.count_distinct("video_id")).first()
