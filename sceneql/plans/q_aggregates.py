@@ -201,13 +201,13 @@ def stage_completeness(spark, sf_dir):
 def _top(name, order, n, sql_order, keys="video_id", rows="shots"):
     @query(name, A.sql(f"SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {sql_order}) AS r FROM {rows}) WHERE r <= {n}", rows))
     def f(spark, sf_dir):
-        return K.top(A.shots(spark, sf_dir), keys.split(", "), order, n, "r").select("video_id", "scene_id")
+        return K.top(A.shots(spark, sf_dir), keys.split(", "), order(), n, "r").select("video_id", "scene_id")
 
 
-_top("top_1_best_then_id", [F.desc("narrative_score"), "scene_id"], 5, "narrative_score DESC, scene_id")
-_top("top_6_caption_shortlist_story", [F.desc("emotion"), F.desc("narrative_score"), F.desc("energy"), "scene_id"], 2, "emotion DESC, narrative_score DESC, energy DESC, scene_id", "video_id, story_id")
-_top("top_8_best_keyframes", [F.desc("action_score"), "scene_id"], 2, "action_score DESC, scene_id")
-_top("top_13_latest", [F.desc("scene_id")], 100, "scene_id DESC")
+_top("top_1_best_then_id", lambda: [F.desc("narrative_score"), "scene_id"], 5, "narrative_score DESC, scene_id")
+_top("top_6_caption_shortlist_story", lambda: [F.desc("emotion"), F.desc("narrative_score"), F.desc("energy"), "scene_id"], 2, "emotion DESC, narrative_score DESC, energy DESC, scene_id", "video_id, story_id")
+_top("top_8_best_keyframes", lambda: [F.desc("action_score"), "scene_id"], 2, "action_score DESC, scene_id")
+_top("top_13_latest", lambda: [F.desc("scene_id")], 100, "scene_id DESC")
 
 
 @query("top_2_bounded_pool", A.sql("SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM shots) WHERE r <= least(400, greatest(80, 4 * ceil(60e0 / 4e0)))", "shots"))
