@@ -53,7 +53,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, at
     ahead = Window.partitionBy(*keys).orderBy("_at", "_side", "_e").rowsBetween(0, Window.unboundedFollowing)
     d = both.withColumn("_p", F.max(F.when(F.col("_side") == 0, F.struct(F.col("_e").alias("e"), (-F.col("_s")).alias("s"), F.col("_who").alias("w")))).over(past))
     d = d.withColumn("_n", F.min(F.when(F.col("_side") == 0, F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), F.col("_who").alias("w")))).over(ahead)).where("_side = 1")
-    before = F.greatest(F.lit(0.0), F.col("_at") - F.col("_p.e"))
+    before = F.when(F.col("_p").isNotNull(), F.greatest(F.lit(0.0), F.col("_at") - F.col("_p.e")))
     after = F.col("_n.s") - F.col("_at")
     first = F.col("_n").isNull() | (F.col("_p").isNotNull() & (before <= after))
     return d.select(*keys, F.col("_row").alias(row), F.when(first, F.col("_p.w")).otherwise(F.col("_n.w")).alias(who), F.when(first, before).otherwise(after).alias("distance"))
