@@ -20,7 +20,7 @@ from sceneql.llm.common import held_out, prepared, table
 
 #: Bounds of the sample; hashed space, half of it words, half grams; features kept by association with P.
 MOST_P, MOST_U, BITS, KEPT = 6000, 14000, 20, 512
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
+STEPS, RATE, DECAY = 300, 0.05, 1e-3
 _HALF = np.uint64(65 - BITS)
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[ord("A") : ord("Z") + 1] += np.uint64(32)
@@ -84,9 +84,9 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS) -> tuple
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
     def mean_slope(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-        z = np.clip(x @ w + c, -30, 30)
+        z = np.clip(x @ w.astype(np.float32) + c, -30, 30)
         slope = -sign / (1 + np.exp(sign * z))
-        return float(np.mean(np.log1p(np.exp(-sign * z)))), np.append(x.T @ slope, slope.sum()) / len(x)
+        return float(np.mean(np.log1p(np.exp(-sign * z)))), np.append(slope.astype(np.float32) @ x, slope.sum()) / len(x)
 
     for t in range(1, steps + 1):
         _, up = mean_slope(p, 1)
