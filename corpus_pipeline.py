@@ -21,9 +21,15 @@ from sceneql.llm.op09_minhash import near_duplicates
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def prepared_docs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, so that no other column's name can clash."""
+    prepared(spark)
+    return docs.select(COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject, unchanged."""
-    prepared(spark)
+    docs = prepared_docs(spark, docs)
     labels = table(spark, sf_dir, "labels")
     bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad"))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(COLUMNS)
@@ -31,14 +37,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, unchanged; of repeated rows with one id, one."""
-    prepared(spark)
+    docs = prepared_docs(spark, docs)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller document has; those of which nothing is left go."""
-    prepared(spark)
+    docs = prepared_docs(spark, docs)
     cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept_text")
     # a left join by id: ids are unique after the stage before
     joined = docs.join(cut, F.col("doc_id") == F.col("_id"), "left").where("_id is null or n_removed < n_words")
@@ -49,7 +55,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes a document; the last one of a source may be the beginning of a document."""
-    prepared(spark)
+    docs = prepared_docs(spark, docs)
     taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
     joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
     whole = F.expr("cast(taken div size as int)")
