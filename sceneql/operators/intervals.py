@@ -88,6 +88,21 @@ def group_while(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
     return g.select(*keys, F.explode(F.arrays_zip(F.col("rows").alias("r"), ids.alias("i"))).alias("z")).select(*keys, *[F.col(f"z.r.c{i}").alias(n) for i, n in enumerate(order)], F.col(f"z.r.{s}").alias(start), F.col(f"z.r.{e}").alias(end), F.col("z.i").alias(out))
 
 
+def group_by_continuity(df: DataFrame, keys: Sequence[str], row: str, start: str, end: str, credits: Column, continuity: str, shortest: float = 8.0, weak: float = 0.40, longest: float = 72.0, out: str = "group_id") -> DataFrame:
+    """(keys, row, group): a new group where credits begin or end, where 8 s have passed and the continuity with the row
+    before is weak, or where the group would reach 72 s. A fold, as both times count from the group's start."""
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), credits.alias("k"), F.col(continuity).cast("double").alias("c")))).alias("rows"))
+    zero = F.struct(F.lit(1).cast("bigint").alias("id"), F.lit(None).cast("double").alias("from"), F.lit(None).cast("boolean").alias("k"), F.array().cast("array<bigint>").alias("ids"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = acc["from"].isNotNull() & ((x["k"] != acc["k"]) | ((x["s"] - acc["from"] >= shortest) & (x["c"] < weak)) | (x["e"] - acc["from"] >= longest))
+        gid = F.when(new, acc["id"] + 1).otherwise(acc["id"])
+        return F.struct(gid.cast("bigint").alias("id"), F.when(new | acc["from"].isNull(), x["s"]).otherwise(acc["from"]).alias("from"), x["k"].alias("k"), F.concat(acc["ids"], F.array(gid.cast("bigint"))).alias("ids"))
+
+    ids = F.aggregate("rows", zero, step, lambda a: a["ids"])
+    return g.select(*keys, F.explode(F.arrays_zip(F.col("rows").alias("r"), ids.alias("i"))).alias("z")).select(*keys, F.col("z.r.r").alias(row), F.col("z.i").alias(out))
+
+
 def snap(df: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, point: str, tie: str, out: str) -> DataFrame:
     """df with the grid point nearest to `at`, the first one on ties. Each key's grid is an ordered array, searched in place."""
     g = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(point).cast("double").alias("p"), F.col(tie).alias("t")))).alias("_grid"))

@@ -30,7 +30,13 @@ def benchmark_means(spark, sf_dir):
     return v.rollup("category").agg(F.round(F.avg("f"), 6).alias("every"), F.round(F.coalesce(F.avg(good), F.lit(0.0)), 6).alias("successful"), F.round(F.sum(F.coalesce(good, F.lit(0.0))) / F.count("*"), 6).alias("failures_zero")).fillna("all", ["category"])
 
 
-@query("eval_4_cut_matching")
+@query("eval_4_cut_matching", A.sql("""
+WITH RECURSIVE p AS (SELECT video_id, start_seconds AS t, row_number() OVER (PARTITION BY video_id ORDER BY start_seconds) AS rn FROM shots WHERE action_score >= 0.6e0),
+f AS (SELECT video_id, list(start_seconds ORDER BY start_seconds) AS free, count(*) AS n FROM shots WHERE emotion >= 0.5e0 GROUP BY video_id), c AS (SELECT video_id, count(*) AS n FROM p GROUP BY video_id),
+r AS (SELECT coalesce(f.video_id, c.video_id) AS video_id, 0::BIGINT AS rn, coalesce(f.free, []) AS free, 0::BIGINT AS hits, coalesce(c.n, 0) AS np, coalesce(f.n, 0) AS nt FROM f FULL JOIN c ON f.video_id = c.video_id
+ UNION ALL SELECT r.video_id, p.rn, CASE WHEN len(list_filter(r.free, lambda x: abs(x - p.t) <= 1e0)) > 0 THEN list_filter(r.free, lambda x: x <> list_filter(r.free, lambda y: abs(y - p.t) <= 1e0)[1]) ELSE r.free END,
+  r.hits + CASE WHEN len(list_filter(r.free, lambda x: abs(x - p.t) <= 1e0)) > 0 THEN 1 ELSE 0 END, np, nt FROM r JOIN p ON p.video_id = r.video_id AND p.rn = r.rn + 1)
+SELECT video_id, hits, np AS predicted, nt AS truth FROM r WHERE rn = np""", "shots"))
 def cut_matching(spark, sf_dir):
     s = A.shots(spark, sf_dir)
     return E.match_cuts(s.where("action_score >= 0.6"), s.where("emotion >= 0.5"), ["video_id"], "start_seconds", 1.0)

@@ -187,3 +187,18 @@ def event_chains(spark, sf_dir):
     from sceneql.operators import segments as S
 
     return S.event_chains(A.shots(spark, sf_dir), "narrative_score", "emotion", 2)
+
+
+@query("ivl_16_continuity_groups", A.sql("""
+WITH RECURSIVE o AS (SELECT video_id, scene_id, start_seconds, end_seconds, (credit_probability >= 0.8e0) AS cr, 0.52e0 * (1e0 - abs(dialogue_score - lag(dialogue_score) OVER w)) + 0.25e0 * (1e0 - abs(action_score - lag(action_score) OVER w)) + 0.23e0 * 0.35e0 AS c, row_number() OVER w AS rn FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY scene_id)),
+t AS (SELECT video_id, rn, scene_id, cr, 1::BIGINT AS group_id, start_seconds AS f FROM o WHERE rn = 1
+ UNION ALL SELECT o.video_id, o.rn, o.scene_id, o.cr, CASE WHEN o.cr <> t.cr OR (o.start_seconds - f >= 8e0 AND o.c < 0.40e0) OR o.end_seconds - f >= 72e0 THEN group_id + 1 ELSE group_id END, CASE WHEN o.cr <> t.cr OR (o.start_seconds - f >= 8e0 AND o.c < 0.40e0) OR o.end_seconds - f >= 72e0 THEN o.start_seconds ELSE f END
+ FROM t JOIN o ON o.video_id = t.video_id AND o.rn = t.rn + 1)
+SELECT video_id, scene_id, group_id FROM t""", "shots"))
+def continuity_groups(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id").orderBy("scene_id")
+    near = lambda c: 1.0 - F.abs(F.col(c) - F.lag(c).over(w))
+    d = A.shots(spark, sf_dir).withColumn("continuity", 0.52 * near("dialogue_score") + 0.25 * near("action_score") + F.lit(0.23) * 0.35)
+    return I.group_by_continuity(d, ["video_id"], "scene_id", "start_seconds", "end_seconds", F.col("credit_probability") >= 0.8, "continuity")

@@ -170,7 +170,151 @@ def sliding_counts(spark, sf_dir):
     return sessions.sliding_counts(A.table(spark, sf_dir, "events"), "event_type")
 
 
-@query("stream_2_sessions")
+@query("stream_2_sessions", A.sql("WITH g AS (SELECT *, sum(CASE WHEN us - pus >= 2750000 OR pus IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT video_id, round(start_seconds * 1000000)::BIGINT AS us, lag(round(start_seconds * 1000000)::BIGINT) OVER (PARTITION BY video_id ORDER BY start_seconds) AS pus FROM words)) SELECT video_id, min(us) AS start, max(us) + 2750000 AS \"end\", count(*) AS n FROM g GROUP BY video_id, k", "words"))
 def word_sessions(spark, sf_dir):
-    w = A.words(spark, sf_dir).select("video_id", F.timestamp_micros((F.col("start_seconds") * 1000000).cast("long")).alias("ts"))
+    w = A.words(spark, sf_dir).select("video_id", F.timestamp_micros(F.round(F.col("start_seconds") * 1000000).cast("long")).alias("ts"))
     return sessions.utterance_sessions(w).select("video_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+@query("src_2_atomic_overwrite", A.sql("SELECT video_id, count(*) AS n FROM shots GROUP BY video_id", "shots"))
+def atomic_overwrite(spark, sf_dir):
+    path = scratch(spark)
+    S.write_json(A.shots(spark, sf_dir).limit(3).select("video_id", F.lit(0).alias("n")), path)
+    S.write_json(A.shots(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n")), path)
+    return S.read_json(spark, path, "video_id long, n long", lines=True)
+
+
+@query("src_4_matrix_column", A.sql("SELECT kf_id, round(list_sum(vec), 5) AS total FROM vectors", "vectors"))
+def matrix_column(spark, sf_dir):
+    from sceneql.functions.vectors import total
+
+    path = scratch(spark)
+    A.vectors(spark, sf_dir).select("kf_id", F.col("vec").cast("array<float>").alias("vec")).write.parquet(path)
+    return spark.read.parquet(path).select("kf_id", F.round(total("vec"), 5).alias("total"))
+
+
+@query("src_5_catalog", "SELECT n_nationkey::VARCHAR AS video_id, 'video' || row_number() OVER (ORDER BY n_nationkey) AS alias FROM nation")
+def catalog(spark, sf_dir):
+    path = scratch(spark)
+    n = A.table(spark, sf_dir, "nation").select(F.lit("c").alias("category"), F.col("n_nationkey").cast("string").alias("video_id"), F.col("n_nationkey").alias("ordinal"))
+    n.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    return S.read_catalog(spark, path, 25).select("video_id", "alias")
+
+
+@query("src_10_index_reuse", A.sql("SELECT count(*) AS n, 1 AS builds FROM vectors", "vectors"))
+def index_reuse(spark, sf_dir):
+    m, built = Manifest(spark, scratch(spark)), []
+
+    def build():
+        built.append(1)
+        return A.vectors(spark, sf_dir)
+
+    for _ in range(3):
+        index, _ = m.run("index", {"schema_version": 2, "source": "embeddings"}, build)
+    return index.agg(F.count("*").alias("n"), F.lit(len(built)).alias("builds"))
+
+
+@query("src_11_shots_or_whole", A.sql("SELECT video_id, count(*) FILTER (scene_id % 2 = 0 AND video_id % 3 <> 0) = 0 AS whole FROM shots GROUP BY video_id", "shots"))
+def shots_or_whole(spark, sf_dir):
+    s = A.shots(spark, sf_dir)
+    d = S.or_whole(s.where("scene_id % 2 = 0 and video_id % 3 <> 0").select("video_id", "scene_id", "start_seconds", "end_seconds"), s.select("video_id", "video_duration").distinct())
+    return d.groupBy("video_id").agg(F.bool_and("whole").alias("whole"))
+
+
+@query("src_13_adaptive_shots", A.sql("WITH m AS (SELECT video_id, median(energy) AS med FROM shots GROUP BY video_id), d AS (SELECT s.video_id, any_value(med) AS med, median(abs(energy - med)) AS mad FROM shots s JOIN m USING (video_id) GROUP BY s.video_id) SELECT s.video_id, count(*) AS cuts FROM shots s JOIN d USING (video_id) WHERE energy > least(0.72e0, greatest(0.20e0, med + greatest(0.08e0, 5.5e0 * mad))) GROUP BY s.video_id", "shots"))
+def adaptive_shots(spark, sf_dir):
+    s = A.shots(spark, sf_dir)
+    return S.over_mad(s, ["video_id"], "energy").groupBy("video_id").agg(F.count("*").alias("cuts"))
+
+
+@query("src_24_caption_lines", A.sql("SELECT video_id, string_agg(printf('%03d', scene_id) || ' ' || event_type, chr(10) ORDER BY scene_id) AS body FROM shots GROUP BY video_id", "shots"))
+def caption_lines(spark, sf_dir):
+    path = scratch(spark)
+    line = F.concat(F.format_string("%03d", "scene_id"), F.lit(" "), F.col("event_type"))
+    g = A.shots(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("scene_id", line.alias("line")))).alias("l"))
+    g.select("video_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body")).write.json(path)
+    return spark.read.schema("video_id long, body string").json(path)
+
+
+@query("src_28_metric_csv", A.sql("SELECT event_type, count(*) AS n FROM shots GROUP BY event_type", "shots"))
+def metric_csv(spark, sf_dir):
+    path = scratch(spark)
+    S.write_csv(A.shots(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")), path)
+    return spark.read.option("header", True).schema("event_type string, n long").csv(path)
+
+
+@query("cache_2_stage_status", "SELECT 'good' AS stage, 'complete' AS status UNION ALL SELECT 'bad', 'failed'")
+def stage_status(spark, sf_dir):
+    m = Manifest(spark, scratch(spark))
+    m.run("good", {}, lambda: spark.range(3).toDF("i"))
+    try:
+        m.run("bad", {}, lambda: (_ for _ in ()).throw(RuntimeError("stage")))
+    except RuntimeError:
+        pass
+    return spark.createDataFrame([(s, m.entry(s)["status"]) for s in ("good", "bad")], "stage string, status string")
+
+
+@query("cache_3_chained_hashes", "SELECT 4 AS builds")
+def chained_hashes(spark, sf_dir):
+    m, built = Manifest(spark, scratch(spark)), []
+
+    def stage(k):
+        return lambda: (built.append(k), spark.range(3).toDF("i"))[1]
+
+    for version in (1, 1, 2):
+        _, h = m.run("up", {"version": version}, stage("up"))
+        m.run("down", {}, stage("down"), h)
+    return spark.createDataFrame([(len(built),)], "builds int")
+
+
+@query("cache_4_response_cache", A.sql("SELECT video_id, scene_id, cents % 10 AS answer FROM shots WHERE cents % 4 <> 0", "shots"))
+def response_cache(spark, sf_dir):
+    """Answers are kept by the hash of what was asked; only whole ones that were applied count."""
+    s = A.shots(spark, sf_dir).select("video_id", "scene_id", "cents", F.sha2(F.to_json(F.struct("cents", "event_type")), 256).alias("asked"))
+    kept = s.select("asked", (F.col("cents") % 10).alias("answer"), F.lit("applied").alias("status"), (F.col("cents") % 4 == 0).alias("partial")).distinct()
+    path = scratch(spark)
+    kept.write.parquet(path)
+    cache = spark.read.parquet(path).where("status = 'applied' and not partial").select("asked", "answer")
+    return s.join(cache, "asked").select("video_id", "scene_id", "answer")
+
+
+@query("udf_1_column_parameters", A.sql("SELECT count(DISTINCT video_id) AS videos FROM shots", "shots"))
+def column_parameters(spark, sf_dir):
+    from sceneql.operators.selection import diverse_rows
+
+    d = A.shots(spark, sf_dir).select("video_id", F.col("scene_id").alias("id"), F.col("emotion").alias("worth"), F.col("duration_seconds").alias("price"), (F.col("start_seconds") / F.col("video_duration")).alias("place"), F.col("story_id").alias("family"))
+    return diverse_rows(d, ["video_id"], "id", "worth", "price", "place", "family", 60.0).agg(F.count_distinct("video_id").alias("videos"))
+
+
+@query("udf_2_word_provider", A.sql("SELECT count(*) AS n FROM words", "words"))
+def word_provider(spark, sf_dir):
+    from sceneql.sources.providers import provide, provider
+
+    provide("words", lambda turns: A.words(turns.sparkSession, sf_dir))
+    return provider("words")(A.turns(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query("api_retrieve", A.sql("SELECT kf_id AS id FROM (SELECT v.kf_id, list_cosine_similarity(v.vec, q.vec) AS s FROM vectors v, vectors q WHERE q.kf_id = 3 AND v.kf_id <> 3) ORDER BY s DESC, kf_id LIMIT 8", "vectors"))
+def retrieve(spark, sf_dir):
+    from sceneql.operators.retrieval import top_cosine
+
+    v = A.vectors(spark, sf_dir)
+    q = v.where("kf_id = 3").select(F.lit(0).alias("q"), F.col("vec").alias("qv"))
+    return top_cosine(q, v.where("kf_id <> 3").select(F.col("kf_id").alias("id"), "vec"), "q", "qv", "id", "vec", 8).select("id")
+
+
+@query("api_speaker_timeline")
+def speaker_timeline(spark, sf_dir):
+    from sceneql.plans.q_speech import speaker_turns
+
+    t = speaker_turns(spark, sf_dir)
+    return t.select("video_id", S.timeline_lines(F.lit("speech"), "start_seconds", "end_seconds", "speaker").alias("line"))
+
+
+@query("api_evaluate", A.sql("WITH p AS (SELECT video_id, scene_id FROM shots WHERE action_score >= 0.7e0), t AS (SELECT video_id, scene_id FROM shots WHERE emotion >= 0.7e0), u AS (SELECT coalesce(p.video_id, t.video_id) AS video_id, count(*) FILTER (p.scene_id IS NOT NULL AND t.scene_id IS NOT NULL) AS h, count(p.scene_id) AS np, count(t.scene_id) AS nt FROM p FULL JOIN t ON p.video_id = t.video_id AND p.scene_id = t.scene_id GROUP BY 1) SELECT round(avg(CASE WHEN h > 0 THEN 2e0 * h / (np + nt) ELSE 0e0 END), 6) AS f1, count(*) AS videos FROM u", "shots"))
+def evaluate(spark, sf_dir):
+    from sceneql.operators.evaluate import mask_scores
+
+    s = A.shots(spark, sf_dir)
+    d = mask_scores(s.where("action_score >= 0.7"), s.where("emotion >= 0.7"), ["video_id"], "scene_id")
+    return d.agg(F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("videos"))

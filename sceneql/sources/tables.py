@@ -113,6 +113,21 @@ def detect_shots(frames: DataFrame, keys: Sequence[str], frame: str, change: str
     return d.select(*keys, "scene_id", F.round(F.col("_f") / fps, 3).alias("start_seconds"), F.round(F.coalesce("_n", "_end") / fps, 3).alias("end_seconds"))
 
 
+def or_whole(shots: DataFrame, videos: DataFrame) -> DataFrame:
+    """Shots, and one shot over the whole of each video that has none. videos: video_id, video_duration."""
+    without = videos.join(shots.select("video_id").distinct(), "video_id", "left_anti")
+    whole = without.select("video_id", F.lit(1).cast(shots.schema["scene_id"].dataType).alias("scene_id"), F.lit(0.0).alias("start_seconds"), F.col("video_duration").alias("end_seconds"), F.lit(True).alias("whole"))
+    return shots.withColumn("whole", F.lit(False)).unionByName(whole)
+
+
+def over_mad(df: DataFrame, keys: Sequence[str], change: str) -> DataFrame:
+    """Rows whose change exceeds the median by 5.5 median deviations, within .20 and .72."""
+    med = df.groupBy(*keys).agg(F.median(change).alias("_med"))
+    mad = df.join(med, list(keys)).groupBy(*keys).agg(F.max("_med").alias("_med"), F.median(F.abs(F.col(change) - F.col("_med"))).alias("_mad"))
+    limit = F.least(F.lit(0.72), F.greatest(F.lit(0.20), F.col("_med") + F.greatest(F.lit(0.08), 5.5 * F.col("_mad"))))
+    return df.join(mad, list(keys)).where(F.col(change) > limit).drop("_med", "_mad")
+
+
 def sharpest(shots: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, scene_id, kf_index, frame): the sharpest frame of each window, one window of short shots, three of others.
 
