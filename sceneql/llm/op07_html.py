@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from sceneql.llm.common import prepared, table
 
+#: Rows of (host, path) that may be sent to all tasks.
+MOST_HOSTS = 200_000
 #: Fixed values of HTML: elements without content, with raw content, and those that part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template svg math iframe noembed noframes select object canvas audio video".split())
@@ -210,7 +212,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty html gives an empty text; rows without a host in their url vote together. Repeated rows give repeated
     results. Other columns are ignored. An empty table gives an empty result.
     """
-    winners = host_paths(pages, url_col, html_col).select("host", "path")
+    winners = host_paths(pages, url_col, html_col).select("host", "path").checkpoint()
+    # few enough hosts go to every task, and pages stay where they are; else both sides are dealt out by host, and Spark
+    # splits the partitions of hot ones
+    winners = F.broadcast(winners) if winners.count() <= MOST_HOSTS else winners
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), _host(url_col).alias("host"))
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     return d.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
