@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneql.llm.common import prepared, table
-from sceneql.llm.op03_toxicity import toxicity
+from sceneql.llm.op03_toxicity import with_score
 from sceneql.llm.op04_substrings import remove_repeats
 from sceneql.llm.op05_mixing import WORD, mix
 from sceneql.llm.op08_packing import pack
@@ -30,9 +30,7 @@ def prepared_docs(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject, unchanged."""
     docs = prepared_docs(spark, docs)
-    labels = table(spark, sf_dir, "labels")
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(COLUMNS)
+    return with_score(docs, table(spark, sf_dir, "labels"), "toxicity").where("toxicity < 0.5").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

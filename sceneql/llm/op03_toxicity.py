@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sceneql.llm import textops as X
 from sceneql.llm.common import held_out, prepared, table
@@ -53,20 +54,32 @@ def buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, text): in how many texts of either kind each feature occurs."""
     for b in batches:
         raw, off = X.utf8(b.column(1))
+        kind = b.column(0).to_numpy()
         for i, j in X.slices(off):
             row, k = buckets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(k.astype(np.int32)))], names=["toxic", "features"])
+            pair, n = np.unique(kind[i:j][row].astype(np.int64) << BITS | k, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((pair >> BITS).astype(np.int32)), pa.array(pair & ((1 << BITS) - 1)), pa.array(n)], names=["toxic", "feature", "n"])
 
 
-def associated(p: list[np.ndarray], u: list[np.ndarray], most: int = KEPT) -> np.ndarray:
-    """The buckets whose presence differs most between P and U by the likelihood ratio statistic."""
-    n, m = len(p), len(u)
-    a = np.bincount(np.concatenate([*p, np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
-    b = np.bincount(np.concatenate([*u, np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
+def _chosen(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, text): the places in kept of each text's features."""
+    for b in batches:
+        raw, off = X.utf8(b.column(1))
+        for i, j in X.slices(off):
+            row, k = buckets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            at = np.minimum(np.searchsorted(kept, k), len(kept) - 1)
+            hit = kept[at] == k
+            ends = np.searchsorted(row[hit], np.arange(j - i + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], names=["toxic", "places"])
+
+
+def associated(a: np.ndarray, b: np.ndarray, n: int, m: int, tested: int, most: int = KEPT) -> np.ndarray:
+    """Places of the features whose presence differs most between n texts of P (in a of them) and m of U (in b), by the
+    likelihood ratio statistic; chance alone reaches about twice the logarithm of how many features are tested."""
     share = (a + b) / max(n + m, 1)
 
     def part(x, of, expected):
@@ -74,8 +87,7 @@ def associated(p: list[np.ndarray], u: list[np.ndarray], most: int = KEPT) -> np
 
     g = part(a, n, share) + part(n - a, n, 1 - share) + part(b, m, share) + part(m - b, m, 1 - share)
     top = np.argsort(-g, kind="stable")[:most]
-    # as many features as were seen are tested: chance alone reaches about twice the logarithm of their number
-    return np.sort(top[g[top] > 2 * np.log(max(2, int((a + b > 0).sum())))])
+    return np.sort(top[g[top] > 2 * np.log(max(2, tested))])
 
 
 def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -101,16 +113,6 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS) -> tuple
     return w, c
 
 
-def dense(docs: list[np.ndarray], kept: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(docs), len(kept)), dtype=np.float32)
-    for i, d in enumerate(docs):
-        k = np.searchsorted(kept, d)
-        k = np.minimum(k, max(len(kept) - 1, 0))
-        if len(kept):
-            out[i, k[kept[k] == d]] = 1
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float] | None:
     """(buckets, their weights, bias), or None without confirmed toxic training rows."""
     spark = prepared(docs.sparkSession)
@@ -124,26 +126,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = positive.unionByName(other.join(positive, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic")))
     # at most MOST_P + MOST_U rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = texts.mapInArrow(_features, "toxic int, features array<int>").toArrow()
-    role, words = got.column(0).to_numpy(), got.column(1).combine_chunks()
-    at = np.asarray(words.offsets)
-    values = words.values.to_numpy()
-    sets = [values[at[i] : at[i + 1]] for i in range(len(role))]
-    p, u = ([s for s, r in zip(sets, role) if r == k] for k in (1, 0))
-    if not p or not u:
+    sizes = dict(texts.groupBy("toxic").count().collect())
+    if len(sizes) < 2:
         return None
-    kept = associated(p, u)
-    w, c = fit(dense(p, kept), dense(u, kept), min(toxic / n, 0.99))
+    # at most 2**BITS features; those in fewer than three texts can't be told from chance
+    counted = texts.mapInArrow(_frequencies, "toxic int, feature long, n long").groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("p"), F.sum("n").alias("all")).checkpoint()
+    got = counted.where(F.col("all") >= 3).orderBy("feature").toArrow()
+    p = got.column(1).to_numpy().astype(float)
+    place = associated(p, got.column(2).to_numpy() - p, sizes[1], sizes[0], counted.count())
+    kept = got.column(0).to_numpy()[place]
+    if not len(kept):
+        return kept, np.zeros(0), float(np.log(min(toxic / n, 0.49) / (1 - min(toxic / n, 0.49))))
+    rows = texts.mapInArrow(lambda it: _chosen(it, kept), "toxic int, places array<int>").toArrow()
+    role, places = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+    x = np.zeros((len(role), len(kept)), dtype=np.float32)
+    x[np.repeat(np.arange(len(role)), np.diff(np.asarray(places.offsets))), places.values.to_numpy()] = 1
+    w, c = fit(x[role == 1], x[role == 0], min(toxic / n, 0.99))
     return kept, w, c
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, out: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a text: the other columns, and the text's score."""
     weight, known, bias = np.zeros(1 << BITS), np.zeros(1 << BITS, dtype=bool), None
     if model:
         kept, w, bias = model
         weight[kept], known[kept] = w, True
     for b in batches:
-        raw, off = X.utf8(b.column(1))
+        raw, off = X.utf8(b.column(b.num_columns - 1))
         score = np.zeros(b.num_rows)
         if model:
             for i, j in X.slices(off):
@@ -152,20 +161,24 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
                 pair = np.unique(row[hit] << BITS | k[hit])
                 z = np.bincount(pair >> BITS, weight[pair & ((1 << BITS) - 1)], j - i) + bias
                 score[i:j] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], out])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs.
+def with_score(docs: DataFrame, labels: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a column `out`, the score of each row's text. Rows stay where they are: nothing is shuffled.
 
-    Null and empty texts get the score of a text without words. Rows with equal texts get equal scores; a null id is
-    not held out. Without a confirmed toxic training row all scores are 0. Other columns are ignored. Empty tables give
-    an empty result.
+    Null and empty texts get the score of a text without words. Rows with equal texts get equal scores. Without a
+    confirmed toxic training row all scores are 0. Empty tables give an empty result. `out` must be a new name.
     """
     model = train(docs, labels, id_col, text_col)
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
+    return docs.withColumn("_toxicity_text", F.col(text_col).cast("string")).mapInArrow(lambda it: _score(it, model, out), schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs; see with_score. A null id is not held out."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    scored = d.mapInArrow(lambda it: _score(it, model), f"doc_id {kind}, score double")
+    scored = with_score(d, labels, "score")
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

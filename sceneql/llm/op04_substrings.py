@@ -24,7 +24,7 @@ from sceneql.llm.common import parts, prepared, table
 
 WINDOW, GRAM = 50, 8
 #: Suffixes that may share a prefix in one task; bytes of text of the groups that are built into subtrees at once.
-COMMON, CHUNK = 500_000, 6_000_000
+COMMON, CHUNK = 500_000, 2_000_000
 _U = np.uint64
 
 

@@ -66,7 +66,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = 1 << 20):
+def slices(off: np.ndarray, most: int = 1 << 18):
     """Row ranges of about `most` bytes each, so that temporaries stay small; a longer row stands alone."""
     i, n = 0, len(off) - 1
     while i < n:

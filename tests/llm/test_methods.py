@@ -234,10 +234,12 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var x="<p>no</p>";<
 WANT = "Title & more\nFirst paragraph, with a link and text.\nSecond paragraph bold after a break <b> é.\nOne item\nTwo items\nCell one\nCell two"
 
 
-def test_main_text(spark):
+def test_main_text(spark, monkeypatch):
     rows = [(i, f"https://Example.org/{i}", PAGE % i) for i in range(6)] + [(10, "https://example.org/x", None), (11, None, ""), (12, "no url", "just text"), (13, "https://b.org", "<div><p>alone</div>"), (14, "https://c.org/", "<p>a<p>b" + "<b>" * 3000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     got = {r.page_id: r for r in L7.main_text(d).collect()}
+    monkeypatch.setattr(L7, "MOST_HOSTS", 0)
+    assert got == {r.page_id: r for r in L7.main_text(d).collect()}
     assert all(got[i].text == WANT and got[i].n_chars == len(WANT) for i in range(6))
     assert got[10].text == got[11].text == "" and got[12].text == "just text" and got[13].text == "alone" and got[14].text == "a\nb"
     paths = {r.host: (r.path, r.pages) for r in L7.host_paths(d).collect()}
