@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sceneql.llm import op05_mixing
+from sceneql.llm import op04_substrings, op05_mixing, op09_minhash
 from sceneql.llm.op01_language import op1_language
 from sceneql.llm.op02_tiff import op2_tiff
 from sceneql.llm.op03_toxicity import op3_toxicity
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": op05_mixing.SQL}
+    return {"op4_substrings": op04_substrings.SQL, "op5_mixing": op05_mixing.SQL, "op9_minhash": op09_minhash.SQL}
