@@ -36,7 +36,7 @@ knap("sel_6_knapsack_frames", "greatest(1, ceil(duration))::BIGINT", 55, 55.0, s
 knap("sel_7_knapsack_whole", "greatest(1, floor(duration))::BIGINT", 50, 50.7, step=1.0, how="floor", capacity_how="floor")
 
 
-@query("sel_4_duration_filling", A.sql(_SUBSETS.format(cost="greatest(1, ceil(duration))::BIGINT", capacity=60, what="max(c)"), "items"))
+@query("sel_4_duration_filling", A.sql(_SUBSETS.format(cost="greatest(1, ceil(duration))::BIGINT", capacity=60, what="max(c)::DOUBLE"), "items"))
 def duration_filling(spark, sf_dir):
     d = S.knapsack_rows(A.items(spark, sf_dir), ["video_id"], ["ord"], "value", "duration", 60.0, step=1.0, how="ceil", exact=True)
     return d.groupBy("video_id").agg(F.round(F.sum("duration"), 2).alias("total"))
