@@ -28,14 +28,16 @@ CONTAINERS = frozenset("article main section div td body blockquote dd li center
 DROP_TAGS = frozenset("nav footer aside form button menu dialog head input label fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget footer masthead "
+    "ad ads adv advert adverts advertisement advertising adsense banner adsbygoogle sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget footer masthead "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "comment comments disqus reply replies respond form search login toolbar pagination pager skip".split()
 )
 HEADS = frozenset("header topbar".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+#: Classes that say something about the page, not what their element is.
+_STATE = re.compile(r"(?:has|no|with|without|is|hide|show)[-_]|.*[-_](?:open|closed|enabled|disabled|free|layout|hidden)$", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -47,7 +49,7 @@ class Node:
         self.tag, self.up, self.path, self.drop, self.inside, self.link, self.number = tag, up, path, drop, inside, link, number
 
 
-def _opened(tag: str, attributes: str, up: Node, number: int) -> Node:
+def _opened(tag: str, attributes: str, up: Node, number: int, marks: bool) -> Node:
     names = ""
     drop = up.drop or tag in DROP_TAGS
     inside = up.inside or tag in ("article", "main")
@@ -61,7 +63,7 @@ def _opened(tag: str, attributes: str, up: Node, number: int) -> Node:
             elif key in ("hidden", "aria-hidden"):
                 drop = drop or (key == "hidden" and value.lower() != "until-found") or value.lower() == "true"
             else:
-                words = {w.lower() for w in _WORD.findall(value)}
+                words = {w.lower() for x in value.split() if not _STATE.match(x) for w in _WORD.findall(x)} if marks else set()
                 drop = drop or (tag not in ("body", "html", "article", "main") and not DROP_WORDS.isdisjoint(words))
                 head = head or not HEADS.isdisjoint(words)
                 if key == "class" and value.strip():
@@ -70,14 +72,15 @@ def _opened(tag: str, attributes: str, up: Node, number: int) -> Node:
     return Node(tag, up, f"{up.path}/{tag}{names}" if tag in CONTAINERS else up.path, drop, inside, up.link or tag == "a", number)
 
 
-def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
-    """(innermost block element, text with white space made one, characters of it in links), in page order; dropped elements' text is left out."""
+def blocks(page: str, marks: bool = True) -> Iterator[tuple[Node, str, int]]:
+    """(innermost block element, text with white space made one, characters of it in links), in page order; dropped elements'
+    text is left out. marks: whether classes and ids drop elements, too."""
     root = Node("", None, "", False, False, False, 0)
     at, here, owner, number = 0, root, root, 0
     text: list[str] = []
     linked = 0
 
-    def said() -> tuple[Node, str, int] | None:
+    def done() -> tuple[Node, str, int] | None:
         s = " ".join(html.unescape("".join(text)).split())
         return (owner, s, linked) if s else None
 
@@ -100,12 +103,12 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
                 if node.tag in ("article", "main", "body", "td", "table") and tag not in (node.tag, "body", "html", "article", "main", "table"):
                     break
             if not node.up or node.tag != tag:
-                if tag == "p" and (x := said()):  # a stray end of a paragraph still parts blocks
+                if tag == "p" and (x := done()):  # a stray end of a paragraph still parts blocks
                     yield x
                     text, linked = [], 0
                 continue
             if tag in BLOCK or (node.drop and not node.up.drop):
-                if x := said():
+                if x := done():
                     yield x
                 text, linked = [], 0
             here = node.up
@@ -117,7 +120,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             text.append(" ")
             continue
         if tag in BLOCK:
-            if x := said():
+            if x := done():
                 yield x
             text, linked = [], 0
             node = here
@@ -136,13 +139,18 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
                 at = end.end() if end else len(page)
             continue
         number += 1
-        here = _opened(tag, m[3], here, number)
+        here = _opened(tag, m[3], here, number, marks)
         if tag in BLOCK:
             owner = here
-    if x := said():
+    if x := done():
         yield x
 
 
+def said(page: str) -> list[tuple[Node, str, int]]:
+    """The blocks of a page; where classes and ids would drop them all, those that elements alone leave."""
+    return list(blocks(page)) or list(blocks(page, marks=False))
+
+
 def containers(found: list[tuple[Node, str, int]]) -> list[tuple[str, float]]:
     """(path, score) of the containers on a page, best first, and the page's own choice as the first."""
     score: dict[str, float] = {}
@@ -166,7 +174,7 @@ def within(node: Node, path: str) -> bool:
 
 
 def extract(page: str, winner: str | None) -> str:
-    found = list(blocks(page))
+    found = said(page)
     inner = [t for n, t, _ in found if within(n, winner)] if winner else []
     if not inner:
         own = containers(found)
@@ -178,7 +186,7 @@ def _vote(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
     for b in batches:
         votes: dict[tuple[str, str], list[float]] = {}
         for host, page in zip(b.column(0).to_pylist(), b.column(1)):
-            best = containers(list(blocks(page.as_py() or "")))[:most]
+            best = containers(said(page.as_py() or ""))[:most]
             total = sum(s for _, s in best)
             for path, s in best:
                 if total:

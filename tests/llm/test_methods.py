@@ -246,6 +246,23 @@ def test_main_text(spark, monkeypatch):
     assert paths["example.org"] == ("/body.page#/div.wrap/div.content.post-#", 6)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body class='has-sidebar'><div class='site no-comments with-sidebar'><p>kept</p></div></body>", "kept"),
+        ("<div class='sidebar'><p>all there is</p></div>", "all there is"),
+        ("<article><header><h1>Head</h1></header><p>text of it<section id='comments'><p>a reader</p></section><div class='share-buttons'>Share</div></article>", "Head\ntext of it"),
+        ("<main><p>a<script>if (1 < 2) { '</p>' }</script>b</p><noscript>off</noscript><style>p {}</style></main>", "ab"),
+        ("<article><p>one<p>two<div>three<nav><p>menu</nav></div>four</article>", "one\ntwo\nthree\nfour"),
+        ("<p>5 &lt; 6 &amp; 7 &#x3E; 3 &copy 1 < 2</p>", "5 < 6 & 7 > 3 © 1 < 2"),
+        ("<div role='alert'><p>warning</p></div><div role=main><p>body of it</p></div><ins class=adsbygoogle>x</ins>", "body of it"),
+        ("<p>unclosed <b>bold <!-- comment", "unclosed bold"),
+    ],
+)
+def test_single_pages(page, want):
+    assert L7.extract(page, None) == want
+
+
 def test_the_host_outvotes_a_page(spark):
     """A page whose longest text is not the article still gives the article, as its host's other pages have it there."""
     page = "<body><div class='story'><p>%s</p></div><div class='box'><p>%s</p></div></body>"
