@@ -31,7 +31,7 @@ SELECT l_orderkey AS video_id, CAST(row_number() OVER (PARTITION BY l_orderkey O
   l_quantity AS duration, l_extendedprice AS value, l_discount AS discount, l_returnflag AS flag FROM lineitem
 """
 _SPANS = """
-SELECT o_custkey % 50 AS video_id, o_orderkey AS span_id, o_custkey % 7 AS speaker, CAST({days} AS BIGINT) AS start_day, CAST({days} AS BIGINT) + 1 + o_orderkey % 5 AS end_day, o_totalprice AS price FROM orders
+SELECT o_custkey % 50 AS video_id, o_orderkey AS span_id, o_custkey % 7 AS speaker, CAST({days} AS BIGINT) AS start_day, CAST({days} AS BIGINT) + 1 + o_orderkey % 5 AS end_day, o_totalprice AS price, o_orderstatus AS status FROM orders
 """
 
 

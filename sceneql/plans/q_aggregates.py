@@ -13,11 +13,11 @@ from sceneql.plans import adapters as A
 from sceneql.plans.registry import query
 
 
-@query("agg_1_mean_similarity", A.sql("WITH p AS (SELECT vec AS pv FROM vectors WHERE kf_id = 0), m AS (SELECT scene_id, avg(list_dot_product(vec, pv)) AS s FROM vectors, p WHERE kf_id % 4 <> 0 GROUP BY scene_id) SELECT v.scene_id, round(coalesce(any_value(s), 0.20e0), 6) AS similarity FROM (SELECT DISTINCT scene_id FROM vectors) v LEFT JOIN m USING (scene_id) GROUP BY v.scene_id", "vectors"))
+@query("agg_1_mean_similarity", A.sql("WITH p AS (SELECT vec AS pv FROM vectors WHERE kf_id = 0), m AS (SELECT scene_id, avg(list_dot_product(vec, pv)) AS s FROM vectors, p WHERE label <> 3 GROUP BY scene_id) SELECT v.scene_id, round(coalesce(any_value(s), 0.20e0), 6) AS similarity FROM (SELECT DISTINCT scene_id FROM vectors) v LEFT JOIN m USING (scene_id) GROUP BY v.scene_id", "vectors"))
 def mean_similarity(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     p = v.where("kf_id = 0").select(F.col("vec").alias("pv"))
-    m = v.where("kf_id % 4 <> 0").join(F.broadcast(p)).groupBy("scene_id").agg(F.avg(V.dot("vec", "pv")).alias("s"))  # one row
+    m = v.where("label <> 3").join(F.broadcast(p)).groupBy("scene_id").agg(F.avg(V.dot("vec", "pv")).alias("s"))  # one row
     return v.select("scene_id").distinct().join(m, "scene_id", "left").select("scene_id", F.round(F.coalesce("s", F.lit(0.20)), 6).alias("similarity"))
 
 
@@ -153,9 +153,9 @@ def prototypes(spark, sf_dir):
     return e.select("label", F.col("dim").cast("long").alias("dim"), F.round(F.col("x") / n, 5).alias("x"))
 
 
-@query("agg_20_act_seconds", A.sql("WITH a AS (SELECT * FROM (VALUES ('act_i', 0e0, 0.25e0), ('act_ii', 0.25e0, 0.75e0), ('act_iii', 0.75e0, 1e0)) t(act, lo, hi)) SELECT video_id, act, round(sum(greatest(0e0, least(end_seconds, hi * video_duration) - greatest(start_seconds, lo * video_duration))), 6) AS seconds FROM shots, a WHERE scene_id % 2 = 0 GROUP BY ALL", "shots"))
+@query("agg_20_act_seconds", A.sql("WITH a AS (SELECT * FROM (VALUES ('act_i', 0e0, 0.25e0), ('act_ii', 0.25e0, 0.75e0), ('act_iii', 0.75e0, 1e0)) t(act, lo, hi)) SELECT video_id, act, round(sum(greatest(0e0, least(end_seconds, hi * video_duration) - greatest(start_seconds, lo * video_duration))), 6) AS seconds FROM shots, a WHERE event_type <> 'error' GROUP BY ALL", "shots"))
 def act_seconds(spark, sf_dir):
-    s = A.shots(spark, sf_dir).where("scene_id % 2 = 0").select("*", F.expr("stack(3, 'act_i', 0D, 0.25D, 'act_ii', 0.25D, 0.75D, 'act_iii', 0.75D, 1D) as (act, lo, hi)"))
+    s = A.shots(spark, sf_dir).where("event_type <> 'error'").select("*", F.expr("stack(3, 'act_i', 0D, 0.25D, 'act_ii', 0.25D, 0.75D, 'act_iii', 0.75D, 1D) as (act, lo, hi)"))
     inside = F.greatest(F.lit(0.0), F.least(F.col("end_seconds"), F.col("hi") * F.col("video_duration")) - F.greatest(F.col("start_seconds"), F.col("lo") * F.col("video_duration")))
     return s.groupBy("video_id", "act").agg(F.round(F.sum(inside), 6).alias("seconds"))
 
@@ -246,9 +246,9 @@ def top_fifth(spark, sf_dir):
     return d.where(F.col("r") <= F.floor(F.col("n_shots") * 0.2)).select("video_id", "scene_id")
 
 
-@query("top_9_cap_keeps_required", A.sql("SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM shots) WHERE r <= 10 OR cents % 50 = 0", "shots"))
+@query("top_9_cap_keeps_required", A.sql("SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM shots) WHERE r <= 10 OR emotion = 1e0", "shots"))
 def cap_keeps_required(spark, sf_dir):
-    return K.ranked(A.shots(spark, sf_dir), ["video_id"], [F.desc("narrative_score"), "scene_id"], "r").where("r <= 10 or cents % 50 = 0").select("video_id", "scene_id")
+    return K.ranked(A.shots(spark, sf_dir), ["video_id"], [F.desc("narrative_score"), "scene_id"], "r").where("r <= 10 or emotion = 1e0").select("video_id", "scene_id")
 
 
 @query("top_10_chronological", A.sql("SELECT video_id, scene_id, start_seconds FROM shots ORDER BY video_id, start_seconds, scene_id", "shots"))
@@ -279,10 +279,10 @@ def word_dedup(spark, sf_dir):
     return w.union(w).groupBy("video_id", F.round("start_seconds", 3).alias("a"), F.round("end_seconds", 3).alias("z"), F.lower("word").alias("word")).agg(F.max("p").alias("p")).select("video_id", "word", "p")
 
 
-@query("set_2_priority_union", A.sql("WITH u AS (SELECT video_id, scene_id, 1 AS pr, 'required' AS source FROM shots WHERE cents % 40 = 0 UNION ALL SELECT video_id, scene_id, 2, 'peak' FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY emotion DESC, scene_id) AS r FROM shots) WHERE r <= 5 UNION ALL SELECT video_id, scene_id, 3, 'score' FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM shots) WHERE r <= 8) SELECT video_id, scene_id, arg_min(source, pr) AS source FROM u GROUP BY ALL", "shots"))
+@query("set_2_priority_union", A.sql("WITH u AS (SELECT video_id, scene_id, 1 AS pr, 'required' AS source FROM shots WHERE emotion = 1e0 UNION ALL SELECT video_id, scene_id, 2, 'peak' FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY emotion DESC, scene_id) AS r FROM shots) WHERE r <= 5 UNION ALL SELECT video_id, scene_id, 3, 'score' FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM shots) WHERE r <= 8) SELECT video_id, scene_id, arg_min(source, pr) AS source FROM u GROUP BY ALL", "shots"))
 def priority_union(spark, sf_dir):
     s = A.shots(spark, sf_dir)
-    lanes = [("required", s.where("cents % 40 = 0")), ("peak", K.top(s, ["video_id"], [F.desc("emotion"), "scene_id"], 5, "r")), ("score", K.top(s, ["video_id"], [F.desc("narrative_score"), "scene_id"], 8, "r"))]
+    lanes = [("required", s.where("emotion = 1e0")), ("peak", K.top(s, ["video_id"], [F.desc("emotion"), "scene_id"], 5, "r")), ("score", K.top(s, ["video_id"], [F.desc("narrative_score"), "scene_id"], 8, "r"))]
     return K.priority_union(lanes, ["video_id", "scene_id"])
 
 
@@ -292,22 +292,22 @@ def id_set_union(spark, sf_dir):
     return d.select("video_id", "story_id", F.concat_ws(",", "ids").alias("ids"))
 
 
-@query("set_4_turn_dedup", "SELECT DISTINCT conv_id, role, left(text, 10) AS head FROM conversations")
+@query("set_4_turn_dedup", "SELECT DISTINCT conv_id, role, text FROM conversations")
 def turn_dedup(spark, sf_dir):
-    return A.table(spark, sf_dir, "conversations").select("conv_id", "role", F.substring("text", 1, 10).alias("head")).dropDuplicates()
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "role", "text").dropDuplicates()
 
 
-@query("set_5_timeline_union", A.sql("SELECT video_id, start_seconds, 'shot' AS kind, event_type, NULL AS speaker FROM shots WHERE scene_id <= 3 UNION ALL SELECT video_id, start_seconds, 'turn', NULL, speaker FROM turns WHERE turn < 3", "shots", "turns"))
+@query("set_5_timeline_union", A.sql("SELECT video_id, start_seconds, 'shot' AS kind, event_type, NULL AS speaker FROM shots UNION ALL SELECT video_id, start_seconds, 'turn', NULL, speaker FROM turns", "shots", "turns"))
 def timeline_union(spark, sf_dir):
-    s = A.shots(spark, sf_dir).where("scene_id <= 3").select("video_id", "start_seconds", F.lit("shot").alias("kind"), "event_type")
-    t = A.turns(spark, sf_dir).where("turn < 3").select("video_id", "start_seconds", F.lit("turn").alias("kind"), "speaker")
+    s = A.shots(spark, sf_dir).select("video_id", "start_seconds", F.lit("shot").alias("kind"), "event_type")
+    t = A.turns(spark, sf_dir).select("video_id", "start_seconds", F.lit("turn").alias("kind"), "speaker")
     return s.unionByName(t, allowMissingColumns=True).orderBy("video_id", "start_seconds", "kind")
 
 
-@query("set_6_set_equality", A.sql("SELECT video_id, bool_and(scene_id <= 60) AS same FROM shots GROUP BY video_id", "shots"))
+@query("set_6_set_equality", A.sql("SELECT video_id, bool_and(action_score >= 0.05e0) AS same FROM shots GROUP BY video_id", "shots"))
 def set_equality(spark, sf_dir):
-    s = A.shots(spark, sf_dir).select("video_id", "scene_id")
-    return K.same_sets(s, s.where("scene_id <= 60"), ["video_id"], ["scene_id"])
+    s = A.shots(spark, sf_dir).select("video_id", "scene_id", "action_score")
+    return K.same_sets(s, s.where("action_score >= 0.05e0"), ["video_id"], ["scene_id"])
 
 
 @query("set_7_missing_roles", A.sql("SELECT video_id, coalesce(list_sort(list_filter(['click', 'error', 'view', 'zoom'], lambda x: NOT list_contains(have, x))).array_to_string(','), '') AS missing FROM (SELECT video_id, list(event_type) AS have FROM shots GROUP BY video_id)", "shots"))

@@ -43,10 +43,10 @@ fn("fn_24_short_copy", r"array_to_string(string_split(trim(regexp_replace(text,
 
 
 @query("fn_6_feature_hashing", rf"""
-WITH t AS (SELECT DISTINCT unnest({_TOK}) AS w FROM conversations WHERE conv_id < 20), h AS (SELECT w, sha256(w) AS h FROM t)
+WITH t AS (SELECT DISTINCT unnest({_TOK}) AS w FROM conversations), h AS (SELECT w, sha256(w) AS h FROM t)
 SELECT w AS token, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT) % 512 AS place, CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM h""")
 def feature_hashing(spark, sf_dir):
-    t = A.table(spark, sf_dir, "conversations").where("conv_id < 20").select(F.explode(T.tokens("text")).alias("token")).distinct()
+    t = A.table(spark, sf_dir, "conversations").select(F.explode(T.tokens("text")).alias("token")).distinct()
     return t.select("token", T.hash_place(F.col("token")).alias("place"), T.hash_sign(F.col("token")).alias("sign"))
 
 
@@ -55,12 +55,12 @@ def timecode(spark, sf_dir):
     return A.shots(spark, sf_dir).select("video_id", "scene_id", T.timecode("start_seconds").alias("code"))
 
 
-@query("fn_18_cosine", A.sql("SELECT a.kf_id, b.kf_id AS other, round(least(greatest(list_cosine_similarity(a.vec, b.vec), 0e0), 1e0), 6) AS unit, round(least(greatest(list_cosine_similarity(a.vec, b.vec), -1e0), 1e0), 6) AS signed FROM vectors a JOIN vectors b ON a.video_id = b.video_id WHERE a.kf_id % 10 = 0 AND b.kf_id % 10 = 1", "vectors"))
+@query("fn_18_cosine", A.sql("SELECT a.kf_id, b.kf_id AS other, round(least(greatest(list_cosine_similarity(a.vec, b.vec), 0e0), 1e0), 6) AS unit, round(least(greatest(list_cosine_similarity(a.vec, b.vec), -1e0), 1e0), 6) AS signed FROM vectors a JOIN vectors b ON a.video_id = b.video_id WHERE a.kf_id < b.kf_id", "vectors"))
 def cosine(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
-    a = v.where("kf_id % 10 = 0").select("video_id", "kf_id", "vec")
-    b = v.where("kf_id % 10 = 1").select("video_id", F.col("kf_id").alias("other"), F.col("vec").alias("ov"))
-    return a.join(b, "video_id").select("kf_id", "other", F.round(V.cosine("vec", "ov"), 6).alias("unit"), F.round(V.cosine("vec", "ov", -1.0), 6).alias("signed"))
+    a = v.select("video_id", "kf_id", "vec")
+    b = v.select("video_id", F.col("kf_id").alias("other"), F.col("vec").alias("ov"))
+    return a.join(b, "video_id").where("kf_id < other").select("kf_id", "other", F.round(V.cosine("vec", "ov"), 6).alias("unit"), F.round(V.cosine("vec", "ov", -1.0), 6).alias("signed"))
 
 
 @query("fn_19_normalise", A.sql("SELECT kf_id, round(list_sum(list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec)))), 6) AS total FROM vectors", "vectors"))

@@ -103,12 +103,12 @@ def story_groups(spark, sf_dir):
 
 
 @query("ivl_12_snap_to_shots", A.sql("""
-WITH g AS (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY abs(p - asked), p) AS r FROM (SELECT video_id, span_id, start_day + 0.4e0 AS asked FROM spans WHERE span_id % 20 = 0) q JOIN (SELECT video_id, start_day::DOUBLE AS p FROM spans WHERE span_id % 3 = 0) USING (video_id))
+WITH g AS (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY abs(p - asked), p) AS r FROM (SELECT video_id, span_id, start_day + 0.4e0 AS asked FROM spans WHERE status = 'P') q JOIN (SELECT video_id, start_day::DOUBLE AS p FROM spans WHERE status = 'F') USING (video_id))
 SELECT video_id, span_id, asked, p AS near FROM g WHERE r = 1""", "spans"))
 def snap_to_shots(spark, sf_dir):
     s = A.spans(spark, sf_dir)
-    q = s.where("span_id % 20 = 0").select("video_id", "span_id", (F.col("start_day") + F.lit(0.4)).alias("asked"))
-    return I.snap(q, s.where("span_id % 3 = 0"), ["video_id"], "asked", "start_day", "span_id", "near")
+    q = s.where("status = 'P'").select("video_id", "span_id", (F.col("start_day") + F.lit(0.4)).alias("asked"))
+    return I.snap(q, s.where("status = 'F'"), ["video_id"], "asked", "start_day", "span_id", "near")
 
 
 @query("ivl_30_frame_masks", A.sql("""
@@ -148,14 +148,14 @@ def highlight_intervals(spark, sf_dir):
 
 
 @query("ivl_19_overlap_suppression", A.sql("""
-WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE span_id % 5 <> 0), b AS (SELECT video_id, start_day AS bs, end_day AS be FROM spans WHERE span_id % 5 = 0 AND price >= 200000)
+WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE status <> 'O'), b AS (SELECT video_id, start_day AS bs, end_day AS be FROM spans WHERE status = 'O' AND price >= 200000)
 SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.video_id = a.video_id AND (least(a.end_day, be) - greatest(a.start_day, bs)) >= 0.4e0 * (a.end_day - a.start_day))""", "spans"))
 def overlap_suppression(spark, sf_dir):
     from sceneql.operators import joins as J
 
     s = A.spans(spark, sf_dir)
-    a = s.where("span_id % 5 <> 0").select("video_id", "span_id", "start_day", "end_day")
-    b = s.where("span_id % 5 = 0 and price >= 200000").select("video_id", F.col("start_day").alias("bs"), F.col("end_day").alias("be"))
+    a = s.where("status <> 'O'").select("video_id", "span_id", "start_day", "end_day")
+    b = s.where("status = 'O' and price >= 200000").select("video_id", F.col("start_day").alias("bs"), F.col("end_day").alias("be"))
     covered = J.overlap_join(a, b, ["video_id"], "start_day", "end_day", "bs", "be", 8.0).where(F.least("end_day", "be") - F.greatest("start_day", "bs") >= F.lit(0.4) * (F.col("end_day") - F.col("start_day")))
     return a.join(covered.select("span_id").distinct(), "span_id", "left_anti")
 

@@ -15,25 +15,25 @@ from sceneql.plans.registry import query
 def _turn_spans(spark, sf_dir):
     """Order spans as speaker turns beside other order spans as scenes."""
     s = A.spans(spark, sf_dir)
-    a = s.where("span_id % 4 <> 0").select("video_id", "span_id", "start_day", "end_day")
-    b = s.where("span_id % 4 = 0").select("video_id", F.col("span_id").alias("turn_id"), "speaker", F.col("start_day").alias("ts"), F.col("end_day").alias("te"))
+    a = s.where("status <> 'F'").select("video_id", "span_id", "start_day", "end_day")
+    b = s.where("status = 'F'").select("video_id", F.col("span_id").alias("turn_id"), "speaker", F.col("start_day").alias("ts"), F.col("end_day").alias("te"))
     return a, b
 
 
-_AB = "WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE span_id % 4 <> 0), b AS (SELECT video_id, span_id AS turn_id, speaker, start_day AS ts, end_day AS te FROM spans WHERE span_id % 4 = 0) "
+_AB = "WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE status <> 'F'), b AS (SELECT video_id, span_id AS turn_id, speaker, start_day AS ts, end_day AS te FROM spans WHERE status = 'F') "
 
 
-@query("join_1_shots_features", A.sql("SELECT s.video_id, s.scene_id, coalesce(f.energy, 0e0) AS energy, coalesce(f.speech_ratio, 0e0) AS speech_ratio FROM shots s LEFT JOIN (SELECT * FROM shots WHERE scene_id % 3 <> 0) f ON s.video_id = f.video_id AND s.scene_id = f.scene_id", "shots"))
+@query("join_1_shots_features", A.sql("SELECT s.video_id, s.scene_id, coalesce(f.energy, 0e0) AS energy, coalesce(f.speech_ratio, 0e0) AS speech_ratio FROM shots s LEFT JOIN (SELECT * FROM shots WHERE event_type <> 'click') f ON s.video_id = f.video_id AND s.scene_id = f.scene_id", "shots"))
 def shots_features(spark, sf_dir):
     s = A.shots(spark, sf_dir)
-    f = s.where("scene_id % 3 <> 0").select("video_id", "scene_id", "energy", "speech_ratio")
+    f = s.where("event_type <> 'click'").select("video_id", "scene_id", "energy", "speech_ratio")
     return s.select("video_id", "scene_id").join(f, ["video_id", "scene_id"], "left").fillna(0.0, ["energy", "speech_ratio"])
 
 
-@query("join_2_keyframe_vectors", A.sql("SELECT k.kf_id, k.scene_id, round(list_sum(k.vec), 6) AS total FROM vectors k JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) m ON k.kf_id = m.vec_id", "vectors"))
+@query("join_2_keyframe_vectors", A.sql("SELECT k.kf_id, k.scene_id, round(list_sum(k.vec), 6) AS total FROM vectors k JOIN (SELECT vec_id FROM embeddings WHERE label < 5) m ON k.kf_id = m.vec_id", "vectors"))
 def keyframe_vectors(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
-    return v.join(A.table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("kf_id")), "kf_id").select("kf_id", "scene_id", F.round(V.total("vec"), 6).alias("total"))
+    return v.join(A.table(spark, sf_dir, "embeddings").where("label < 5").select(F.col("vec_id").alias("kf_id")), "kf_id").select("kf_id", "scene_id", F.round(V.total("vec"), 6).alias("total"))
 
 
 @query("join_3_prompt_similarity", A.sql("SELECT k.kf_id, p.kf_id AS prompt_id, round(list_dot_product(k.vec, p.vec), 6) AS similarity FROM vectors k, (SELECT * FROM vectors WHERE kf_id < 9) p WHERE k.kf_id >= 9", "vectors"))
@@ -45,12 +45,12 @@ def prompt_similarity(spark, sf_dir):
 
 
 @query("join_4_story_modes", A.sql("""
-WITH m AS (SELECT video_id, story_id, CASE WHEN sum(speech_ratio * duration_seconds) / greatest(sum(duration_seconds), 0.001e0) >= 0.55e0 THEN 'dialogue' ELSE 'mixed' END AS mode FROM shots WHERE story_id % 5 <> 0 GROUP BY ALL)
+WITH m AS (SELECT video_id, story_id, CASE WHEN sum(speech_ratio * duration_seconds) / greatest(sum(duration_seconds), 0.001e0) >= 0.55e0 THEN 'dialogue' ELSE 'mixed' END AS mode FROM shots WHERE event_type <> 'error' GROUP BY ALL)
 SELECT s.video_id, s.scene_id, coalesce(m.story_id, s.scene_id) AS story, coalesce(mode, 'unknown') AS mode FROM shots s LEFT JOIN m ON m.video_id = s.video_id AND m.story_id = s.story_id""", "shots"))
 def story_modes(spark, sf_dir):
     s = A.shots(spark, sf_dir)
     speech = F.sum(F.col("speech_ratio") * F.col("duration_seconds")) / F.greatest(F.sum("duration_seconds"), F.lit(0.001))
-    m = s.where("story_id % 5 <> 0").groupBy("video_id", "story_id").agg(F.when(speech >= 0.55, "dialogue").otherwise("mixed").alias("mode")).withColumn("known", F.col("story_id"))
+    m = s.where("event_type <> 'error'").groupBy("video_id", "story_id").agg(F.when(speech >= 0.55, "dialogue").otherwise("mixed").alias("mode")).withColumn("known", F.col("story_id"))
     return s.join(m, ["video_id", "story_id"], "left").select("video_id", "scene_id", F.coalesce("known", "scene_id").alias("story"), F.coalesce("mode", F.lit("unknown")).alias("mode"))
 
 
@@ -80,23 +80,23 @@ def point_in_interval(spark, sf_dir):
 
 
 @query("join_9_nearest", A.sql("""
-WITH a AS (SELECT video_id, span_id, start_day + 0.5e0 AS at_ FROM spans WHERE span_id % 10 = 1), b AS (SELECT video_id, speaker, start_day, end_day FROM spans WHERE span_id % 10 = 0),
+WITH a AS (SELECT video_id, span_id, start_day + 0.5e0 AS at_ FROM spans WHERE status = 'F'), b AS (SELECT video_id, speaker, start_day, end_day FROM spans WHERE status = 'P'),
 r AS (SELECT a.video_id, span_id, greatest(0e0, start_day - at_, at_ - end_day) AS distance FROM a JOIN b ON a.video_id = b.video_id)
 SELECT video_id, span_id, min(distance) AS distance FROM r GROUP BY ALL""", "spans"))
 def nearest(spark, sf_dir):
     s = A.spans(spark, sf_dir)
-    a = s.where("span_id % 10 = 1").select("video_id", "span_id", (F.col("start_day") + F.lit(0.5)).alias("at_"))
-    return J.nearest(a, s.where("span_id % 10 = 0"), ["video_id"], "span_id", "at_", "start_day", "end_day", "speaker").select("video_id", "span_id", "distance").where("distance is not null")
+    a = s.where("status = 'F'").select("video_id", "span_id", (F.col("start_day") + F.lit(0.5)).alias("at_"))
+    return J.nearest(a, s.where("status = 'P'"), ["video_id"], "span_id", "at_", "start_day", "end_day", "speaker").select("video_id", "span_id", "distance").where("distance is not null")
 
 
 @query("join_10_nearest_start", A.sql("""
-WITH r AS (SELECT a.video_id, a.span_id, b.span_id AS near_id, row_number() OVER (PARTITION BY a.video_id, a.span_id ORDER BY abs(b.start_day - a.start_day), b.start_day, b.span_id) AS k FROM (SELECT * FROM spans WHERE span_id % 10 = 1) a JOIN (SELECT * FROM spans WHERE span_id % 10 = 0) b ON a.video_id = b.video_id)
+WITH r AS (SELECT a.video_id, a.span_id, b.span_id AS near_id, row_number() OVER (PARTITION BY a.video_id, a.span_id ORDER BY abs(b.start_day - a.start_day), b.start_day, b.span_id) AS k FROM (SELECT * FROM spans WHERE status = 'F') a JOIN (SELECT * FROM spans WHERE status = 'P') b ON a.video_id = b.video_id)
 SELECT r.video_id, r.span_id, s.start_day AS near FROM r JOIN spans s ON s.span_id = near_id WHERE k = 1""", "spans"))
 def nearest_start(spark, sf_dir):
     from sceneql.operators import intervals as I
 
     s = A.spans(spark, sf_dir)
-    q = I.snap(s.where("span_id % 10 = 1").select("video_id", "span_id", "start_day"), s.where("span_id % 10 = 0"), ["video_id"], "start_day", "start_day", "span_id", "near")
+    q = I.snap(s.where("status = 'F'").select("video_id", "span_id", "start_day"), s.where("status = 'P'"), ["video_id"], "start_day", "start_day", "span_id", "near")
     return q.where("near is not null").select("video_id", "span_id", F.col("near").cast("long").alias("near"))
 
 
@@ -120,10 +120,10 @@ def segment_speakers(spark, sf_dir):
     return pairs.groupBy("video_id", "span_id").agg(F.concat_ws(",", F.array_sort(F.collect_set(F.col("speaker").cast("string")))).alias("speakers"))
 
 
-@query("join_14_recommendation_floor", A.sql("SELECT s.video_id, s.scene_id, coalesce(r.p, 0.15e0) AS priority FROM shots s LEFT JOIN (SELECT video_id, scene_id, emotion AS p FROM shots WHERE cents % 5 = 0) r USING (video_id, scene_id)", "shots"))
+@query("join_14_recommendation_floor", A.sql("SELECT s.video_id, s.scene_id, coalesce(r.p, 0.15e0) AS priority FROM shots s LEFT JOIN (SELECT video_id, scene_id, emotion AS p FROM shots WHERE event_type = 'purchase') r USING (video_id, scene_id)", "shots"))
 def recommendation_floor(spark, sf_dir):
     s = A.shots(spark, sf_dir)
-    r = s.where("cents % 5 = 0").select("video_id", "scene_id", F.col("emotion").alias("priority"))
+    r = s.where("event_type = 'purchase'").select("video_id", "scene_id", F.col("emotion").alias("priority"))
     return s.select("video_id", "scene_id").join(r, ["video_id", "scene_id"], "left").fillna(0.15, ["priority"])
 
 
@@ -156,11 +156,11 @@ def catalog_match(spark, sf_dir):
     return near.groupBy("video_id").agg(F.min("stem").alias("stem"))
 
 
-@query("join_19_neighbours", A.sql("WITH n AS (SELECT video_id, scene_id, lag(scene_id) OVER w AS p, lead(scene_id) OVER w AS q, cents FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY scene_id)) SELECT DISTINCT video_id, unnest([p, q]) AS scene_id FROM n WHERE cents % 11 = 0", "shots"))
+@query("join_19_neighbours", A.sql("WITH n AS (SELECT video_id, scene_id, lag(scene_id) OVER w AS p, lead(scene_id) OVER w AS q, event_type FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY scene_id)) SELECT DISTINCT video_id, unnest([p, q]) AS scene_id FROM n WHERE event_type = 'signup'", "shots"))
 def neighbours(spark, sf_dir):
     w = W.by_scene()
-    n = A.shots(spark, sf_dir).select("video_id", "cents", F.lag("scene_id").over(w).alias("p"), F.lead("scene_id").over(w).alias("q"))
-    return n.where("cents % 11 = 0").select("video_id", F.explode(F.array("p", "q")).alias("scene_id")).distinct()
+    n = A.shots(spark, sf_dir).select("video_id", "event_type", F.lag("scene_id").over(w).alias("p"), F.lead("scene_id").over(w).alias("q"))
+    return n.where("event_type = 'signup'").select("video_id", F.explode(F.array("p", "q")).alias("scene_id")).distinct()
 
 
 @query("join_20_all_pairs", A.sql("SELECT a.kf_id, count(*) AS n, round(max(list_dot_product(a.vec, b.vec)), 6) AS best FROM vectors a JOIN vectors b ON a.video_id = b.video_id AND a.kf_id <> b.kf_id GROUP BY ALL", "vectors"))
@@ -184,10 +184,10 @@ def speaker_pairs(spark, sf_dir):
     return pairs.join(met, ["video_id", "l", "r"], "left_anti")
 
 
-@query("join_22_overlay_captions", A.sql("SELECT s.video_id, s.scene_id, coalesce(c.event_type, 'none') AS caption FROM shots s LEFT JOIN (SELECT video_id, scene_id, event_type FROM shots WHERE cents % 7 = 0) c USING (video_id, scene_id)", "shots"))
+@query("join_22_overlay_captions", A.sql("SELECT s.video_id, s.scene_id, coalesce(c.event_type, 'none') AS caption FROM shots s LEFT JOIN (SELECT video_id, scene_id, event_type FROM shots WHERE event_type = 'view') c USING (video_id, scene_id)", "shots"))
 def overlay_captions(spark, sf_dir):
     s = A.shots(spark, sf_dir)
-    c = s.where("cents % 7 = 0").select("video_id", "scene_id", F.col("event_type").alias("caption"))
+    c = s.where("event_type = 'view'").select("video_id", "scene_id", F.col("event_type").alias("caption"))
     return s.select("video_id", "scene_id").join(c, ["video_id", "scene_id"], "left").fillna("none", ["caption"])
 
 

@@ -112,17 +112,17 @@ def caption_quality(spark, sf_dir):
 
 
 @query("prj_30_validate_recommendations", A.sql("""
-WITH c AS (SELECT video_id, scene_id, (cents % 140)::INT AS priority, event_type AS reason, scene_id % 7 = 0 AS unknown FROM shots)
+WITH c AS (SELECT video_id, scene_id, (cents % 140)::INT AS priority, event_type AS reason, event_type = 'click' AS unknown FROM shots)
 SELECT video_id, scene_id, least(greatest(priority, 1), 100) AS priority, reason FROM c WHERE NOT unknown AND reason <> 'error'""", "shots"))
 def validate_recommendations(spark, sf_dir):
     s = A.shots(spark, sf_dir)
     made = s.select("video_id", "scene_id", (F.col("cents") % 140).cast("int").alias("priority"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("reason"))
-    return P.valid_recommendations(made.union(made), s.where("scene_id % 7 <> 0").select("video_id", "scene_id"))
+    return P.valid_recommendations(made.union(made), s.where("event_type <> 'click'").select("video_id", "scene_id"))
 
 
-@query("prj_32_transition_type", A.sql("SELECT video_id, scene_id, CASE WHEN gap IS NULL THEN 'start' WHEN gap <= 2.5e0 THEN 'merge' WHEN gap < 30e0 THEN 'hard_cut' ELSE 'crossfade' END AS transition FROM (SELECT *, start_seconds - lag(end_seconds) OVER (PARTITION BY video_id ORDER BY scene_id) AS gap FROM shots WHERE scene_id % 3 = 0)", "shots"))
+@query("prj_32_transition_type", A.sql("SELECT video_id, scene_id, CASE WHEN gap IS NULL THEN 'start' WHEN gap <= 2.5e0 THEN 'merge' WHEN gap < 30e0 THEN 'hard_cut' ELSE 'crossfade' END AS transition FROM (SELECT *, start_seconds - lag(end_seconds) OVER (PARTITION BY video_id ORDER BY scene_id) AS gap FROM shots WHERE action_score >= 0.5e0)", "shots"))
 def transition_type(spark, sf_dir):
-    s = A.shots(spark, sf_dir).where("scene_id % 3 = 0")
+    s = A.shots(spark, sf_dir).where("action_score >= 0.5e0")
     return s.select(*ID, P.transition(F.col("start_seconds") - F.lag("end_seconds").over(W.by_scene())).alias("transition"))
 
 

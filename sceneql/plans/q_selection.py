@@ -67,7 +67,7 @@ def soft_diversity(spark, sf_dir):
 
 @query("sel_10_candidate_pool", A.sql("""
 WITH d AS (SELECT *, least(7, floor(8e0 * start_seconds / video_duration)) AS bin FROM shots),
-l AS (SELECT video_id, scene_id, 1 AS lane FROM d WHERE cents % 60 = 0
+l AS (SELECT video_id, scene_id, 1 AS lane FROM d WHERE emotion = 1e0
  UNION ALL SELECT video_id, scene_id, 2 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM d) WHERE r <= 11
  UNION ALL SELECT video_id, scene_id, 3 FROM (SELECT *, row_number() OVER (PARTITION BY video_id, bin ORDER BY narrative_score DESC, scene_id) AS r FROM d) WHERE r = 1
  UNION ALL SELECT video_id, scene_id, 4 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY emotion DESC, scene_id) AS r FROM d) WHERE r <= 5
@@ -77,7 +77,7 @@ SELECT video_id, scene_id, lane FROM (SELECT u.*, row_number() OVER (PARTITION B
 def candidate_pool(spark, sf_dir):
     s = A.shots(spark, sf_dir).withColumn("bin", F.least(F.lit(7), F.floor(8.0 * F.col("start_seconds") / F.col("video_duration"))))
     best = [F.desc("narrative_score"), "scene_id"]
-    lanes = [("1", s.where("cents % 60 = 0")), ("2", K.top(s, ["video_id"], best, 11)), ("3", K.top(s, ["video_id", "bin"], best, 1)), ("4", K.top(s, ["video_id"], [F.desc("emotion"), "scene_id"], 5)), ("5", K.top(K.top(s, ["video_id", "story_id"], best, 1), ["video_id"], best, 6))]
+    lanes = [("1", s.where("emotion = 1e0")), ("2", K.top(s, ["video_id"], best, 11)), ("3", K.top(s, ["video_id", "bin"], best, 1)), ("4", K.top(s, ["video_id"], [F.desc("emotion"), "scene_id"], 5)), ("5", K.top(K.top(s, ["video_id", "story_id"], best, 1), ["video_id"], best, 6))]
     u = K.priority_union(lanes, ["video_id", "scene_id"]).withColumn("lane", F.col("source").cast("int")).join(s.select("video_id", "scene_id", "narrative_score"), ["video_id", "scene_id"])
     return K.top(u, ["video_id"], ["lane", *best], 32).select("video_id", "scene_id", "lane")
 

@@ -68,10 +68,10 @@ def relevance(spark, sf_dir):
     return min_max(s, "similarity", "relevance", 0.5, ["conv_id"]).select("conv_id", "turn", F.round("relevance", 6).alias("relevance"))
 
 
-@query("sim_6_hybrid_retrieval", A.sql("WITH s AS (SELECT q.kf_id, c.kf_id AS doc, 0.70e0 * greatest(0e0, list_dot_product(q.vec, c.vec)) + 0.25e0 * greatest(0e0, CASE WHEN q.label = c.label THEN 1e0 ELSE 0e0 END) + 0.05e0 * greatest(0e0, 1e0 - abs(q.kf_id - c.kf_id) / 500e0) AS s FROM vectors q JOIN vectors c ON q.kf_id <> c.kf_id WHERE q.kf_id % 50 = 0) SELECT kf_id, doc, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY kf_id ORDER BY round(s, 9) DESC, doc) AS r FROM s) WHERE r <= 5", "vectors"))
+@query("sim_6_hybrid_retrieval", A.sql("WITH s AS (SELECT q.kf_id, c.kf_id AS doc, 0.70e0 * greatest(0e0, list_dot_product(q.vec, c.vec)) + 0.25e0 * greatest(0e0, CASE WHEN q.label = c.label THEN 1e0 ELSE 0e0 END) + 0.05e0 * greatest(0e0, 1e0 - abs(q.kf_id - c.kf_id) / 500e0) AS s FROM vectors q JOIN vectors c ON q.kf_id <> c.kf_id WHERE q.kf_id % 100 = 0) SELECT kf_id, doc, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY kf_id ORDER BY round(s, 9) DESC, doc) AS r FROM s) WHERE r <= 5", "vectors"))
 def hybrid_retrieval(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
-    q = v.where("kf_id % 50 = 0").select("kf_id", "label", "vec")
+    q = v.where("kf_id % 100 = 0").select("kf_id", "label", "vec")
     c = v.select(F.col("kf_id").alias("doc"), F.col("label").alias("doc_label"), F.col("vec").alias("dv"))
     same = F.when(F.col("label") == F.col("doc_label"), 1.0).otherwise(0.0)
     # a stated set of queries against all rows
@@ -170,11 +170,11 @@ def correction_chain(spark, sf_dir):
     return by_group(A.vectors(spark, sf_dir), ["video_id"], ["kf_id"], ["label", "vec"], f, "kf_id bigint, speaker string")
 
 
-@query("sim_17_histogram_distance", A.sql("WITH h AS (SELECT kf_id, video_id, list_transform(vec, lambda x: abs(x)) AS h FROM vectors) SELECT a.kf_id, b.kf_id AS other, round(sqrt(greatest(0e0, 1e0 - list_sum(list_transform(list_zip(a.h, b.h), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(a.h) * list_sum(b.h)))), 5) AS distance FROM h a JOIN h b ON a.video_id = b.video_id WHERE a.kf_id % 10 = 0 AND b.kf_id % 10 = 1", "vectors"))
+@query("sim_17_histogram_distance", A.sql("WITH h AS (SELECT kf_id, video_id, list_transform(vec, lambda x: abs(x)) AS h FROM vectors) SELECT a.kf_id, b.kf_id AS other, round(sqrt(greatest(0e0, 1e0 - list_sum(list_transform(list_zip(a.h, b.h), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(a.h) * list_sum(b.h)))), 5) AS distance FROM h a JOIN h b ON a.video_id = b.video_id WHERE a.kf_id < b.kf_id", "vectors"))
 def histogram_distance(spark, sf_dir):
     v = A.vectors(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: F.abs(x.cast("double"))))
-    a, b = _pair(v, "kf_id % 10 = 0", "kf_id % 10 = 1")
-    return a.join(b, "video_id").select("kf_id", "other", F.round(V.bhattacharyya("vec", "ov"), 5).alias("distance"))
+    a, b = _pair(v, "true", "true")
+    return a.join(b, "video_id").where("kf_id < other").select("kf_id", "other", F.round(V.bhattacharyya("vec", "ov"), 5).alias("distance"))
 
 
 @query("sim_18_face_quality", A.sql("SELECT video_id, story_id, scene_id, round(q, 6) AS quality FROM (SELECT *, 0.45e0 * energy + 0.25e0 * onset + 0.20e0 * emotion + 0.10e0 * action_score AS q, row_number() OVER (PARTITION BY video_id, story_id ORDER BY 0.45e0 * energy + 0.25e0 * onset + 0.20e0 * emotion + 0.10e0 * action_score DESC, scene_id) AS r FROM shots) WHERE r = 1", "shots"))

@@ -48,7 +48,7 @@ def _utterances(spark, sf_dir):
 def expand_complete(spark, sf_dir):
     def f(rows):
         out = []
-        for r in rows[::5]:
+        for r in rows:
             a, z = S.expand_complete(r["s"] + 0.3, r["s"] + 2.3, rows, 18.0)
             out.append({"at": r["s"], "start_seconds": a, "end_seconds": z})
         return out
@@ -60,7 +60,7 @@ def expand_complete(spark, sf_dir):
 def alignment(spark, sf_dir):
     def f(rows):
         out = []
-        for r in rows[::3]:
+        for r in rows:
             got = S.align(r["s"] + 0.5, r["s"] + 5.0, rows, [], "dialogue", 18.0)
             out.append({"at": r["s"], "start_seconds": got["start"], "end_seconds": got["end"], "mode": got["mode"], "reasons": got["reasons"]})
         return out
@@ -70,8 +70,8 @@ def alignment(spark, sf_dir):
 
 @query("ivl_20_word_speakers")
 def word_speakers(spark, sf_dir):
-    w = A.words(spark, sf_dir).where("turn < 6")
-    t = A.turns(spark, sf_dir).where("turn < 6").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_seconds").alias("s"), (F.col("end_seconds") - 0.2).alias("e"), F.col("speaker").alias("who")))).alias("turns"))
+    w = A.words(spark, sf_dir)
+    t = A.turns(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_seconds").alias("s"), (F.col("end_seconds") - 0.2).alias("e"), F.col("speaker").alias("who")))).alias("turns"))
 
     def f(rows):
         words = [{"s": r["start_seconds"], "e": r["end_seconds"]} for r in rows]
@@ -88,18 +88,18 @@ def speaker_turns(spark, sf_dir):
     return I.merge_same(s, ["video_id"], "speaker", "start_seconds", "end_seconds", None)
 
 
-@query("ivl_18_overlap_relabel", A.sql("WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE span_id % 6 = 0), b AS (SELECT video_id, speaker, start_day AS ts, end_day AS te FROM spans WHERE span_id % 6 = 1), s AS (SELECT a.video_id, span_id, speaker, sum(least(end_day, te) - greatest(start_day, ts)) AS d, min((ts, te)) AS f FROM a JOIN b ON a.video_id = b.video_id AND te > start_day AND ts < end_day GROUP BY ALL) SELECT a.video_id, a.span_id, coalesce(speaker, -1) AS speaker FROM a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY d DESC, f, speaker) AS r FROM s) x ON x.span_id = a.span_id AND r = 1", "spans"))
+@query("ivl_18_overlap_relabel", A.sql("WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE status = 'P'), b AS (SELECT video_id, speaker, start_day AS ts, end_day AS te FROM spans WHERE status = 'F'), s AS (SELECT a.video_id, span_id, speaker, sum(least(end_day, te) - greatest(start_day, ts)) AS d, min((ts, te)) AS f FROM a JOIN b ON a.video_id = b.video_id AND te > start_day AND ts < end_day GROUP BY ALL) SELECT a.video_id, a.span_id, coalesce(speaker, -1) AS speaker FROM a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY d DESC, f, speaker) AS r FROM s) x ON x.span_id = a.span_id AND r = 1", "spans"))
 def overlap_relabel(spark, sf_dir):
     s = A.spans(spark, sf_dir)
-    a = s.where("span_id % 6 = 0").select("video_id", "span_id", "start_day", "end_day")
-    b = s.where("span_id % 6 = 1").select("video_id", "speaker", F.col("start_day").alias("ts"), F.col("end_day").alias("te"))
+    a = s.where("status = 'P'").select("video_id", "span_id", "start_day", "end_day")
+    b = s.where("status = 'F'").select("video_id", "speaker", F.col("start_day").alias("ts"), F.col("end_day").alias("te"))
     best = J.largest_overlap(a, b, ["video_id"], "span_id", "start_day", "end_day", "ts", "te", "speaker", 8.0)
     return a.join(best.select("span_id", "speaker"), "span_id", "left").select("video_id", "span_id", F.coalesce("speaker", F.lit(-1)).alias("speaker"))
 
 
-@query("ivl_22_transcript_repair", A.sql("WITH g AS (SELECT video_id, start_seconds, end_seconds, left(text, 8) AS text FROM turns), bad AS (SELECT * FROM g WHERE end_seconds - start_seconds > 20e0), c AS (SELECT video_id, unnest(range(0, 2000, 5))::DOUBLE AS s FROM (SELECT DISTINCT video_id FROM turns)), u AS (SELECT * FROM g WHERE NOT (end_seconds - start_seconds > 20e0) UNION ALL SELECT c.video_id, s, s + 5e0, 'chunk' FROM c JOIN bad ON bad.video_id = c.video_id AND s + 2.5e0 >= bad.start_seconds AND s + 2.5e0 < bad.end_seconds) SELECT video_id, start_seconds, end_seconds, text, row_number() OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds, text)::INT AS id FROM u", "turns"))
+@query("ivl_22_transcript_repair", A.sql("WITH g AS (SELECT video_id, start_seconds, end_seconds, text FROM turns), bad AS (SELECT * FROM g WHERE end_seconds - start_seconds > 20e0), c AS (SELECT video_id, unnest(range(0, 2000, 5))::DOUBLE AS s FROM (SELECT DISTINCT video_id FROM turns)), u AS (SELECT * FROM g WHERE NOT (end_seconds - start_seconds > 20e0) UNION ALL SELECT c.video_id, s, s + 5e0, 'chunk' FROM c JOIN bad ON bad.video_id = c.video_id AND s + 2.5e0 >= bad.start_seconds AND s + 2.5e0 < bad.end_seconds) SELECT video_id, start_seconds, end_seconds, text, row_number() OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds, text)::INT AS id FROM u", "turns"))
 def transcript_repair(spark, sf_dir):
-    t = A.turns(spark, sf_dir).select("video_id", "start_seconds", "end_seconds", F.substring("text", 1, 8).alias("text"))
+    t = A.turns(spark, sf_dir).select("video_id", "start_seconds", "end_seconds", "text")
     c = t.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(1995), F.lit(5))).alias("start_seconds"))
     c = c.withColumn("start_seconds", F.col("start_seconds").cast("double")).withColumn("end_seconds", F.col("start_seconds") + 5.0).withColumn("text", F.lit("chunk"))
     return S.repair(t, c, ["video_id"], F.col("end_seconds") - F.col("start_seconds") > 20.0).drop("repaired")

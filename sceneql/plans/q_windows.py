@@ -78,10 +78,10 @@ def sustained_cluster(spark, sf_dir):
     return W.sustained(A.shots(spark, sf_dir).where("action_score >= 0.45"), "start_seconds", 30.0, 3, "sustained").select("video_id", "scene_id", "sustained")
 
 
-@query("win_11_forward_payoff", A.sql("SELECT a.video_id, a.scene_id, arg_max(b.scene_id, (b.emotion, -b.scene_id)) AS payoff FROM shots a JOIN shots b ON a.video_id = b.video_id AND b.scene_id > a.scene_id AND b.start_seconds <= a.end_seconds + 26e0 WHERE a.cents % 9 = 0 GROUP BY ALL", "shots"))
+@query("win_11_forward_payoff", A.sql("SELECT a.video_id, a.scene_id, arg_max(b.scene_id, (b.emotion, -b.scene_id)) AS payoff FROM shots a JOIN shots b ON a.video_id = b.video_id AND b.scene_id > a.scene_id AND b.start_seconds <= a.end_seconds + 26e0 GROUP BY ALL", "shots"))
 def forward_payoff(spark, sf_dir):
     s = A.shots(spark, sf_dir)
-    a = s.where("cents % 9 = 0").select("video_id", "scene_id", F.col("start_seconds").alias("lo"), (F.col("end_seconds") + 26.0).alias("hi"))
+    a = s.select("video_id", "scene_id", F.col("start_seconds").alias("lo"), (F.col("end_seconds") + 26.0).alias("hi"))
     b = s.select("video_id", F.col("scene_id").alias("other"), "emotion", F.col("start_seconds").alias("t"), F.col("start_seconds").alias("t2"))
     hits = J.overlap_join(a, b, ["video_id"], "lo", "hi", "t", "t2", 60.0, -1e-9).where("other > scene_id and t <= hi")
     return hits.groupBy("video_id", "scene_id").agg(F.max_by("other", F.struct(F.col("emotion"), -F.col("other"))).alias("payoff"))
