@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sceneql.functions import vocabularies as L
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -40,13 +42,13 @@ def asks(s) -> Column:
     return F.trim(_c(s)).rlike("\\?([\"'\u201d\u2019)\\]]+)?$")
 
 
-def complete(s, dangling: Sequence[str]) -> Column:
+def complete(s, dangling: Sequence[str] = L.DANGLING) -> Column:
     """Not empty, not ending in a comma, semicolon or colon, and its last word no connective that leads on."""
     last = F.element_at(lexical(s), -1)
     return (F.trim(_c(s)) != "") & ~F.trim(_c(s)).rlike("[,;:]$") & ~F.coalesce(last.isin(*dangling), F.lit(False))
 
 
-def continues(s, starters: Sequence[str]) -> Column:
+def continues(s, starters: Sequence[str] = L.CONTINUATION) -> Column:
     return F.coalesce(F.element_at(lexical(s), 1).isin(*starters), F.lit(False))
 
 
@@ -101,7 +103,7 @@ def config_hash(struct: Column) -> Column:
     return F.sha2(F.to_json(struct), 256)
 
 
-def translate_event(label, table: Sequence[tuple[str, str]]) -> Column:
+def translate_event(label, table: Sequence[tuple[str, str]] = L.SOUND_LABELS) -> Column:
     """The value of the first entry whose key is part of the label; the label itself if none."""
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table])
     hits = F.filter(pairs, lambda p: F.contains(F.lower(_c(label)), p["k"]))
@@ -111,3 +113,18 @@ def translate_event(label, table: Sequence[tuple[str, str]]) -> Column:
 def short_copy(s, words: int) -> Column:
     """The first words of a caption without its introduction."""
     return F.array_join(F.slice(F.split(collapse(F.regexp_replace(_c(s), r"(?i)^(a|an|the)\s+(photo|picture|image) of\s+", "")), " "), 1, words), " ")
+
+
+def dialogue_cues(s, positive: Sequence[str] = L.POSITIVE, negative: Sequence[str] = L.NEGATIVE, decision: Sequence[str] = L.DECISION) -> Column:
+    """struct(polarity, intensity, decision, confidence) of how many cues begin a word; four places."""
+    words = F.regexp_extract_all(F.lower(_c(s)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+    def hits(cues: Sequence[str]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cues)), lambda c: F.exists(words, lambda w: F.startswith(w, c))))
+
+    p, n, d = hits(positive), hits(negative), hits(decision)
+    one = F.lit(1.0)
+    return F.struct(
+        F.round((p - n) / F.greatest(p + n, F.lit(1)), 4).alias("polarity"), F.round(F.least(one, (p + n) / 2.0), 4).alias("intensity"),
+        F.round(F.least(one, d / 2.0), 4).alias("decision"), F.round(F.least(F.lit(0.75), 0.25 * (p + n) + 0.15 * d), 4).alias("confidence"),
+    )

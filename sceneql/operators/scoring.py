@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneql.functions import vocabularies as L
 from sceneql.operators.segments import CATEGORIES
 
 
@@ -184,8 +185,10 @@ def asr_rows(df: DataFrame, no_speech: str, text: str, start: str, ahead: float)
 
 
 def good_caption(tokens: Column) -> Column:
+    """Three words or more, none of the phrases that say nothing, and not too many repeats among six or more."""
     n = F.size(tokens)
-    return (n >= 3) & ((n < 6) | (F.size(F.array_distinct(tokens)) / n >= 0.35))
+    generic = F.exists(F.array(*map(F.lit, L.GENERIC_CAPTIONS)), lambda p: F.contains(F.lower(F.array_join(tokens, " ")), p))
+    return (n >= 3) & ~generic & ((n < 6) | (F.size(F.array_distinct(tokens)) / n >= 0.35))
 
 
 def valid_recommendations(made: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def payload(parts: Mapping[str, tuple[str, int]]) -> Column:
 
 
 #: The share of the time in which a role may occur, by role; the words are parameters.
-ROLES = {"inciting": (0.15, 0.30), "midpoint": (0.45, 0.55), "climax": (0.80, 0.95), "resolution": (0.85, 0.99)}
+ROLES = {"inciting_incident": (0.15, 0.30), "midpoint": (0.45, 0.55), "climax": (0.80, 0.95), "resolution": (0.85, 0.99)}
 
 
 def turning_points(turns: DataFrame, text: str, terms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -218,7 +221,7 @@ def turning_points(turns: DataFrame, text: str, terms: Mapping[str, Sequence[str
 
     A role's evidence is a word that begins with one of its terms; resolution must follow a found climax.
     """
-    terms = terms or {"inciting": ["the", "la"], "midpoint": ["of", "de"], "climax": ["and", "le"], "resolution": ["is", "der"]}
+    terms = terms or L.EVENT_TERMS
     total = F.max("end_seconds").over(Window.partitionBy("video_id"))
     t = turns.withColumn("_at", (F.col("start_seconds") + F.col("end_seconds")) / 2 / total)
     kinds = turns.sparkSession.createDataFrame([(r, lo, hi, list(terms[r])) for r, (lo, hi) in ROLES.items()], "role string, lo double, hi double, terms array<string>")

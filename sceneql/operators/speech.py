@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneql.functions import text as T
+from sceneql.functions import vocabularies as L
 
 SILENCE, EPSILON, ANSWER, CONTINUATION, LEADING = 2.75, 0.02, 5.0, 12.0, 6.0
 #: How far an edge may move to reach an utterance's edge, and whether sentences are preferred, by category.
 POLICY = {"action": (0.6, False), "dialogue": (3.0, True), "importance": (8.0, True), "custom": (1.5, True)}
 
 
-def utterances(words: DataFrame, keys: Sequence[str], dangling: Sequence[str] = ()) -> DataFrame:
+def utterances(words: DataFrame, keys: Sequence[str], dangling: Sequence[str] = L.DANGLING) -> DataFrame:
     """Words up to a sentence end, a silence of 2.75 s or the last word: (keys, start, end, n, text, closed_by, complete)."""
     w = Window.partitionBy(*keys).orderBy("start_seconds", "end_seconds", "word")
     final = T.ends_sentence("word")
@@ -27,7 +28,7 @@ def utterances(words: DataFrame, keys: Sequence[str], dangling: Sequence[str] =
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_seconds", "end_seconds", "word"))), lambda x: x["word"]), " ").alias("text"), F.max_by("_next", F.struct("start_seconds", "end_seconds")).alias("_after"),
     )
     closed = F.when(T.ends_sentence("text"), "sentence").when(F.col("_after") >= SILENCE, "silence").otherwise("end")
-    return g.withColumn("closed_by", closed).withColumn("complete", T.complete("text", list(dangling) or ["-"])).drop("_u", "_after")
+    return g.withColumn("closed_by", closed).withColumn("complete", T.complete("text", dangling)).drop("_u", "_after")
 
 
 def whole_turns(turns: DataFrame, keys: Sequence[str], longest: float = 90.0, gap: float = 0.8, most: float = 45.0) -> DataFrame:

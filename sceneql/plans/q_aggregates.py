@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneql.functions import vectors as V
+from sceneql.functions import vocabularies as L
 from sceneql.operators import joins as J
 from sceneql.operators import scoring as P
 from sceneql.operators import topk as K
@@ -320,3 +321,16 @@ def missing_roles(spark, sf_dir):
 def intersection(spark, sf_dir):
     s = A.shots(spark, sf_dir)
     return s.where("action_score >= 0.8").select("video_id", "scene_id").intersect(s.where("emotion >= 0.5").select("video_id", "scene_id"))
+
+
+def _hits(cues) -> str:
+    return "len(list_filter([" + ", ".join(f"'{c}'" for c in cues) + "], lambda c: len(list_filter(t, lambda w: starts_with(w, c))) > 0))"
+
+
+@query("agg_15_dialogue_cues", f"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM conversations), h AS (SELECT conv_id, turn, {_hits(L.POSITIVE)} AS p, {_hits(L.NEGATIVE)} AS n, {_hits(L.DECISION)} AS d FROM w)
+SELECT conv_id, turn, round((p - n)::DOUBLE / greatest(p + n, 1), 4) AS polarity, round(least(1e0, (p + n) / 2e0), 4) AS intensity, round(least(1e0, d / 2e0), 4) AS decision, round(least(0.75e0, 0.25e0 * (p + n) + 0.15e0 * d), 4) AS confidence FROM h""")
+def dialogue_cues(spark, sf_dir):
+    from sceneql.functions import text as T
+
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.dialogue_cues("text").alias("c")).select("conv_id", "turn", "c.*")

@@ -154,7 +154,9 @@ def decorate_nested(spark, sf_dir):
 
 @query("prj_27_turning_points")
 def turning_points(spark, sf_dir):
-    return P.turning_points(A.turns(spark, sf_dir), "text")
+    # the tables' words are invented: terms that occur in them
+    terms = {"inciting_incident": ["the", "la"], "midpoint": ["of", "de"], "climax": ["and", "le"], "resolution": ["is", "der"]}
+    return P.turning_points(A.turns(spark, sf_dir), "text", terms)
 
 
 @query("sel_20_rank_after_rerank", A.sql("SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(0.45e0 * narrative_score + 0.55e0 * emotion, 6) DESC, scene_id) AS r FROM shots) WHERE r <= 5", "shots"))

@@ -206,3 +206,16 @@ def test_summary_keeps_the_budget(spark):
     assert 40 < sum(r.duration for r in got) <= 60.5
     assert G.summarize(d, "action", None).count() >= len(got)
     assert G.summarize(d.limit(0), "action", 60.0).count() == 0
+
+
+def test_dialogue_cues(spark):
+    rows = [(1, "I love hope."), (2, "They betray and kill, we must decide."), (3, "Nothing.")]
+    d = spark.createDataFrame(rows, "i int, s string").select("i", T.dialogue_cues("s").alias("c")).select("i", "c.*")
+    got = {r.i: r for r in d.collect()}
+    assert got[1].polarity == 1.0 and got[2].polarity == -1.0 and got[2].decision == 1.0 and got[2].confidence == 0.75
+    assert tuple(got[3])[1:] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_sound_labels(spark):
+    d = spark.createDataFrame([("Glass, chink, clink",), ("Baby laughter",), ("Hum",)], "s string").select(T.translate_event("s").alias("t"))
+    assert [r.t for r in d.collect()] == ["Glass clink", "Laughter", "Hum"]
