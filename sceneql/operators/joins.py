@@ -50,7 +50,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, at
     b = right.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema[row].dataType).alias("_row"), F.col(who).alias("_who"), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
     both = a.unionByName(b)
     past = Window.partitionBy(*keys).orderBy("_at", "_side", "_e").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("_at", "_side", "_e").rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is what comes before in the opposite order: a frame that grows row by row, not one that is summed anew
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_side"), F.desc("_e")).rowsBetween(Window.unboundedPreceding, 0)
     d = both.withColumn("_p", F.max(F.when(F.col("_side") == 0, F.struct(F.col("_e").alias("e"), (-F.col("_s")).alias("s"), F.col("_who").alias("w")))).over(past))
     d = d.withColumn("_n", F.min(F.when(F.col("_side") == 0, F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), F.col("_who").alias("w")))).over(ahead)).where("_side = 1")
     before = F.when(F.col("_p").isNotNull(), F.greatest(F.lit(0.0), F.col("_at") - F.col("_p.e")))
