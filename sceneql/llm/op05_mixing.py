@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     fill = Window.orderBy("fills", F.desc("named"), "source")
     everything = Window.partitionBy()
     s = s.withColumn("before", F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("rest", F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
+    s = s.withColumn("rest", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - F.col("before")) / F.col("rest"))
     s = s.withColumn("line", F.max(F.when(F.col("fills") >= F.col("level"), F.col("level"))).over(everything))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("line") * F.col("w"), F.col("cap").cast("double")))
