@@ -39,8 +39,9 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, for texts of very different lengths; a checkpoint folder of our own only where none is set."""
     shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sceneql-checkpoints"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sceneql-checkpoints"))
     return spark
 
 
