@@ -35,6 +35,8 @@ DROP_WORDS = frozenset(
 HEADS = frozenset("header topbar".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)>", re.S)
+#: The same without regard to quotes, from the first tag on whose quotes don't end.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 #: Classes that say something about the page, not what their element is.
 _STATE = re.compile(r"(?:has|no|with|without|is|hide|show)[-_]|.*[-_](?:open|closed|enabled|disabled|free|layout|hidden)$", re.I)
@@ -84,15 +86,25 @@ def blocks(page: str, marks: bool = True) -> Iterator[tuple[Node, str, int]]:
         s = " ".join(html.unescape("".join(text)).split())
         return (owner, s, linked) if s else None
 
+    last, tags = page.rfind(">"), _TAG
     while at < len(page):
-        m = _TAG.search(page, at)
-        if (m.start() if m else len(page)) > at and not here.drop:
-            part = page[at : m.start()] if m else page[at:]
-            text.append(part)
+        lt = page.find("<", at)
+        m = None
+        if 0 <= lt <= last:
+            m = tags.match(page, lt)
+            if not m and page[lt + 1].isalpha():
+                tags = _LOOSE
+                m = tags.match(page, lt)
+        elif lt >= 0 and page.startswith("<!--", lt):
+            m = _LOOSE.match(page, lt)
+        upto = lt if m else lt + 1 if 0 <= lt <= last else len(page)
+        if upto > at and not here.drop:
+            text.append(page[at:upto])
             if here.link:
-                linked += len(part)
+                linked += upto - at
         if not m:
-            break
+            at = upto
+            continue
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue

@@ -257,12 +257,23 @@ def test_main_text(spark, monkeypatch):
         ("<p>5 &lt; 6 &amp; 7 &#x3E; 3 &copy 1 < 2</p>", "5 < 6 & 7 > 3 © 1 < 2"),
         ("<div role='alert'><p>warning</p></div><div role=main><p>body of it</p></div><ins class=adsbygoogle>x</ins>", "body of it"),
         ("<p>unclosed <b>bold <!-- comment", "unclosed bold"),
+        ("<p>a <a href=\"x>link</a> b</p><p>c</p>", "a link b\nc"),
+        ("<p>1 <2 and < 3 <", "1 <2 and < 3 <"),
     ],
 )
 def test_single_pages(page, want):
     assert L7.extract(page, None) == want
 
 
+@pytest.mark.parametrize("page", ["<" * 200_000, "<a href=\"" * 20_000, "<a href=\"" * 20_000 + ">", "<p><b>" * 30_000, "<div>" * 20_000 + "x", "&" * 100_000, "<!--" * 50_000, "<!" * 50_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    L7.extract(page, None)
+    assert time.process_time() - began < 3
+
+
 def test_the_host_outvotes_a_page(spark):
     """A page whose longest text is not the article still gives the article, as its host's other pages have it there."""
     page = "<body><div class='story'><p>%s</p></div><div class='box'><p>%s</p></div></body>"
