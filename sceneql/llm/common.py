@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,22 +55,31 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, component) for each node, component being its smallest node.
 
-    Minimum labels spread over the links and then jump along their own labels, so the number of rounds grows with the
-    logarithm of a chain's length. Each round is checkpointed; nothing but one count a round reaches the driver.
+    In each round every node goes to the neighbour, or itself, with the least hash for that round, and the links between
+    what is left are drawn anew. The order is another one each time and doesn't depend on the ids', so at least a quarter
+    of the nodes are expected to go in a round and the number of rounds grows with the logarithm of the nodes. The node
+    with the greatest hash of a component always goes, so that rounds end. Each round is checkpointed; nothing but one
+    count a round reaches the driver.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    at = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(at.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = at.join(seen, "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("old"))
-        root = at.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        new = low.join(root, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("component"), "old").checkpoint()
-        at = new.select("node", "component")
-        if not new.where("component <> old").limit(1).count():
+    at = None
+    for k in itertools.count():
+        def placed(c: str) -> Column:
+            return F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("hash"), F.col(c).alias("to"))
+
+        to = both.groupBy("a").agg(F.least(F.min(placed("b")), placed("a")).getField("to").alias("to"))
+        if at is not None and not both.limit(1).count():
             break
-    else:
-        raise RuntimeError("components didn't settle")
-    return at
+        to = to.checkpoint()
+        if at is None:
+            at = to.select(F.col("a").alias("node"), F.col("to").alias("last"))
+        else:
+            at = at.join(to.withColumnRenamed("a", "last"), "last", "left").select("node", F.coalesce("to", "last").alias("last")).checkpoint()
+        near = both.join(to.withColumnRenamed("to", "x"), "a").select("x", "b")
+        far = near.join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        both = far.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().checkpoint()
+    least = at.groupBy("last").agg(F.min("node").alias("component"))
+    return at.join(least, "last").select("node", "component")

@@ -60,6 +60,18 @@ def test_components(spark):
     assert got == {n: find(n) for n in got} and set(got) == {n for l in links if l[0] != l[1] for n in l}
 
 
+def test_components_of_long_chains(spark):
+    """Chains in any order of ids take few rounds."""
+    n = 3000
+    order = random.Random(5).sample(range(n), n)
+    links = [(x, y) for x, y in zip(order, order[1:])] + [(n + 1 + k, n + k) for k in range(n - 1)]
+    # ids that fall towards the smallest one, which is at the chain's end
+    links += [(3 * n - k, 3 * n - k - 1) for k in range(n - 2)] + [(2 * n + 2, 2 * n + 1)]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {x: 0 if x < n else n if x < 2 * n else 2 * n + 1 for link in links for x in link}
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
 def test_em_splits_a_mixed_text(spark):
     rng = random.Random(1)
     one, two = ["abra", "bracad", "dabra"], ["zuzul", "lizul", "wuzu"]
