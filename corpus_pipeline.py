@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneql.llm.common import prepared, table
+from sceneql.llm.common import parts, prepared, table
 from sceneql.llm.op03_toxicity import with_score
 from sceneql.llm.op04_substrings import remove_repeats
 from sceneql.llm.op05_mixing import WORD, mix
@@ -33,19 +33,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_score(docs, table(spark, sf_dir, "labels"), "toxicity").where("toxicity < 0.5").select(COLUMNS)
 
 
+def shared(rows: DataFrame) -> bool:
+    """Whether two of the rows have one id."""
+    return rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count() > 0
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number for each row that ascends by id, then by text; nulls are first."""
+    placed = docs.repartitionByRange(parts(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    return placed.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, unchanged; of repeated rows with one id, one."""
+    """The document with the smallest id of each near-duplicate group, unchanged; of rows with one id and text, one.
+
+    Rows that share an id but not a text are documents of their own, in the order of their texts. A null id is kept.
+    """
     docs = prepared_docs(spark, docs)
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    named = docs.where("doc_id is not null")
+    once = named.repartition("doc_id").dropDuplicates(["doc_id", "text"])
+    if shared(named.select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y")).distinct()):
+        rows = numbered(once)
+        gone = near_duplicates(rows, "_row").where("not kept").select(F.col("doc_id").alias("_row"))
+        left = rows.join(gone, "_row", "left_anti")
+    else:
+        gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+        left = once.join(gone, "doc_id", "left_anti")
+    return left.select(COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller document has; those of which nothing is left go."""
     docs = prepared_docs(spark, docs)
-    cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept_text")
-    # a left join by id: ids are unique after the stage before
-    joined = docs.join(cut, F.col("doc_id") == F.col("_id"), "left").where("_id is null or n_removed < n_words")
+    own = "doc_id"
+    if shared(docs.where("doc_id is not null")):
+        docs, own = numbered(docs).withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.col("_row"))), "_row"
+    cut = remove_repeats(docs, own).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept_text")
+    # a left join by what tells rows apart: null ids lose nothing, so they have no row in cut
+    joined = docs.join(cut, F.col(own) == F.col("_id"), "left").where("_id is null or n_removed < n_words")
     text = F.when(F.col("_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
     chars = F.when(F.col("_id").isNotNull(), F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
@@ -54,8 +79,11 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes a document; the last one of a source may be the beginning of a document."""
     docs = prepared_docs(spark, docs)
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    own = None
+    if shared(docs):
+        docs, own = numbered(docs), "_row"
+    taken = mix(docs, row_col=own).where("taken > 0").select(F.col(own or "doc_id").alias("_id"), "size", "taken")
+    joined = docs.join(taken, F.col(own or "doc_id").eqNullSafe(F.col("_id")))
     whole = F.expr("cast(taken div size as int)")
     rest = F.expr("cast(taken % size as int)")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))

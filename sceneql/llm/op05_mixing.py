@@ -40,20 +40,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("named", "source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, range_rows: int = RANGE) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, range_rows: int = RANGE, row_col: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken): how many words of each document the mix takes.
 
     A null source is a source of its own, after the others; a null or empty text has size 0 and takes 0; a null id has
-    the key of an empty one. Rows with one id are taken one after the other. Other columns are ignored. An empty table
-    gives an empty result.
+    the key of an empty one. Rows with one id are taken one after the other. row_col: a column that tells them apart and is
+    kept. Other columns are ignored. An empty table gives an empty result.
     """
     prepared(docs.sparkSession)
     source = F.col(source_col).cast("string")
-    d = docs.select(F.col(id_col).alias("doc_id"), source.isNotNull().alias("named"), F.coalesce(source, F.lit("")).alias("source"), n_words(text_col).alias("size")).checkpoint()
+    own = [row_col] if row_col else []
+    d = docs.select(*own, F.col(id_col).alias("doc_id"), source.isNotNull().alias("named"), F.coalesce(source, F.lit("")).alias("source"), n_words(text_col).alias("size")).checkpoint()
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     bits = max(0, (d.count() // range_rows).bit_length())
     d = d.withColumn("key", key).withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - min(bits, 32)))
-    inside = Window.partitionBy("named", "source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("named", "source", "range").orderBy("key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     rows = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ahead = Window.partitionBy("named", "source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = d.groupBy("named", "source", "range").agg(F.sum("size").alias("all")).withColumn("offset", F.coalesce(F.sum("all").over(ahead), F.lit(0))).drop("all")
@@ -61,7 +62,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offsets = offsets.join(goal, ["named", "source"])
     left = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("before")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.join(offsets, ["named", "source", "range"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.join(offsets, ["named", "source", "range"]).select(*own, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

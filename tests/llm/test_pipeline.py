@@ -1,5 +1,6 @@
 """Stages of the pipeline: columns, decisions against brute force, and the whole run."""
 
+import random
 import shutil
 import subprocess
 import sys
@@ -8,7 +9,7 @@ from pathlib import Path
 
 import corpus_pipeline as P
 import pytest
-from helpers import SCHEMA, awkward, frame, near_components, without_repeats
+from helpers import SCHEMA, awkward, frame, near_components, prose, without_repeats
 from pyspark.sql import functions as F
 
 ROWS = awkward(3)
@@ -49,6 +50,22 @@ def test_one_of_each_group_stays(spark, sf_dir):
     assert {tuple(r) for r in got} <= set(ROWS)
 
 
+def test_rows_without_ids_or_with_shared_ones_stay(spark, sf_dir):
+    """Only rows with a non-null id and an equal text are repeats, in every stage that joins."""
+    rng = random.Random(11)
+    texts = [prose(rng, n) for n in (70, 70, 60, 80, 90, 55)]
+    a, b, c, d, e, f = texts
+    rows = [(None, a), (None, b), (None, a), (None, None), (5, c), (5, c), (5, d), (5, None), (9, c), (9, e + " " + d), (3, f), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    want = Counter(rows) - Counter([(5, c), (9, c)])
+    got = P.drop_near_duplicates(spark, docs, sf_dir)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    left = P.drop_passages(spark, got, sf_dir).localCheckpoint()
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == want - Counter([(9, e + " " + d)]) + Counter([(9, e)])
+    words = sum(len((r.text or "").split()) for r in left.collect())
+    assert sum(len(r.text.split()) for r in P.mix_sources(spark, left, sf_dir).collect()) == int(1.5 * words)
+
+
 def test_passages_go_once(spark, sf_dir):
     got = {r.doc_id: r for r in P.drop_passages(spark, frame(spark, ROWS, clashes=False), sf_dir).collect()}
     rows = {r[0]: r for r in ROWS}
