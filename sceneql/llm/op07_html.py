@@ -194,11 +194,11 @@ def extract(page: str, winner: str | None) -> str:
     return "\n".join(inner or [t for _, t, _ in found])
 
 
-def _vote(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         votes: dict[tuple[str, str], list[float]] = {}
         for host, page in zip(b.column(0).to_pylist(), b.column(1)):
-            best = containers(said(page.as_py() or ""))[:most]
+            best = containers(said(page.as_py() or ""))
             total = sum(s for _, s in best)
             for path, s in best:
                 if total:
@@ -213,11 +213,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: int = 3) -> DataFrame:
-    """(host, path, pages): each host's winning container path. Votes are shares of a page's scores, as whole millionths."""
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, pages): each host's winning container path. Pages vote with all of theirs. Votes are shares of a page's scores, as whole millionths."""
     prepared(pages.sparkSession)
     d = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    votes = d.mapInArrow(lambda it: _vote(it, most), "host string, path string, pages long, votes long").groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("votes").alias("votes"))
+    votes = d.mapInArrow(_vote, "host string, path string, pages long, votes long").groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("votes").alias("votes"))
     best = votes.groupBy("host").agg(F.max_by(F.struct("path", "pages"), F.struct("votes", "path")).alias("best"))
     return best.select("host", "best.path", "best.pages")
 

@@ -234,6 +234,17 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got and sum(r.score > r.base_score for r in got) > 0.9 * len(got)
 
 
+def test_a_path_that_is_fourth_on_every_page_can_win(spark):
+    rows = []
+    for k, name in enumerate("alpha beta gamma delta kappa sigma omega theta".split()):
+        inner = f"<div class={name}><div><div><div><div><p>{'word ' * 100}</p></div></div></div></div></div>"
+        rows.append((k, "http://h.org/", f"<html><body>{inner}<section class=common><p>{'text ' * 20}</p></section></body></html>"))
+        paths = [p for p, _ in L7.containers(L7.said(rows[-1][2]))]
+        assert "common" in paths[3]
+    got = L7.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert "common" in got.path and got.pages == 8
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var x="<p>no</p>";</script></head><body class=page12>
 <div id="cookie-notice"><p>We use cookies on this site, please accept all of them now.</p></div><header><h1>Site name</h1></header>
 <div class="main-menu"><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></div>
