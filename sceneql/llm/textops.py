@@ -16,31 +16,16 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_LETTERS = np.ones(256, dtype=bool)
 NOT_LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
+_LETTERS = np.arange(256, dtype=np.uint8)
 
+#: The byte that each byte counts as: itself, or with LOWER a-z for A-Z.
+EXACT = _LETTERS.copy()
+LOWER = _LETTERS.copy()
+LOWER[ord("A") : ord("Z") + 1] += 32
 
-def _letters(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-
-
-#: One random odd number a byte value; LOWER gives A-Z the numbers of a-z.
-EXACT = _letters(20240601)
-LOWER = EXACT.copy()
-LOWER[ord("A") : ord("Z") + 1] = EXACT[ord("a") : ord("z") + 1]
-
-_INVERSE = _U(pow(int(_R), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, base: np.uint64 = _R) -> np.ndarray:
-    """The first n powers of the hash base, or of its inverse, modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 16, 0 if have is None else 2 * len(have)), base, dtype=np.uint64)
-        p[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(p)
-    return have[:n]
+#: What 0 to 8 bytes leave of eight, read as a little-endian number.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,25 +80,52 @@ def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = EXACT, gaps: np.
     after |= first[1:]
     starts = np.flatnonzero(before & ~gap)
     ends = np.flatnonzero(after & ~gap) + 1
-    p = powers(n + 1)
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(table[raw] * p[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * powers(n + 1, _INVERSE)[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    return h, np.searchsorted(starts, off, "left"), starts, ends
+    return word_hashes(raw if table is EXACT else table[raw], starts, ends), np.searchsorted(starts, off, "left"), starts, ends
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range: a sum of what a mixing function makes of eight bytes and their place in the range.
+
+    The function isn't linear, so no repetition or rearrangement within a word makes two words' sums meet other than by
+    chance (2**-64 a pair), as they do for powers of a base.
+    """
+    wide = np.ndarray(len(raw), dtype="<u8", buffer=np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
+    length = ends - starts
+    h = mix((wide[starts] & _MASKS[np.minimum(length, 8)]) * _U(0x9E3779B97F4A7C15) + length.astype(np.uint64))
+    long_ = np.flatnonzero(length > 8)
+    if len(long_):
+        more = -(-length[long_] // 8) - 1
+        place = ranges(np.ones(len(long_), np.int64), more)
+        at = np.repeat(starts[long_], more) + 8 * place
+        part = wide[at] & _MASKS[np.minimum(np.repeat(ends[long_], more) - at, 8)]
+        x = mix(part ^ mix(place.astype(np.uint64) * _U(0xA24BAED4963EE407)))
+        h[long_] = mix(h[long_] + np.add.reduceat(x, np.cumsum(more) - more))
+    return h
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mix(mix(x + _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9) + y)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive words of one buffer, rows not told apart: callers drop those that cross a row's end."""
-    n = len(h)
-    if n < k:
+    """Hashes of all k consecutive words of one buffer, rows not told apart: callers drop those that cross a row's end.
+
+    Runs of 1, 2, 4, .. words are joined in pairs, and those of k's binary digits one after the other.
+    """
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    p = powers(n + 1)
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(h * p[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(n + 1, _INVERSE)[: n - k + 1])
+    out, at, run, size = None, 0, h, 1
+    while True:
+        if k & size:
+            part = run[at : at + n]
+            out = part if out is None else joined(out, part)
+            at += size
+        if 2 * size > k:
+            return mix(out ^ _U(0x2545F4914F6CDD1D))
+        run = joined(run[:-size], run[size:])
+        size *= 2
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
