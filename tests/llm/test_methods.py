@@ -198,30 +198,60 @@ def test_pitman_yor_probabilities_sum_to_one():
 
 def test_seating_keeps_its_customers():
     rng = np.random.default_rng(6)
-    s = L6.Seating(np.array([0, 1, 5, 40]), rng)
+    s = L6.Seating(np.array([0, 1, 5, 40, 10**9]), 0.5, rng)
     most = 0
     for _ in range(200):
-        s.step(np.full(4, 0.8), 0.5)
+        s.step(np.full(5, 1.6))
         most = max(most, s.tables()[3])
-        assert np.bincount(s.dish, s.size, 4).tolist() == [0, 1, 5, 40] and (s.size > 0).all()
+        assert np.bincount(s.dish, s.size, 5).tolist() == [0, 1, 5, 40, 10**9] and (s.size > 0).all()
     assert s.tables()[1] == 1 and most > 1
 
 
-def test_seating_matches_the_process():
-    """The mean number of tables under Gibbs equals that of customers who come one after the other with the same strength."""
-    rng = np.random.default_rng(8)
-    n, a, d = 12, 0.7, 0.3
-    s = L6.Seating(np.full(3000, n), rng)
-    for _ in range(150):
-        s.step(np.full(3000, a), d)
-    # exact: a dish's table number k has weight a**k * S(n, k), S the generalised Stirling numbers of discount d
-    w = np.zeros((n + 1, n + 1))
-    w[0, 0] = 1
-    for i in range(n):
-        for k in range(1, i + 2):
-            w[i + 1, k] = w[i, k - 1] + (i - d * k) * w[i, k]
-    p = w[n, 1:] * a ** np.arange(1, n + 1)
-    assert abs(s.tables().mean() - (p / p.sum() @ np.arange(1, n + 1))) < 0.12
+def mean_tables(n: int, weight: float, d: float) -> float:
+    """Exact: a dish's table number k has weight (weight d)**k * S(n, k), S the generalised Stirling numbers of discount d."""
+    most = min(n, 300)
+    k = np.arange(1, most + 1)
+    s = np.zeros(most)
+    s[0] = 1
+    for i in range(1, n):
+        s = np.append(0, s[:-1]) + np.maximum(i - d * k, 0) * s
+        s /= s.max()
+    with np.errstate(divide="ignore"):
+        w = np.log(s) + k * np.log(weight * d)
+    p = np.exp(w - w.max())
+    return float(p @ k / p.sum())
+
+
+@pytest.mark.parametrize("n", [2, 10, 100, 10_000])
+@pytest.mark.parametrize("d, weight", [(0.3, 0.5), (0.5, 1.4), (0.5, 60.0), (0.8, 8.0)])
+def test_tables_match_the_exact_posterior(n, d, weight):
+    """With as many sweeps as the query makes, for small and large counts."""
+    s = L6.Seating(np.full(400, n), d, np.random.default_rng(8))
+    means = []
+    for step in range(L6.BURN + L6.BETWEEN * L6.SAMPLES):
+        s.step(np.full(400, weight))
+        if step >= L6.BURN:
+            means.append(s.tables().mean())
+    want = mean_tables(n, weight, d)
+    assert abs(np.mean(means) / want - 1) < 0.05
+    law = L6.table_law(L6.seatings(np.array([float(n)]), d), weight, d)[0]
+    assert abs(law @ np.arange(1, len(law) + 1) / want - 1) < 0.02
+
+
+def test_model_is_as_good_as_kneser_ney_on_held_out_counts():
+    rng = np.random.default_rng(10)
+    width = 60
+    parent = rng.dirichlet(np.full(width, 0.3))
+    truth = rng.dirichlet(parent * 5 + 1e-9, 40)
+    n = rng.integers(5, 400, 40)
+    seen = np.array([rng.multinomial(k, p) for k, p in zip(n, truth)])
+    d = L6.discount(seen.ravel())
+    kinds = (seen > 0).sum(axis=0)
+    base = np.maximum(kinds - L6.discount(kinds), 0) + L6.discount(kinds) * (kinds > 0).sum() / width
+    base = base / base.sum()
+    kn = (np.maximum(seen - d, 0) + d * (seen > 0).sum(axis=1)[:, None] * base) / seen.sum(axis=1)[:, None]
+    gain = (truth * (L6.fit_contexts(seen) - np.log10(kn))).sum(axis=1).mean()
+    assert gain > -0.002
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
