@@ -2,7 +2,8 @@
 
 Tokens are cut into pieces of at most CAPACITY; a full piece is a sequence. The others are dealt into blocks of about
 BLOCK pieces. On each block, islands breed packings: a crossover injects whole well-filled bins of one parent into the
-other, drops the bins that hold an injected piece twice and puts the displaced pieces back by best fit. After each epoch
+other, drops the bins that hold an injected piece twice, trades displaced pieces for ones that leave less room, and puts
+the rest back by best fit. After each epoch
 every island's elite goes to the next island of its block. Only lengths and numbers of pieces are shuffled, no tokens.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from sceneql.llm.common import parts, prepared, table
 
-CAPACITY, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 2, 4096, 2, 2, 10, 6
+#: Pieces a block; islands of it, epochs, generations of an epoch, packings of a generation. Loose pieces and bins that take
+#: part in a trade, bins emptied by chance, share of the well-filled bins that a crossover injects.
+CAPACITY, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, LOOSE, OTHERS, TRADED, INJECTED = 1024, 2, 4096, 2, 2, 5, 6, 24, 12, 48, 0.5
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 _tokenizers: dict[str, tuple] = {}
@@ -63,12 +66,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, end: in
 
 
 class Packing:
-    """Bins of items (numbers into a list of sizes) under a capacity."""
+    """Bins of items (numbers into a list of sizes) under a capacity. Packings may share a bin's list: it is replaced, never changed."""
 
-    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None):
+    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None, fill: list[int] | None = None):
         self.sizes, self.capacity = sizes, capacity
         self.bins = bins or []
-        self.fill = [sum(map(sizes.__getitem__, b)) for b in self.bins]
+        self.fill = [sum(map(sizes.__getitem__, b)) for b in self.bins] if fill is None else fill
 
     def best_fit(self, items: list[int]) -> None:
         """Put items, in the given order, where the least room is left."""
@@ -88,7 +91,7 @@ class Packing:
                 k = held.pop()
                 if not held:
                     mask &= ~(1 << room)
-                bins[k].append(i)
+                bins[k] = [*bins[k], i]
                 fill[k] += size
             else:
                 k, room = len(bins), cap
@@ -101,33 +104,104 @@ class Packing:
 
     def score(self) -> tuple[int, float]:
         """Smaller is better: the number of bins, then how unevenly they are filled (squared fills, negated)."""
-        return len(self.bins), -sum((f / self.capacity) ** 2 for f in self.fill)
+        return len(self.bins), -float((np.array(self.fill) ** 2).sum()) / self.capacity**2
 
 
 def crossover(a: Packing, b: Packing, rng: np.random.Generator) -> Packing:
     """A child of a with some well-filled bins of b."""
     filled = np.argsort([-f for f in b.fill], kind="stable")[: max(1, len(b.bins) // 2)]
-    chosen = filled[rng.random(len(filled)) < 0.5] if len(filled) > 1 else filled
-    injected = [list(b.bins[k]) for k in chosen]
-    taken = {i for x in injected for i in x}
-    kept, out = [], []
-    for x in a.bins:
+    chosen = filled[rng.random(len(filled)) < INJECTED] if len(filled) > 8 else filled[:1]
+    taken = {i for k in chosen for i in b.bins[k]}
+    kept, fill, out = [b.bins[k] for k in chosen], [b.fill[k] for k in chosen], []
+    for x, f in zip(a.bins, a.fill):
         if taken.isdisjoint(x):
-            kept.append(list(x))
+            kept.append(x)
+            fill.append(f)
         else:
             out += [i for i in x if i not in taken]
-    child = Packing(a.sizes, a.capacity, injected + kept)
+    child = Packing(a.sizes, a.capacity, kept, fill)
     mutate(child, rng, out)
     return child
 
 
-def mutate(p: Packing, rng: np.random.Generator, loose: list[int]) -> None:
-    """Empty a few of the least filled bins and put their items and the loose ones back, largest first."""
-    worst = np.argsort(p.fill, kind="stable")[: 2 + int(rng.integers(0, 4))]
-    gone = set(worst.tolist()) if len(p.bins) > 8 else set()
-    loose = loose + [i for k in gone for i in p.bins[k]]
-    p.bins, p.fill = [x for k, x in enumerate(p.bins) if k not in gone], [x for k, x in enumerate(p.fill) if k not in gone]
-    p.best_fit(sorted(loose, key=lambda i: (-p.sizes[i], i)))
+def mutate(p: Packing, rng: np.random.Generator, loose: list[int], others: int = OTHERS) -> None:
+    """Empty a few of the least filled bins and some others, trade their items and the loose ones for fuller bins, fill
+    bins anew with what is left, and put the rest back, largest first."""
+    if len(p.bins) > 8:
+        worst = np.argsort(p.fill, kind="stable")[: 2 + int(rng.integers(0, 4))]
+        gone = set(worst.tolist()) | set(rng.integers(0, len(p.bins), min(others, len(p.bins) // 4)).tolist())
+        loose = loose + [i for k in gone for i in p.bins[k]]
+        p.bins, p.fill = [x for k, x in enumerate(p.bins) if k not in gone], [x for k, x in enumerate(p.fill) if k not in gone]
+    loose = trade(p, loose, rng)
+    p.best_fit(refill(p, sorted(loose, key=lambda i: (-p.sizes[i], i))))
+
+
+def refill(p: Packing, loose: list[int], most: int = 4 * LOOSE) -> list[int]:
+    """New bins of the largest loose item and the one or two others that leave the least room, as long as that is under
+    one part in 64; the items of no such bin, largest first."""
+    left, size = list(loose), np.array([p.sizes[i] for i in loose])
+    rest: list[int] = list(left[most:])
+    left, size = left[:most], size[:most]
+    while left:
+        room = p.capacity - int(size[0])
+        one = np.where(size[1:] <= room, size[1:], 0)
+        two = one[:, None] + one[None, :]
+        np.fill_diagonal(two, one)
+        two[(two > room) | (one[:, None] == 0)] = 0
+        at = int(np.argmax(two)) if two.size else 0
+        got = int(two.ravel()[at]) if two.size else 0
+        if room - got > p.capacity // 64:
+            rest.append(left[0])
+            left, size = left[1:], size[1:]
+            continue
+        inside = {0}
+        if got:
+            i, j = divmod(at, len(one))
+            inside |= {i + 1, j + 1} if one[j] else {i + 1}
+        p.bins.append([left[n] for n in sorted(inside)])
+        p.fill.append(sum(p.sizes[i] for i in p.bins[-1]))
+        keep = [n for n in range(len(left)) if n not in inside]
+        left, size = [left[n] for n in keep], size[keep]
+    return sorted(rest, key=lambda i: (-p.sizes[i], i))
+
+
+def trade(p: Packing, loose: list[int], rng: np.random.Generator, most: int = LOOSE, bins: int = TRADED) -> list[int]:
+    """Fill bins that have room by exchanging one or two of their items (or none) for one or two loose ones that are larger together.
+
+    Each bin takes the exchange that leaves the least room; `bins` of them, by chance, are tried. What is loose afterwards
+    is smaller in sum. Of more than
+    `most` loose items, as many by chance take part.
+    """
+    sizes, fill = p.sizes, p.fill
+    loose = [loose[k] for k in rng.permutation(len(loose))]
+    loose, aside = loose[:most], loose[most:]
+    rooms = np.flatnonzero(np.array(fill) < p.capacity)
+    stale = True
+    for k in rng.permutation(rooms)[:bins].tolist():
+        if not loose:
+            break
+        if stale:
+            own = np.array([sizes[i] for i in loose])
+            x, y = np.triu_indices(len(loose), 1)
+            sums = np.concatenate([own, own[x] + own[y]])
+            order = np.argsort(sums, kind="stable")
+            sums, stale = sums[order], False
+        bin_ = p.bins[k]
+        outs = [(), *((i,) for i in range(len(bin_))), *((i, j) for i in range(len(bin_)) for j in range(i))]
+        less = np.array([sum(sizes[bin_[i]] for i in o) for o in outs])
+        at = np.searchsorted(sums, less + p.capacity - fill[k], "right") - 1
+        gain = np.where(at >= 0, sums[at] - less, 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            continue
+        pick = int(order[at[best]])
+        inside = {pick} if pick < len(loose) else {int(x[pick - len(loose)]), int(y[pick - len(loose)])}
+        out = set(outs[best])
+        p.bins[k] = [i for n, i in enumerate(bin_) if n not in out] + [loose[n] for n in inside]
+        loose = [i for n, i in enumerate(loose) if n not in inside] + [bin_[n] for n in out]
+        fill[k] += int(gain[best])
+        stale = True
+    return loose + aside
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
@@ -143,15 +217,17 @@ def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed:
         pool.append(p)
         if len(p.bins) <= least:
             break
+    ranked = sorted(((p.score(), k, p) for k, p in enumerate(pool)), key=lambda x: x[:2])
     for _ in range(generations):
-        pool.sort(key=Packing.score)
-        if len(pool[0].bins) <= least:
+        if ranked[0][0][0] <= least or len(ranked) < 2:
             break
-        half = max(2, len(pool) // 2)
-        for k in range(half, len(pool)):
+        half = max(2, len(ranked) // 2)
+        for k in range(half, len(ranked)):
             i, j = rng.choice(half, 2, replace=False)
-            pool[k] = crossover(pool[i], pool[j], rng)
-    return min(pool, key=Packing.score).bins
+            child = crossover(ranked[i][2], ranked[j][2], rng)
+            ranked[k] = child.score(), k, child
+        ranked.sort(key=lambda x: x[:2])
+    return ranked[0][2].bins
 
 
 def _island(batches: Iterator[pa.RecordBatch], capacity: int, epoch: int) -> Iterator[pa.RecordBatch]:

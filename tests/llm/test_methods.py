@@ -365,6 +365,21 @@ def test_evolution_is_no_worse_than_best_fit_and_solves_a_tight_case():
     assert 20 <= len(best) <= len(first.bins) and sorted(i for x in best for i in x) == list(range(60))
 
 
+def test_evolution_beats_best_fit():
+    """On pieces of documents as they come, the genetic part saves a bin that best fit decreasing needs."""
+    rng = np.random.default_rng(1)
+    gain = 0
+    for k in range(3):
+        sizes = np.clip(rng.gamma(2.2, 190, 900), 8, 1023).astype(int).tolist()
+        first = L8.Packing(sizes, 1024)
+        first.best_fit(sorted(range(900), key=lambda i: -sizes[i]))
+        best = L8.evolve(sizes, 1024, [], [1, 2, k], generations=20)
+        assert sorted(i for x in best for i in x) == list(range(900)) and all(sum(sizes[i] for i in x) <= 1024 for x in best)
+        assert -(-sum(sizes) // 1024) <= len(best) <= len(first.bins)
+        gain += len(first.bins) - len(best)
+    assert gain > 0
+
+
 def test_circulant_signatures_estimate_jaccard():
     rng = np.random.default_rng(9)
     a, b = rng.integers(0, 2**63, 400, dtype=np.uint64), rng.integers(0, 2**63, 100, dtype=np.uint64)
