@@ -1,11 +1,14 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-Every window of WINDOW words is a suffix cut at that depth. Suffixes are grouped by a prefix: the GRAM words at the
-window's smallest gram, so that consecutive suffixes travel together as one stretch of text. Groups whose prefix occurs
-in one document only can't repeat and go no further. A prefix too common for one task's memory is lengthened to the
-whole window, whose smallest document is a plain aggregate. In each memory-sized set of groups the subtree is built by
-prefix doubling: the suffixes are ranked by their first 1, 2, 4, .. words, and those that share a rank at full depth
-hang below one deep internal node, a repeat.
+Every window of WINDOW words is a suffix cut at that depth. Suffixes are grouped by the words from an anchor on, the first
+place of the window's smallest gram, so that the suffixes before one anchor travel together as one stretch of text, with
+what lies before the anchor as their beginning. Groups in one document only can't repeat and go no further. Equal
+stretches are one, with their smallest document. The groups' prefixes vary in length: one with more suffixes than fit a
+task is lengthened by GRAM words at a time, to the anchor's right as far as a window reaches, then to its left.
+
+In each memory-sized set of groups a tree is built: suffixes are ranked by their first 1, 2, 4, .. words, sorted, and the
+common words of neighbours found from these ranks. Runs of neighbours with WINDOW words in common or more hang below one
+deep internal node, a repeat; overlapping repeats of a stretch make up its maximal ones.
 """
 
 from __future__ import annotations
@@ -16,32 +19,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneql.llm import textops as X
 from sceneql.llm.common import parts, prepared, table
 
 WINDOW, GRAM = 50, 8
-#: Suffixes that may share a prefix in one task; bytes of text of the groups that are built into subtrees at once.
-COMMON, CHUNK = 500_000, 2_000_000
+#: Suffixes that may share a prefix in one task; bytes of text of the groups that are built into trees at once; a key with
+#: more than one in SHARE of all rows is joined by broadcast (so there are fewer than SHARE of them).
+COMMON, CHUNK, SHARE = 100_000, 2_000_000, 1000
+#: Bits of a place; the rest of a number is hash. A column of 2**31 bytes has at most 2**30 words.
+_PLACE = np.uint64(30)
 _U = np.uint64
+STRETCH = "prefix long, doc_id long, start int, n int, anchor int"
 
 
-def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start word, number of windows, prefix hash) of each run of windows of one row with the same smallest gram.
+def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start word, number of windows, prefix hash, anchor) of each run of windows of one row with the same anchor.
 
-    The prefix is a property of the window's words alone; where a run ends doesn't matter for what is found.
+    The anchor's distance from a window's start is a property of the window's words alone; where a run ends doesn't
+    matter for what is found.
     """
     valid = X.ranges(first[:-1], np.maximum(np.diff(first) - window + 1, 0))
     if not len(valid):
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64)
-    g = X.window_min(X.grams(h, gram), window - gram + 1)[valid]
+        return z, z, np.zeros(0, np.uint64), z
+    g = X.grams(h, gram)
+    placed = (g >> _PLACE << _PLACE) | np.arange(len(g), dtype=np.uint64)
+    at = (X.window_min(placed, window - gram + 1)[valid] & _U((1 << 30) - 1)).astype(np.int64)
     new = np.ones(len(valid), dtype=bool)
-    new[1:] = (g[1:] != g[:-1]) | (valid[1:] != valid[:-1] + 1)
+    new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1)
     i = np.flatnonzero(new)
-    return valid[i], np.diff(np.append(i, len(valid))), g[i]
+    return valid[i], np.diff(np.append(i, len(valid))), g[at[i]], at[i]
 
 
 def _list(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -50,111 +60,140 @@ def _list(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for i, j in X.slices(off):
             h, first, _, _ = X.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            s, n, g = stretches(h, first, window, gram)
+            s, n, g, at = stretches(h, first, window, gram)
             row = np.searchsorted(first, s, "right") - 1
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[i:j][row]), pa.array((s - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["prefix", "doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[i:j][row]), pa.array((s - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((at - s).astype(np.int32))], names=["prefix", "doc_id", "start", "n", "anchor"])
+
+
+def _hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words first .. last - 1, for each pair: words and their places, mixed and summed."""
+    n = last - first
+    at, place = X.ranges(first, n), X.ranges(np.zeros(len(n), np.int64), n).astype(np.uint64)
+    edge = np.cumsum(n) - n
+    return tuple(X.mix(np.add.reduceat(X.joined(h[at], place + _U(k << 40)), edge) + n.astype(np.uint64)).view(np.int64) for k in (1, 2))
+
+
+def _rows(prefix, doc, start, n, anchor, x, y, lo, ln, raw) -> pa.RecordBatch:
+    o = np.concatenate([[0], np.cumsum(ln)]).astype(np.int32)
+    text = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(o), pa.py_buffer(raw[X.ranges(lo, ln)])])
+    whole = [pa.array(np.asarray(c).astype(np.int32)) for c in (start, n, anchor)]
+    return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(doc), *whole, pa.array(x), pa.array(y), text], names=["prefix", "doc_id", "start", "n", "anchor", "x", "y", "words"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, hits list of (prefix, start, n)): the text of each hit."""
+    """Rows (doc_id, text, hits list of (prefix, start, n, anchor)): the text of each hit and its hash."""
     for b in batches:
         b = b.filter(pa.compute.is_valid(b.column(2)))
         raw, off = X.utf8(b.column(1))
         ids, hits = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
         hit_off = np.asarray(hits.offsets)
         flat = hits.values
-        prefix, start, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        prefix, start, n, anchor = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
         for i, j in X.slices(off):
             base = int(off[i])
-            _, first, ws, we = X.words(raw[base : off[j]], off[i : j + 1] - base)
+            h, first, ws, we = X.words(raw[base : off[j]], off[i : j + 1] - base)
             k = np.arange(hit_off[i], hit_off[j])
             row = np.repeat(np.arange(j - i), np.diff(hit_off[i : j + 1]))
             a = first[row] + start[k]
             z = a + n[k] + window - 2
             ok = z < first[row + 1]
             k, row, a, z = k[ok], row[ok], a[ok], z[ok]
-            if not len(k):
-                continue
-            lo, ln = ws[a], we[z] - ws[a]
-            data = raw[base : off[j]][X.ranges(lo, ln)]
-            o = np.concatenate([[0], np.cumsum(ln)]).astype(np.int32)
-            text = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(o), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[k]), pa.array(ids[i:j][row]), pa.array(start[k]), pa.array(n[k]), text], names=["prefix", "doc_id", "start", "n", "words"])
-
+            if len(k):
+                x, y = _hashes(h, a, z + 1)
+                yield _rows(prefix[k], ids[i:j][row], start[k], n[k], anchor[k], x, y, ws[a], we[z] - ws[a], raw[base : off[j]])
 
-def subtree(h: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
-    """Number of the node at the given depth above each suffix, in the suffixes' lexical order: equal numbers, equal first `depth` words.
 
-    Prefix doubling: ranks by the first 2k words come from pairs of ranks by k words. Suffixes must have `depth` words.
+def _lengthen(batches: Iterator[pa.RecordBatch], window: int, gram: int, times: int) -> Iterator[pa.RecordBatch]:
+    """Stretches by a prefix `times` grams longer: parts of them whose windows have the same words for a prefix."""
+    for b in batches:
+        raw, off = X.utf8(b.column(7))
+        h, first, ws, we = X.words(raw, off)
+        doc, start, n, anchor = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
+        row = np.repeat(np.arange(b.num_rows), n)
+        s = X.ranges(first[:-1], n.astype(np.int64))
+        at = (first[:-1] + anchor)[row]
+        grown = at + gram * (times + 1)
+        end = np.minimum(s + window, grown)
+        begin = np.maximum(s, at - (grown - end))
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (end[1:] != end[:-1]) | (begin[1:] != begin[:-1]))) if len(row) else np.zeros(0, np.int64)
+        if not len(new):
+            continue
+        many = np.diff(np.append(new, len(row)))
+        r, a = row[new], s[new]
+        z = a + many + window - 2
+        x, y = _hashes(h, a, z + 1)
+        key = _hashes(h, begin[new], end[new])[0].view(np.uint64)
+        key = X.joined(key, ((at - begin)[new] + (times << 10)).astype(np.uint64)).view(np.int64)
+        yield _rows(key, doc[r], a - first[r] + start[r], many, at[new] - a, x, y, ws[a], we[z] - ws[a], raw)
+
+
+def suffix_tree(h: np.ndarray, suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes' places in lexical order, words that each has in common with the one before it, at most depth).
+
+    Suffixes must have `depth` words. Two neighbours' common words are the depth of the internal node between them.
     """
-    rank = np.unique(h, return_inverse=True)[1].astype(np.int64)
+    ranks = [np.unique(h, return_inverse=True)[1].astype(np.int64)]
     k = 1
     while 2 * k <= depth:
-        rank = np.unique(rank[:-k] * len(h) + rank[k:], return_inverse=True)[1]
+        ranks.append(np.unique(ranks[-1][:-k] * len(h) + ranks[-1][k:], return_inverse=True)[1])
         k *= 2
-    return np.unique(rank[suffixes] * len(h) + rank[suffixes + depth - k], return_inverse=True)[1]
+    order = np.lexsort((ranks[-1][suffixes + depth - k], ranks[-1][suffixes]))
+    p, q = suffixes[order][1:], suffixes[order][:-1]
+    common = np.zeros(len(p), dtype=np.int64)
+    for step in range(len(ranks) - 1, -1, -1):
+        size = 1 << step
+        fits = common + size <= depth
+        i, j = np.where(fits, p + common, 0), np.where(fits, q + common, 0)
+        common += size * (fits & (ranks[step][i] == ranks[step][j]))
+    return order, np.append(0, common)
+
+
+def deep_nodes(h: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Number of the internal node at the given depth above each suffix: equal numbers, equal first `depth` words."""
+    order, common = suffix_tree(h, suffixes, depth)
+    node = np.empty(len(suffixes), dtype=np.int64)
+    node[order] = np.cumsum(common < depth) - 1
+    return node
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], window: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows (prefix, doc_id, start, n, words) sorted by prefix: spans of words that a smaller document has, too."""
+    """Rows (prefix, least, n, x, y, words) sorted by prefix: the parts [first, end) of each that a smaller document has, too."""
 
     def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        doc, start, n = (t.column(k).to_numpy() for k in (1, 2, 3))
-        raw, off = X.utf8(t.column(4))
+        doc, n, x, y = (t.column(k).to_numpy() for k in (1, 2, 3, 4))
+        raw, off = X.utf8(t.column(5))
         h, first, _, _ = X.words(raw, off)
         suffixes = X.ranges(first[:-1], n.astype(np.int64))
-        node = subtree(h, suffixes, window)
+        node = deep_nodes(h, suffixes, window)
         row = np.repeat(np.arange(len(n)), n)
         least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, doc[row])
         again = np.flatnonzero(doc[row] > least[node])
-        r, s = row[again], suffixes[again] - first[row[again]] + start[row[again]]
+        r, s = row[again], suffixes[again] - first[row[again]]
         new = np.ones(len(r), dtype=bool)
         new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
         i = np.flatnonzero(new)
         last = np.append(i[1:], len(r)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[r[i]]), pa.array(s[i].astype(np.int32)), pa.array((s[last] + window).astype(np.int32) if len(i) else np.zeros(0, np.int32))], names=["doc_id", "first", "end"])
+        end = s[last] + window if len(i) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[r[i]]), pa.array(y[r[i]]), pa.array(s[i].astype(np.int32)), pa.array(end.astype(np.int32))], names=["x", "y", "first", "end"])
 
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
         p = b.column(0).to_numpy()
-        at = 0
-        while at < b.num_rows:
-            if size >= chunk:  # up to the end of the last prefix
-                last = held[-1].column(0)[-1].as_py()
-                end = at + int(np.argmax(np.append(p[at:], ~np.int64(last)) != last)) if p[-1] == last or p[at] == last else at
-                if p[-1] == last and p[at] == last and (p[at:] == last).all():
-                    end = b.num_rows
-                if end > at:
-                    held.append(b.slice(at, end - at))
-                    at = end
-                    if at == b.num_rows:
-                        break
+        edges = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
+        for i, j in zip(edges, np.append(edges[1:], len(p))):
+            if size >= chunk and held[-1].column(0)[-1].as_py() != p[i]:
                 yield done(held)
                 held, size = [], 0
-            step = min(b.num_rows - at, 2048)
-            held.append(b.slice(at, step))
-            size += sum(x.as_py() or 0 for x in [pa.compute.sum(pa.compute.binary_length(held[-1].column(4)))])
-            at += step
+            held.append(b.slice(i, j - i))
+            size += pa.compute.sum(pa.compute.binary_length(held[-1].column(5))).as_py() or 0
     if held:
         yield done(held)
 
 
-def _deep(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (prefix, doc_id, start, n, words) of prefixes that are too common: each window by its whole prefix, as 128 bits."""
-    for b in batches:
-        raw, off = X.utf8(b.column(4))
-        h, first, _, _ = X.words(raw, off)
-        doc, start, n = (b.column(k).to_numpy() for k in (1, 2, 3))
-        s = X.ranges(first[:-1], n.astype(np.int64))
-        row = np.repeat(np.arange(len(n)), n)
-        x, y = X.grams(h, window)[s], X.grams(X.mix(h ^ _U(0x51ED27)), window)[s]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(doc[row]), pa.array((s - first[row] + start[row]).astype(np.int32))], names=["x", "y", "doc_id", "first"])
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, off = X.utf8(b.column(1))
@@ -177,29 +216,49 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
+def spread(rows: DataFrame, found: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """rows joined with found by unique keys; those that `hot` marks, fewer than SHARE, go to all tasks, so that no task gets all rows of one."""
+    many = found.where(hot)
+    direct = rows.join(F.broadcast(many), on, how)
+    rest = rows.join(F.broadcast(many.select(on)), on, "left_anti").join(found.where(~hot), on, how)
+    return direct.unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, common: int = COMMON, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, spans): the words [first, end) of each document whose windows also start in a document with a smaller id.
 
     docs: doc_id long, text string. Null ids take no part.
     """
     spark = prepared(docs.sparkSession)
-    listed = docs.where("doc_id is not null").mapInArrow(lambda it: _list(it, window, gram), "prefix long, doc_id long, start int, n int")
-    runs = listed.checkpoint()
-    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("all")).where("least < most").select("prefix", (F.col("all") > common).alias("deep")).checkpoint()
-
-    def pieces(which: str) -> DataFrame:
-        hits = runs.join(shared.where(which).select("prefix"), "prefix").groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "start", "n")).alias("hits"))
-        # a left join, so that it and the one by which repeats are removed read one and the same shuffle of the texts
-        return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(lambda it: _cut(it, window), "prefix long, doc_id long, start int, n int, words binary")
-
-    dealt = pieces("not deep").repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
-    found = dealt.mapInArrow(lambda it: _repeats(it, window, chunk), "doc_id long, first int, end int")
-    if shared.where("deep").limit(1).count():
-        wide = pieces("deep").mapInArrow(lambda it: _deep(it, window), "x long, y long, doc_id long, first int").checkpoint()
-        least = wide.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-        late = wide.join(least, ["x", "y"]).where("doc_id > least")
-        found = found.unionByName(late.select("doc_id", "first", (F.col("first") + window).cast("int").alias("end")))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    runs = docs.where("doc_id is not null").mapInArrow(lambda it: _list(it, window, gram), STRETCH).checkpoint()
+    hot = F.col("copies") > max(1, runs.count() // SHARE)
+    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("copies")).where("least < most").select("prefix", "copies").checkpoint()
+    hits = spread(runs, shared, ["prefix"], hot).groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "start", "n", "anchor")).alias("hits"))
+    # a left join, so that it and the one by which repeats are removed read one and the same shuffle of the texts
+    placed = docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits")
+    full = f"{STRETCH}, x long, y long, words binary"
+    rows, found, times = placed.mapInArrow(lambda it: _cut(it, window), full), None, 0
+    while True:
+        rows = rows.checkpoint()
+        texts = rows.groupBy("prefix", "x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words")).checkpoint()
+        groups = texts.groupBy("prefix").agg(F.min("least").alias("from"), F.max("most").alias("to"), F.sum("n").alias("suffixes"), F.count("*").alias("texts")).where("from < to").select("prefix", "suffixes", "texts").checkpoint()
+        fit = (F.col("suffixes") <= common) | (F.col("texts") == 1) | F.lit(gram * (times + 1) >= window)
+        built = texts.join(groups.where(fit & (F.col("texts") > 1)).select("prefix"), "prefix").select("prefix", "least", "n", "x", "y", "words")
+        dealt = built.repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
+        # of equal stretches, all but the smallest document's repeat from end to end; that one repeats what the tree finds
+        parts_ = dealt.mapInArrow(lambda it: _repeats(it, window, chunk), "x long, y long, first int, end int").groupBy("x", "y").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
+        told = texts.join(groups.where(fit).select("prefix"), "prefix").select("x", "y", "least", "most", "copies").join(parts_, ["x", "y"], "left").where("parts is not null or least < most").drop("most")
+        whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") + (window - 1)).cast("int").alias("end")))
+        own = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("parts"))
+        late = spread(rows.select("x", "y", "doc_id", "start", "n"), told.checkpoint(), ["x", "y"], hot).select("doc_id", "start", F.explode(own).alias("part"))
+        late = late.select("doc_id", (F.col("start") + F.col("part.first")).alias("first"), (F.col("start") + F.col("part.end")).alias("end"))
+        found = late if found is None else found.unionByName(late)
+        deep = groups.where(~fit).select("prefix")
+        if not deep.limit(1).count():
+            return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+        times += 1
+        longer = spread(rows, deep.join(groups.withColumnRenamed("texts", "copies").select("prefix", "copies"), "prefix"), ["prefix"], hot).select(*rows.columns)
+        rows = longer.mapInArrow(lambda it, times=times: _lengthen(it, window, gram, times), full)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

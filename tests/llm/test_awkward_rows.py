@@ -98,13 +98,15 @@ def test_substrings(docs, how):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), i
 
 
-def test_substrings_of_random_mosaics(spark):
+@pytest.mark.parametrize("common", [L4.COMMON, 60])
+def test_substrings_of_random_mosaics(spark, common):
+    """Also where prefixes are lengthened several times."""
     import random
 
     rng = random.Random(5)
     pieces = [prose(rng, n) for n in (20, 35, 49, 50, 51, 70, 120, 8)]
     rows = [(i, " ".join(rng.choices(pieces, k=rng.randint(0, 6))), None, None, None) for i in range(120)]
-    got = {r.doc_id: r for r in L4.remove_repeats(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in L4.remove_repeats(frame(spark, rows), common=common).collect()}
     for i, (words, kept) in without_repeats(rows).items():
         assert (got[i].n_words, got[i].kept_sha256) == (len(words), hashlib.sha256(b" ".join(kept)).hexdigest())
 

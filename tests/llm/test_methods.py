@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sceneql.llm import op01_language as L1
 from sceneql.llm import op02_tiff as L2
 from sceneql.llm import op03_toxicity as L3
+from sceneql.llm import op04_substrings as L4
 from sceneql.llm import op05_mixing as L5
 from sceneql.llm import op06_pitman_yor as L6
 from sceneql.llm import op07_html as L7
@@ -36,6 +37,38 @@ def test_word_hashes_depend_on_the_word_alone():
     assert k[1] == k[5]
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_structured_words_stay_apart(spark):
+    """Words on which hashes by powers of a base modulo 2**64 agree: in op4, op6 and op9 they are different words."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    assert len(set(X.words(*X.utf8(pa.array([one, two])))[0].tolist())) == 2
+    runs = X.words(*X.utf8(pa.array([thue_morse(1024, "a ", "b "), thue_morse(1024, "b ", "a ")])))[0]
+    assert X.grams(runs[:1024], 1024) != X.grams(runs[1024:], 1024)
+    rng = random.Random(3)
+    rest = prose(rng, 60)
+    rows = [(i, f"{rest} {w}", None, None, None) for i, w in enumerate((one, two))]
+    got = {r.doc_id: r for r in L4.remove_repeats(frame(spark, [(0, f"{one} {rest[:200]}", *rows[0][2:]), (1, f"{two} {rest[:200]}", *rows[0][2:])]), window=8, gram=3).collect()}
+    assert got[1].n_removed < got[1].n_words
+    few = [(0, one, None, None, None), (1, two, None, None, None)]
+    assert [r.kept for r in L9.near_duplicates(frame(spark, few)).orderBy("doc_id").collect()] == [True, True]
+    trained = L6.score_texts(frame(spark, [(i, w, None, None, None) for i, w in ((0, one), (1, two), (2, one))]))
+    assert {r.doc_id: r.n_known for r in trained.collect() if not r.held_out} == {i: 2 for i in range(3) if not {r.doc_id: r.held_out for r in trained.collect()}[i]}
+
+
+def test_suffix_tree():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 3, 400).astype(np.uint64)
+    for depth in (1, 5, 8, 50):
+        suffixes = np.arange(0, 400 - depth)
+        order, common = L4.suffix_tree(h, suffixes, depth)
+        runs = [tuple(h[i : i + depth].tolist()) for i in suffixes[order]]
+        assert runs == sorted(runs)
+        assert common[1:].tolist() == [next((k for k in range(depth) if a[k] != b[k]), depth) for a, b in zip(runs, runs[1:])]
+
+
 def test_window_min():
     x = np.random.default_rng(0).integers(0, 1000, 57, dtype=np.uint64)
     for w in (1, 2, 7, 57):
