@@ -37,12 +37,16 @@ def shipped(spark: SparkSession) -> None:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, for texts of very different lengths; a checkpoint folder of our own only where none is set."""
+    """Small Arrow batches, for texts of very different lengths (a setting of the session from then on: plans read it when
+    they run); a checkpoint folder of our own only where none is set and all runs on this machine."""
     shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sceneql-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "sceneql-checkpoints"))
     return spark
 
 

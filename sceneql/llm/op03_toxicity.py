@@ -1,8 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier on the presence of words and of five-byte grams within words is trained from confirmed toxic texts (P) and unlabelled texts (U) under the
-non-negative risk  pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]),  pi being the share of toxic rows among
-the labelled training rows. It is fitted on a bounded sample: MOST_P confirmed and MOST_U unlabelled rows, the first by a
+A linear classifier on the presence of words and of five-byte grams within words is trained from confirmed toxic texts
+(P) and unlabelled texts (U, any documents, whether labelled or not) under the non-negative risk
+pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)]),  pi being the share of toxic rows among the labelled
+training rows. It is fitted on a bounded sample: MOST_P confirmed and MOST_U unlabelled rows, the first by a
 hash of their ids. Labels 0 count for pi alone. Scores read every whole text.
 """
 
@@ -123,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("doc_id", F.lit("nnpu"))
     positive = ruled.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_P).select("doc_id", F.lit(1).alias("toxic"))
     other = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(order, "doc_id").limit(MOST_U)
-    sample = positive.unionByName(other.join(positive, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic")))
+    # U is drawn from all documents, so that it holds its share of positives: those in both samples have both roles
+    sample = positive.unionByName(other.select("doc_id", F.lit(0).alias("toxic")))
     # at most MOST_P + MOST_U rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
     sizes = dict(texts.groupBy("toxic").count().collect())

@@ -2,9 +2,10 @@
 
 Every window of WINDOW words is a suffix cut at that depth. Suffixes are grouped by the words from an anchor on, the first
 place of the window's smallest gram, so that the suffixes before one anchor travel together as one stretch of text, with
-what lies before the anchor as their beginning. Groups in one document only can't repeat and go no further. Equal
-stretches are one, with their smallest document. The groups' prefixes vary in length: one with more suffixes than fit a
-task is lengthened by GRAM words at a time, to the anchor's right as far as a window reaches, then to its left.
+what lies before the anchor as their beginning. Groups in one document only can't repeat and go no further. The groups'
+prefixes vary in length: in a group with more suffixes than fit a task, equal stretches become one, with their smallest
+document, and if there still are too many, the prefix is lengthened by GRAM words at a time, to the anchor's right as far
+as a window reaches, then to its left.
 
 In each memory-sized set of groups a tree is built: suffixes are ranked by their first 1, 2, 4, .. words, sorted, and the
 common words of neighbours found from these ranks. Runs of neighbours with WINDOW words in common or more hang below one
@@ -28,7 +29,7 @@ from sceneql.llm.common import parts, prepared, table
 WINDOW, GRAM = 50, 8
 #: Suffixes that may share a prefix in one task; bytes of text of the groups that are built into trees at once; a key with
 #: more than one in SHARE of all rows is joined by broadcast (so there are fewer than SHARE of them).
-COMMON, CHUNK, SHARE = 100_000, 2_000_000, 1000
+COMMON, CHUNK, SHARE = 400_000, 2_000_000, 1000
 #: Bits of a place; the rest of a number is hash. A column of 2**31 bytes has at most 2**30 words.
 _PLACE = np.uint64(30)
 _U = np.uint64
@@ -158,7 +159,7 @@ def deep_nodes(h: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], window: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows (prefix, least, n, x, y, words) sorted by prefix: the parts [first, end) of each that a smaller document has, too."""
+    """Rows (prefix, doc_id, n, x, y, words) sorted by prefix: the parts [first, end) of each that a smaller document has, too."""
 
     def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
@@ -177,7 +178,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], window: int, chunk: int) -> Iter
         i = np.flatnonzero(new)
         last = np.append(i[1:], len(r)) - 1
         end = s[last] + window if len(i) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x[r[i]]), pa.array(y[r[i]]), pa.array(s[i].astype(np.int32)), pa.array(end.astype(np.int32))], names=["x", "y", "first", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c[r[i]]) for c in (doc, x, y)] + [pa.array(c.astype(np.int32)) for c in (s[i], end)], names=["doc_id", "x", "y", "first", "end"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -232,32 +233,47 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, comm
     spark = prepared(docs.sparkSession)
     runs = docs.where("doc_id is not null").mapInArrow(lambda it: _list(it, window, gram), STRETCH).checkpoint()
     hot = F.col("copies") > max(1, runs.count() // SHARE)
-    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("copies")).where("least < most").select("prefix", "copies").checkpoint()
-    hits = spread(runs, shared, ["prefix"], hot).groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "start", "n", "anchor")).alias("hits"))
-    # a left join, so that it and the one by which repeats are removed read one and the same shuffle of the texts
-    placed = docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits")
+    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("suffixes"), F.count("*").alias("copies")).where("least < most").select("prefix", "suffixes", "copies").checkpoint()
     full = f"{STRETCH}, x long, y long, words binary"
-    rows, found, times = placed.mapInArrow(lambda it: _cut(it, window), full), None, 0
+
+    def cut(which: DataFrame) -> DataFrame:
+        hits = spread(runs, which.select("prefix", "copies"), ["prefix"], hot).groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "start", "n", "anchor")).alias("hits"))
+        # a left join, so that it and the one by which repeats are removed read one and the same shuffle of the texts
+        return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(lambda it: _cut(it, window), full)
+
+    def built(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("prefix", "doc_id", "n", "x", "y", "words").repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
+        return dealt.mapInArrow(lambda it: _repeats(it, window, chunk), "doc_id long, x long, y long, first int, end int")
+
+    small = F.col("suffixes") <= common
+    found = built(cut(shared.where(small)).withColumn("x", F.col("start").cast("long"))).select("doc_id", (F.col("x") + F.col("first")).alias("first"), (F.col("x") + F.col("end")).alias("end"))
+    if shared.where(~small).limit(1).count():
+        found = found.unionByName(_of_large_groups(cut(shared.where(~small)), built, full, hot, window, gram, common))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+
+
+def _of_large_groups(rows: DataFrame, built, full: str, hot: Column, window: int, gram: int, common: int) -> DataFrame:
+    """(doc_id, first, end) of repeats in groups of more than `common` suffixes: equal stretches become one, and what is
+    still too large gets longer prefixes, until a prefix is the whole window."""
+    found, times = None, 0
     while True:
         rows = rows.checkpoint()
-        texts = rows.groupBy("prefix", "x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words")).checkpoint()
-        groups = texts.groupBy("prefix").agg(F.min("least").alias("from"), F.max("most").alias("to"), F.sum("n").alias("suffixes"), F.count("*").alias("texts")).where("from < to").select("prefix", "suffixes", "texts").checkpoint()
+        texts = rows.groupBy("prefix", "x", "y").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words")).checkpoint()
+        groups = texts.groupBy("prefix").agg(F.min("doc_id").alias("from"), F.max("most").alias("to"), F.sum("n").alias("suffixes"), F.count("*").alias("texts")).where("from < to").select("prefix", "suffixes", "texts").checkpoint()
         fit = (F.col("suffixes") <= common) | (F.col("texts") == 1) | F.lit(gram * (times + 1) >= window)
-        built = texts.join(groups.where(fit & (F.col("texts") > 1)).select("prefix"), "prefix").select("prefix", "least", "n", "x", "y", "words")
-        dealt = built.repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
         # of equal stretches, all but the smallest document's repeat from end to end; that one repeats what the tree finds
-        parts_ = dealt.mapInArrow(lambda it: _repeats(it, window, chunk), "x long, y long, first int, end int").groupBy("x", "y").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
-        told = texts.join(groups.where(fit).select("prefix"), "prefix").select("x", "y", "least", "most", "copies").join(parts_, ["x", "y"], "left").where("parts is not null or least < most").drop("most")
+        trees = built(texts.join(groups.where(fit & (F.col("texts") > 1)).select("prefix"), "prefix")).groupBy("x", "y").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
+        told = texts.join(groups.where(fit).select("prefix"), "prefix").select("x", "y", F.col("doc_id").alias("least"), "most", "copies").join(trees, ["x", "y"], "left").where("parts is not null or least < most").drop("most")
         whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") + (window - 1)).cast("int").alias("end")))
         own = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("parts"))
         late = spread(rows.select("x", "y", "doc_id", "start", "n"), told.checkpoint(), ["x", "y"], hot).select("doc_id", "start", F.explode(own).alias("part"))
         late = late.select("doc_id", (F.col("start") + F.col("part.first")).alias("first"), (F.col("start") + F.col("part.end")).alias("end"))
         found = late if found is None else found.unionByName(late)
-        deep = groups.where(~fit).select("prefix")
+        deep = groups.where(~fit).select("prefix", F.col("texts").alias("copies"))
         if not deep.limit(1).count():
-            return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+            return found
         times += 1
-        longer = spread(rows, deep.join(groups.withColumnRenamed("texts", "copies").select("prefix", "copies"), "prefix"), ["prefix"], hot).select(*rows.columns)
+        longer = spread(rows, deep, ["prefix"], hot).select(*rows.columns)
         rows = longer.mapInArrow(lambda it, times=times: _lengthen(it, window, gram, times), full)
 
 

@@ -439,25 +439,27 @@ def brute_fingerprint(text: str, k: int = 3, bins: int = 64) -> list[int]:
     words = text.split()
     if not words:
         return []
+    if len(text.strip(" \t\n\x0b\x0c\r")) > 32 * len(words):
+        words, k = list(text.strip(" \t\n\x0b\x0c\r")), 8
     grams = [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
     seen, items = {}, []
     for place, g in enumerate(grams):
         h = spark_hash(*g) >> 25
         c = seen[h] = seen.get(h, -1) + 1
         items.append(((spark_hash(h, np.int32(c)) >> 25) if c else h, place))
+    held = [x for b in range(bins) for x in sorted(x for x in items if x[0] >> 33 == b)[:2]]
     out = []
-    for b in range(bins):
-        own = sorted(x for x in items if x[0] >> 33 == b)[:2]
-        if own:
-            order = [h for h, _ in sorted(own, key=lambda x: x[1])]
-            v = b << 26 | spark_hash(*order) >> 38
-            out.append(v - (1 << 31))
+    for i, x in enumerate(held):
+        b = x[0] >> 33
+        if not i or held[i - 1][0] >> 33 != b:
+            two = sorted({x, held[(i + 1) % len(held)]}, key=lambda y: y[1])
+            out.append((b << 26 | spark_hash(*(h for h, _ in two)) >> 38) - (1 << 31))
     return out
 
 
 def test_order_fingerprint_equals_brute_force(spark):
     rng = random.Random(12)
-    texts = ["", "one", "one two", "a b c", "a b c " * 50, prose(rng, 30), prose(rng, 400), "é ü " * 9, " x\ty \n z  "]
+    texts = ["", "one", "one two", "a b c", "a b c " * 50, prose(rng, 30), prose(rng, 400), "".join(rng.choice("abcdé") for _ in range(700)), "x" * 90, "é ü " * 9, " x\ty \n z  "]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.f for r in L10.with_fingerprint(d, "t", "f").collect()}
     for i, t in enumerate(texts):
@@ -478,6 +480,60 @@ def test_order_matters(spark):
     assert r.same == 1.0 and r.changed > 0.7 > r.moved
 
 
+def test_short_and_unspaced_texts_tell_order_and_edits(spark):
+    rng = random.Random(14)
+    texts = []
+    for n in (20, 40, 60):
+        words = [f"{w}{i}" for i, w in enumerate(prose(rng, n).split())]
+        blocks = [words[i : i + 5] for i in range(0, n, 5)]
+        rng.shuffle(blocks)
+        texts.append((" ".join(words), " ".join(w for b in blocks for w in b)))
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(2000))
+    d = spark.createDataFrame([*texts, (letters, letters[:1000] + "q" + letters[1001:])], "a string, b string").withColumn("n", F.monotonically_increasing_id())
+    d = L10.with_fingerprint(L10.with_fingerprint(d, "a", "fa"), "b", "fb")
+    near = [r[0] for r in d.orderBy("n").select(L10.likeness("fa", "fb")).collect()]
+    assert max(near[:3]) < 0.6 and near[3] > 0.8
+
+
+def test_rows_that_share_an_id_keep_their_fingerprints(spark):
+    rows = [(1, "a b c d", None, None, None), (1, "e f g h i", None, None, None), (None, "x y z", None, None, None), (None, "x y z", None, None, None), (2, "k l m n", None, None, None)]
+    got = L10.order_fingerprints(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 5), (0, 5), (1, 7), (1, 9), (2, 7)]
+    assert len({r.fingerprint for r in got if r.doc_id is None}) == 1
+
+
+def test_a_broken_file_is_an_error_row_whatever_breaks(spark):
+    good = L2.write([np.ones((4, 4), np.uint8)])
+
+    def patched(tag: int, value: int) -> bytes:
+        raw = bytearray(good)
+        at = int.from_bytes(raw[4:8], "little")
+        for k in range(int.from_bytes(raw[at : at + 2], "little")):
+            where = at + 2 + 12 * k
+            if int.from_bytes(raw[where : where + 2], "little") == tag:
+                raw[where + 8 : where + 12] = value.to_bytes(4, "little")
+        return bytes(raw)
+
+    files = [(1, patched(L2.BITS, 24)), (2, patched(L2.WIDTH, 2**31)), (3, patched(L2.HEIGHT, 2**31)), (4, patched(L2.PREDICTOR, 3)), (5, patched(L2.SAMPLES, 60000)), (6, patched(L2.ROWS_PER_STRIP, 0)), (7, good)]
+    got = {r.id: r for r in L2.decode_pages(spark.createDataFrame(files, "id int, media binary"), "id", "media").collect()}
+    assert all(got[k].error and got[k].page is None for k in range(1, 7)) and got[7].error is None
+    small = L2.decode_pages(spark.createDataFrame([(7, good)], "id int, media binary"), "id", "media", most=15).first()
+    assert "15 bytes" in small.error
+
+
+def test_texts_use_all_codecs():
+    used = {(x["compression"], x["predictor"], "tile" in x) for x in (L2.layout(str(k).encode()) for k in range(600))}
+    assert used == {(c, p, t) for c, t in ((L2.LZW, False), (L2.PACKBITS, False), (L2.ADOBE_DEFLATE, True), (L2.ADOBE_DEFLATE, False)) for p in (1, 2)}
+
+
+def test_documents_that_share_an_id(spark):
+    rng = random.Random(15)
+    text, other = prose(rng, 40), prose(rng, 40)
+    rows = [(5, min(text, other), None, None, None), (5, max(text, other), None, None, None), (9, max(text, other), None, None, None), (11, min(text, other), None, None, None), (None, text, None, None, None), (None, text, None, None, None)]
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in L9.near_duplicates(frame(spark, rows)).collect()))
+    assert got == [(0, 0), (0, 0), (5, 5), (5, 5), (9, 5), (11, 11)]
+
+
 def test_hot_pieces_of_a_native_plan(spark):
     """The two native operators plan no Python."""
     d = frame(spark, [(i, "a b c d e " * 5, "en", "s", 1) for i in range(10)])
