@@ -56,7 +56,7 @@ def test_all_null_rows(spark, name):
     assert n == 2
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op6", "op9"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op9", "op10"])
 def test_repeated_rows_are_rows(spark, docs, name):
     once, twice = OPERATORS[name](docs).count(), OPERATORS[name](docs.union(docs)).count()
     assert twice == 2 * once == 2 * len(ROWS)
