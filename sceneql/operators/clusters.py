@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -11,60 +14,77 @@ def unit(x) -> np.ndarray:
     return x / np.where(n > 1e-12, n, 1.0)
 
 
-def agglomerate(vectors, distance: float) -> list[int]:
-    """Average-link clusters by cosine distance, merged while the nearest two lie under `distance`; labels by first row."""
+def dendrogram(vectors) -> list[tuple[float, int, int]]:
+    """Average-link merges by cosine distance, nearest first: (distance, row that stands for the merged cluster, row that went)."""
     x = unit(vectors)
-    members = [[i] for i in range(len(x))]
     d = 1 - x @ x.T
     size = np.ones(len(x))
     np.fill_diagonal(d, np.inf)
-    alive = np.ones(len(x), dtype=bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), len(x))
-        if d[i, j] >= distance:
-            break
-        i, j = min(i, j), max(i, j)
+    out = []
+    for _ in range(len(x) - 1):
+        i, j = sorted(divmod(int(np.argmin(d)), len(x)))
+        out.append((float(d[i, j]), i, j))
         d[i] = d[:, i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
         size[i] += size[j]
-        members[i] += members[j]
-        alive[j] = False
-    label = [0] * len(x)
-    for k, i in enumerate(np.flatnonzero(alive)):
-        for m in members[i]:
-            label[m] = k
-    return label
+    return out
+
+
+def labelled(n: int, merges: list[tuple[float, int, int]]) -> list[int]:
+    """Clusters of n rows after these merges, numbered by their first row."""
+    stands = np.arange(n)
+    for _, i, j in merges:
+        stands[stands == j] = i
+    return np.unique(stands, return_inverse=True)[1].tolist()
+
+
+def agglomerate(vectors, distance: float) -> list[int]:
+    """Average-link clusters by cosine distance, merged while the nearest two lie under `distance`; labels by first row."""
+    merges = dendrogram(vectors)
+    stop = next((k for k, m in enumerate(merges) if m[0] >= distance), len(merges))
+    return labelled(len(vectors), merges[:stop])
+
+
+#: Largest distances of two clusters' centres and of their nearest members, either pair of limits suffices;
+#: for clusters seen in one scene and for others.
+SAME_SCENE = ((0.38, 0.27), (0.42, 0.22))
+OTHER_SCENES = ((0.46, 0.40), (0.50, 0.32))
+
 
+def merge_clusters(vectors, labels: list[int], frames: list[tuple], same: tuple = SAME_SCENE, cross: tuple = OTHER_SCENES) -> list[int]:
+    """Clusters joined while two are near enough by their centres' and nearest members' cosine distances, nearest first
+    (.7 of the one, .3 of the other); two seen in one frame never join. frames: (scene, frame) of each row.
 
-def merge_clusters(vectors, labels: list[int], frames: list[tuple], same: tuple[float, float] = (0.42, 0.22), cross: tuple[float, float] = (0.46, 0.40)) -> list[int]:
-    """Clusters joined by their centres' and best pair's similarity, strongest first; two seen in one frame never join."""
+    Matrices of clusters: what a merge changes is one row of each.
+    """
     x = unit(vectors)
-    groups: dict[int, list[int]] = {}
-    for i, c in enumerate(labels):
-        groups.setdefault(c, []).append(i)
-
-    def linked(a: list[int], b: list[int]) -> float | None:
-        if {frames[i] for i in a} & {frames[i] for i in b}:
-            return None
-        centre = float(unit(x[a].mean(axis=0)) @ unit(x[b].mean(axis=0)))
-        best = float((x[a] @ x[b].T).max())
-        scenes = {frames[i][0] for i in a} & {frames[i][0] for i in b}
-        c, p = same if scenes else cross
-        return 0.7 * centre + 0.3 * best if centre >= c and best >= p else None
-
-    while True:
-        keys = sorted(groups)
-        found = [(s, a, b) for n, a in enumerate(keys) for b in keys[n + 1 :] if (s := linked(groups[a], groups[b])) is not None]
-        if not found:
+    names, group = np.unique(labels, return_inverse=True)
+    k = len(names)
+    member = np.zeros((k, len(x)), dtype=bool)
+    member[group, np.arange(len(x))] = True
+    shot = np.unique([str(f) for f in frames], return_inverse=True)[1]
+    scene = np.unique([str(f[0]) for f in frames], return_inverse=True)[1]
+    in_shot, in_scene = (np.array([np.bincount(of[m], minlength=of.max() + 1) > 0 for m in member]) for of in (shot, scene))
+    apart = 1 - x @ x.T
+    nearest = np.array([[apart[np.ix_(a, b)].min() for b in member] for a in member])
+    alive = np.ones(k, dtype=bool)
+    while alive.sum() > 1:
+        centre = unit(member.astype(float) @ x / np.maximum(member.sum(axis=1), 1)[:, None])
+        between = 1 - centre @ centre.T
+        together = in_scene.astype(int) @ in_scene.T.astype(int) > 0
+        near = lambda limits: np.any([(between <= c) & (nearest <= p) for c, p in limits], axis=0)
+        open_ = np.where(together, near(same), near(cross)) & ~(in_shot.astype(int) @ in_shot.T.astype(int) > 0) & alive[:, None] & alive
+        score = np.where(np.triu(open_, 1), 0.7 * between + 0.3 * nearest, np.inf)
+        i, j = divmod(int(np.argmin(score)), k)
+        if not np.isfinite(score[i, j]):
             break
-        _, a, b = max(found, key=lambda t: (t[0], -t[1], -t[2]))
-        groups[a] += groups.pop(b)
-    out = [0] * len(labels)
-    for k, c in enumerate(sorted(groups)):
-        for i in groups[c]:
-            out[i] = k
-    return out
+        member[i] |= member[j]
+        in_shot[i] |= in_shot[j]
+        in_scene[i] |= in_scene[j]
+        nearest[i] = nearest[:, i] = np.minimum(nearest[i], nearest[j])
+        member[j], alive[j] = False, False
+    return (np.argmax(member[alive], axis=0)).tolist()
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
@@ -97,43 +117,86 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.mean(out))
 
 
-def voices(vectors, weak: float = 0.035) -> list[int]:
-    """Two to the root of n speakers, by silhouette and balance less a share for each; one where nothing is convincing."""
+def voices(vectors, weak: float = 0.035, most: int = 8, agreement: Callable[[list[int]], float | None] = lambda labels: None) -> list[int]:
+    """Two to eight speakers (at most the root of n) by average-link clusters: the silhouette, plus balance, less a share for
+    each speaker, plus .12 of how far `agreement` of the labels with the faces is above a half; one where nothing reaches `weak`.
+
+    Clusters of less than three rows or 1.5 % are no speakers. Fewer than three rows are one speaker.
+    """
     x = unit(vectors)
     n = len(x)
-    best, chosen = weak, np.zeros(n, dtype=int)
-    least = max(3, round(0.015 * n))
-    for k in range(2, int(n**0.5) + 1):
-        label = k_means(x, k)
+    best, chosen = weak, [0] * n
+    least = max(3, math.ceil(0.015 * n))
+    merges = dendrogram(x) if n >= 3 else []
+    for k in range(2, min(most, n - 1, max(2, round(n**0.5))) + 1 if n >= 3 else 2):
+        label = np.array(labelled(n, merges[: n - k]))
         sizes = np.bincount(label, minlength=k)
         if sizes.min() < least:
             continue
-        score = silhouette(x, label) + 0.05 * sizes.min() / sizes.max() - 0.025 * k
-        if score > best:
-            best, chosen = score, label
-    return chosen.tolist()
+        agreed = agreement(label.tolist())
+        score = silhouette(x, label) + min(0.08, 0.12 * sizes.min() / sizes.max()) - 0.025 * k + (0 if agreed is None else 0.12 * (agreed - 0.5))
+        if score >= best and (score > best or not any(chosen)):
+            best, chosen = score, label.tolist()
+    return chosen
 
 
 def reassign(vectors, speakers: list[str], weights, busy: list[set], rounds: int = 2) -> list[str]:
-    """Turns go to the speaker whose weighted mean voice is much nearer (.72, margin .15) unless that one speaks at the time."""
-    x, w, now = unit(vectors), np.asarray(weights, dtype=float), list(speakers)
+    """Turns go to the speaker whose weighted mean voice is nearest (.72, and .15 nearer than the assigned speaker's) unless that one speaks at the time."""
+    x, w, now = unit(vectors), np.asarray(weights, dtype=float), np.asarray(speakers, dtype=object)
     for _ in range(rounds):
-        names = sorted(set(now))
+        names, own = np.unique(now.astype(str), return_inverse=True)
         if len(names) < 2:
             break
-        means = unit(np.stack([np.average(x[[s == n for s in now]], axis=0, weights=w[[s == n for s in now]]) for n in names]))
-        sim = x @ means.T
-        new = list(now)
-        for i in range(len(x)):
-            order = np.argsort(-sim[i], kind="stable")
-            best = names[order[0]]
-            margin = sim[i, order[0]] - sim[i, order[1]]
-            if best != now[i] and sim[i, order[0]] >= 0.72 and margin >= 0.15 and best not in busy[i]:
-                new[i] = best
-        if new == now:
+        share = np.zeros((len(names), len(x)))
+        share[own, np.arange(len(x))] = w
+        sim = x @ unit(share @ x).T
+        best = np.argmax(sim, axis=1)
+        at = np.arange(len(x))
+        free = np.array([names[b] not in busy[i] for i, b in enumerate(best)])
+        moves = (best != own) & free & (sim[at, best] >= 0.72) & (sim[at, best] - sim[at, own] >= 0.15)
+        if not moves.any():
             break
-        now = new
-    return now
+        now = np.where(moves, names[best], now)
+    return now.tolist()
+
+
+def smooth_interruptions(vectors, speakers: list[str], starts, ends, longest: float = 0.25, gap: float = 0.08, alike: float = 0.75) -> list[str]:
+    """Turns of at most `longest` seconds between two turns of one other speaker, close on both sides, become that speaker's
+    where the two neighbours' voices are alike. In order: a changed turn counts for the next."""
+    x, out = unit(vectors), list(speakers)
+    start, end = np.asarray(starts, dtype=float), np.asarray(ends, dtype=float)
+    like = np.einsum("ij,ij->i", x[:-2], x[2:]) if len(x) > 2 else np.zeros(0)
+    near = (end - start)[1:-1] <= longest + 1e-9
+    near &= (start[1:-1] - end[:-2] <= gap + 1e-9) & (start[2:] - end[1:-1] <= gap + 1e-9) & (like >= alike)
+    for i in np.flatnonzero(near) + 1:
+        if out[i - 1] == out[i + 1]:
+            out[i] = out[i - 1]
+    return out
+
+
+def doubtful(vectors, speakers: list[str], below: float = 0.55, share: float = 0.30, least: int = 4) -> set[str]:
+    """Speakers of at least `least` turns of which `share` or more are under `below` of their mean voice: perhaps more than one person."""
+    x, name = unit(vectors), np.asarray(speakers, dtype=object)
+    out = set()
+    for n in set(speakers):
+        own = x[name == n]
+        if len(own) >= least and np.mean(own @ unit(own.mean(axis=0)) < below) >= share:
+            out.add(n)
+    return out
+
+
+def correct_speakers(vectors, speakers: list[str], starts, ends, busy: list[set], overlapping: set[tuple[str, str]]) -> tuple[list[str], set[str]]:
+    """(speaker of each turn, doubtful speakers): reassignment, splits of speakers with two voices, merges of speakers with
+    one, short interruptions. Turns weigh their seconds, five at most; they must be in order of time."""
+    w = np.minimum(5.0, np.asarray(ends, dtype=float) - np.asarray(starts, dtype=float))
+    s = reassign(vectors, speakers, w, busy)
+    for name in sorted(set(s)):
+        own = [i for i, n in enumerate(s) if n == name]
+        for i, half in zip(own, split_speaker([vectors[i] for i in own])):
+            s[i] = f"{name}_SPLIT" if half else name
+    s = merge_speakers(vectors, s, w, overlapping)
+    s = smooth_interruptions(vectors, s, starts, ends)
+    return s, doubtful(vectors, s)
 
 
 def merge_speakers(vectors, speakers: list[str], weights, overlapping: set[tuple[str, str]], limit: float = 0.88) -> list[str]:

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from sceneql.sources.package import ship
 
 
 def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: float = 0.0, tie: Sequence[str] = (), out: str = "island") -> DataFrame:
@@ -119,19 +124,45 @@ def frames(df: DataFrame, start: str, end: str, duration: str, n_frames: str) ->
     return df.withColumn("first_frame", F.coalesce(bad.cast("long"), clamp(a))).withColumn("end_frame", clamp(z))
 
 
-def safe_bounds(df: DataFrame, turns: DataFrame, keys: Sequence[str], start: str, end: str, turn_start: str, turn_end: str, pad: float = 0.22, rounds: int = 8) -> DataFrame:
-    """Intervals whose edges lie within no turn: an edge strictly inside a turn moves to the turn's edge, `pad` outside, until nothing moves.
+def outside_turns(start: np.ndarray, end: np.ndarray, turns: np.ndarray, pad: float, duration: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Edges moved out of turns (rows of start and end) until none lies strictly inside one, within 0 and the duration.
 
-    A key's turns travel as one ordered array; each round is one pass over it.
+    An edge within several turns leaves the one that starts first. Turns are sorted and their running last end found, so
+    that this turn is one search, and each move takes an edge out of one turn for good.
     """
-    t = turns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(turn_start).cast("double").alias("s"), F.col(turn_end).cast("double").alias("e")))).alias("_turns"))
-    d = df.join(t, list(keys), "left").withColumn("_turns", F.coalesce("_turns", F.array().cast("array<struct<s:double,e:double>>")))
-    state = F.struct(F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("z"))
-
-    def once(acc: Column, _: Column) -> Column:
-        return F.aggregate("_turns", acc, lambda q, x: F.struct(
-            F.when((x["s"] < q["a"]) & (q["a"] < x["e"]), F.greatest(F.lit(0.0), x["s"] - pad)).otherwise(q["a"]).alias("a"),
-            F.when((x["s"] < q["z"]) & (q["z"] < x["e"]), x["e"] + pad).otherwise(q["z"]).alias("z")))
+    a, z = np.maximum(start.astype(float), 0.0), np.minimum(end.astype(float), duration)
+    turns = turns[np.lexsort((turns[:, 1], turns[:, 0]))]
+    reach = np.maximum.accumulate(turns[:, 1]) if len(turns) else np.zeros(0)
+
+    def around(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(reach, x, "right")
+        at = np.minimum(k, len(reach) - 1)
+        return (k < len(reach)) & (turns[at, 0] < x), at
+
+    for edge, move in ((a, lambda at: np.maximum(0.0, turns[at, 0] - pad)), (z, lambda at: np.minimum(duration, turns[at, 1] + pad))):
+        while len(reach):
+            inside, at = around(edge)
+            to = np.where(inside, move(at), edge)
+            if not (np.abs(to - edge) >= 1e-6).any():
+                break
+            edge[:] = to
+    return np.round(a, 3), np.round(z, 3)
+
+
+def safe_bounds(df: DataFrame, turns: DataFrame, keys: Sequence[str], start: str, end: str, turn_start: str, turn_end: str, pad: float = 0.22, duration: str | None = None) -> DataFrame:
+    """Intervals whose edges lie within no turn: an edge strictly inside a turn moves to the turn's edge, `pad` outside, until nothing moves.
 
-    d = d.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, once)).drop("_turns")
-    return d.withColumn(start, F.round(F.col("_b.a"), 3)).withColumn(end, F.round(F.col("_b.z"), 3)).drop("_b")
+    duration: the column with the video's end, beyond which no interval goes. A key's rows and turns meet in one group.
+    """
+    ship(df.sparkSession)
+    lists = [(c.cast("double")).alias(n) for c, n in ((F.col(turn_start), "_s"), (F.col(turn_end), "_e"))]
+    schema = StructType([StructField(f.name, DoubleType() if f.name in (start, end) else f.dataType) for f in df.schema.fields])
+
+    def move(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return own[schema.names]
+        last = float(own[duration].iloc[0]) if duration else np.inf
+        own[start], own[end] = outside_turns(own[start].to_numpy(dtype=float), own[end].to_numpy(dtype=float), told[["_s", "_e"]].to_numpy(dtype=float), pad, last)
+        return own[schema.names]
+
+    return df.groupBy(*keys).cogroup(turns.select(*keys, *lists).groupBy(*keys)).applyInPandas(move, schema)

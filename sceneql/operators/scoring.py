@@ -144,9 +144,13 @@ def candidate_limit(minutes: Column) -> Column:
     return _bands(minutes, [(16, 10), (24, 30), (32, 60), (40, 90), (48, 150), (56, 165)], 72)
 
 
-def config(label) -> Column:
-    """Longest segment of a row's category; unknown ones count as importance."""
-    return F.coalesce(F.create_map(F.lit("click"), F.lit(CATEGORIES["action"][2]), F.lit("view"), F.lit(CATEGORIES["dialogue"][2]))[_c(label)], F.lit(CATEGORIES["importance"][2]))
+def config(category) -> Column:
+    """A category's shortest, wanted and longest seconds, lead-in, lead-out and gap, as a struct; unknown ones count as importance."""
+    def of(values: Sequence[float]) -> Column:
+        return F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("shortest", "target", "longest", "before", "after", "gap"), values)])
+
+    known = F.create_map(*[x for name, v in CATEGORIES.items() for x in (F.lit(name), of(v))])
+    return F.coalesce(known[_c(category)], of(CATEGORIES["importance"]))
 
 
 def colour(overlap, act_, dia) -> Column:
@@ -216,10 +220,12 @@ def payload(parts: Mapping[str, tuple[str, int]]) -> Column:
 ROLES = {"inciting_incident": (0.15, 0.30), "midpoint": (0.45, 0.55), "climax": (0.80, 0.95), "resolution": (0.85, 0.99)}
 
 
-def turning_points(turns: DataFrame, text: str, terms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def turning_points(turns: DataFrame, text: str, event: str, terms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(video_id, role, turn, confidence, status): the best-supported turn of each role in its part of the time.
 
-    A role's evidence is a word that begins with one of its terms; resolution must follow a found climax.
+    A role's evidence is a word that begins with one of its terms; confidence is .45, up to .20 for two terms and .35 of
+    the turn's event score, .55 at least, and the higher event score wins among equals, then the earlier turn. After a
+    climax with evidence, a resolution must follow it.
     """
     terms = terms or L.EVENT_TERMS
     total = F.max("end_seconds").over(Window.partitionBy("video_id"))
@@ -228,8 +234,13 @@ def turning_points(turns: DataFrame, text: str, terms: Mapping[str, Sequence[str
     j = t.join(F.broadcast(kinds), (F.col("_at") >= F.col("lo")) & (F.col("_at") <= F.col("hi")))  # four rows
     words = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
     n = F.size(F.filter("terms", lambda x: F.exists(words, lambda w: F.startswith(w, x))))
-    j = j.withColumn("_n", n).where("_n >= 1").withColumn("confidence", F.least(F.lit(1.0), 0.45 + 0.20 * F.least("_n", F.lit(2)) / 2 + 0.35 * F.least(F.lit(1.0), F.length(text) / 1000))).where("confidence >= 0.55")
-    best = j.groupBy("video_id", "role").agg(F.max_by(F.struct("turn", "confidence", "start_seconds", "_n"), F.struct(F.col("confidence"), -F.col("turn"))).alias("b"))
-    climax = best.where("role = 'climax'").select("video_id", F.col("b.start_seconds").alias("_climax"))
-    d = best.join(climax, "video_id", "left").where("role <> 'resolution' or (_climax is not null and b.start_seconds > _climax)")
-    return d.select("video_id", "role", F.col("b.turn").alias("turn"), F.round("b.confidence", 6).alias("confidence"), F.when(F.col("b._n") >= 2, "evidence_found").otherwise("candidate_unverified").alias("status"))
+    sure = F.least(F.lit(1.0), 0.45 + 0.35 * F.coalesce(F.col(event).cast("double"), F.lit(0.0)) + 0.20 * F.least("_n", F.lit(2)) / 2)
+    j = j.withColumn("_n", n).where("_n >= 1").withColumn("confidence", F.round(sure, 3)).where(sure >= 0.55)
+
+    def best(d: DataFrame) -> DataFrame:
+        return d.groupBy("video_id", "role").agg(F.max_by(F.struct("turn", "confidence", "_at", "_n"), F.struct("confidence", F.coalesce(F.col(event), F.lit(0.0)), -F.col("_at"), -F.col("turn"))).alias("b"))
+
+    climax = best(j.where("role = 'climax'")).where("b._n >= 2").select("video_id", F.col("b._at").alias("_climax"))
+    late = j.where("role = 'resolution'").join(climax, "video_id", "left").where("_climax is null or _at > _climax").drop("_climax")
+    d = best(j.where("role <> 'resolution'").unionByName(late))
+    return d.select("video_id", "role", F.col("b.turn").alias("turn"), F.col("b.confidence").alias("confidence"), F.when(F.col("b._n") >= 2, "evidence_found").otherwise("candidate_unverified").alias("status"))

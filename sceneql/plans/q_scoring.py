@@ -45,7 +45,15 @@ prj("prj_19_balanced_region", lambda: P.balanced_region(_MID()), f"CASE WHEN {_T
 prj("prj_20_position_label", lambda: P.position_label(F.col("start_seconds") / F.col("video_duration")), "CASE WHEN start_seconds / video_duration <= 0.20e0 THEN 'intro' WHEN start_seconds / video_duration >= 0.75e0 THEN 'ending' ELSE 'middle' END", "position")
 prj("prj_21_estimated_duration", lambda: F.round(P.estimated_duration("duration_seconds", "action"), 6), "round(least(greatest(duration_seconds + 1.5e0 + 2e0, 4e0), 12e0), 6)", "estimated")
 prj("prj_22_candidate_limit", lambda: P.candidate_limit(F.col("video_duration") / 60), "CASE WHEN m <= 10 THEN 16 WHEN m <= 30 THEN 24 WHEN m <= 60 THEN 32 WHEN m <= 90 THEN 40 WHEN m <= 150 THEN 48 WHEN m <= 165 THEN 56 ELSE 72 END".replace("m ", "video_duration / 60e0 "), "candidates")
-prj("prj_23_category_config", lambda: F.round(P.config("event_type"), 6), "CASE event_type WHEN 'click' THEN 12e0 WHEN 'view' THEN 18e0 ELSE 30e0 END", "longest")
+#: The tables have no categories: two event types stand for two of them.
+_CATEGORY = {"click": "action", "view": "dialogue"}
+
+
+@query("prj_23_category_config", A.sql("SELECT video_id, scene_id, " + ", ".join(f"CASE event_type {' '.join(f"WHEN '{e}' THEN {float(P.CATEGORIES[c][k])!r}::DOUBLE" for e, c in _CATEGORY.items())} ELSE {float(P.CATEGORIES['importance'][k])!r}::DOUBLE END AS {n}" for k, n in enumerate(("shortest", "target", "longest", "before", "after", "gap"))) + " FROM shots", "shots"))
+def category_config(spark, sf_dir):
+    category = F.create_map(*[F.lit(x) for pair in _CATEGORY.items() for x in pair])[F.col("event_type")]
+    return A.shots(spark, sf_dir).select("video_id", "scene_id", P.config(category).alias("c")).select("video_id", "scene_id", "c.*")
+
 prj("prj_31_colour_class", lambda: P.colour("onset", "action_score", "dialogue_score"), "CASE WHEN onset >= 0.9e0 THEN 'overlap' WHEN action_score >= 0.45e0 AND action_score >= dialogue_score THEN 'action' WHEN dialogue_score >= 0.40e0 THEN 'dialogue' ELSE 'neutral' END", "colour")
 prj("prj_33_fade_filter", lambda: P.fade("duration_seconds", "speech_ratio"), "CASE WHEN speech_ratio > 0.1e0 THEN '' ELSE printf('afade=t=in:st=0:d=%.4f,afade=t=out:st=%.4f:d=%.4f', least(0.35e0, duration_seconds * 0.1e0), duration_seconds - least(0.35e0, duration_seconds * 0.1e0), least(0.35e0, duration_seconds * 0.1e0)) END", "fade")
 prj("prj_34_recommendation_limit", lambda: P.recommendation_limit("n_shots", "duration_seconds"), "least(n_shots, 24, greatest(8, ceil(duration_seconds / 15e0)::BIGINT))", "most")
@@ -152,11 +160,19 @@ def decorate_nested(spark, sf_dir):
     return g.select("video_id", F.array_join(F.transform(done, lambda x: x["url"]), ",").alias("urls"))
 
 
-@query("prj_27_turning_points")
+@query("prj_27_turning_points", A.sql("""
+WITH t AS (SELECT *, (start_seconds + end_seconds) / 2e0 / max(end_seconds) OVER (PARTITION BY video_id) AS p, (turn % 10) / 10e0 AS event, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM turns),
+r AS (SELECT * FROM (VALUES ('inciting_incident', 0.15e0, 0.30e0, ['the', 'la']), ('midpoint', 0.45e0, 0.55e0, ['of', 'de']), ('climax', 0.80e0, 0.95e0, ['and', 'le']), ('resolution', 0.85e0, 0.99e0, ['is', 'der'])) v(role, lo, hi, terms)),
+m AS (SELECT t.*, role, len(list_filter(terms, x -> len(list_filter(w, y -> starts_with(y, x))) > 0)) AS n FROM t JOIN r ON p BETWEEN lo AND hi),
+c AS (SELECT *, least(1e0, 0.45e0 + 0.35e0 * event + 0.20e0 * least(n, 2) / 2) AS sure FROM m WHERE n >= 1),
+f AS (SELECT * FROM c WHERE sure >= 0.55e0),
+k AS (SELECT video_id, p AS climax FROM f WHERE role = 'climax' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(sure, 3) DESC, event DESC, p, turn) = 1 AND n >= 2),
+g AS (SELECT f.* FROM f LEFT JOIN k USING (video_id) WHERE role <> 'resolution' OR climax IS NULL OR p > climax)
+SELECT video_id, role, turn, round(sure, 3) AS confidence, CASE WHEN n >= 2 THEN 'evidence_found' ELSE 'candidate_unverified' END AS status FROM g QUALIFY row_number() OVER (PARTITION BY video_id, role ORDER BY round(sure, 3) DESC, event DESC, p, turn) = 1""", "turns"))
 def turning_points(spark, sf_dir):
     # the tables' words are invented: terms that occur in them
     terms = {"inciting_incident": ["the", "la"], "midpoint": ["of", "de"], "climax": ["and", "le"], "resolution": ["is", "der"]}
-    return P.turning_points(A.turns(spark, sf_dir), "text", terms)
+    return P.turning_points(A.turns(spark, sf_dir).withColumn("event", F.col("turn") % 10 / F.lit(10.0)), "text", "event", terms)
 
 
 @query("sel_20_rank_after_rerank", A.sql("SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(0.45e0 * narrative_score + 0.55e0 * emotion, 6) DESC, scene_id) AS r FROM shots) WHERE r <= 5", "shots"))

@@ -183,6 +183,105 @@ def test_clusters():
     assert C.merge_speakers(x, ["A", "B", "C", "C"], [1] * 4, {("A", "B")}) == ["A", "B", "C", "C"]
 
 
+def plain_merge(x, labels, frames):
+    """All pairs of clusters compared anew in each round."""
+    x = C.unit(x)
+    groups = {}
+    for i, c in enumerate(labels):
+        groups.setdefault(c, []).append(i)
+    while True:
+        found = []
+        for a, b in itertools.combinations(sorted(groups), 2):
+            m, n = groups[a], groups[b]
+            if {frames[i] for i in m} & {frames[i] for i in n}:
+                continue
+            centre = 1 - float(C.unit(x[m].mean(axis=0)) @ C.unit(x[n].mean(axis=0)))
+            pair = min(1 - float(x[i] @ x[j]) for i in m for j in n)
+            limits = ((0.38, 0.27), (0.42, 0.22)) if {frames[i][0] for i in m} & {frames[i][0] for i in n} else ((0.46, 0.40), (0.50, 0.32))
+            if any(centre <= c and pair <= p for c, p in limits):
+                found.append((0.7 * centre + 0.3 * pair, a, b))
+        if not found:
+            break
+        _, a, b = min(found)
+        groups[a] += groups.pop(b)
+    out = {i: k for k, c in enumerate(sorted(groups)) for i in groups[c]}
+    return [out[i] for i in range(len(labels))]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cluster_merge_equals_the_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 40))
+    x = rng.normal(0, 1, (4, 6))[rng.integers(0, 4, n)] + rng.normal(0, 0.5, (n, 6))
+    labels = np.unique(rng.integers(0, 12, n), return_inverse=True)[1].tolist()
+    frames = [(int(s), int(f)) for s, f in zip(rng.integers(0, 5, n), rng.integers(0, 60, n))]
+    assert C.merge_clusters(x, labels, frames) == plain_merge(x, labels, frames)
+
+
+def test_a_turn_between_two_near_voices_is_corrected():
+    """The margin counts against the assigned speaker, not the runner-up."""
+    a, b, c = [1, 0, 0], [0.97, 0.24, 0], [0, 0, 1]
+    got = C.reassign([a, a, b, b, c, c, [0.99, 0.1, 0.05]], ["A", "A", "B", "B", "C", "C", "C"], [5, 5, 5, 5, 5, 5, 0.1], [set()] * 7)
+    assert got[6] in ("A", "B") and got[:6] == ["A", "A", "B", "B", "C", "C"]
+    assert C.reassign([a, a, c, c, [0.99, 0.1, 0.05]], ["A", "A", "C", "C", "C"], [5, 5, 5, 5, 0.1], [set()] * 4 + [{"A"}])[4] == "C"
+
+
+def test_short_interruptions_need_time_and_voice():
+    x = [[1, 0], [0, 1], [1, 0.1]]
+    assert C.smooth_interruptions(x, ["A", "B", "A"], [0, 1.0, 1.2], [1, 1.2, 3]) == ["A", "A", "A"]
+    assert C.smooth_interruptions(x, ["A", "B", "A"], [0, 1.0, 1.4], [1, 1.4, 3]) == ["A", "B", "A"]
+    assert C.smooth_interruptions(x, ["A", "B", "A"], [0, 1.1, 1.3], [1, 1.3, 3]) == ["A", "B", "A"]
+    assert C.smooth_interruptions([[1, 0], [0, 1], [0, 1]], ["A", "B", "A"], [0, 1.0, 1.2], [1, 1.2, 3]) == ["A", "B", "A"]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_outside_turns_equals_the_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 40))
+    begin = np.round(rng.uniform(0, 60, n), 2)
+    turns = np.stack([begin, np.round(begin + rng.uniform(0.1, 6, n), 2)], axis=1)
+    start = np.round(rng.uniform(-2, 60, 25), 2)
+    end = start + np.round(rng.uniform(0, 20, 25), 2)
+    got = I.outside_turns(start, end, turns, 0.22, 63.0)
+    ordered = sorted(map(tuple, turns.tolist()))
+    for k in range(25):
+        a, z = max(0.0, start[k]), min(63.0, end[k])
+        for _ in range(n + 1):
+            for s, e in ordered:
+                a = max(0.0, s - 0.22) if s < a < e else a
+                z = min(63.0, e + 0.22) if s < z < e else z
+        assert abs(got[0][k] - a) < 1e-3 and abs(got[1][k] - z) < 1e-3
+
+
+def plain_diversity(values, costs, windows, groups, capacity):
+    weight = list(values)
+    for _ in range(5):
+        pick = S.knapsack(weight, costs, capacity, 1e-8)
+        before = list(weight)
+        for codes, share, decay in ((windows, 0.34, 0.86), (groups, 0.28, 0.78)):
+            for code in {codes[i] for i in pick}:
+                crowd = sorted((i for i in pick if codes[i] == code), key=lambda i: -values[i] / costs[i])
+                if sum(costs[i] for i in crowd) > max(1, capacity * share):
+                    for n in range(1, len(crowd)):
+                        if sum(costs[i] for i in crowd[: n + 1]) > capacity * share:
+                            weight[crowd[n]] = min(weight[crowd[n]], max(0.3 * values[crowd[n]], decay * weight[crowd[n]]))
+        if all(b - w <= 1e-12 for b, w in zip(before, weight)):
+            break
+    return sorted(pick)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_soft_diversity_equals_the_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    values, lengths, position = rng.random(n), rng.uniform(0.3, 8, n), np.sort(rng.random(n))
+    groups = rng.integers(0, 4, n).tolist()
+    got = S.soft_diversity(values.tolist(), lengths.tolist(), position.tolist(), groups, 30.0)
+    costs = [S.ticks(x, 0.5, "round") for x in lengths]
+    assert sorted(got) == plain_diversity(values.tolist(), costs, [int(10 * p) for p in position], groups, 60)
+    assert got == sorted(got, key=lambda i: position[i])
+
+
 def test_cut_matching_is_one_to_one(spark):
     p = spark.createDataFrame([(0, 1.0), (0, 1.2), (0, 9.0)], "v int, t double")
     t = spark.createDataFrame([(0, 1.1), (0, 20.0)], "v int, t double")
