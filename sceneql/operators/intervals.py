@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sceneql.operators.joins import overlap_join
 from sceneql.sources.package import ship
 
 
@@ -43,17 +44,16 @@ def merge_same(df: DataFrame, keys: Sequence[str], label: str, start: str, end:
     return d.groupBy(*keys, label, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *aggregates).drop("_run")
 
 
-def overlap_regions(df: DataFrame, keys: Sequence[str], start: str, end: str, who: str, least: float = 0.0, at_least: int = 2) -> DataFrame:
-    """Maximal stretches in which the same set of two or more speakers is active, as (start, end, speakers)."""
+def overlap_regions(df: DataFrame, keys: Sequence[str], start: str, end: str, who: str, least: float = 0.0, at_least: int = 2, width: float = 8.0) -> DataFrame:
+    """Maximal stretches in which the same set of two or more speakers is active, as (start, end, speakers).
+
+    The stretches between neighbouring edges meet the intervals in buckets of `width`, so that a key's rows are no product.
+    """
     points = df.select(*keys, F.col(start).alias("lo")).union(df.select(*keys, F.col(end).alias("lo"))).distinct()
     order = Window.partitionBy(*keys).orderBy("lo")
     cells = points.withColumn("hi", F.lead("lo").over(order)).where("hi is not null and hi > lo")
-    a, b = cells.alias("a"), df.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"b.{start}") < F.col("a.hi"), F.col(f"b.{end}") > F.col("a.lo")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    active = a.join(b, cond).groupBy(*[F.col(f"a.{k}") for k in keys], "a.lo", "a.hi").agg(F.array_sort(F.collect_set(F.col(f"b.{who}").cast("string"))).alias("speakers"))
+    spans = df.select(*keys, F.col(who).cast("string").alias("_who"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    active = overlap_join(cells, spans, keys, "lo", "hi", "_from", "_to", width).groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_set("_who")).alias("speakers"))
     many = active.where(F.size("speakers") >= at_least).withColumn("set", F.concat_ws("|", "speakers"))
     return merge_same(many, keys, "set", "lo", "hi", 0.0).where(F.col("hi") - F.col("lo") >= least).select(*keys, F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("set").alias("speakers"))
 
@@ -108,11 +108,17 @@ def group_by_continuity(df: DataFrame, keys: Sequence[str], row: str, start: str
     return g.select(*keys, F.explode(F.arrays_zip(F.col("rows").alias("r"), ids.alias("i"))).alias("z")).select(*keys, F.col("z.r.r").alias(row), F.col("z.i").alias(out))
 
 
-def snap(df: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, point: str, tie: str, out: str) -> DataFrame:
-    """df with the grid point nearest to `at`, the first one on ties. Each key's grid is an ordered array, searched in place."""
-    g = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(point).cast("double").alias("p"), F.col(tie).alias("t")))).alias("_grid"))
-    near = F.aggregate("_grid", F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("double").alias("p")), lambda a, x: F.when(F.abs(x["p"] - F.col(at)) < a["d"], F.struct(F.abs(x["p"] - F.col(at)).alias("d"), x["p"].alias("p"))).otherwise(a), lambda a: a["p"])
-    return df.join(g, list(keys), "left").withColumn(out, near).drop("_grid")
+def snap(df: DataFrame, grid: DataFrame, keys: Sequence[str], at: str, point: str, out: str) -> DataFrame:
+    """df with the grid point nearest to `at`, the first one on ties: the last point up to it or the next one, by two windows."""
+    side = df.withColumn("_at", F.col(at).cast("double")).withColumn("_point", F.lit(None).cast("double")).withColumn("_row", F.lit(True))
+    points = grid.select(*keys, F.col(point).cast("double").alias("_at"), F.col(point).cast("double").alias("_point"), F.lit(False).alias("_row")).distinct()
+    both = side.unionByName(points, allowMissingColumns=True)
+    past = Window.partitionBy(*keys).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    # the opposite order, for a frame that grows row by row
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_row").rowsBetween(Window.unboundedPreceding, 0)
+    d = both.withColumn("_p", F.max("_point").over(past)).withColumn("_n", F.min("_point").over(ahead)).where("_row")
+    near = F.when(F.col("_n").isNull() | (F.col("_at") - F.col("_p") <= F.col("_n") - F.col("_at")), F.col("_p")).otherwise(F.col("_n"))
+    return d.withColumn(out, near).select(*df.columns, out)
 
 
 def frames(df: DataFrame, start: str, end: str, duration: str, n_frames: str) -> DataFrame:

@@ -108,7 +108,7 @@ SELECT video_id, span_id, asked, p AS near FROM g WHERE r = 1""", "spans"))
 def snap_to_shots(spark, sf_dir):
     s = A.spans(spark, sf_dir)
     q = s.where("status = 'P'").select("video_id", "span_id", (F.col("start_day") + F.lit(0.4)).alias("asked"))
-    return I.snap(q, s.where("status = 'F'"), ["video_id"], "asked", "start_day", "span_id", "near")
+    return I.snap(q, s.where("status = 'F'"), ["video_id"], "asked", "start_day", "near")
 
 
 @query("ivl_30_frame_masks", A.sql("""

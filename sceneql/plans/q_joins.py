@@ -96,7 +96,7 @@ def nearest_start(spark, sf_dir):
     from sceneql.operators import intervals as I
 
     s = A.spans(spark, sf_dir)
-    q = I.snap(s.where("status = 'F'").select("video_id", "span_id", "start_day"), s.where("status = 'P'"), ["video_id"], "start_day", "start_day", "span_id", "near")
+    q = I.snap(s.where("status = 'F'").select("video_id", "span_id", "start_day"), s.where("status = 'P'"), ["video_id"], "start_day", "start_day", "near")
     return q.where("near is not null").select("video_id", "span_id", F.col("near").cast("long").alias("near"))
 
 

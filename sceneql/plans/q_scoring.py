@@ -163,7 +163,7 @@ def decorate_nested(spark, sf_dir):
 @query("prj_27_turning_points", A.sql("""
 WITH t AS (SELECT *, (start_seconds + end_seconds) / 2e0 / max(end_seconds) OVER (PARTITION BY video_id) AS p, (turn % 10) / 10e0 AS event, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM turns),
 r AS (SELECT * FROM (VALUES ('inciting_incident', 0.15e0, 0.30e0, ['the', 'la']), ('midpoint', 0.45e0, 0.55e0, ['of', 'de']), ('climax', 0.80e0, 0.95e0, ['and', 'le']), ('resolution', 0.85e0, 0.99e0, ['is', 'der'])) v(role, lo, hi, terms)),
-m AS (SELECT t.*, role, len(list_filter(terms, x -> len(list_filter(w, y -> starts_with(y, x))) > 0)) AS n FROM t JOIN r ON p BETWEEN lo AND hi),
+m AS (SELECT t.*, role, len(list_filter(terms, lambda x: len(list_filter(w, lambda y: starts_with(y, x))) > 0)) AS n FROM t JOIN r ON p BETWEEN lo AND hi),
 c AS (SELECT *, least(1e0, 0.45e0 + 0.35e0 * event + 0.20e0 * least(n, 2) / 2) AS sure FROM m WHERE n >= 1),
 f AS (SELECT * FROM c WHERE sure >= 0.55e0),
 k AS (SELECT video_id, p AS climax FROM f WHERE role = 'climax' QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY round(sure, 3) DESC, event DESC, p, turn) = 1 AND n >= 2),
