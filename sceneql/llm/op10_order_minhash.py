@@ -97,11 +97,12 @@ def order_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = prepared(docs.sparkSession)
     none = F.lit(-(1 << 63))
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    d = d.withColumn("_id", F.col("_key"))
+    ids = None
     ranked, total = numbered(d.groupBy("_key").agg(F.max(F.char_length("_text")).alias("_chars")), "_key")
     if total != d.select("_key").count():
         # ids repeat: rows get keys of their own, in the ids' order, and are written once
-        d = d.repartitionByRange(parts(spark), "_id", F.xxhash64("_text")).sortWithinPartitions("_id", F.xxhash64("_text")).withColumn("_key", F.monotonically_increasing_id()).checkpoint()
+        own = d.withColumnRenamed("_key", "_id").repartitionByRange(parts(spark), "_id", F.xxhash64("_text")).sortWithinPartitions("_id", F.xxhash64("_text")).withColumn("_key", F.monotonically_increasing_id()).checkpoint()
+        ids, d = own.select("_key", "_id"), own.select("_key", "_text")
         ranked, total = numbered(d.select("_key", F.char_length("_text").alias("_chars")), "_key")
     after = ranked.select(F.col("_key").alias("_next"), ((F.col("rank") + 1) % max(total, 1)).alias("rank"))
     link = ranked.join(after, "rank").select("_key", "_next", "_chars").checkpoint()
@@ -112,9 +113,11 @@ def order_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("_edited", edited).drop("_piece")
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     rows = with_fingerprint(with_fingerprint(rows, "_text", "_own", k).drop("_text"), "_edited", "_new", k).drop("_edited")
-    done = rows.select("_key", "_id", "_next", "n_chars", "edited_sha256", "_own", "_new").checkpoint()
+    done = rows.select("_key", "_next", "n_chars", "edited_sha256", "_own", "_new").checkpoint()
     other = done.select(F.col("_key").alias("_next"), F.col("_own").alias("_other"))
-    return done.join(other, "_next").select(
+    joined = done.join(other, "_next")
+    joined = joined.join(ids, "_key") if ids else joined.withColumn("_id", F.col("_key"))
+    return joined.select(
         F.when(F.col("_id") != none, F.col("_id")).alias("doc_id"), "n_chars", "edited_sha256", shown("_own").alias("fingerprint"), shown("_new").alias("edited_fingerprint"),
         likeness("_own", "_new").alias("near_edited"), likeness("_own", "_other").alias("near_next"),
     )
