@@ -41,7 +41,8 @@ def largest_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], row:
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, at: str, start: str, end: str, who: str) -> DataFrame:
-    """(keys, row, who, distance): for each point the interval with the nearest edge, 0 inside; the first one on ties.
+    """(keys, row, who, distance): for each point the interval with the nearest edge, 0 inside; on ties the one that starts before
+    the point, of several of these the one that ends last.
 
     As-of in both directions: a key's intervals and points are ordered together, and the candidates are the farthest end
     so far and the next start, two window functions instead of a product.

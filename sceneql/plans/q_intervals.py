@@ -103,11 +103,11 @@ def story_groups(spark, sf_dir):
 
 
 @query("ivl_12_snap_to_shots", A.sql("""
-WITH g AS (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY abs(p - asked), p) AS r FROM (SELECT video_id, span_id, start_day + 0.4e0 AS asked FROM spans WHERE status = 'P') q JOIN (SELECT video_id, start_day::DOUBLE AS p FROM spans WHERE status = 'F') USING (video_id))
+WITH g AS (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY abs(p - asked), p) AS r FROM (SELECT video_id, span_id, start_day + 0.4e0 AS asked FROM spans WHERE status <> 'F') q JOIN (SELECT video_id, start_day::DOUBLE AS p FROM spans WHERE status = 'F') USING (video_id))
 SELECT video_id, span_id, asked, p AS near FROM g WHERE r = 1""", "spans"))
 def snap_to_shots(spark, sf_dir):
     s = A.spans(spark, sf_dir)
-    q = s.where("status = 'P'").select("video_id", "span_id", (F.col("start_day") + F.lit(0.4)).alias("asked"))
+    q = s.where("status <> 'F'").select("video_id", "span_id", (F.col("start_day") + F.lit(0.4)).alias("asked"))
     return I.snap(q, s.where("status = 'F'"), ["video_id"], "asked", "start_day", "near")
 
 

@@ -80,23 +80,24 @@ def point_in_interval(spark, sf_dir):
 
 
 @query("join_9_nearest", A.sql("""
-WITH a AS (SELECT video_id, span_id, start_day + 0.5e0 AS at_ FROM spans WHERE status = 'F'), b AS (SELECT video_id, speaker, start_day, end_day FROM spans WHERE status = 'P'),
-r AS (SELECT a.video_id, span_id, greatest(0e0, start_day - at_, at_ - end_day) AS distance FROM a JOIN b ON a.video_id = b.video_id)
-SELECT video_id, span_id, min(distance) AS distance FROM r GROUP BY ALL""", "spans"))
+WITH a AS (SELECT video_id, span_id, start_day + 0.5e0 AS at_ FROM spans WHERE status = 'F'), b AS (SELECT video_id, speaker, start_day, end_day FROM spans WHERE status <> 'F'),
+r AS (SELECT a.video_id, span_id, speaker, greatest(0e0, start_day - at_, at_ - end_day) AS distance, start_day > at_ AS later, start_day, end_day FROM a JOIN b ON a.video_id = b.video_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY distance, later, CASE WHEN later THEN start_day ELSE -end_day END, CASE WHEN later THEN end_day ELSE start_day END, CASE WHEN later THEN speaker ELSE -speaker END) AS k FROM r)
+SELECT video_id, span_id, speaker, distance FROM o WHERE k = 1""", "spans"))
 def nearest(spark, sf_dir):
     s = A.spans(spark, sf_dir)
     a = s.where("status = 'F'").select("video_id", "span_id", (F.col("start_day") + F.lit(0.5)).alias("at_"))
-    return J.nearest(a, s.where("status = 'P'"), ["video_id"], "span_id", "at_", "start_day", "end_day", "speaker").select("video_id", "span_id", "distance").where("distance is not null")
+    return J.nearest(a, s.where("status <> 'F'"), ["video_id"], "span_id", "at_", "start_day", "end_day", "speaker").where("distance is not null")
 
 
 @query("join_10_nearest_start", A.sql("""
-WITH r AS (SELECT a.video_id, a.span_id, b.span_id AS near_id, row_number() OVER (PARTITION BY a.video_id, a.span_id ORDER BY abs(b.start_day - a.start_day), b.start_day, b.span_id) AS k FROM (SELECT * FROM spans WHERE status = 'F') a JOIN (SELECT * FROM spans WHERE status = 'P') b ON a.video_id = b.video_id)
+WITH r AS (SELECT a.video_id, a.span_id, b.span_id AS near_id, row_number() OVER (PARTITION BY a.video_id, a.span_id ORDER BY abs(b.start_day - a.start_day), b.start_day, b.span_id) AS k FROM (SELECT * FROM spans WHERE status = 'F') a JOIN (SELECT * FROM spans WHERE status <> 'F') b ON a.video_id = b.video_id)
 SELECT r.video_id, r.span_id, s.start_day AS near FROM r JOIN spans s ON s.span_id = near_id WHERE k = 1""", "spans"))
 def nearest_start(spark, sf_dir):
     from sceneql.operators import intervals as I
 
     s = A.spans(spark, sf_dir)
-    q = I.snap(s.where("status = 'F'").select("video_id", "span_id", "start_day"), s.where("status = 'P'"), ["video_id"], "start_day", "start_day", "near")
+    q = I.snap(s.where("status = 'F'").select("video_id", "span_id", "start_day"), s.where("status <> 'F'"), ["video_id"], "start_day", "start_day", "near")
     return q.where("near is not null").select("video_id", "span_id", F.col("near").cast("long").alias("near"))
 
 

@@ -13,35 +13,31 @@ from sceneql.operators.groups import by_group
 from sceneql.plans import adapters as A
 from sceneql.plans.registry import query
 
-#: Best value of any subset within the capacity, by listing all subsets of a video's items (at most 13).
+#: The rows of a video's best subset within the capacity, by listing all subsets of its items (at most 13). What decides
+#: comes first in {order}; then the cheaper subset, and of equal ones the one of earlier items.
 _SUBSETS = """
-WITH t AS (SELECT video_id, ord, value, {cost} AS c, row_number() OVER (PARTITION BY video_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM items),
+WITH t AS (SELECT video_id, ord, value, duration, {cost} AS c, row_number() OVER (PARTITION BY video_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM items),
 m AS (SELECT DISTINCT video_id, unnest(range(0, 1::BIGINT << n)) AS m FROM t),
-s AS (SELECT video_id, m, sum(value) AS v, sum(c) AS c FROM m JOIN t USING (video_id) WHERE (m >> k) % 2 = 1 GROUP BY ALL)
-SELECT video_id, round({what}, 2) AS total FROM s WHERE c <= {capacity} GROUP BY video_id
+s AS (SELECT video_id, m, round(sum(value), 2) AS v, sum(c) AS c, count(*) AS size FROM m JOIN t USING (video_id) WHERE (m >> k) % 2 = 1 GROUP BY ALL),
+b AS (SELECT video_id, m FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {order}, c, m) AS r FROM s WHERE c <= {capacity}) WHERE r = 1)
+SELECT t.video_id, ord, value, duration FROM b JOIN t USING (video_id) WHERE (m >> k) % 2 = 1
 """
 
 
-def knap(name: str, cost: str, capacity: int, budget: float, what: str = "max(v)", **how):
-    @query(name, A.sql(_SUBSETS.format(cost=cost, capacity=capacity, what=what), "items"))
+def knap(name: str, cost: str, capacity: int, budget: float, order: str = "v DESC", **how):
+    @query(name, A.sql(_SUBSETS.format(cost=cost, capacity=capacity, order=order), "items"))
     def f(spark, sf_dir):
-        d = S.knapsack_rows(A.items(spark, sf_dir), ["video_id"], ["ord"], "value", "duration", budget, **how)
-        return d.groupBy("video_id").agg(F.round(F.sum("value"), 2).alias("total"))
+        return S.knapsack_rows(A.items(spark, sf_dir), ["video_id"], ["ord"], "value", "duration", budget, **how)
 
 
-knap("sel_1_knapsack_more_items", "greatest(1, round_even(duration / 0.5e0, 0))::BIGINT", 120, 60.0, step=0.5, how="round", more_items=True)
+knap("sel_1_knapsack_more_items", "greatest(1, round_even(duration / 0.5e0, 0))::BIGINT", 120, 60.0, "v DESC, size DESC", step=0.5, how="round", more_items=True)
 knap("sel_2_knapsack_margin", "greatest(1, round_even(duration / 0.5e0, 0))::BIGINT", 80, 40.2, step=0.5, how="round", capacity_how="floor", margin=1e-8)
+knap("sel_4_duration_filling", "greatest(1, ceil(duration))::BIGINT", 60, 60.0, "c DESC, v DESC", step=1.0, how="ceil", exact=True)
 knap("sel_5_knapsack_seconds", "greatest(1, ceil(duration))::BIGINT", 45, 45.0, step=1.0, how="ceil", margin=1e-6)
 knap("sel_6_knapsack_frames", "greatest(1, ceil(duration))::BIGINT", 55, 55.0, step=1.0, how="ceil")
 knap("sel_7_knapsack_whole", "greatest(1, floor(duration))::BIGINT", 50, 50.7, step=1.0, how="floor", capacity_how="floor")
 
 
-@query("sel_4_duration_filling", A.sql(_SUBSETS.format(cost="greatest(1, ceil(duration))::BIGINT", capacity=60, what="max(c)::DOUBLE"), "items"))
-def duration_filling(spark, sf_dir):
-    d = S.knapsack_rows(A.items(spark, sf_dir), ["video_id"], ["ord"], "value", "duration", 60.0, step=1.0, how="ceil", exact=True)
-    return d.groupBy("video_id").agg(F.round(F.sum("duration"), 2).alias("total"))
-
-
 @query("sel_3_protected_first")
 def protected_first(spark, sf_dir):
     def f(rows):
@@ -215,6 +211,11 @@ def summarize_importance(spark, sf_dir):
     return G.summarize(A.shots(spark, sf_dir), "importance", 90.0, "narrative_score")
 
 
+@query("api_summarize_speech")
+def summarize_speech(spark, sf_dir):
+    return G.summarize(A.shots(spark, sf_dir), "dialogue", 60.0, turns=A.turns(spark, sf_dir).select("video_id", "start_seconds", "end_seconds"))
+
+
 @query("udf_3_mock_captions", A.sql("SELECT video_id, scene_id, 'scene ' || scene_id || ': ' || event_type AS caption FROM shots", "shots"))
 def mock_captions(spark, sf_dir):
     from sceneql.sources.providers import mock_captioner

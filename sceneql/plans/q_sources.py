@@ -16,12 +16,7 @@ from sceneql.streaming import sessions
 
 def scratch(spark) -> str:
     """A new folder below the shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/sceneql-checkpoints")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+    return f"{S.shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 _SHOT_ROWS = "SELECT video_id, scene_id, start_seconds, end_seconds FROM shots"
@@ -90,10 +85,12 @@ def keyframe_names(spark, sf_dir):
     return S.keyframe_names(names, "path").groupBy("scene_id", "kf_index").agg(F.count("*").alias("n"))
 
 
-@query("src_21_trim_graph", A.sql("SELECT video_id, count(*) AS n FROM shots GROUP BY video_id", "shots"))
+@query("src_21_trim_graph", A.sql("""
+SELECT video_id, string_agg(printf('[0:v]trim=start=%.3f:end=%.3f,setpts=PTS-STARTPTS[v%d];[0:a]atrim=start=%.3f:end=%.3f,asetpts=PTS-STARTPTS[a%d]', s, e, i, s, e, i), ';' ORDER BY i)
+ || ';' || string_agg(printf('[v%d][a%d]', i, i), '' ORDER BY i) || printf('concat=n=%d:v=1:a=1[v][a]', count(*)) AS graph
+FROM (SELECT video_id, start_seconds AS s, end_seconds AS e, row_number() OVER (PARTITION BY video_id ORDER BY scene_id) - 1 AS i FROM shots) GROUP BY video_id""", "shots"))
 def trim_graph(spark, sf_dir):
-    g = A.shots(spark, sf_dir).groupBy("video_id").agg(S.trim_graph("start_seconds", "end_seconds", "scene_id").alias("graph"))
-    return g.select("video_id", F.regexp_extract("graph", r"concat=n=(\d+)", 1).cast("long").alias("n"))
+    return A.shots(spark, sf_dir).groupBy("video_id").agg(S.trim_graph("start_seconds", "end_seconds", "scene_id").alias("graph"))
 
 
 @query("src_23_timeline_lines", A.sql("SELECT '[' || printf('%02d:%02d:%02d.%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' - ' || printf('%02d:%02d:%02d.%03d', z // 3600000, z // 60000 % 60, z // 1000 % 60, z % 1000) || '] speech: ' || speaker AS line FROM (SELECT start_ms AS a, end_ms AS z, speaker FROM turns)", "turns"))
@@ -109,20 +106,16 @@ def overrides(spark, sf_dir):
 
 @query("src_27_content_ingest", "WITH h AS (SELECT DISTINCT sha256(coalesce(text, '')) AS sha256 FROM benchmark), k AS (SELECT DISTINCT sha256(coalesce(text, '')) AS sha256 FROM benchmark WHERE text LIKE 'T%'), r AS (SELECT sha256, row_number() OVER (ORDER BY sha256) AS n FROM k), o AS (SELECT h.sha256, r.n, sum(CASE WHEN r.n IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY h.sha256 ROWS UNBOUNDED PRECEDING) AS s FROM h LEFT JOIN r USING (sha256)) SELECT sha256, 'video' || coalesce(n, (SELECT max(n) FROM r) + s)::BIGINT AS alias FROM o")
 def content_ingest(spark, sf_dir):
-    from pyspark.sql import Window
-
     b = A.table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     known = b.where("text like 'T%'").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).distinct()
-    known = known.withColumn("alias", F.concat(F.lit("video"), F.row_number().over(Window.orderBy("sha256"))))
+    known = S.numbered(known, ["sha256"], "n").select("sha256", F.concat(F.lit("video"), "n").alias("alias"))
     return S.ingest(b, known, "text")
 
 
 @query("src_29_alias_mapping", "SELECT c_custkey AS video_id, 'video' || row_number() OVER (ORDER BY c_custkey) AS alias FROM customer")
 def alias_mapping(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id"))
-    return c.withColumn("alias", F.concat(F.lit("video"), F.row_number().over(Window.orderBy("video_id"))))
+    return S.numbered(c, ["video_id"], "n").select("video_id", F.concat(F.lit("video"), "n").alias("alias"))
 
 
 @query("cache_1_stage_reuse", A.sql("SELECT video_id, count(*) AS n FROM shots GROUP BY video_id", "shots"))
@@ -254,7 +247,7 @@ def stage_status(spark, sf_dir):
     return spark.createDataFrame([(s, m.entry(s)["status"]) for s in ("good", "bad")], "stage string, status string")
 
 
-@query("cache_3_chained_hashes", "SELECT 4 AS builds")
+@query("cache_3_chained_hashes", "SELECT * FROM (VALUES (1, 'up', 1), (2, 'down', 1), (3, 'up', 2), (4, 'down', 2)) AS v(build, stage, version)")
 def chained_hashes(spark, sf_dir):
     m, built = Manifest(spark, scratch(spark)), []
 
@@ -262,9 +255,9 @@ def chained_hashes(spark, sf_dir):
         return lambda: (built.append(k), spark.range(3).toDF("i"))[1]
 
     for version in (1, 1, 2):
-        _, h = m.run("up", {"version": version}, stage("up"))
-        m.run("down", {}, stage("down"), h)
-    return spark.createDataFrame([(len(built),)], "builds int")
+        _, h = m.run("up", {"version": version}, stage(("up", version)))
+        m.run("down", {}, stage(("down", version)), h)
+    return spark.createDataFrame([(i + 1, *k) for i, k in enumerate(built)], "build int, stage string, version int")
 
 
 @query("cache_4_response_cache", A.sql("SELECT video_id, scene_id, cents % 10 AS answer FROM shots WHERE cents % 4 <> 0", "shots"))
@@ -286,12 +279,84 @@ def column_parameters(spark, sf_dir):
     return diverse_rows(d, ["video_id"], "id", "worth", "price", "place", "family", 60.0).agg(F.count_distinct("video_id").alias("videos"))
 
 
-@query("udf_2_word_provider", A.sql("SELECT count(*) AS n FROM words", "words"))
+@query("udf_2_word_provider", A.sql("SELECT video_id, turn, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS said FROM words GROUP BY ALL", "words"))
 def word_provider(spark, sf_dir):
     from sceneql.sources.providers import provide, provider
 
     provide("words", lambda turns: A.words(turns.sparkSession, sf_dir))
-    return provider("words")(A.turns(spark, sf_dir)).agg(F.count("*").alias("n"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
+    return provider("words")(A.turns(spark, sf_dir)).groupBy("video_id", "turn").agg(F.count("*").alias("n"), said.alias("said"))
+
+
+@query("udf_4_injected_answers", A.sql("SELECT video_id, scene_id, 'scene ' || scene_id || ': ' || event_type AS caption, 1 + cents % 100 AS priority FROM shots WHERE cents % 3 = 0", "shots"))
+def injected_answers(spark, sf_dir):
+    """A client's answers are a provider of rows, a captioner one of a column; a test or a caller puts in its own."""
+    from sceneql.sources.providers import provide, provider
+
+    provide("recommendations", lambda shots: shots.where("cents % 3 = 0").withColumn("priority", 1 + F.col("cents") % 100))
+    asked = provider("recommendations")(A.shots(spark, sf_dir))
+    return provider("captions")(asked).select("video_id", "scene_id", "caption", "priority")
+
+
+@query("udf_6_progress_and_cancel", A.sql("SELECT 'shots' AS stage, 1 AS done, count(*) AS n FROM shots UNION ALL SELECT 'videos', 2, count(DISTINCT video_id) FROM shots UNION ALL SELECT 'cancelled', 2, 0", "shots"))
+def progress_and_cancel(spark, sf_dir):
+    from sceneql.sources.batches import Cancelled, run_stages
+
+    s, seen, counts = A.shots(spark, sf_dir), [], []
+    stages = [("shots", lambda: counts.append(s.count())), ("videos", lambda: counts.append(s.select("video_id").distinct().count())), ("rest", lambda: counts.append(-1))]
+    try:
+        run_stages(spark, stages, lambda name, done, of: seen.append((name, done)), lambda: len(seen) == 2)
+    except Cancelled:
+        seen.append(("cancelled", len(counts)))
+        counts.append(0)
+    return spark.createDataFrame([(*a, n) for a, n in zip(seen, counts)], "stage string, done int, n long")
+
+
+@query("src_8_store_matrix", A.sql("SELECT kf_id AS id, row_number() OVER (ORDER BY kf_id) - 1 AS row, round(list_sum(vec), 5) AS total FROM vectors", "vectors"))
+def store_matrix(spark, sf_dir):
+    from sceneql.functions.vectors import total
+
+    path = scratch(spark)
+    S.write_store(A.vectors(spark, sf_dir).select(F.col("kf_id").alias("id"), F.col("label").cast("string").alias("kind"), "vec"), path)
+    return S.store_matrix(spark, path).select("id", "row", F.round(total("vec"), 5).alias("total"))
+
+
+@query("src_9_store_replace", A.sql("SELECT label::VARCHAR AS kind, count(*) AS n FROM vectors WHERE label <> 3 GROUP BY ALL", "vectors"))
+def store_replace(spark, sf_dir):
+    """A store that is written again holds nothing of what it held."""
+    path = scratch(spark)
+    v = A.vectors(spark, sf_dir).select(F.col("kf_id").alias("id"), F.col("label").cast("string").alias("kind"), "vec")
+    S.write_store(v.where("kind = '3'"), path)
+    S.write_store(v.where("kind <> '3'"), path)
+    return spark.read.schema("id long, vec array<float>, kind string").parquet(path).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("src_26_media_numbers", "SELECT path, CASE WHEN p_partkey % 7 = 0 THEN 999 ELSE p_partkey END::INT AS number FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '/m/intro' || repeat('x', (p_partkey % 5)::INT) || '.mp4' ELSE '/m/video' || p_partkey || '.mp4' END AS path FROM part)")
+def media_numbers(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("/m/intro"), F.expr("repeat('x', cast(p_partkey % 5 as int))"))).otherwise(F.concat(F.lit("/m/video"), F.col("p_partkey")))
+    return S.by_number(A.table(spark, sf_dir, "part").select(F.concat(name, F.lit(".mp4")).alias("path")))
+
+
+@query("cache_6_duplicate_upload", A.sql("SELECT video_id, count(*) AS n, 'analysis,selection,selection' AS built FROM shots WHERE action_score >= 0.8e0 GROUP BY video_id", "shots"))
+def duplicate_upload(spark, sf_dir):
+    """A second upload of one content takes over the analysis and runs its own selection alone."""
+    first, second, built = Manifest(spark, scratch(spark)), Manifest(spark, scratch(spark)), []
+
+    def upload(m, least):
+        def analyse():
+            built.append("analysis")
+            return A.shots(spark, sf_dir).select("video_id", "scene_id", "action_score")
+
+        def select():
+            built.append("selection")
+            return scored.where(F.col("action_score") >= least).groupBy("video_id").agg(F.count("*").alias("n"))
+
+        scored, h = m.run("analysis", {"content": "same"}, analyse)
+        return m.run("selection", {"least": least}, select, h)[0]
+
+    upload(first, 0.5)
+    second.adopt(first, ["analysis"])
+    return upload(second, 0.8).withColumn("built", F.lit(",".join(built)))
 
 
 @query("api_retrieve", A.sql("SELECT kf_id AS id FROM (SELECT v.kf_id, list_cosine_similarity(v.vec, q.vec) AS s FROM vectors v, vectors q WHERE q.kf_id = 3 AND v.kf_id <> 3) ORDER BY s DESC, kf_id LIMIT 8", "vectors"))

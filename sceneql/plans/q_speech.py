@@ -88,10 +88,10 @@ def speaker_turns(spark, sf_dir):
     return I.merge_same(s, ["video_id"], "speaker", "start_seconds", "end_seconds", None)
 
 
-@query("ivl_18_overlap_relabel", A.sql("WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE status = 'P'), b AS (SELECT video_id, speaker, start_day AS ts, end_day AS te FROM spans WHERE status = 'F'), s AS (SELECT a.video_id, span_id, speaker, sum(least(end_day, te) - greatest(start_day, ts)) AS d, min((ts, te)) AS f FROM a JOIN b ON a.video_id = b.video_id AND te > start_day AND ts < end_day GROUP BY ALL) SELECT a.video_id, a.span_id, coalesce(speaker, -1) AS speaker FROM a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY d DESC, f, speaker) AS r FROM s) x ON x.span_id = a.span_id AND r = 1", "spans"))
+@query("ivl_18_overlap_relabel", A.sql("WITH a AS (SELECT video_id, span_id, start_day, end_day FROM spans WHERE status <> 'F'), b AS (SELECT video_id, speaker, start_day AS ts, end_day AS te FROM spans WHERE status = 'F'), s AS (SELECT a.video_id, span_id, speaker, sum(least(end_day, te) - greatest(start_day, ts)) AS d, min((ts, te)) AS f FROM a JOIN b ON a.video_id = b.video_id AND te > start_day AND ts < end_day GROUP BY ALL) SELECT a.video_id, a.span_id, coalesce(speaker, -1) AS speaker FROM a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY video_id, span_id ORDER BY d DESC, f, speaker) AS r FROM s) x ON x.span_id = a.span_id AND r = 1", "spans"))
 def overlap_relabel(spark, sf_dir):
     s = A.spans(spark, sf_dir)
-    a = s.where("status = 'P'").select("video_id", "span_id", "start_day", "end_day")
+    a = s.where("status <> 'F'").select("video_id", "span_id", "start_day", "end_day")
     b = s.where("status = 'F'").select("video_id", "speaker", F.col("start_day").alias("ts"), F.col("end_day").alias("te"))
     best = J.largest_overlap(a, b, ["video_id"], "span_id", "start_day", "end_day", "ts", "te", "speaker", 8.0)
     return a.join(best.select("span_id", "speaker"), "span_id", "left").select("video_id", "span_id", F.coalesce("speaker", F.lit(-1)).alias("speaker"))

@@ -42,6 +42,15 @@ class Manifest:
     def _write(self, stage: str, hash_: str, status: str, seconds: float) -> None:
         self.spark.createDataFrame([(stage, hash_, status, seconds)], "stage string, hash string, status string, seconds double").coalesce(1).write.mode("overwrite").json(f"{self.folder}/_{stage}")
 
+    def adopt(self, other: Manifest, stages: list[str]) -> None:
+        """The complete stages of another folder as stages of this one, for a second upload of the same content: what is
+        above need not run again, what depends on this folder's own settings does."""
+        for stage in stages:
+            e = other.entry(stage)
+            if e and other.valid(stage, e["hash"]):
+                self.spark.read.parquet(f"{other.folder}/{stage}").write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+                self._write(stage, e["hash"], "complete", e["seconds"])
+
     def run(self, stage: str, config: dict, make: Callable[[], DataFrame], parent: str = "") -> tuple[DataFrame, str]:
         """The stage's table, made or read again, and its hash for the stages below."""
         hash_ = config_hash({"stage": stage, **config}, parent)

@@ -6,6 +6,7 @@ Every sink writes through Spark's commit protocol, so a reader never sees half a
 from __future__ import annotations
 
 import io
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +20,32 @@ from sceneql.sources.package import ship
 SHOTS = "video_id string, scene_id int, start_frame long, end_frame long, start_timecode string, end_timecode string, start_seconds double, end_seconds double, duration_seconds double"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what outlives a stage: the context's checkpoint folder, else the one that spark.checkpoint.dir names;
+    one of this machine only where all runs on it."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/sceneql-checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """df with its rows' numbers by `order`, from 1: a range shuffle, and sums of the counts of the ranges before; only these
+    counts, a row a range, meet in one task. Rows that are equal in `order` are numbered in any order."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    d = placed.withColumn("_range", F.shiftright("_at", 33)).join(counts, "_range")
+    return d.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_before", "_at")
+
+
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=not lines)
 
@@ -75,8 +102,12 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
 
 def media_listing(spark: SparkSession, path: str, suffix: str = ".mp4") -> DataFrame:
     """Files by the number in their name; those without one last."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "length")
-    return d.withColumn("number", F.coalesce(F.expr("try_cast(regexp_extract(path, '([0-9]+)[.][^.]*$', 1) as int)"), F.lit(999))).orderBy("number", "path")
+    return by_number(spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "length"))
+
+
+def by_number(files: DataFrame) -> DataFrame:
+    """files with the number at the end of their path's name, in its order; 999 without one."""
+    return files.withColumn("number", F.coalesce(F.expr("try_cast(regexp_extract(path, '([0-9]+)[.][^.]*$', 1) as int)"), F.lit(999))).orderBy("number", "path")
 
 
 def keyframe_names(files: DataFrame, path: str) -> DataFrame:
@@ -90,8 +121,8 @@ def ingest(new: DataFrame, registry: DataFrame, content: str) -> DataFrame:
     last = F.coalesce(F.max(F.regexp_extract("alias", r"video(\d+)$", 1).cast("int")), F.lit(0))
     top = registry.agg(last.alias("_top"))
     d = seen.join(registry, "sha256", "left").crossJoin(F.broadcast(top))  # one row
-    rank = F.sum(F.col("alias").isNull().cast("int")).over(Window.orderBy("sha256").rowsBetween(Window.unboundedPreceding, 0))
-    return d.select("sha256", F.coalesce("alias", F.concat(F.lit("video"), F.col("_top") + rank)).alias("alias"))
+    free = numbered(d.where("alias is null").select("sha256", "_top"), ["sha256"], "_rank")
+    return d.where("alias is not null").select("sha256", "alias").unionByName(free.select("sha256", F.concat(F.lit("video"), F.col("_top") + F.col("_rank")).alias("alias")))
 
 
 def overrides(df: DataFrame) -> DataFrame:
@@ -169,6 +200,13 @@ def write_store(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
+def store_matrix(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(id, row, vec): the store's vectors as rows of a matrix, from 0 by id."""
+    d = spark.read.parquet(path)
+    d = d.where(F.col("kind") == kind) if kind else d
+    return numbered(d.select("id", "vec"), ["id"], "_n").select("id", (F.col("_n") - 1).alias("row"), "vec")
+
+
 def search_store(spark: SparkSession, path: str, vector: Sequence[float], k: int, kind: str | None = None) -> DataFrame:
     """The k documents nearest to a vector by cosine; documents of another size are skipped."""
     from sceneql.functions.vectors import cosine

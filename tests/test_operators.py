@@ -318,3 +318,43 @@ def test_dialogue_cues(spark):
 def test_sound_labels(spark):
     d = spark.createDataFrame([("Glass, chink, clink",), ("Baby laughter",), ("Hum",)], "s string").select(T.translate_event("s").alias("t"))
     assert [r.t for r in d.collect()] == ["Glass clink", "Laughter", "Hum"]
+
+
+SEGS = "video_id int, start_seconds double, end_seconds double, segment_score double, video_duration double"
+TURNS = "video_id int, start_seconds double, end_seconds double"
+
+
+def test_speech_safe_segments_within_the_budget(spark):
+    segs = spark.createDataFrame([(0, 2.0, 3.5, 0.9, 100.0), (0, 12.0, 13.0, 0.2, 100.0), (1, 0.0, 16.1, 0.6, 100.0), (1, 40.0, 47.3, 0.67, 100.0), (1, 80.0, 91.6, 0.75, 100.0)], SEGS)
+    turns = spark.createDataFrame([(0, 1.0, 4.0), (0, 11.5, 13.5), (2, 0.0, 50.0)], TURNS)
+    got = [(r.start_seconds, r.end_seconds, r.speech) for r in G.speech_safe(segs.where("video_id = 0"), turns, 4.0).collect()]
+    assert got == [(0.78, 4.22, True)]
+    got = sorted((r.start_seconds, r.end_seconds) for r in G.speech_safe(segs.where("video_id = 1"), turns, 30.0).collect())
+    assert [a for a, _ in got] == [0.0, 80.0] and 27 < sum(z - a for a, z in got) <= 30
+    assert G.speech_safe(segs.where("video_id = 9"), turns, 30.0).count() == 0
+    assert G.speech_safe(segs, turns.where("false")).count() == 5
+    # a single silent segment is trimmed, one that nothing fits has no row
+    one = spark.createDataFrame([(0, 50.0, 80.0, 0.5, 100.0), (2, 10.0, 20.0, 0.5, 100.0)], SEGS)
+    assert [(r.video_id, r.start_seconds, r.end_seconds) for r in G.speech_safe(one, turns, 8.0).collect()] == [(0, 50.0, 58.0)]
+
+
+def test_speech_safe_equals_the_plain_guard(spark):
+    rnd = random.Random(5)
+    rows, said = [], []
+    for v in range(40):
+        at = 0.0
+        for _ in range(rnd.randrange(1, 9)):
+            at += rnd.randrange(1, 80) / 10
+            rows.append((v, at, at + rnd.randrange(5, 90) / 10, rnd.randrange(100) / 100, 90.0))
+            at = rows[-1][2]
+        said += [(v, a, a + rnd.randrange(3, 60) / 10) for a in (rnd.randrange(900) / 10 for _ in range(rnd.randrange(9)))]
+    for target in (None, 12.0, 30.0):
+        got = {}
+        for r in G.speech_safe(spark.createDataFrame(rows, SEGS), spark.createDataFrame(said, TURNS), target).collect():
+            got.setdefault(r.video_id, []).append((r.start_seconds, r.end_seconds, r.segment_score))
+        for v in range(40):
+            turns = [t[1:] for t in said if t[0] == v]
+            safe = S.guard([{"start": a, "end": z, "score": s, "speech": False} for w, a, z, s, _ in rows if w == v], turns, None, duration=90.0)
+            told = [r | {"speech": any(a < r["end"] and z > r["start"] for a, z in turns)} for r in safe]
+            want = told if target is None else S.fill(told, target)
+            assert sorted(got.get(v, [])) == sorted((r["start"], r["end"], r["score"]) for r in want)

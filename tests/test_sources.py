@@ -92,3 +92,41 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("utterances").collect()}
     want = {tuple(r) for r in sessions.utterance_sessions(d).collect()}
     assert got and got <= want and len(want) == 3
+
+
+def test_numbers_follow_the_order(spark):
+    d = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("_at"))
+    got = S.numbered(d.select("k"), ["k"], "n").collect()
+    assert len(got) == 5000 and all(r.n == r.k + 1 for r in got)
+    assert S.numbered(d.select("k").where("k < 0"), ["k"], "n").count() == 0
+    same = S.numbered(spark.range(60).select((F.col("id") % 3).alias("k")), ["k"], "n").collect()
+    assert sorted(r.n for r in same) == list(range(1, 61)) and [r.k for r in sorted(same, key=lambda r: r.n)] == [i // 20 for i in range(60)]
+
+
+def test_contents_get_free_aliases(spark):
+    import hashlib
+
+    hashes = sorted(hashlib.sha256(t.encode()).hexdigest() for t in "abc")
+    known = spark.createDataFrame([(hashes[1], "video4")], "sha256 string, alias string")
+    new = spark.createDataFrame([(t,) for t in "abca"], "text string")
+    assert {r.sha256: r.alias for r in S.ingest(new, known, "text").collect()} == {hashes[0]: "video5", hashes[1]: "video4", hashes[2]: "video6"}
+    assert S.ingest(new, known.where("false"), "text").count() == 3
+
+
+def test_stages_report_and_stop(spark):
+    from sceneql.sources.batches import Cancelled, run_stages
+
+    seen = []
+    assert run_stages(spark, [("a", lambda: 1), ("b", lambda: 2)], lambda *p: seen.append(p)) == [1, 2]
+    assert seen == [("a", 1, 2), ("b", 2, 2)]
+    with pytest.raises(Cancelled):
+        run_stages(spark, [("a", lambda: 1)], cancelled=lambda: True)
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_a_stage_that_is_not_complete_is_not_taken_over(spark, tmp_path):
+    a, b = Manifest(spark, str(tmp_path / "a")), Manifest(spark, str(tmp_path / "b"))
+    with pytest.raises(RuntimeError):
+        a.run("bad", {}, lambda: (_ for _ in ()).throw(RuntimeError("stage")))
+    b.adopt(a, ["bad", "never"])
+    assert b.entry("bad") is None and b.entry("never") is None
