@@ -40,19 +40,8 @@ knap("sel_7_knapsack_whole", "greatest(1, floor(duration))::BIGINT", 50, 50.7, s
 
 @query("sel_3_protected_first")
 def protected_first(spark, sf_dir):
-    def f(rows):
-        left, kept, rest = 60, [], []
-        for r in sorted(rows, key=lambda r: -r["value"]):
-            c = S.ticks(r["duration"], 0.5, "ceil")
-            if r["flag"] == "R" and c <= left:
-                kept.append(r)
-                left -= c
-            else:
-                rest.append(r)
-        pick = S.knapsack([r["value"] * max(r["duration"], 1.0) ** 0.5 for r in rest], [S.ticks(r["duration"], 0.5, "ceil") for r in rest], left)
-        return [{"ord": r["ord"]} for r in kept + [rest[i] for i in pick]]
-
-    return by_group(A.items(spark, sf_dir), ["video_id"], ["ord"], ["value", "duration", "flag"], f, "ord bigint")
+    d = A.items(spark, sf_dir).select("video_id", "ord", "duration", (F.round(F.col("value") * 100).cast("long") % 101 / F.lit(100.0)).alias("score"), (F.col("flag") == "R").alias("protected"), (F.col("discount") > 0.05).alias("anchor"), (F.col("flag") == "A").alias("reserve"))
+    return S.chosen_rows(d, ["ord"], "score", "duration", 60.0, protected="protected", anchor="anchor", reserve="reserve")
 
 
 @query("sel_8_soft_diversity")
@@ -105,22 +94,8 @@ def adaptive_importance(spark, sf_dir):
 @query("sel_14_balanced_acts")
 def balanced_acts(spark, sf_dir):
     d = A.shots(spark, sf_dir).withColumn("act", P.act((F.col("start_seconds") + F.col("end_seconds")) / 2 / F.col("video_duration")))
-    quotas = {"act_i": 0.20, "act_ii": 0.50, "act_iii": 0.30}
-
-    def f(rows):
-        out, spent = [], {}
-        for act, share in quotas.items():
-            own = [r for r in rows if r["act"] == act]
-            pick = S.knapsack([r["narrative_score"] * max(r["duration_seconds"], 1.0) ** 0.5 for r in own], [S.ticks(r["duration_seconds"], 0.5, "ceil") for r in own], round(90.0 * share / 0.5))
-            out += [own[i] for i in pick]
-            spent[act] = sum(own[i]["duration_seconds"] for i in pick)
-        for r in sorted((r for r in rows if r not in out), key=lambda r: -r["narrative_score"] / max(r["duration_seconds"], 0.5)):
-            if spent[r["act"]] + r["duration_seconds"] <= 1.20 * 90.0 * quotas[r["act"]] and sum(spent.values()) + r["duration_seconds"] <= 90.0:
-                out.append(r)
-                spent[r["act"]] += r["duration_seconds"]
-        return [{"scene_id": r["scene_id"]} for r in out]
-
-    return by_group(d, ["video_id"], ["scene_id"], ["act", "narrative_score", "duration_seconds"], f, "scene_id bigint")
+    d = d.withColumn("must", (F.col("scene_id") == 1) & (F.col("duration_seconds") < 30)).withColumn("protected", F.col("onset") > 0.9).withColumn("anchor", F.col("emotion") > 0.9).withColumn("reserve", F.col("energy") < 0.3)
+    return S.chosen_rows(d, ["scene_id"], "narrative_score", "duration_seconds", 90.0, "act", "must", "protected", "anchor", "reserve")
 
 
 @query("sel_15_greedy_fill")

@@ -358,3 +358,56 @@ def test_speech_safe_equals_the_plain_guard(spark):
             told = [r | {"speech": any(a < r["end"] and z > r["start"] for a, z in turns)} for r in safe]
             want = told if target is None else S.fill(told, target)
             assert sorted(got.get(v, [])) == sorted((r["start"], r["end"], r["score"]) for r in want)
+
+
+def _best_worth(rows, places, room):
+    """The most that any subset of rows is worth within room half seconds."""
+    best = 0.0
+    for n in range(len(places) + 1):
+        for some in itertools.combinations(places, n):
+            if sum(max(1, math.ceil(rows[i][1] / 0.5)) for i in some) <= room:
+                best = max(best, sum(_worth(rows[i]) for i in some))
+    return best
+
+
+def _worth(r):
+    return r[0] * math.sqrt(max(r[1], 1.0)) + (0.75 if r[2] else 0.0) + (0.0 if r[4] else 0.20)
+
+
+def test_protected_rows_come_first():
+    rnd = random.Random(11)
+    for _ in range(120):
+        rows = [(rnd.randrange(100) / 100, rnd.randrange(2, 40) / 4, rnd.random() < 0.3, rnd.random() < 0.4, rnd.random() < 0.5) for _ in range(rnd.randrange(8))]
+        budget = rnd.randrange(0, 40) / 2
+        room, kept = round(budget / 0.5), []
+        for i in sorted((i for i in range(len(rows)) if rows[i][2]), key=lambda i: (not rows[i][3], -rows[i][0], i)):
+            cost = max(1, math.ceil(rows[i][1] / 0.5))
+            if cost <= room:
+                kept.append(i)
+                room -= cost
+        got = S.protected_first([r[0] for r in rows], [r[1] for r in rows], budget, *[[r[k] for r in rows] for k in (2, 3, 4)])
+        assert set(kept) <= set(got) and sum(rows[i][1] for i in got) <= budget + 1e-9
+        rest = [i for i in range(len(rows)) if i not in kept]
+        assert math.isclose(sum(_worth(rows[i]) for i in got if i not in kept), _best_worth(rows, rest, room), abs_tol=1e-9)
+
+
+def test_balanced_acts():
+    rnd = random.Random(12)
+    for _ in range(60):
+        n = rnd.randrange(1, 30)
+        score, length = [rnd.randrange(100) / 100 for _ in range(n)], [rnd.randrange(4, 60) / 4 for _ in range(n)]
+        act = [rnd.choice(list(S.ACT_QUOTAS)) for _ in range(n)]
+        must = [i == 0 for i in range(n)]
+        got = S.balanced_acts(score, length, act, 40.0, must)
+        # a mandatory row over its act's share is not taken from the other acts' shares
+        over = max(0.0, length[0] - S.ACT_QUOTAS[act[0]] * 40.0)
+        assert 0 in got and sum(length[i] for i in got) <= 40.0 + over + 1e-6
+        spent = {a: sum(length[i] for i in got if act[i] == a) for a in S.ACT_QUOTAS}
+        for a, q in S.ACT_QUOTAS.items():
+            assert spent[a] - (length[0] if act[0] == a else 0.0) <= 1.2 * q * 40.0 + 1e-6
+        # nothing that is left fits both what remains and its act's limit
+        for i in set(range(n)) - set(got):
+            assert sum(length[j] for j in got) + length[i] > 40.0 + 1e-6 or spent[act[i]] + length[i] > 1.2 * S.ACT_QUOTAS[act[i]] * 40.0 + 1e-6
+    with pytest.raises(ValueError):
+        S.balanced_acts([1.0], [50.0], ["act_i"], 40.0, [True])
+    assert S.balanced_acts([], [], [], 40.0) == []
