@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,3 +34,44 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
                 yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return g.mapInArrow(run, out)
+
+
+#: Rows of one kind that a group may have; more raise an error instead of filling a task's memory.
+MOST = 2_000_000
+
+
+def by_arrays(frames: Mapping[str, tuple[DataFrame, Sequence[str]]], keys: Sequence[str], f: Callable[[dict[str, dict[str, np.ndarray]]], Sequence[tuple]], schema: str, most: int = MOST) -> DataFrame:
+    """f over each group of the first frame with the same keys' rows of the others; f returns rows of `schema` as tuples.
+
+    frames: name -> (frame, columns that order it); a group comes as arrays, one for each column that isn't a key. Each frame
+    is shuffled once by the keys, and the groups are joined where they are. A group with more than `most` rows of one kind
+    raises an error.
+    """
+    first = next(iter(frames.values()))[0]
+    ship(first.sparkSession)
+    columns, joined = {}, None
+    for name, (df, order) in frames.items():
+        columns[name] = [*order, *(c for c in df.columns if c not in order and c not in keys)]
+        rows = F.array_sort(F.collect_list(F.struct(*columns[name])))
+        bounded = F.when(F.count("*") <= most, rows).otherwise(F.raise_error(F.lit(f"a group has more than {most} rows of {name}")))
+        g = df.groupBy(*keys).agg(bounded.alias(name))
+        joined = g if joined is None else joined.join(g, list(keys), "left")
+    key_types = ", ".join(f"{k} {first.schema[k].dataType.simpleString()}" for k in keys)
+    out = _parse_datatype_string(f"{key_types}, {schema}")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: list[tuple] = []
+            kept = list(zip(*(b.column(k).to_pylist() for k in range(len(keys)))))
+            lists = {name: b.column(len(keys) + k) for k, name in enumerate(columns)}
+            for i, key in enumerate(kept):
+                group = {}
+                for name, own in columns.items():
+                    values = lists[name][i].values
+                    group[name] = {c: values.field(c).to_numpy(zero_copy_only=False) if values is not None else np.zeros(0) for c in own}
+                made += [(*key, *row) for row in f(group)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], names=arrow.names)
+
+    return joined.select(*keys, *columns).mapInArrow(run, out)

@@ -1,4 +1,4 @@
-"""Segments from scored shots: expansion by context, protected event chains, scores and the budgeted summary."""
+"""Segments of shots: expansion by context, and edges that cut into no turn."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneql.operators import intervals as I
-from sceneql.operators import windows as W
 from sceneql.operators.joins import overlap_join
-from sceneql.operators.selection import adaptive_select, fill_rows
+from sceneql.operators.selection import fill_rows
 
 #: Shortest, target and longest segment, seconds of context before and after, gap to merge, by category.
 CATEGORIES = {"action": (4.0, 7.0, 12.0, 1.5, 2.0, 2.5), "dialogue": (6.0, 10.0, 18.0, 2.0, 2.5, 3.0), "importance": (7.0, 11.0, 30.0, 5.0, 3.0, 3.0), "custom": (4.0, 7.0, 15.0, 1.5, 2.0, 2.5)}
@@ -26,42 +25,13 @@ def expand(shots: DataFrame, pre: float, post: float, shortest: float, event: st
     return d.withColumn("expanded_start", F.greatest(F.lit(0.0), F.col("_a") - F.col("_pad"))).withColumn("expanded_end", F.least("video_duration", F.col("_z") + F.col("_pad"))).drop("_a", "_z", "_pad")
 
 
-def event_chains(shots: DataFrame, anchor: str, payoff: str, most: int, setup: float = 4.0, reach: float = 26.0, cap: float = 50.0) -> DataFrame:
-    """Each video's strongest anchors with their payoff, the strongest later shot that starts within reach, as one interval."""
-    w = Window.partitionBy("video_id").orderBy(F.desc(anchor), "scene_id")
-    a = shots.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("video_id", F.col("scene_id").alias("anchor_id"), F.col("start_seconds").alias("_s"), F.col("end_seconds").alias("_e"))
-    b = shots.select("video_id", "scene_id", F.col("start_seconds").alias("_bs"), F.col("end_seconds").alias("_be"), payoff)
-    # a few anchors a video: the join is on the video
-    hits = a.join(b, "video_id").where((F.col("scene_id") > F.col("anchor_id")) & (F.col("_bs") <= F.col("_e") + reach))
-    best = hits.groupBy("video_id", "anchor_id").agg(F.max_by(F.struct("scene_id", "_be"), F.struct(F.col(payoff), -F.col("scene_id"))).alias("p"))
-    d = a.join(best, ["video_id", "anchor_id"], "left")
-    return d.select("video_id", "anchor_id", F.col("p.scene_id").alias("payoff_id"), F.round(F.greatest(F.lit(0.0), F.col("_s") - setup), 6).alias("start_seconds"), F.round(F.least(F.coalesce("p._be", "_e"), F.col("_s") + cap), 6).alias("end_seconds"))
-
-
-def segments(shots: DataFrame, category: str, score: str, event: str = "emotion") -> DataFrame:
-    """Eligible shots, smoothed, expanded and merged: (video_id, start_seconds, end_seconds, n, segment_score, video_duration)."""
-    shortest, _, _, pre, post, gap = CATEGORIES.get(category, CATEGORIES["importance"])
-    d = W.smooth(shots, score, "smoothed_score")
-    d = W.eligible(d, "smoothed_score")
-    d = expand(d, pre, post, shortest, event, 0.90)
-    d = d.select("video_id", "scene_id", F.col("expanded_start").alias("start_seconds"), F.col("expanded_end").alias("end_seconds"), "smoothed_score", "video_duration")
-    return I.merge(d, ["video_id"], "start_seconds", "end_seconds", gap, ["scene_id"], [F.round(0.6 * F.max("smoothed_score") + 0.4 * F.avg("smoothed_score"), 6).alias("segment_score"), F.max("video_duration").alias("video_duration")])
-
-
-def cut_long(segs: DataFrame, longest: float) -> DataFrame:
-    """Segments over the longest length as consecutive parts of at most that length."""
-    parts = F.greatest(F.lit(1), F.ceil((F.col("end_seconds") - F.col("start_seconds")) / longest)).cast("int")
-    d = segs.withColumn("_n", parts).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_w", (F.col("end_seconds") - F.col("start_seconds")) / F.col("_n"))
-    a = F.col("start_seconds") + F.col("_i") * F.col("_w")
-    return d.withColumn("_a", a).withColumn("end_seconds", F.col("_a") + F.col("_w")).withColumn("start_seconds", F.col("_a")).drop("_a", "_n", "_i", "_w")
-
-
 def speech_safe(segs: DataFrame, turns: DataFrame, target_sec: float | None = None, pad: float = 0.22) -> DataFrame:
-    """(video_id, start_seconds, end_seconds, segment_score, speech): segments that cut into no turn, the last step of a summary.
+    """(video_id, start_seconds, end_seconds, segment_score, speech, mandatory): segments that cut into no turn, the last step of a summary.
 
     Edges leave the turns they lie in, segments within .08 s of each other become one with the best score, and edges leave
     turns again; over the target the fullest choice stays, and a single silent segment is trimmed. A video where none fits
-    has no row. segs: video_id, start_seconds, end_seconds, segment_score, video_duration; turns: video_id, start_seconds,
+    has no row, nor one whose mandatory segments exceed the target. segs: video_id, start_seconds, end_seconds, segment_score,
+    video_duration and, if any must stay, mandatory; turns: video_id, start_seconds,
     end_seconds. Turns of other videos are ignored, and a video without turns keeps its edges.
     """
     key, ends = ["video_id"], ("start_seconds", "end_seconds")
@@ -69,25 +39,11 @@ def speech_safe(segs: DataFrame, turns: DataFrame, target_sec: float | None = No
     def bounded(d: DataFrame) -> DataFrame:
         return I.safe_bounds(d, turns, key, *ends, *ends, pad, "video_duration").where("end_seconds > start_seconds")
 
-    d = bounded(segs.select("video_id", *[F.col(c).cast("double").alias(c) for c in ends], "segment_score", "video_duration"))
-    d = I.merge(d, key, *ends, 0.08, ["segment_score"], [F.max("segment_score").alias("segment_score"), F.max("video_duration").alias("video_duration")]).drop("n")
+    must = F.col("mandatory") if "mandatory" in segs.columns else F.lit(False)
+    d = bounded(segs.select("video_id", *[F.col(c).cast("double").alias(c) for c in ends], "segment_score", "video_duration", must.alias("mandatory")))
+    d = I.merge(d, key, *ends, 0.08, ["segment_score"], [F.max(c).alias(c) for c in ("segment_score", "video_duration", "mandatory")]).drop("n")
     d = bounded(d)
     said = overlap_join(d.select("video_id", *ends), turns.select("video_id", F.col("start_seconds").alias("_s"), F.col("end_seconds").alias("_e")), key, *ends, "_s", "_e", 30.0)
     told = said.select("video_id", *ends).distinct().withColumn("speech", F.lit(True))
-    d = d.join(told, ["video_id", *ends], "left").select("video_id", *ends, "segment_score", F.coalesce("speech", F.lit(False)).alias("speech"))
+    d = d.join(told, ["video_id", *ends], "left").select("video_id", *ends, "segment_score", F.coalesce("speech", F.lit(False)).alias("speech"), "mandatory")
     return d if target_sec is None or not 0 < target_sec < 9999 else fill_rows(d, target_sec)
-
-
-def summarize(shots: DataFrame, category: str = "action", target_sec: float | None = 60.0, score: str | None = None, turns: DataFrame | None = None) -> DataFrame:
-    """The segments of each video that best fit a budget of target_sec (None, 0 or 9999 and above: all), in time order.
-
-    shots: video_id, scene_id, start_seconds, end_seconds, video_duration, an event score and the category's score. turns
-    (video_id, start_seconds, end_seconds): the chosen segments cut into none of them.
-    """
-    longest = CATEGORIES.get(category, CATEGORIES["importance"])[2]
-    segs = cut_long(segments(shots, category, score or f"{category}_score"), longest)
-    segs = segs.withColumn("duration", F.col("end_seconds") - F.col("start_seconds"))
-    chosen = adaptive_select(segs, "segment_score", "duration", "start_seconds", target_sec)
-    if turns is not None:
-        chosen = speech_safe(chosen, turns, target_sec).withColumn("duration", F.col("end_seconds") - F.col("start_seconds"))
-    return chosen.select("video_id", F.round("start_seconds", 3).alias("start_seconds"), F.round("end_seconds", 3).alias("end_seconds"), F.round("duration", 3).alias("duration"), "segment_score")

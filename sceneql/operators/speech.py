@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneql.functions import text as T
 from sceneql.functions import vocabularies as L
+from sceneql.operators.intervals import outside_turns
 
 SILENCE, EPSILON, ANSWER, CONTINUATION, LEADING = 2.75, 0.02, 5.0, 12.0, 6.0
 #: How far an edge may move to reach an utterance's edge, and whether sentences are preferred, by category.
@@ -60,78 +64,191 @@ def describe(windows: DataFrame, words: DataFrame, keys: Sequence[str], row: str
     return d.select(*keys, row, F.coalesce(F.col("word_count") > 0, F.lit(False)).alias("has_speech"), F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def expand_complete(a: float, z: float, said: list[dict], limit: float, pad: float = 0.45) -> tuple[float, float]:
+@dataclass(frozen=True)
+class Said:
+    """What a video has to keep whole, as arrays in time order: utterances, words, shots with or without speech, whole turns."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    complete: np.ndarray
+    continues: np.ndarray
+    asks: np.ndarray
+    word_starts: np.ndarray
+    word_ends: np.ndarray
+    shot_starts: np.ndarray
+    shot_ends: np.ndarray
+    speaks: np.ndarray
+    turns: np.ndarray
+    duration: float
+
+    @classmethod
+    def of(cls, utterances: Sequence[tuple] = (), words: Sequence[tuple] = (), shots: Sequence[tuple] = (), turns: Sequence[tuple] = (), duration: float = math.inf) -> Said:
+        """utterances: (start, end, complete, continues, asks); words and turns: (start, end); shots: (start, end, speaks)."""
+        u, w, s, t = (np.array(list(x), dtype=float).reshape(-1, n) for x, n in ((utterances, 5), (words, 2), (shots, 3), (turns, 2)))
+        return cls(u[:, 0], u[:, 1], u[:, 2] > 0, u[:, 3] > 0, u[:, 4] > 0, w[:, 0], w[:, 1], s[:, 0], s[:, 1], s[:, 2] > 0, t, duration)
+
+    def within(self, a: float, z: float) -> np.ndarray:
+        return np.flatnonzero((self.ends > a) & (self.starts < z))
+
+    def words_within(self, a: float, z: float) -> int:
+        return int(np.count_nonzero((self.word_ends > a) & (self.word_starts < z)))
+
+    def after(self, k: int, gap: float) -> int | None:
+        """The utterance that follows utterance k within the gap."""
+        return k + 1 if k + 1 < len(self.starts) and 0.0 <= self.starts[k + 1] - self.ends[k] <= gap else None
+
+    def cut_word(self, at: float) -> int | None:
+        """The first word that `at` lies strictly inside."""
+        hit = np.flatnonzero((self.word_starts + EPSILON < at) & (at < self.word_ends - EPSILON))
+        return int(hit[0]) if len(hit) else None
+
+    def safe(self, a: float, z: float) -> tuple[float, float]:
+        """The edges outside whole turns, by .22 s."""
+        if not len(self.turns):
+            return a, z
+        b, y = outside_turns(np.array([a]), np.array([z]), self.turns, 0.22, self.duration)
+        return float(b[0]), float(y[0])
+
+
+def window(a: float, z: float, said: Said) -> tuple[bool, bool, int]:
+    """(has speech, whole utterances only, words) of a stretch of time.
+
+    An utterance is whole if it lies within and is finished, or what follows it within 12 s lies within, too. Where no word
+    overlaps, shots with speech tell whether there is any, and nothing is cut.
+    """
+    words = said.words_within(a, z)
+    if not words:
+        return bool(((said.shot_ends > a) & (said.shot_starts < z) & said.speaks).any()), True, 0
+    for k in said.within(a, z):
+        n = said.after(k, CONTINUATION)
+        finished = said.complete[k] or (n is not None and z >= said.ends[n] - EPSILON)
+        if a > said.starts[k] + EPSILON or z < said.ends[k] - EPSILON or not finished:
+            return True, False, words
+    return True, True, words
+
+
+def expand_complete(a: float, z: float, said: Said, pad: float = 0.45) -> tuple[float, float]:
     """Edges moved out to whole utterances until nothing changes, an unfinished one followed by the next within 12 s; the
-    pad only where it touches no other utterance. said: utterances (s, e, complete) in order."""
-    for _ in range(64):
+    pad only where it touches no utterance."""
+    a, z = max(0.0, a), min(said.duration, z)
+    while True:
         b, y = a, z
-        for k, u in enumerate(said):
-            if u["s"] < z and u["e"] > a:
-                a, z = min(a, u["s"]), max(z, u["e"])
-                nxt = said[k + 1] if k + 1 < len(said) else None
-                if not u["complete"] and nxt and 0 <= nxt["s"] - u["e"] <= CONTINUATION and nxt["e"] - a <= limit:
-                    z = max(z, nxt["e"])
+        for k in said.within(a, z):
+            a, z = min(a, said.starts[k]), max(z, said.ends[k])
+            n = None if said.complete[k] else said.after(k, CONTINUATION)
+            z = z if n is None else max(z, said.ends[n])
         if (a, z) == (b, y):
             break
-    if all(u["e"] <= a - pad or u["s"] >= a for u in said):
-        a = max(0.0, a - pad)
-    if all(u["s"] >= z + pad or u["e"] <= z for u in said):
-        z += pad
-    return round(a, 3), round(z, 3)
+    b, y = max(0.0, a - pad), min(said.duration, z + pad)
+    a, z = a if len(said.within(b, a)) else b, z if len(said.within(z, y)) else y
+    return round(float(a), 3), round(float(z), 3)
+
+
+def _by_shots(a: float, z: float, said: Said, reach: float, sentences: bool, longest: float) -> tuple[float, float, str, list[str]]:
+    """Alignment of a video without words: to its shots with speech."""
+    hit = np.flatnonzero((said.shot_ends > a) & (said.shot_starts < z) & said.speaks)
+    start, end, why = a, z, []
+    if sentences and len(hit):
+        first, last = float(said.shot_starts[hit[0]]), float(said.shot_ends[hit[-1]])
+        if z - a > longest and last - first <= longest:
+            start, end = first, last
+            why.append("speech_window")
+        else:
+            start = first if 0.0 < a - first <= reach else start
+            end = last if 0.0 < last - z <= reach else end
+        why.append("no_words")
+    if end - start > longest:
+        end = start + longest
+        why.append("cut_to_longest")
+    return start, end, "fallback" if "no_words" in why else "shot", why
+
 
+def _last_end(said: Said, start: float, least: float, most: float, sentences: bool) -> tuple[float, str] | None:
+    """The last end within [least, most] of a finished utterance, if sentences are kept, or else of a word."""
+    for ends, mode in ((said.ends[said.complete], "sentence"),) * sentences + ((said.word_ends, "word"),):
+        fit = ends[(ends >= least) & (ends <= most + EPSILON) & (ends > start)]
+        if len(fit):
+            return float(fit.max()), mode
+    return None
 
-def align(a: float, z: float, said: list[dict], words: list[dict], category: str, longest: float) -> dict:
-    """A segment's edges moved to what is said. said: utterances (s, e, text, complete, continues, asks), words: (s, e), both
-    in order. Returns start, end, mode and the reasons in order."""
+
+def align(a: float, z: float, said: Said, category: str, longest: float) -> dict:
+    """A segment's edges moved to what is said: start, end, mode and the reasons in order.
+
+    Where sentences are kept: an unfinished neighbour joins, edges move to utterances within the category's reach, a question
+    takes its answer or loses the silence behind it, and a thought that fits the longest segment is kept whole. Then no
+    word is cut within reach, and what is too long ends with the last utterance or word that fits.
+    """
     reach, sentences = POLICY.get(category, POLICY["importance"])
-    start, end, mode, why = a, z, "none", []
-    inside = [k for k, u in enumerate(said) if u["s"] < z and u["e"] > a]
-    if sentences and inside:
-        first, last = inside[0], inside[-1]
-        if first > 0:
-            p = said[first - 1]
-            if (not p["complete"] or said[first]["continues"]) and 0 <= said[first]["s"] - p["e"] <= LEADING and end - p["s"] <= longest:
-                first, start, mode = first - 1, p["s"], "sentence"
-                why.append("leading_context")
-        if not said[last]["complete"] and last + 1 < len(said):
-            n = said[last + 1]
-            if 0 <= n["s"] - said[last]["e"] <= CONTINUATION and n["e"] - start <= longest:
-                last, end, mode = last + 1, n["e"], "sentence"
-                why.append("continuation")
-        if EPSILON < start - said[first]["s"] <= reach and end - said[first]["s"] <= longest:
-            start, mode = said[first]["s"], "sentence"
+    a = max(0.0, a)
+    z = max(a, z)
+    if not len(said.word_starts):
+        start, end, mode, why = _by_shots(a, z, said, reach, sentences, longest)
+        return {"start": start, "end": end, "mode": mode, "reasons": ",".join(why)}
+    start, end, mode, why = a, z, "shot", []
+    inside = said.within(a, z)
+    if sentences and len(inside):
+        first, last = int(inside[0]), int(inside[-1])
+        if first > 0 and (not said.complete[first - 1] or said.continues[first]) and said.after(first - 1, LEADING) == first and said.ends[last] - said.starts[first - 1] <= longest:
+            first -= 1
+            why.append("leading_context")
+        n = None if said.complete[last] else said.after(last, CONTINUATION)
+        if n is not None and said.ends[n] - said.starts[first] <= longest:
+            last = n
+            why.append("continuation")
+        if EPSILON < a - said.starts[first] <= reach:
+            start, mode = float(said.starts[first]), "sentence"
             why.append("start_expanded")
-        if EPSILON < said[last]["e"] - end <= reach and said[last]["e"] - start <= longest:
-            end, mode = said[last]["e"], "sentence"
+        if EPSILON < said.ends[last] - z <= reach:
+            end, mode = float(said.ends[last]), "sentence"
             why.append("end_expanded")
-        if said[last]["asks"]:
-            n = said[last + 1] if last + 1 < len(said) else None
-            if n and 0 <= n["s"] - said[last]["e"] <= ANSWER and n["e"] - start <= longest:
-                last, end, mode = last + 1, n["e"], "exchange"
+        if said.asks[last]:
+            n = said.after(last, ANSWER)
+            if n is not None and said.ends[n] - start <= longest:
+                end, mode = max(end, float(said.ends[n])), "exchange"
                 why.append("answer")
-            elif said[last]["e"] < end:
-                end = said[last]["e"]
+            elif z > said.ends[last] + EPSILON:
+                end, mode = float(said.ends[last]), "sentence"
                 why.append("tail_trimmed")
-        if said[last]["e"] - said[first]["s"] <= longest and (start > said[first]["s"] or end < said[last]["e"]):
-            start, end = min(start, said[first]["s"]), max(end, said[last]["e"])
-            mode = mode if mode != "none" else "sentence"
-            why.append("forced_complete")
-    for w in words:
-        if w["s"] + EPSILON < start < w["e"] - EPSILON and start - w["s"] <= max(reach, 0.6):
-            start, mode = w["s"], mode if mode != "none" else "word"
-            why.append("word_start")
-        if w["s"] + EPSILON < end < w["e"] - EPSILON and w["e"] - end <= max(reach, 0.6):
-            end, mode = w["e"], mode if mode != "none" else "word"
-            why.append("word_end")
-    if end - start > longest + 1e-9:
-        whole = [u["e"] for u in said if sentences and u["complete"] and start < u["e"] <= start + longest]
-        ends = whole or [w["e"] for w in words if start < w["e"] <= start + longest]
-        end, mode = (max(ends), mode) if ends else (start + longest, "fallback")
+        if said.ends[last] - said.starts[first] <= longest:
+            if start > said.starts[first] + EPSILON:
+                start, mode = float(said.starts[first]), "sentence"
+                why.append("whole_start")
+            if end < said.ends[last] - EPSILON:
+                end, mode = float(said.ends[last]), "sentence"
+                why.append("whole_end")
+    w = said.cut_word(start)
+    if w is not None and start - said.word_starts[w] <= reach:
+        start, mode = float(said.word_starts[w]), mode if mode != "shot" else "word"
+        why.append("word_start")
+    w = said.cut_word(end)
+    if w is not None and said.word_ends[w] - end <= reach:
+        end, mode = float(said.word_ends[w]), mode if mode != "shot" else "word"
+        why.append("word_end")
+    if end - start > longest:
+        end, mode = _last_end(said, start, start + 0.25, start + longest, sentences) or (start + longest, "fallback")
         why.append("cut_to_longest")
     if end <= start:
         start, end, mode = a, z, "fallback"
         why.append("reverted")
-    return {"start": round(start, 3), "end": round(end, 3), "mode": mode, "reasons": ",".join(why)}
+    return {"start": start, "end": end, "mode": mode, "reasons": ",".join(why)}
+
+
+def budget_end(start: float, most: float, said: Said, category: str, shortest: float) -> float | None:
+    """The last end up to `most`, `shortest` after the start at least, that cuts nothing: of a finished utterance where words
+    are said, else of a shot that ends in no word, else of a word. None where there is none."""
+    least = start + shortest
+    if most < least:
+        return None
+    if said.words_within(start, most):
+        k = said.within(start, most)
+        fit = said.ends[k][said.complete[k] & (said.ends[k] >= least) & (said.ends[k] <= most + EPSILON)]
+        return float(fit.max()) if len(fit) else None
+    for end in sorted({float(e) for e in said.shot_ends if least <= e <= most + EPSILON}, reverse=True):
+        if said.cut_word(end) is None:
+            return end
+    found = _last_end(said, start, least, most, POLICY.get(category, POLICY["importance"])[1])
+    return found[0] if found else None
 
 
 def viterbi(words: list[dict], turns: list[dict], switch: float = 0.35) -> list[str]:

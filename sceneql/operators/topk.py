@@ -38,6 +38,59 @@ def priority_union(lanes: Sequence[tuple[str, DataFrame]], ids: Sequence[str]) -
     return both.groupBy(*ids).agg(F.min_by("source", "_p").alias("source"))
 
 
+#: The lanes of a candidate pool in order, and the share of the limit that a lane ends at.
+LANES = (("required", None), ("local", 0.35), ("time", None), ("event", 0.15), ("neighbour", 0.10), ("story", 0.20), ("score", None))
+
+
+def candidate_pool(shots: DataFrame, local: DataFrame, required: DataFrame, score: str, event: str, story: str, limit: int) -> DataFrame:
+    """(video_id, scene_id, source, place): at most `limit` candidates of each video, lane by lane.
+
+    Lanes in order: required rows; the locally chosen (local: video_id, scene_id, n in order); each time bin's best, 8, 12 or
+    16 bins by the midpoint; each bin's greatest event; the neighbours of all locally chosen ones; each story's best; all by
+    score. A lane with a share offers that many rows, two at least, but no more than the pool has room for when it begins;
+    rows that the pool has already count, too. A fold over the lanes' arrays, which are bounded by the limit or the bins.
+    shots: video_id, scene_id, start_seconds, end_seconds.
+    """
+    limit = min(max(limit, 1), 72)
+    bins = 8 if limit <= 32 else 12 if limit <= 48 else 16
+    key, best = ["video_id"], [F.desc(score), "scene_id"]
+    w, whole = Window.partitionBy(*key).orderBy("start_seconds", "scene_id"), Window.partitionBy(*key)
+    begin = F.min("start_seconds").over(whole)
+    at = ((F.col("start_seconds") + F.col("end_seconds")) / 2 - begin) / F.greatest(F.max("end_seconds").over(whole) - begin, F.lit(0.001))
+    d = shots.select("video_id", "scene_id", score, event, story, F.least(F.floor(bins * at), F.lit(bins - 1)).alias("_bin"), F.lag("scene_id").over(w).alias("_prev"), F.lead("scene_id").over(w).alias("_next"))
+    chosen = d.join(local.select("video_id", "scene_id", F.col("n").alias("_n")), ["video_id", "scene_id"])
+    side = chosen.select("video_id", "_n", F.posexplode(F.array("_prev", "_next")).alias("_side", "scene_id")).where("scene_id is not null")
+    rows = {
+        "required": top(required.select("video_id", "scene_id"), key, ["scene_id"], limit, "n"),
+        "local": top(chosen, key, ["_n"], limit, "n"),
+        "time": top(d, ["video_id", "_bin"], best, 1, "_r").withColumn("n", F.col("_bin")),
+        "event": top(d, ["video_id", "_bin"], [F.desc(event), *best], 1, "_r").withColumn("n", F.col("_bin")),
+        "neighbour": top(side, key, ["_n", "_side"], limit, "n"),
+        "story": top(top(d, ["video_id", story], best, 1, "_r"), key, best, limit, "n"),
+        "score": top(d, key, best, 2 * limit, "n"),
+    }
+    both = None
+    for name, lane in rows.items():
+        x = lane.select("video_id", F.lit(name).alias("lane"), F.col("n").cast("long").alias("n"), "scene_id")
+        both = x if both is None else both.unionByName(x)
+    g = both.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("lane", "n", "scene_id"))).alias("_all")).withColumn("_0", F.array().cast(f"array<{shots.schema['scene_id'].dataType.simpleString()}>"))
+
+    def of(name: str) -> Column:
+        return F.transform(F.filter("_all", lambda x: x["lane"] == name), lambda x: x["scene_id"])
+
+    for k, (name, share) in enumerate(LANES):
+        own = of(name)
+        if share is not None:
+            most = F.lit(max(2, round(share * limit)))
+            own = F.slice(own, F.lit(1), most if name == "local" else F.least(most, F.lit(limit) - F.size(f"_{k}")))
+        g = g.withColumn(f"_{k + 1}", F.slice(F.array_union(F.col(f"_{k}"), own), 1, limit))
+    source = F.lit(None)
+    for k in reversed(range(len(LANES))):
+        source = F.when(F.col("place") <= F.size(f"_{k + 1}"), LANES[k][0]).otherwise(source)
+    placed = g.select("*", F.posexplode(f"_{len(LANES)}").alias("_at", "scene_id")).withColumn("place", F.col("_at") + 1)
+    return placed.select("video_id", "scene_id", source.alias("source"), "place")
+
+
 def min_max(df: DataFrame, value: str, out: str, flat: float, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """value within its key's range as 0 to 1; `flat` where all are equal."""
     w = Window.partitionBy(*keys)

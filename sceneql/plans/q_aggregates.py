@@ -231,14 +231,20 @@ def anchors_per_act(spark, sf_dir):
 
 
 @query("top_4_act_reserves", A.sql("""
-WITH a AS (SELECT *, CASE WHEN (start_seconds + end_seconds) / 2e0 / video_duration < 0.25e0 THEN 1 WHEN (start_seconds + end_seconds) / 2e0 / video_duration < 0.75e0 THEN 2 ELSE 3 END AS act FROM shots),
-o AS (SELECT *, row_number() OVER (PARTITION BY video_id, story_id ORDER BY act, narrative_score DESC, scene_id) AS k FROM a)
-SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, act ORDER BY narrative_score DESC, scene_id) AS g FROM o WHERE k = 1) WHERE g <= 8""", "shots"))
+WITH d AS (SELECT video_id, scene_id, story_id, round(0.20e0 * coalesce(lag(narrative_score) OVER w, narrative_score) + 0.60e0 * narrative_score + 0.20e0 * coalesce(lead(narrative_score) OVER w, narrative_score), 4) AS x, emotion, onset >= 0.95e0 AS chosen,
+  CASE WHEN (start_seconds + end_seconds) / 2e0 / video_duration < 0.25e0 THEN 1 WHEN (start_seconds + end_seconds) / 2e0 / video_duration < 0.75e0 THEN 2 ELSE 3 END AS act FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY scene_id)),
+f AS (SELECT * FROM d WHERE (video_id, story_id) NOT IN (SELECT (video_id, story_id) FROM d WHERE chosen)),
+a1 AS (SELECT * FROM (SELECT * FROM f WHERE act = 1 QUALIFY row_number() OVER (PARTITION BY video_id, story_id ORDER BY x DESC, emotion DESC, scene_id) = 1) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY x DESC, emotion DESC, scene_id) <= 2),
+a2 AS (SELECT * FROM (SELECT * FROM f WHERE act = 2 AND (video_id, story_id) NOT IN (SELECT (video_id, story_id) FROM a1) QUALIFY row_number() OVER (PARTITION BY video_id, story_id ORDER BY x DESC, emotion DESC, scene_id) = 1) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY x DESC, emotion DESC, scene_id) <= 2),
+a3 AS (SELECT * FROM (SELECT * FROM f WHERE act = 3 AND (video_id, story_id) NOT IN (SELECT (video_id, story_id) FROM a1 UNION ALL SELECT (video_id, story_id) FROM a2) QUALIFY row_number() OVER (PARTITION BY video_id, story_id ORDER BY x DESC, emotion DESC, scene_id) = 1) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY x DESC, emotion DESC, scene_id) <= 2)
+SELECT video_id, scene_id FROM a1 UNION ALL SELECT video_id, scene_id FROM a2 UNION ALL SELECT video_id, scene_id FROM a3""", "shots"))
 def act_reserves(spark, sf_dir):
-    mid = (F.col("start_seconds") + F.col("end_seconds")) / 2 / F.col("video_duration")
-    d = A.shots(spark, sf_dir).withColumn("act", F.when(mid < 0.25, 1).when(mid < 0.75, 2).otherwise(3))
-    d = K.top(d, ["video_id", "story_id"], ["act", F.desc("narrative_score"), "scene_id"], 1, "k")
-    return K.top(d, ["video_id", "act"], [F.desc("narrative_score"), "scene_id"], 8, "g").select("video_id", "scene_id")
+    from sceneql.operators import summary as M
+
+    s = A.shots(spark, sf_dir)
+    d = M.prepared(s.drop("credit_probability"), "narrative_score", {"event": "emotion", "story": "story_id"})
+    # two an act, so that stories passed over in one act are left for the next
+    return M.act_reserves(d.join(s.where("onset >= 0.95").select("video_id", "scene_id"), ["video_id", "scene_id"]), d, 2)
 
 
 @query("top_7_top_fifth", A.sql("SELECT video_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY action_score DESC, scene_id DESC) AS r FROM shots) WHERE r <= floor(n_shots * 0.2e0)", "shots"))

@@ -161,32 +161,35 @@ def overlap_suppression(spark, sf_dir):
 
 
 @query("ivl_26_conflict_bridges", A.sql("""
-WITH g AS (SELECT video_id, scene_id, lag(end_seconds) OVER w AS gap_start, start_seconds AS gap_end, video_duration, start_seconds - lag(end_seconds) OVER w AS gap FROM shots WHERE credit_probability > 0.8e0 WINDOW w AS (PARTITION BY video_id ORDER BY scene_id)),
-w AS (SELECT * FROM g WHERE gap >= 90e0),
-c AS (SELECT w.video_id, w.scene_id AS after_id, s.scene_id, s.emotion, row_number() OVER (PARTITION BY w.video_id, w.scene_id ORDER BY s.emotion DESC, s.scene_id) AS r FROM w JOIN shots s ON s.video_id = w.video_id AND s.start_seconds > w.gap_start AND s.start_seconds <= w.gap_start + least(0.45e0 * w.gap, 180e0))
-SELECT video_id, after_id, scene_id, emotion FROM c WHERE r <= 2""", "shots"))
+WITH c AS (SELECT *, start_seconds / video_duration AS spot, lag(end_seconds) OVER w AS f, lag(start_seconds / video_duration) OVER w AS before FROM shots WHERE onset >= 0.8e0 WINDOW w AS (PARTITION BY video_id ORDER BY start_seconds, scene_id)),
+g AS (SELECT video_id, scene_id AS gap, f + 5e0 AS lo, least(start_seconds - 5e0, f + least(0.45e0 * (start_seconds - f), 180e0)) AS hi FROM c WHERE start_seconds - f >= 20e0 AND before >= 0.72e0 AND spot BETWEEN 0.80e0 AND 0.94e0),
+h AS (SELECT g.video_id, gap, s.scene_id, s.start_seconds FROM g JOIN shots s ON s.video_id = g.video_id AND s.start_seconds BETWEEN lo AND hi WHERE action_score >= 0.2e0 AND emotion >= 0.2e0 AND speech_ratio <= 0.8e0 AND onset < 0.8e0),
+k AS (SELECT a.video_id, a.gap, a.scene_id, a.start_seconds FROM h a JOIN h b ON a.video_id = b.video_id AND a.gap = b.gap AND b.start_seconds BETWEEN a.start_seconds AND a.start_seconds + 30e0 GROUP BY ALL HAVING count(*) >= 3),
+x AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY video_id, gap ORDER BY start_seconds, scene_id) = 1)
+SELECT video_id, scene_id FROM x QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY start_seconds, scene_id) <= 2""", "shots"))
 def conflict_bridges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from sceneql.operators import joins as J
+    from sceneql.operators import summary as M
 
-    s = A.shots(spark, sf_dir)
-    w = Window.partitionBy("video_id").orderBy("scene_id")
-    g = s.where("credit_probability > 0.8").withColumn("gap_start", F.lag("end_seconds").over(w)).withColumn("gap", F.col("start_seconds") - F.col("gap_start")).where("gap >= 90")
-    g = g.select("video_id", F.col("scene_id").alias("after_id"), F.col("gap_start").alias("lo"), (F.col("gap_start") + F.least(0.45 * F.col("gap"), F.lit(180.0))).alias("hi"))
-    hits = J.overlap_join(g, s.select("video_id", "scene_id", "emotion", "start_seconds"), ["video_id"], "lo", "hi", "start_seconds", "start_seconds", 60.0, -1.0).where("start_seconds > lo and start_seconds <= hi")
-    best = Window.partitionBy("video_id", "after_id").orderBy(F.desc("emotion"), "scene_id")
-    return hits.withColumn("r", F.row_number().over(best)).where("r <= 2").select("video_id", "after_id", "scene_id", "emotion")
+    d = M.prepared(A.shots(spark, sf_dir).drop("credit_probability"), "narrative_score", {"event": "emotion"})
+    chosen = d.join(A.shots(spark, sf_dir).where("onset >= 0.8").select("video_id", "scene_id"), ["video_id", "scene_id"])
+    # the table's videos are short and its scores independent: gaps of 20 s and low floors
+    return M.conflict_bridges(chosen, d, 20.0, floors=(0.2, 0.2), quiet=0.8)
 
 
 @query("ivl_27_event_chains", A.sql("""
-WITH a AS (SELECT video_id, scene_id AS anchor_id, end_seconds AS ae, start_seconds AS ast FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM shots) WHERE r <= 2),
-p AS (SELECT a.*, s.scene_id AS payoff_id, s.end_seconds AS pe, row_number() OVER (PARTITION BY a.video_id, anchor_id ORDER BY s.emotion DESC, s.scene_id) AS r FROM a JOIN shots s ON s.video_id = a.video_id AND s.scene_id > anchor_id AND s.start_seconds <= ae + 26e0)
-SELECT a.video_id, a.anchor_id, p.payoff_id, round(greatest(0e0, a.ast - 4e0), 6) AS start_seconds, round(least(coalesce(p.pe, a.ae), a.ast + 50e0), 6) AS end_seconds FROM a LEFT JOIN p ON p.video_id = a.video_id AND p.anchor_id = a.anchor_id AND p.r = 1""", "shots"))
+WITH d AS (SELECT *, row_number() OVER w AS n, lag(start_seconds) OVER w AS ps, lag(end_seconds) OVER w AS pe, 0.40e0 * emotion + 0.30e0 * 0e0 + 0.20e0 * energy + 0.10e0 * narrative_score AS v, (start_seconds + end_seconds) / 2e0 / video_duration AS mid FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY start_seconds, scene_id)),
+q AS (SELECT *, CASE WHEN mid < 0.25e0 THEN 1 WHEN mid < 0.75e0 THEN 2 ELSE 3 END AS act FROM d WHERE dialogue_score >= 0.3e0 AND (emotion >= 0.94e0 OR energy >= 0.94e0)),
+a AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY video_id, act ORDER BY v DESC, scene_id) <= CASE act WHEN 1 THEN 1 ELSE 2 END),
+b AS (SELECT *, emotion >= 0.90e0 AND start_seconds / video_duration BETWEEN 0.80e0 AND 0.94e0 AS late, CASE WHEN start_seconds - pe <= 4e0 THEN ps ELSE start_seconds END AS setup FROM a QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY v DESC, scene_id) <= 4),
+p AS (SELECT b.video_id, b.scene_id, x.end_seconds AS e FROM b JOIN d x ON x.video_id = b.video_id AND x.n > b.n AND x.start_seconds <= b.end_seconds + 26e0 QUALIFY row_number() OVER (PARTITION BY b.video_id, b.scene_id ORDER BY 0.50e0 * x.emotion + 0.25e0 * x.action_score + 0.25e0 * x.narrative_score DESC, x.end_seconds DESC) = 1),
+l AS (SELECT b.video_id, b.scene_id, x.end_seconds AS e FROM b JOIN d x ON x.video_id = b.video_id AND x.n > b.n AND x.end_seconds <= b.end_seconds + 50e0 AND x.emotion >= 0.90e0 WHERE late QUALIFY row_number() OVER (PARTITION BY b.video_id, b.scene_id ORDER BY x.n DESC) = 1),
+z AS (SELECT b.*, greatest(b.end_seconds, coalesce(p.e, 0e0), coalesce(l.e, 0e0)) AS ce FROM b LEFT JOIN p USING (video_id, scene_id) LEFT JOIN l USING (video_id, scene_id))
+SELECT video_id, scene_id, round(greatest(setup, ce - CASE WHEN late THEN 50e0 ELSE 30e0 END), 3) AS chain_start, round(ce, 3) AS chain_end, late, round(v, 4) AS anchor_value FROM z""", "shots"))
 def event_chains(spark, sf_dir):
-    from sceneql.operators import segments as S
+    from sceneql.operators import summary as M
 
-    return S.event_chains(A.shots(spark, sf_dir), "narrative_score", "emotion", 2)
+    d = M.prepared(A.shots(spark, sf_dir).drop("credit_probability"), "narrative_score", {"event": "emotion", "hybrid": "energy", "importance_score": "narrative_score"})
+    return M.event_chains(d.where("dialogue_score >= 0.3"), d, 180.0)
 
 
 @query("ivl_16_continuity_groups", A.sql("""

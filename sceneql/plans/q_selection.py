@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneql.operators import scoring as P
-from sceneql.operators import segments as G
+from sceneql.operators import joins as J
 from sceneql.operators import selection as S
+from sceneql.operators import speech as P2
+from sceneql.operators import summary as M
 from sceneql.operators import topk as K
+from sceneql.operators import windows as W
 from sceneql.operators.groups import by_group
 from sceneql.plans import adapters as A
 from sceneql.plans.registry import query
@@ -50,21 +53,42 @@ def soft_diversity(spark, sf_dir):
     return S.diverse_rows(d, ["video_id"], "scene_id", "narrative_score", "duration_seconds", "position", "story_id", 90.0)
 
 
-@query("sel_10_candidate_pool", A.sql("""
-WITH d AS (SELECT *, least(7, floor(8e0 * start_seconds / video_duration)) AS bin FROM shots),
-l AS (SELECT video_id, scene_id, 1 AS lane FROM d WHERE emotion = 1e0
- UNION ALL SELECT video_id, scene_id, 2 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS r FROM d) WHERE r <= 11
- UNION ALL SELECT video_id, scene_id, 3 FROM (SELECT *, row_number() OVER (PARTITION BY video_id, bin ORDER BY narrative_score DESC, scene_id) AS r FROM d) WHERE r = 1
- UNION ALL SELECT video_id, scene_id, 4 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY emotion DESC, scene_id) AS r FROM d) WHERE r <= 5
- UNION ALL SELECT video_id, scene_id, 5 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS q FROM (SELECT *, row_number() OVER (PARTITION BY video_id, story_id ORDER BY narrative_score DESC, scene_id) AS r FROM d) WHERE r = 1) WHERE q <= 6),
-u AS (SELECT video_id, scene_id, min(lane) AS lane FROM l GROUP BY ALL)
-SELECT video_id, scene_id, lane FROM (SELECT u.*, row_number() OVER (PARTITION BY u.video_id ORDER BY lane, narrative_score DESC, u.scene_id) AS r FROM u JOIN d USING (video_id, scene_id)) WHERE r <= 32""", "shots"))
-def candidate_pool(spark, sf_dir):
-    s = A.shots(spark, sf_dir).withColumn("bin", F.least(F.lit(7), F.floor(8.0 * F.col("start_seconds") / F.col("video_duration"))))
-    best = [F.desc("narrative_score"), "scene_id"]
-    lanes = [("1", s.where("emotion = 1e0")), ("2", K.top(s, ["video_id"], best, 11)), ("3", K.top(s, ["video_id", "bin"], best, 1)), ("4", K.top(s, ["video_id"], [F.desc("emotion"), "scene_id"], 5)), ("5", K.top(K.top(s, ["video_id", "story_id"], best, 1), ["video_id"], best, 6))]
-    u = K.priority_union(lanes, ["video_id", "scene_id"]).withColumn("lane", F.col("source").cast("int")).join(s.select("video_id", "scene_id", "narrative_score"), ["video_id", "scene_id"])
-    return K.top(u, ["video_id"], ["lane", *best], 32).select("video_id", "scene_id", "lane")
+def _pool_sql(limit: int, bins: int) -> str:
+    """The rule of the candidate pool, a lane after the other: rows that the pool offers room for, less those that it has."""
+    lanes = (("required", None), ("local", 0.35), ("time", None), ("event", 0.15), ("neighbour", 0.10), ("story", 0.20), ("score", None))
+    steps = ["p0 AS (SELECT video_id, 0::BIGINT AS scene_id, '' AS source, 0::BIGINT AS place FROM shots WHERE false)"]
+    for k, (lane, share) in enumerate(lanes):
+        most = 1000 if share is None else max(2, round(share * limit))
+        room = "1000" if share is None or lane == "local" else f"{limit} - coalesce(c, 0)"
+        steps.append(f"""p{k + 1} AS (SELECT * FROM p{k} UNION ALL SELECT video_id, scene_id, source, place FROM (
+ SELECT l.video_id, l.scene_id, '{lane}' AS source, coalesce(c, 0) + row_number() OVER (PARTITION BY l.video_id ORDER BY n) AS place
+ FROM (SELECT video_id, scene_id, min(n) AS n FROM (SELECT video_id, scene_id, n FROM {lane}_ LEFT JOIN (SELECT video_id, count(*) AS c FROM p{k} GROUP BY video_id) USING (video_id) WHERE n <= least({most}, {room})) GROUP BY ALL) l
+ LEFT JOIN (SELECT video_id, count(*) AS c FROM p{k} GROUP BY video_id) t ON t.video_id = l.video_id
+ WHERE NOT EXISTS (SELECT 1 FROM p{k} p WHERE p.video_id = l.video_id AND p.scene_id = l.scene_id)) WHERE place <= {limit})""")
+    return f"""
+WITH d AS (SELECT *, least(cast(floor({bins}e0 * ((start_seconds + end_seconds) / 2e0 - min(start_seconds) OVER v) / greatest(max(end_seconds) OVER v - min(start_seconds) OVER v, 0.001e0)) AS BIGINT), {bins - 1}) AS bin, lag(scene_id) OVER w AS prev, lead(scene_id) OVER w AS next FROM shots WINDOW v AS (PARTITION BY video_id), w AS (PARTITION BY video_id ORDER BY start_seconds, scene_id)),
+required_ AS (SELECT video_id, scene_id, row_number() OVER (PARTITION BY video_id ORDER BY scene_id) AS n FROM d WHERE emotion = 1e0),
+local_ AS (SELECT video_id, scene_id, row_number() OVER (PARTITION BY video_id ORDER BY action_score DESC, scene_id) AS n, prev, next FROM d WHERE action_score >= 0.5e0),
+time_ AS (SELECT video_id, scene_id, bin AS n FROM d QUALIFY row_number() OVER (PARTITION BY video_id, bin ORDER BY narrative_score DESC, scene_id) = 1),
+event_ AS (SELECT video_id, scene_id, row_number() OVER (PARTITION BY video_id ORDER BY bin) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY video_id, bin ORDER BY emotion DESC, narrative_score DESC, scene_id) = 1)),
+neighbour_ AS (SELECT video_id, x AS scene_id, row_number() OVER (PARTITION BY video_id ORDER BY n, side) AS n FROM (SELECT video_id, n, unnest([0, 1]) AS side, unnest([prev, next]) AS x FROM local_) WHERE x IS NOT NULL),
+story_ AS (SELECT video_id, scene_id, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS n FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY video_id, story_id ORDER BY narrative_score DESC, scene_id) = 1)),
+score_ AS (SELECT video_id, scene_id, row_number() OVER (PARTITION BY video_id ORDER BY narrative_score DESC, scene_id) AS n FROM d),
+{', '.join(steps)}
+SELECT video_id, scene_id, source, place::INTEGER AS place FROM p{len(lanes)}"""
+
+
+def _pool(name: str, limit: int, bins: int) -> None:
+    @query(name, A.sql(_pool_sql(limit, bins), "shots"))
+    def pool(spark, sf_dir):
+        s = A.shots(spark, sf_dir)
+        local = s.where("action_score >= 0.5").select("video_id", "scene_id", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("action_score"), "scene_id")).alias("n"))
+        return K.candidate_pool(s, local, s.where("emotion = 1e0").select("video_id", "scene_id"), "narrative_score", "emotion", "story_id", limit)
+
+
+_pool("sel_10_candidate_pool", 32, 8)
+_pool("sel_10_candidate_pool_small", 16, 8)
+_pool("sel_10_candidate_pool_wide", 72, 16)
 
 
 @query("sel_11_marginal_relevance")
@@ -73,22 +97,33 @@ def marginal_relevance(spark, sf_dir):
     return S.mmr_rows(d, ["video_id"], "scene_id", "narrative_score", ["clip_action", "clip_dialogue", "narrative_score", "energy", "speech_ratio", "len", "mid"], "story_id", 12, 0.25)
 
 
+#: The tables' columns by the plan's names.
+PLAN = {"event": "emotion", "story": "story_id", "importance_score": "narrative_score"}
+
+
+def _chosen(spark, sf_dir, category: str, score: str, target: float, distribution: str = "adaptive"):
+    d = M.prepared(A.shots(spark, sf_dir), score, PLAN).withColumn("required", F.lit(False))
+    return M.choose_shots(W.eligible(d, "smoothed_score"), category, target, distribution)
+
+
 @query("sel_12_region_quotas")
 def region_quotas(spark, sf_dir):
-    d = A.shots(spark, sf_dir).withColumn("act", P.act((F.col("start_seconds") + F.col("end_seconds")) / 2 / F.col("video_duration")))
-    quotas = {"act_i": 0.20, "act_ii": 0.50, "act_iii": 0.30}
+    return _chosen(spark, sf_dir, "action", "action_score", 90.0)
 
-    def f(rows):
-        return [{"scene_id": r["scene_id"]} for r in S.quota_select(rows, 90.0, quotas, "act", "narrative_score", "duration_seconds", "story_id")]
 
-    return by_group(d, ["video_id"], ["scene_id"], ["act", "narrative_score", "duration_seconds", "story_id"], f, "scene_id bigint")
+@query("sel_12_compact_quotas")
+def compact_quotas(spark, sf_dir):
+    return _chosen(spark, sf_dir, "dialogue", "dialogue_score", 30.0)
+
+
+@query("sel_12_act_quotas")
+def act_quotas(spark, sf_dir):
+    return _chosen(spark, sf_dir, "importance", "narrative_score", 90.0, "acts")
 
 
 @query("sel_13_adaptive_importance")
 def adaptive_importance(spark, sf_dir):
-    order = [F.desc("narrative_score"), "scene_id"]
-    d = K.top(K.top(A.shots(spark, sf_dir), ["video_id", "story_id"], order, 2, "r1"), ["video_id"], order, 400, "r2")
-    return S.diverse_rows(d.withColumn("position", F.col("start_seconds") / F.col("video_duration")), ["video_id"], "scene_id", "narrative_score", "duration_seconds", "position", "story_id", 60.0)
+    return _chosen(spark, sf_dir, "importance", "narrative_score", 60.0)
 
 
 @query("sel_14_balanced_acts")
@@ -100,25 +135,8 @@ def balanced_acts(spark, sf_dir):
 
 @query("sel_15_greedy_fill")
 def greedy_fill(spark, sf_dir):
-    def f(rows):
-        out: list[dict] = []
-
-        def covered(rs):
-            total, last = 0.0, None
-            for r in sorted(rs, key=lambda r: r["start_seconds"]):
-                a = r["start_seconds"] if last is None or r["start_seconds"] - last > 2.5 else last
-                total += max(0.0, r["end_seconds"] - a)
-                last = max(last or 0.0, r["end_seconds"])
-            return total
-
-        for r in sorted(rows, key=lambda r: -r["action_score"]):
-            if len(out) >= 20 or covered(out) >= 0.85 * 60.0:
-                break
-            if covered([*out, r]) <= 60.0:
-                out.append(r)
-        return [{"scene_id": r["scene_id"]} for r in out]
-
-    return by_group(A.shots(spark, sf_dir), ["video_id"], ["scene_id"], ["start_seconds", "end_seconds", "action_score"], f, "scene_id bigint")
+    p = M.plan(A.shots(spark, sf_dir), "dialogue", 60.0, words=A.words(spark, sf_dir), turns=_turns(spark, sf_dir), columns=PLAN)
+    return p.where("status = 'chosen'").select("video_id", "kind", "segment_id", "start_seconds", "end_seconds", "trimmed")
 
 
 @query("sel_16_duration_ceiling", A.sql("SELECT video_id, scene_id, round(least(end_seconds, start_seconds + 60e0 - before), 6) AS end_seconds FROM (SELECT *, round(coalesce(sum(round(duration_seconds * 1000)::BIGINT) OVER (PARTITION BY video_id ORDER BY scene_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1e3, 3) AS before FROM shots WHERE action_score >= 0.5e0) WHERE before < 59e0", "shots"))
@@ -154,41 +172,53 @@ def uniform_baseline(spark, sf_dir):
     return d.select("video_id", F.col("part").cast("long").alias("part"), F.round(F.col("video_duration") * F.col("part") / 10, 6).alias("start_seconds"))
 
 
-@query("sel_9_duration_refill")
-def duration_refill(spark, sf_dir):
-    """Greedy non-overlapping fill of what a first choice leaves of the target."""
+def _turns(spark, sf_dir):
+    return P2.whole_turns(A.turns(spark, sf_dir), ["video_id"])
 
-    def f(rows):
-        first = sorted(rows, key=lambda r: -r["action_score"])[:3]
-        taken, used = list(first), sum(r["duration_seconds"] for r in first)
-        for r in sorted((r for r in rows if r not in first), key=lambda r: -r["narrative_score"]):
-            clear = all(r["end_seconds"] + 2.5 <= t["start_seconds"] or r["start_seconds"] >= t["end_seconds"] + 2.5 for t in taken)
-            if clear and used + r["duration_seconds"] <= 60.0:
-                taken.append(r)
-                used += r["duration_seconds"]
-        return [{"scene_id": r["scene_id"]} for r in taken]
 
-    return by_group(A.shots(spark, sf_dir), ["video_id"], ["scene_id"], ["start_seconds", "end_seconds", "duration_seconds", "action_score", "narrative_score"], f, "scene_id bigint")
+@query("sel_9_duration_refill")
+def duration_refill(spark, sf_dir):
+    """The reserves that the plan of a summary adds, and whether they keep the budget."""
+    p = M.plan(A.shots(spark, sf_dir), "action", 60.0, words=A.words(spark, sf_dir), turns=_turns(spark, sf_dir), columns=PLAN)
+    return p.where("kind = 'reserve'").select("video_id", "segment_id", "start_seconds", "end_seconds", "segment_score", "status")
 
 
 @query("api_summarize")
 def summarize(spark, sf_dir):
-    return G.summarize(A.shots(spark, sf_dir), "action", 60.0)
+    return M.summarize(A.shots(spark, sf_dir), "action", 60.0, columns=PLAN)
 
 
 @query("api_summarize_all")
 def summarize_all(spark, sf_dir):
-    return G.summarize(A.shots(spark, sf_dir), "dialogue", None)
+    return M.summarize(A.shots(spark, sf_dir), "dialogue", None, columns=PLAN)
 
 
 @query("api_summarize_importance")
 def summarize_importance(spark, sf_dir):
-    return G.summarize(A.shots(spark, sf_dir), "importance", 90.0, "narrative_score")
+    return M.summarize(A.shots(spark, sf_dir), "importance", 90.0, "narrative_score", columns=PLAN)
 
 
 @query("api_summarize_speech")
 def summarize_speech(spark, sf_dir):
-    return G.summarize(A.shots(spark, sf_dir), "dialogue", 60.0, turns=A.turns(spark, sf_dir).select("video_id", "start_seconds", "end_seconds"))
+    return M.summarize(A.shots(spark, sf_dir), "dialogue", 60.0, turns=_turns(spark, sf_dir), words=A.words(spark, sf_dir), columns=PLAN)
+
+
+@query("api_summarize_acts")
+def summarize_acts(spark, sf_dir):
+    return M.summarize(_told(spark, sf_dir), "importance", 120.0, "narrative_score", turns=_turns(spark, sf_dir), words=A.words(spark, sf_dir), distribution="acts", columns=PLAN)
+
+
+@query("api_summary_report")
+def summary_report(spark, sf_dir):
+    return M.report(M.plan(_told(spark, sf_dir), "importance", 120.0, "narrative_score", words=A.words(spark, sf_dir), turns=_turns(spark, sf_dir), distribution="acts", columns=PLAN))
+
+
+def _told(spark, sf_dir):
+    """Shots with the texts of the turns that begin in them."""
+    t = A.turns(spark, sf_dir).select("video_id", "text", F.col("start_seconds").alias("_at"))
+    said = J.point_join(t, A.shots(spark, sf_dir).select("video_id", "scene_id", "start_seconds", "end_seconds"), ["video_id"], "_at", "start_seconds", "end_seconds", 30.0)
+    texts = said.groupBy("video_id", "scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), " ").alias("transcript_text"))
+    return A.shots(spark, sf_dir).join(texts, ["video_id", "scene_id"], "left")
 
 
 @query("udf_3_mock_captions", A.sql("SELECT video_id, scene_id, 'scene ' || scene_id || ': ' || event_type AS caption FROM shots", "shots"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sceneql.functions import text as T
 from sceneql.operators import joins as J
 from sceneql.operators import speech as S
-from sceneql.operators.groups import by_group
+from sceneql.operators.groups import by_arrays, by_group
 from sceneql.plans import adapters as A
 from sceneql.plans.registry import query
 
@@ -44,28 +44,31 @@ def _utterances(spark, sf_dir):
     return u.select("video_id", F.col("start_seconds").alias("s"), F.col("end_seconds").alias("e"), "text", "complete", T.continues("text", ["and", "et", "und", "y"]).alias("continues"), T.asks("text").alias("asks"))
 
 
+def _said(g: dict) -> S.Said:
+    u, w = g["said"], g.get("words")
+    return S.Said.of(zip(*(u[c] for c in ("s", "e", "complete", "continues", "asks"))), zip(w["start_seconds"], w["end_seconds"]) if w else ())
+
+
 @query("ivl_9_expand_complete")
 def expand_complete(spark, sf_dir):
-    def f(rows):
-        out = []
-        for r in rows:
-            a, z = S.expand_complete(r["s"] + 0.3, r["s"] + 2.3, rows, 18.0)
-            out.append({"at": r["s"], "start_seconds": a, "end_seconds": z})
-        return out
+    def f(g):
+        said = _said(g)
+        return [(a, *S.expand_complete(a + 0.3, a + 2.3, said)) for a in said.starts.tolist()]
 
-    return by_group(_utterances(spark, sf_dir), ["video_id"], ["s", "e"], ["complete"], f, "at double, start_seconds double, end_seconds double")
+    return by_arrays({"said": (_utterances(spark, sf_dir), ["s", "e"])}, ["video_id"], f, "at double, start_seconds double, end_seconds double")
 
 
 @query("ivl_10_alignment")
 def alignment(spark, sf_dir):
-    def f(rows):
-        out = []
-        for r in rows:
-            got = S.align(r["s"] + 0.5, r["s"] + 5.0, rows, [], "dialogue", 18.0)
-            out.append({"at": r["s"], "start_seconds": got["start"], "end_seconds": got["end"], "mode": got["mode"], "reasons": got["reasons"]})
+    def f(g):
+        said, out = _said(g), []
+        for a in said.starts.tolist():
+            got = S.align(a + 0.5, a + 5.0, said, "dialogue", 18.0)
+            out.append((a, got["start"], got["end"], got["mode"], got["reasons"]))
         return out
 
-    return by_group(_utterances(spark, sf_dir), ["video_id"], ["s", "e"], ["text", "complete", "continues", "asks"], f, "at double, start_seconds double, end_seconds double, mode string, reasons string")
+    frames = {"said": (_utterances(spark, sf_dir), ["s", "e"]), "words": (A.words(spark, sf_dir).select("video_id", "start_seconds", "end_seconds"), ["start_seconds", "end_seconds"])}
+    return by_arrays(frames, ["video_id"], f, "at double, start_seconds double, end_seconds double, mode string, reasons string")
 
 
 @query("ivl_20_word_speakers")

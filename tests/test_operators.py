@@ -17,6 +17,7 @@ from sceneql.operators import joins as J
 from sceneql.operators import segments as G
 from sceneql.operators import selection as S
 from sceneql.operators import speech as P
+from sceneql.operators import summary as M
 from sceneql.operators import topk as K
 from sceneql.operators import windows as W
 
@@ -127,11 +128,6 @@ def test_guard_fixture():
     assert S.guard(rows[:1], [(1.0, 4.0)], 1.0) == []
 
 
-def test_quota_select_falls_back_to_the_best_row():
-    rows = [{"a": "x", "s": 0.1, "d": 50.0, "t": 1}, {"a": "x", "s": 0.9, "d": 60.0, "t": 2}]
-    assert S.quota_select(rows, 5.0, {"x": 1.0}, "a", "s", "d", "t") == [rows[1]]
-
-
 def test_utterances_close_on_sentences_and_silences(spark):
     w = spark.createDataFrame([(0, 0.0, 0.4, "a"), (0, 3.3, 3.7, "b."), (0, 3.9, 4.2, "c")], "video_id int, start_seconds double, end_seconds double, word string")
     got = sorted((r.start_seconds, r.end_seconds, r.closed_by) for r in P.utterances(w, ["video_id"]).collect())
@@ -144,12 +140,13 @@ def test_whole_turns_fixture(spark):
 
 
 def test_alignment_rules():
-    said = [{"s": 1.0, "e": 2.0, "text": "Hello there.", "complete": True, "continues": False, "asks": False}, {"s": 4.0, "e": 6.0, "text": "Coming?", "complete": True, "continues": False, "asks": True}, {"s": 7.0, "e": 8.0, "text": "Yes.", "complete": True, "continues": False, "asks": False}]
-    got = P.align(1.2, 1.8, said[:1], [], "dialogue", 18.0)
+    said = [(1.0, 2.0, True, False, False), (4.0, 6.0, True, False, True), (7.0, 8.0, True, False, False)]
+    words = [(a, z) for a, z, *_ in said]
+    got = P.align(1.2, 1.8, P.Said.of(said[:1], words[:1]), "dialogue", 18.0)
     assert (got["start"], got["end"], got["mode"]) == (1.0, 2.0, "sentence")
-    got = P.align(4.1, 5.9, said, [], "dialogue", 18.0)
+    got = P.align(4.1, 5.9, P.Said.of(said, words), "dialogue", 18.0)
     assert got["end"] == 8.0 and got["mode"] == "exchange"
-    assert P.align(0.0, 100.0, [], [], "action", 12.0)["end"] == 12.0
+    assert P.align(0.0, 100.0, P.Said.of(), "action", 12.0)["end"] == 12.0
 
 
 def test_viterbi_fixture():
@@ -298,15 +295,6 @@ def test_priority_union_takes_the_first_lane(spark):
     assert {r.i: r.source for r in K.priority_union([("a", a), ("b", b)], ["i"]).collect()} == {1: "a", 2: "a", 3: "b"}
 
 
-def test_summary_keeps_the_budget(spark):
-    rows = [(0, i + 1, 4.0 * i, 4.0 * i + 3, 400.0, (i * 37 % 100) / 100, 0.1) for i in range(100)]
-    d = spark.createDataFrame(rows, "video_id int, scene_id int, start_seconds double, end_seconds double, video_duration double, action_score double, emotion double")
-    got = G.summarize(d, "action", 60.0).collect()
-    assert 40 < sum(r.duration for r in got) <= 60.5
-    assert G.summarize(d, "action", None).count() >= len(got)
-    assert G.summarize(d.limit(0), "action", 60.0).count() == 0
-
-
 def test_dialogue_cues(spark):
     rows = [(1, "I love hope."), (2, "They betray and kill, we must decide."), (3, "Nothing.")]
     d = spark.createDataFrame(rows, "i int, s string").select("i", T.dialogue_cues("s").alias("c")).select("i", "c.*")
