@@ -185,7 +185,7 @@ class Automaton:
             state, number = step[0], number + step[1]
         # a letter inserted beside its like, and the word itself, are the same path
         whole = self.walk(*at, rest)
-        if whole is not None:
+        if whole is not None and self.final[whole[0]]:
             out.discard(whole[1])
         return out
 
