@@ -15,7 +15,7 @@ deep internal node, a repeat; overlapping repeats of a stretch make up its maxim
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sceneql.llm import textops as X
 from sceneql.llm.common import parts, prepared, table
+from sceneql.llm.op10_order_minhash import numbered
 
 WINDOW, GRAM = 50, 8
 #: Suffixes that may share a prefix in one task; bytes of text of the groups that are built into trees at once; a key with
@@ -33,6 +34,8 @@ COMMON, CHUNK, SHARE = 400_000, 2_000_000, 1000
 #: Bits of a place; the rest of a number is hash. A column of 2**31 bytes has at most 2**30 words.
 _PLACE = np.uint64(30)
 _U = np.uint64
+#: Bits that tell the texts of one id apart, where ids are shared: 2**29 texts an id, 2**34 texts in all.
+ROWS = 29
 STRETCH = "prefix long, doc_id long, start int, n int, anchor int"
 
 
@@ -158,8 +161,11 @@ def deep_nodes(h: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def _repeats(batches: Iterator[pa.RecordBatch], window: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows (prefix, doc_id, n, x, y, words) sorted by prefix: the parts [first, end) of each that a smaller document has, too."""
+def _repeats(batches: Iterator[pa.RecordBatch], window: int, chunk: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Rows (prefix, doc_id, n, x, y, words) sorted by prefix: the parts [first, end) of each that a smaller document has, too.
+
+    shift: bits of a doc_id that tell rows of one document apart.
+    """
 
     def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
@@ -171,7 +177,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], window: int, chunk: int) -> Iter
         row = np.repeat(np.arange(len(n)), n)
         least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, doc[row])
-        again = np.flatnonzero(doc[row] > least[node])
+        again = np.flatnonzero(doc[row] >> shift > least[node] >> shift)
         r, s = row[again], suffixes[again] - first[row[again]]
         new = np.ones(len(r), dtype=bool)
         new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
@@ -225,15 +231,20 @@ def spread(rows: DataFrame, found: DataFrame, on: list[str], hot: Column, how: s
     return direct.unionByName(rest)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, common: int = COMMON, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, common: int = COMMON, chunk: int = CHUNK, shift: int = 0) -> DataFrame:
     """(doc_id, spans): the words [first, end) of each document whose windows also start in a document with a smaller id.
 
-    docs: doc_id long, text string. Null ids take no part.
+    docs: doc_id long, text string. Null ids take no part. shift: ids that differ in their last `shift` bits alone are rows of
+    one document.
     """
     spark = prepared(docs.sparkSession)
     runs = docs.where("doc_id is not null").mapInArrow(lambda it: _list(it, window, gram), STRETCH).checkpoint()
     hot = F.col("copies") > max(1, runs.count() // SHARE)
-    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("suffixes"), F.count("*").alias("copies")).where("least < most").select("prefix", "suffixes", "copies").checkpoint()
+
+    def before(x: str, y: str) -> Column:
+        return F.shiftright(x, shift) < F.shiftright(y, shift)
+
+    shared = runs.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("suffixes"), F.count("*").alias("copies")).where(before("least", "most")).select("prefix", "suffixes", "copies").checkpoint()
     full = f"{STRETCH}, x long, y long, words binary"
 
     def cut(which: DataFrame) -> DataFrame:
@@ -243,29 +254,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, comm
 
     def built(rows: DataFrame) -> DataFrame:
         dealt = rows.select("prefix", "doc_id", "n", "x", "y", "words").repartition(parts(spark), "prefix").sortWithinPartitions("prefix")
-        return dealt.mapInArrow(lambda it: _repeats(it, window, chunk), "doc_id long, x long, y long, first int, end int")
+        return dealt.mapInArrow(lambda it: _repeats(it, window, chunk, shift), "doc_id long, x long, y long, first int, end int")
 
     small = F.col("suffixes") <= common
     found = built(cut(shared.where(small)).withColumn("x", F.col("start").cast("long"))).select("doc_id", (F.col("x") + F.col("first")).alias("first"), (F.col("x") + F.col("end")).alias("end"))
     if shared.where(~small).limit(1).count():
-        found = found.unionByName(_of_large_groups(cut(shared.where(~small)), built, full, hot, window, gram, common))
+        found = found.unionByName(_of_large_groups(cut(shared.where(~small)), built, full, hot, before, window, gram, common))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
-def _of_large_groups(rows: DataFrame, built, full: str, hot: Column, window: int, gram: int, common: int) -> DataFrame:
+def _of_large_groups(rows: DataFrame, built, full: str, hot: Column, before: Callable[[str, str], Column], window: int, gram: int, common: int) -> DataFrame:
     """(doc_id, first, end) of repeats in groups of more than `common` suffixes: equal stretches become one, and what is
     still too large gets longer prefixes, until a prefix is the whole window."""
     found, times = None, 0
     while True:
         rows = rows.checkpoint()
         texts = rows.groupBy("prefix", "x", "y").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words")).checkpoint()
-        groups = texts.groupBy("prefix").agg(F.min("doc_id").alias("from"), F.max("most").alias("to"), F.sum("n").alias("suffixes"), F.count("*").alias("texts")).where("from < to").select("prefix", "suffixes", "texts").checkpoint()
+        groups = texts.groupBy("prefix").agg(F.min("doc_id").alias("from"), F.max("most").alias("to"), F.sum("n").alias("suffixes"), F.count("*").alias("texts")).where(before("from", "to")).select("prefix", "suffixes", "texts").checkpoint()
         fit = (F.col("suffixes") <= common) | (F.col("texts") == 1) | F.lit(gram * (times + 1) >= window)
         # of equal stretches, all but the smallest document's repeat from end to end; that one repeats what the tree finds
         trees = built(texts.join(groups.where(fit & (F.col("texts") > 1)).select("prefix"), "prefix")).groupBy("x", "y").agg(F.collect_list(F.struct("first", "end")).alias("parts"))
-        told = texts.join(groups.where(fit).select("prefix"), "prefix").select("x", "y", F.col("doc_id").alias("least"), "most", "copies").join(trees, ["x", "y"], "left").where("parts is not null or least < most").drop("most")
+        told = texts.join(groups.where(fit).select("prefix"), "prefix").select("x", "y", F.col("doc_id").alias("least"), "most", "copies").join(trees, ["x", "y"], "left").where(F.col("parts").isNotNull() | before("least", "most")).drop("most")
         whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") + (window - 1)).cast("int").alias("end")))
-        own = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("parts"))
+        own = F.when(before("least", "doc_id"), whole).otherwise(F.col("parts"))
         late = spread(rows.select("x", "y", "doc_id", "start", "n"), told.checkpoint(), ["x", "y"], hot).select("doc_id", "start", F.explode(own).alias("part"))
         late = late.select("doc_id", (F.col("start") + F.col("part.first")).alias("first"), (F.col("start") + F.col("part.end")).alias("end"))
         found = late if found is None else found.unionByName(late)
@@ -281,12 +292,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each document without words that a smaller document repeats.
 
     kept_text is null where nothing went. Null, empty and short texts lose nothing; a null id neither takes nor loses.
-    Rows that repeat one row are one document and lose the same words. Other columns are ignored. An empty table gives
+    Rows that repeat one row lose the same words. Rows that share an id but not a text are one document of several texts:
+    each loses what a smaller document has, none what another of them has. Other columns are ignored. An empty table gives
     an empty result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(d, **how)
-    return d.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    again = d.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ids, shift = None, 0
+    if again.limit(1).count():
+        prepared(docs.sparkSession)
+        d, ids, shift = *_by_row(d), ROWS
+    found = d.join(repeated_spans(d, shift=shift, **how), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return found if ids is None else found.withColumnRenamed("doc_id", "_row").join(ids, "_row", "left").select("doc_id", *found.columns[1:])
+
+
+def _by_row(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(d with a number for each id and text as its doc_id, (_row, doc_id) of these numbers).
+
+    Numbers ascend by id; those of one id differ in their last ROWS bits. Null ids stay.
+    """
+    d = d.withColumn("_text", F.xxhash64("text"))
+    texts, _ = numbered(d.where("doc_id is not null").select("doc_id", "_text").distinct(), "doc_id", "_text")
+    first = texts.groupBy("doc_id").agg(F.min("rank").alias("_first"))
+    key = F.shiftleft("_first", ROWS).bitwiseOR(F.col("rank") - F.col("_first"))
+    rows = texts.join(first, "doc_id").select("doc_id", "_text", key.alias("_row")).checkpoint()
+    keyed = d.join(rows, ["doc_id", "_text"], "left").select(F.col("_row").alias("doc_id"), "text").checkpoint()
+    return keyed, rows.select("_row", "doc_id")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
