@@ -21,7 +21,7 @@ from sceneql.llm.common import parts, prepared, table
 
 #: Pieces a block; islands of it, epochs, generations of an epoch, packings of a generation. Loose pieces and bins that take
 #: part in a trade, bins emptied by chance, share of the well-filled bins that a crossover injects.
-CAPACITY, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, LOOSE, OTHERS, TRADED, INJECTED = 1024, 2, 4096, 2, 2, 5, 6, 24, 12, 48, 0.5
+CAPACITY, END, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, LOOSE, OTHERS, TRADED, INJECTED = 1024, 2, 4096, 2, 2, 10, 6, 24, 12, 48, 0.5
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 _tokenizers: dict[str, tuple] = {}
