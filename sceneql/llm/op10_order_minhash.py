@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from sceneql.llm.common import parts, prepared, table
 
 K, BINS, K_CHARS, LONG_WORD = 3, 64, 8, 32
-#: A packed k-mer: 39 bits of hash, the first 6 of them its bin, and 24 bits of place (past 16 million words they repeat).
-PLACE, BIN, VALUE = 24, 57, 26
+#: A packed k-mer: 32 bits of hash, the first 6 of them its bin, and 31 bits of place, as many as an array has.
+PLACE, BIN, VALUE = 31, 57, 26
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -40,13 +40,13 @@ def with_fingerprint(d: DataFrame, text: str, out: str, k: int = K) -> DataFrame
     d = d.withColumn(w, F.when(F.col(c), F.split(bare, "")).otherwise(F.col(w)))
     size = F.when(F.col(c), K_CHARS).otherwise(k)
     kmers = F.slice(F.col(w), F.lit(1), F.greatest(F.size(w) - (size - 1), F.least(F.size(w), F.lit(1))))
-    packed = F.transform(kmers, lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get(F.col(w), i + j) for j in range(1, k)), *(F.when(F.col(c), F.get(F.col(w), i + j)) for j in range(k, K_CHARS))), 25), PLACE).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE) - 1))))
+    packed = F.transform(kmers, lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get(F.col(w), i + j) for j in range(1, k)), *(F.when(F.col(c), F.get(F.col(w), i + j)) for j in range(k, K_CHARS))), 1 + PLACE), PLACE).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE) - 1))))
     d = d.withColumn(a, F.sort_array(packed)).drop(w, c)
     n = F.size(a)
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     d = d.withColumn(s, F.filter(index, lambda i: (i == 0) | (_hash(F.get(F.col(a), i)) != _hash(F.get(F.col(a), i - 1)))))
     occurrence = F.flatten(F.zip_with(F.col(s), F.concat(F.slice(s, 2, 1 << 30), F.array(n)), lambda x, y: F.sequence(F.lit(0), y - x - 1)))
-    again = F.zip_with(F.col(a), occurrence, lambda x, c: F.when(c == 0, x).otherwise(F.shiftleft(F.shiftrightunsigned(F.xxhash64(_hash(x), c), 25), PLACE).bitwiseOR(x.bitwiseAND(F.lit((1 << PLACE) - 1)))))
+    again = F.zip_with(F.col(a), occurrence, lambda x, c: F.when(c == 0, x).otherwise(F.shiftleft(F.shiftrightunsigned(F.xxhash64(_hash(x), c), 1 + PLACE), PLACE).bitwiseOR(x.bitwiseAND(F.lit((1 << PLACE) - 1)))))
     d = d.withColumn(o, F.when(F.size(s) == n, F.col(a)).otherwise(F.sort_array(again))).drop(a, s)
     d = d.withColumn(b, F.filter(F.col(o), lambda x, i: (i < 2) | (F.shiftright(x, BIN) != F.shiftright(F.get(F.col(o), i - 2), BIN)))).drop(o)
 
