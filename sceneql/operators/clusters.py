@@ -6,6 +6,9 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import DataFrame
+
+from sceneql.operators.groups import by_arrays
 
 
 def unit(x) -> np.ndarray:
@@ -121,9 +124,12 @@ def voices(vectors, weak: float = 0.035, most: int = 8, agreement: Callable[[lis
     """Two to eight speakers (at most the root of n) by average-link clusters: the silhouette, plus balance, less a share for
     each speaker, plus .12 of how far `agreement` of the labels with the faces is above a half; one where nothing reaches `weak`.
 
-    Clusters of less than three rows or 1.5 % are no speakers. Fewer than three rows are one speaker.
+    Features are standardised first, so that none decides by its scale alone. Clusters of less than three rows or 1.5 % are no
+    speakers. Fewer than three rows are one speaker.
     """
-    x = unit(vectors)
+    raw = np.asarray(vectors, dtype=float).reshape(len(vectors), -1)
+    spread = raw.std(axis=0) if len(raw) else raw
+    x = unit((raw - raw.mean(axis=0)) / np.where(spread > 1e-12, spread, 1.0)) if len(raw) else raw
     n = len(x)
     best, chosen = weak, [0] * n
     least = max(3, math.ceil(0.015 * n))
@@ -162,70 +168,177 @@ def reassign(vectors, speakers: list[str], weights, busy: list[set], rounds: int
 
 def smooth_interruptions(vectors, speakers: list[str], starts, ends, longest: float = 0.25, gap: float = 0.08, alike: float = 0.75) -> list[str]:
     """Turns of at most `longest` seconds between two turns of one other speaker, close on both sides, become that speaker's
-    where the two neighbours' voices are alike. In order: a changed turn counts for the next."""
-    x, out = unit(vectors), list(speakers)
+    where the two neighbours' voices are known and alike. In order: a changed turn counts for the next."""
+    out = list(speakers)
     start, end = np.asarray(starts, dtype=float), np.asarray(ends, dtype=float)
-    like = np.einsum("ij,ij->i", x[:-2], x[2:]) if len(x) > 2 else np.zeros(0)
     near = (end - start)[1:-1] <= longest + 1e-9
-    near &= (start[1:-1] - end[:-2] <= gap + 1e-9) & (start[2:] - end[1:-1] <= gap + 1e-9) & (like >= alike)
+    near &= (start[1:-1] - end[:-2] <= gap + 1e-9) & (start[2:] - end[1:-1] <= gap + 1e-9)
     for i in np.flatnonzero(near) + 1:
-        if out[i - 1] == out[i + 1]:
+        a, b = vectors[i - 1], vectors[i + 1]
+        if out[i - 1] == out[i + 1] != out[i] and a is not None and b is not None and float(unit([a])[0] @ unit([b])[0]) >= alike:
             out[i] = out[i - 1]
     return out
 
 
-def doubtful(vectors, speakers: list[str], below: float = 0.55, share: float = 0.30, least: int = 4) -> set[str]:
-    """Speakers of at least `least` turns of which `share` or more are under `below` of their mean voice: perhaps more than one person."""
+def prototypes(x: np.ndarray, speakers: np.ndarray, weights: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(names, unit vectors): each speaker's weighted mean voice, in order of name."""
+    names, own = np.unique(speakers.astype(str), return_inverse=True)
+    share = np.zeros((len(names), len(x)))
+    share[own, np.arange(len(x))] = weights
+    return names.tolist(), unit(share @ x)
+
+
+def doubtful(vectors, speakers: list[str], weights=None, below: float = 0.55, share: float = 0.30, least: int = 4) -> set[str]:
+    """Speakers of at least `least` turns of which `share` or more are under `below` of their weighted mean voice: perhaps more
+    than one person."""
     x, name = unit(vectors), np.asarray(speakers, dtype=object)
-    out = set()
-    for n in set(speakers):
-        own = x[name == n]
-        if len(own) >= least and np.mean(own @ unit(own.mean(axis=0)) < below) >= share:
-            out.add(n)
-    return out
+    if not len(x):
+        return set()
+    names, mean = prototypes(x, name, np.ones(len(x)) if weights is None else np.asarray(weights, dtype=float))
+    own = [x[name == n] @ m for n, m in zip(names, mean)]
+    return {n for n, like in zip(names, own) if len(like) >= least and np.mean(like < below) >= share}
 
 
-def correct_speakers(vectors, speakers: list[str], starts, ends, busy: list[set], overlapping: set[tuple[str, str]]) -> tuple[list[str], set[str]]:
-    """(speaker of each turn, doubtful speakers): reassignment, splits of speakers with two voices, merges of speakers with
-    one, short interruptions. Turns weigh their seconds, five at most; they must be in order of time."""
-    w = np.minimum(5.0, np.asarray(ends, dtype=float) - np.asarray(starts, dtype=float))
-    s = reassign(vectors, speakers, w, busy)
-    for name in sorted(set(s)):
-        own = [i for i, n in enumerate(s) if n == name]
-        for i, half in zip(own, split_speaker([vectors[i] for i in own])):
-            s[i] = f"{name}_SPLIT" if half else name
-    s = merge_speakers(vectors, s, w, overlapping)
-    s = smooth_interruptions(vectors, s, starts, ends)
-    return s, doubtful(vectors, s)
+def halves(x: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """A two-means split of unit vectors that begins with the pair farthest apart, the first such pair."""
+    centres, label = x[list(divmod(int(np.argmin(x @ x.T)), len(x)))], None
+    for _ in range(rounds):
+        new = np.argmax(x @ centres.T, axis=1)
+        if label is not None and (new == label).all():
+            break
+        label = new
+        if label.min() == label.max():
+            break
+        centres = unit(np.stack([x[label == k].mean(axis=0) for k in (0, 1)]))
+    return label
 
 
-def merge_speakers(vectors, speakers: list[str], weights, overlapping: set[tuple[str, str]], limit: float = 0.88) -> list[str]:
-    """Speakers with means at or above the limit become one, unless any of their members speak at the same time."""
-    x, w = unit(vectors), np.asarray(weights, dtype=float)
-    names = sorted(set(speakers))
-    mean = {n: unit(np.average(x[[s == n for s in speakers]], axis=0, weights=w[[s == n for s in speakers]])) for n in names}
-    group = {n: {n} for n in names}
-    pairs = sorted(((float(mean[a] @ mean[b]), a, b) for i, a in enumerate(names) for b in names[i + 1 :]), key=lambda t: (-t[0], t[1], t[2]))
-    for s, a, b in pairs:
-        if s < limit or group[a] is group[b]:
-            continue
-        if any((p, q) in overlapping or (q, p) in overlapping for p in group[a] for q in group[b]):
+def second_voice(vectors, most: float = 0.55, gain: float = 0.10) -> np.ndarray:
+    """Which of one speaker's turns are another person's: the smaller half of a split into two voices that are less than
+    `most` alike and tell `gain` more than one; of equal halves, the one with the last turn. From two turns on."""
+    x = unit(vectors)
+    if len(x) < 2:
+        return np.zeros(len(x), dtype=bool)
+    label = halves(x)
+    if label.min() == label.max():
+        return np.zeros(len(x), dtype=bool)
+    centre = unit(np.stack([x[label == k].mean(axis=0) for k in (0, 1)]))
+    one = float((x @ unit(x.mean(axis=0))).mean())
+    two = float(np.einsum("ij,ij->i", x, centre[label]).mean())
+    if float(centre[0] @ centre[1]) >= most or two - one < gain:
+        return np.zeros(len(x), dtype=bool)
+    sizes = np.bincount(label, minlength=2)
+    return label == (label[-1] if sizes[0] == sizes[1] else int(np.argmin(sizes)))
+
+
+def split_speakers(vectors, speakers: list[str]) -> tuple[list[str], int]:
+    """(speakers, splits): every speaker with two voices is split, the smaller half under a new number.
+
+    vectors: a vector or None for each turn, in order of time. A turn without one goes to the new speaker where the turns of
+    either around it are both the new one's.
+    """
+    out = list(speakers)
+    numbers = [int(n) for n in (s.rsplit("_", 1)[-1] for s in out) if n.isdigit()]
+    free, splits = max(numbers, default=-1) + 1, 0
+    known = [i for i, v in enumerate(vectors) if v is not None]
+    for name in dict.fromkeys(out[i] for i in known):
+        own = [i for i in known if out[i] == name]
+        moved = second_voice([vectors[i] for i in own]) if own else np.zeros(0, dtype=bool)
+        if not moved.any():
             continue
-        both = group[a] | group[b]
-        for n in both:
-            group[n] = both
-    return [min(group[s]) for s in speakers]
+        new = f"SPEAKER_{free:02d}"
+        free, splits = free + 1, splits + 1
+        for i, goes in zip(own, moved):
+            out[i] = new if goes else name
+        after: list[str | None] = [None] * len(out)
+        last = None
+        for i in reversed(range(len(out))):
+            after[i] = last
+            last = out[i] if out[i] in (name, new) else last
+        before = None
+        for i, v in enumerate(vectors):
+            if v is None and out[i] == name and before == after[i] == new:
+                out[i] = new
+            before = out[i] if out[i] in (name, new) else before
+    return out, splits
 
 
-def split_speaker(vectors) -> list[int]:
-    """Two halves of one speaker's turns where a two-means split separates them well (centres under .55, gain of .10), else one."""
-    x = unit(vectors)
-    if len(x) < 4:
-        return [0] * len(x)
-    label = k_means(x, 2)
-    if len(set(label.tolist())) < 2:
-        return [0] * len(x)
-    c = unit(np.stack([x[label == j].mean(axis=0) for j in (0, 1)]))
-    whole = float((x @ unit(x.mean(axis=0))).mean())
-    parts = float(np.mean([x[i] @ c[label[i]] for i in range(len(x))]))
-    return label.tolist() if float(c[0] @ c[1]) < 0.55 and parts - whole >= 0.10 else [0] * len(x)
+def merge_speakers(vectors, speakers: list[str], weights, overlapping: set[tuple[str, str]], limit: float = 0.88) -> list[str]:
+    """Speakers whose mean voices are at or above the limit become one, unless these two speak at the same time.
+
+    Pairs go by likeness, the most alike first, and of equal ones the last names; the second of a pair joins the first, each
+    with those that it stands for by then.
+    """
+    names, mean = prototypes(unit(vectors), np.asarray(speakers, dtype=object), np.asarray(weights, dtype=float)) if len(vectors) else ([], np.zeros((0, 0)))
+    like = mean @ mean.T
+    pairs = [(float(like[i, j]), names[i], names[j]) for i in range(len(names)) for j in range(i + 1, len(names)) if like[i, j] >= limit and (names[i], names[j]) not in overlapping and (names[j], names[i]) not in overlapping]
+    into: dict[str, str] = {}
+    for _, a, b in sorted(pairs, reverse=True):
+        a, b = into.get(a, a), into.get(b, b)
+        if a != b:
+            into[b] = a
+
+    def final(name: str) -> str:
+        while name in into:
+            name = into[name]
+        return name
+
+    return [final(s) for s in speakers]
+
+
+def correct_speakers(vectors, speakers: list[str], starts, ends, overlapping: set[tuple[str, str]] = frozenset(), busy: list[set] | None = None) -> tuple[list[str], dict]:
+    """(speaker of each turn, report): two rounds of reassignment, splits of speakers with two voices, merges of speakers with
+    one, short interruptions. vectors: a vector or None for each turn, in order of time; turns weigh their seconds, five at
+    most. The report counts each step's turns and names the doubtful speakers."""
+    out, length = list(speakers), np.asarray(ends, dtype=float) - np.asarray(starts, dtype=float)
+    known = [i for i, v in enumerate(vectors) if v is not None]
+    x, w = [vectors[i] for i in known], np.minimum(5.0, length[known])
+
+    def put(new: list[str]) -> int:
+        changed = sum(out[i] != n for i, n in zip(known, new))
+        for i, n in zip(known, new):
+            out[i] = n
+        return changed
+
+    own = lambda: [out[i] for i in known]
+    moved = put(reassign(x, own(), w, [busy[i] for i in known] if busy else [set()] * len(known))) if known else 0
+    out, splits = split_speakers(vectors, out)
+    merged = dict(zip(own(), merge_speakers(x, own(), w, overlapping)))
+    into = {a: b for a, b in merged.items() if a != b}
+    out = [into.get(s, s) for s in out]
+    smooth = smooth_interruptions(vectors, out, starts, ends)
+    short = sum(a != b for a, b in zip(out, smooth))
+    out = smooth
+    return out, {"reassigned": moved, "splits": splits, "merged": len(into), "interruptions": short, "doubtful": doubtful(x, own(), w) if known else set()}
+
+
+def adjacent(speakers: list[str], starts, ends, gap: float = 0.08) -> list[tuple[float, float, str]]:
+    """(start, end, speaker) of turns in order of time: neighbours of one speaker within the gap become one."""
+    out: list[tuple[float, float, str]] = []
+    for a, z, s in zip(starts, ends, speakers):
+        if out and out[-1][2] == s and 0 <= a - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], float(z), s)
+        else:
+            out.append((float(a), float(z), s))
+    return out
+
+
+def corrected_turns(turns: DataFrame, overlaps: DataFrame | None = None, shortest: float = 0.5) -> DataFrame:
+    """(video_id, start_seconds, end_seconds, speaker, doubtful, reassigned, splits, merged, interruptions) of corrected turns.
+
+    turns: video_id, start_seconds, end_seconds, speaker, vec (null, or shorter than `shortest`: no voice is known); overlaps:
+    video_id and two speakers a, b that speak at the same time. The counts are a video's, on each of its rows.
+    """
+    frames = {"turns": (turns.select("video_id", "start_seconds", "end_seconds", "speaker", "vec"), ["start_seconds", "end_seconds", "speaker"])}
+    if overlaps is not None:
+        frames["overlaps"] = (overlaps.select("video_id", "a", "b"), ["a", "b"])
+
+    def correct(g: dict) -> list[tuple]:
+        t, o = g["turns"], g.get("overlaps")
+        long_ = t["end_seconds"] - t["start_seconds"] >= shortest
+        vectors = [v if v is not None and ok else None for v, ok in zip(t["vec"], long_)]
+        who, told = correct_speakers(vectors, t["speaker"].tolist(), t["start_seconds"], t["end_seconds"], set(zip(o["a"], o["b"])) if o else set())
+        counts = [told[k] for k in ("reassigned", "splits", "merged", "interruptions")]
+        return [(a, z, s, s in told["doubtful"], *counts) for a, z, s in adjacent(who, t["start_seconds"], t["end_seconds"])]
+
+    return by_arrays(frames, ["video_id"], correct, "start_seconds double, end_seconds double, speaker string, doubtful boolean, reassigned int, splits int, merged int, interruptions int")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneql.functions import text as T
 from sceneql.functions import vectors as V
 from sceneql.operators import clusters as C
+from sceneql.operators import intervals as I
+from sceneql.operators import joins as J
 from sceneql.operators import retrieval as R
-from sceneql.operators.groups import by_group
+from sceneql.operators.groups import by_arrays, by_group
 from sceneql.plans import adapters as A
 from sceneql.plans.registry import query
 
@@ -143,26 +145,37 @@ def voice_clusters(spark, sf_dir):
     return by_group(A.vectors(spark, sf_dir), ["video_id"], ["kf_id"], ["vec"], lambda rows: [{"kf_id": r["kf_id"], "voice": c} for r, c in zip(rows, C.voices([r["vec"] for r in rows]))], "kf_id bigint, voice int")
 
 
+def _voiced(spark, sf_dir):
+    """Turns of the keyframes' vectors: they follow each other, .2 to 1.4 s long, and every third runs into the next."""
+    length = 0.2 + 0.2 * (F.col("kf_id") % 7)
+    w = Window.partitionBy("video_id").orderBy("kf_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.round(F.coalesce(F.sum(length).over(w), F.lit(0.0)), 3)
+    v = A.vectors(spark, sf_dir).withColumn("start_seconds", start).withColumn("end_seconds", F.round(start + length + F.when(F.col("kf_id") % 3 == 0, 0.15).otherwise(0.0), 3))
+    return v.select("video_id", "kf_id", "start_seconds", "end_seconds", F.concat(F.lit("S_"), F.col("label") % 5).alias("speaker"), "vec")
+
+
 @query("sim_15_speaker_correction")
 def speaker_correction(spark, sf_dir):
-    def f(rows):
-        x, s, w = [r["vec"] for r in rows], [f"S{r['label'] % 4}" for r in rows], [min(5.0, 1.0 + r["kf_id"] % 7) for r in rows]
-        s = C.merge_speakers(x, C.reassign(x, s, w, [set() for _ in rows]), w, set())
-        return [{"kf_id": r["kf_id"], "speaker": n} for r, n in zip(rows, s)]
+    t = _voiced(spark, sf_dir)
+    said = t.select("video_id", F.col("kf_id").alias("_other"), F.col("speaker").alias("_who"), F.col("start_seconds").alias("_s"), F.col("end_seconds").alias("_e"))
+    at_once = J.overlap_join(t.select("video_id", "kf_id", "start_seconds", "end_seconds"), said, ["video_id"], "start_seconds", "end_seconds", "_s", "_e", 10.0).where("kf_id <> _other")
+    busy = at_once.groupBy("video_id", "kf_id").agg(F.collect_set("_who").alias("busy"))
+
+    def f(g):
+        r = g["turns"]
+        w = np.minimum(5.0, r["end_seconds"] - r["start_seconds"])
+        taken = [set() if b is None else set(b) for b in r["busy"]]
+        return list(zip(r["kf_id"].tolist(), C.reassign(np.stack(r["vec"]), r["speaker"].tolist(), w, taken)))
 
-    return by_group(A.vectors(spark, sf_dir), ["video_id"], ["kf_id"], ["label", "vec"], f, "kf_id bigint, speaker string")
+    return by_arrays({"turns": (t.join(busy, ["video_id", "kf_id"], "left"), ["kf_id"])}, ["video_id"], f, "kf_id bigint, speaker string")
 
 
 @query("sim_16_correction_chain")
 def correction_chain(spark, sf_dir):
-    def f(rows):
-        # the tables have no times of these turns: they follow each other, tenths of a second to a second long
-        length = np.array([0.1 + 0.3 * (r["kf_id"] % 4) for r in rows])
-        end = np.cumsum(length)
-        s, doubt = C.correct_speakers([r["vec"] for r in rows], [f"S{r['label'] % 3}" for r in rows], end - length, end, [set() for _ in rows], set())
-        return [{"kf_id": r["kf_id"], "speaker": n, "doubtful": n in doubt} for r, n in zip(rows, s)]
-
-    return by_group(A.vectors(spark, sf_dir), ["video_id"], ["kf_id"], ["label", "vec"], f, "kf_id bigint, speaker string, doubtful boolean")
+    t = _voiced(spark, sf_dir)
+    both = I.overlap_regions(t, ["video_id"], "start_seconds", "end_seconds", "speaker").select("video_id", F.split("speakers", r"\|").alias("who"))
+    pairs = both.select("video_id", "who", F.explode("who").alias("a")).select("video_id", "a", F.explode("who").alias("b")).where("a < b").distinct()
+    return C.corrected_turns(t, pairs)
 
 
 @query("sim_17_histogram_distance", A.sql("WITH h AS (SELECT kf_id, video_id, list_transform(vec, lambda x: abs(x)) AS h FROM vectors) SELECT a.kf_id, b.kf_id AS other, round(sqrt(greatest(0e0, 1e0 - list_sum(list_transform(list_zip(a.h, b.h), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(a.h) * list_sum(b.h)))), 5) AS distance FROM h a JOIN h b ON a.video_id = b.video_id WHERE a.kf_id < b.kf_id", "vectors"))

@@ -9,18 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sceneql.sources.atomic import current, exists, replace
+
 
 def config_hash(config: dict, parent: str = "") -> str:
     """SHA-256 of sorted compact JSON; a child's hash holds its parent's, so a change above forces what is below."""
     return hashlib.sha256((parent + json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False)).encode()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 class Manifest:
     """One JSON row a finished stage under a folder that any of Spark's file systems can hold."""
 
@@ -28,8 +24,8 @@ class Manifest:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def entry(self, stage: str) -> dict | None:
-        path = f"{self.folder}/_{stage}"
-        if not _exists(self.spark, path):
+        path = current(self.spark, f"{self.folder}/_{stage}")
+        if not exists(self.spark, path):
             return None
         rows = self.spark.read.schema("stage string, hash string, status string, seconds double").json(path).collect()
         return rows[0].asDict() if rows else None
@@ -37,10 +33,11 @@ class Manifest:
     def valid(self, stage: str, hash_: str) -> bool:
         """Complete, of the same configuration, and its output is there."""
         e = self.entry(stage)
-        return bool(e and e["status"] == "complete" and e["hash"] == hash_ and _exists(self.spark, f"{self.folder}/{stage}/_SUCCESS"))
+        return bool(e and e["status"] == "complete" and e["hash"] == hash_ and exists(self.spark, f"{self.folder}/{stage}/_SUCCESS"))
 
     def _write(self, stage: str, hash_: str, status: str, seconds: float) -> None:
-        self.spark.createDataFrame([(stage, hash_, status, seconds)], "stage string, hash string, status string, seconds double").coalesce(1).write.mode("overwrite").json(f"{self.folder}/_{stage}")
+        row = self.spark.createDataFrame([(stage, hash_, status, seconds)], "stage string, hash string, status string, seconds double")
+        replace(self.spark, f"{self.folder}/_{stage}", row.coalesce(1).write.json)
 
     def adopt(self, other: Manifest, stages: list[str]) -> None:
         """The complete stages of another folder as stages of this one, for a second upload of the same content: what is
@@ -48,7 +45,7 @@ class Manifest:
         for stage in stages:
             e = other.entry(stage)
             if e and other.valid(stage, e["hash"]):
-                self.spark.read.parquet(f"{other.folder}/{stage}").write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+                replace(self.spark, f"{self.folder}/{stage}", self.spark.read.parquet(f"{other.folder}/{stage}").write.parquet)
                 self._write(stage, e["hash"], "complete", e["seconds"])
 
     def run(self, stage: str, config: dict, make: Callable[[], DataFrame], parent: str = "") -> tuple[DataFrame, str]:
@@ -59,7 +56,7 @@ class Manifest:
             began = time.time()
             self._write(stage, hash_, "running", 0.0)
             try:
-                make().write.mode("overwrite").parquet(path)
+                replace(self.spark, path, lambda to: make().write.parquet(to))
             except Exception:
                 self._write(stage, hash_, "failed", time.time() - began)
                 raise

@@ -1,6 +1,6 @@
 """Sources and sinks: JSON, CSV, TSV, matrices, annotations, media listings, timelines and the document store.
 
-Every sink writes through Spark's commit protocol, so a reader never sees half a table.
+Sinks that replace a table write it aside and put it in place when it is whole (sources/atomic.py).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sceneql.functions import text as T
+from sceneql.sources.atomic import current, replace
 from sceneql.sources.package import ship
 
 SHOTS = "video_id string, scene_id int, start_frame long, end_frame long, start_timecode string, end_timecode string, start_seconds double, end_seconds double, duration_seconds double"
@@ -47,15 +48,17 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=not lines)
+    return spark.read.schema(schema).json(current(spark, path), multiLine=not lines)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Replace the table at path; a failed job leaves the old one."""
+    replace(df.sparkSession, path, df.write.json)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Replace the table at path, with a header; a failed job leaves the old one."""
+    replace(df.sparkSession, path, df.write.option("header", True).csv)
 
 
 def read_catalog(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
@@ -196,13 +199,13 @@ def timeline_lines(kind: Column, start: str, end: str, label: str) -> Column:
 
 
 def write_store(docs: DataFrame, path: str) -> None:
-    """The document store: Parquet by kind, so a search of one kind reads no other."""
-    docs.write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Replace the document store: Parquet by kind, so a search of one kind reads no other; a failed job leaves the old one."""
+    replace(docs.sparkSession, path, docs.write.partitionBy("kind").parquet)
 
 
 def store_matrix(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """(id, row, vec): the store's vectors as rows of a matrix, from 0 by id."""
-    d = spark.read.parquet(path)
+    d = spark.read.parquet(current(spark, path))
     d = d.where(F.col("kind") == kind) if kind else d
     return numbered(d.select("id", "vec"), ["id"], "_n").select("id", (F.col("_n") - 1).alias("row"), "vec")
 
@@ -211,7 +214,7 @@ def search_store(spark: SparkSession, path: str, vector: Sequence[float], k: int
     """The k documents nearest to a vector by cosine; documents of another size are skipped."""
     from sceneql.functions.vectors import cosine
 
-    d = spark.read.parquet(path)
+    d = spark.read.parquet(current(spark, path))
     d = d.where(F.col("kind") == kind) if kind else d
     q = F.array(*[F.lit(float(x)) for x in vector])
     return d.where(F.size("vec") == len(vector)).withColumn("similarity", cosine("vec", q, -1.0)).orderBy(F.desc("similarity"), "id").limit(k)

@@ -399,3 +399,130 @@ def test_balanced_acts():
     with pytest.raises(ValueError):
         S.balanced_acts([1.0], [50.0], ["act_i"], 40.0, [True])
     assert S.balanced_acts([], [], [], 40.0) == []
+
+
+def plain_chain(turns, overlaps):
+    """The correction chain turn by turn. turns: dicts of start, end, who, vec; returns (turns after merging, counts)."""
+    def norm(v):
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n > 1e-12 else list(v)
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    mean = lambda rows, w: norm([sum(k * r[d] for r, k in zip(rows, w)) for d in range(len(rows[0]))])
+    ts = [dict(t, vec=None if t["vec"] is None or t["end"] - t["start"] < 0.5 else norm(t["vec"])) for t in turns]
+    told = [t for t in ts if t["vec"] is not None]
+    weight = lambda t: min(5.0, t["end"] - t["start"])
+
+    def centres():
+        return {n: mean([t["vec"] for t in told if t["who"] == n], [weight(t) for t in told if t["who"] == n]) for n in sorted({t["who"] for t in told})}
+
+    moved = 0
+    before = [t["who"] for t in told]
+    for _ in range(2):
+        c, changed = centres(), False
+        if len(c) < 2:
+            break
+        for t in told:
+            best = max(c, key=lambda n: dot(t["vec"], c[n]))
+            if best != t["who"] and dot(t["vec"], c[best]) >= 0.72 and dot(t["vec"], c[best]) - dot(t["vec"], c[t["who"]]) >= 0.15:
+                t["to"] = best
+        for t in told:
+            if "to" in t:
+                t["who"], changed = t.pop("to"), True
+        if not changed:
+            break
+    moved = sum(a != t["who"] for a, t in zip(before, told))
+    free = 1 + max([int(t["who"].split("_")[-1]) for t in ts if t["who"].split("_")[-1].isdigit()], default=-1)
+    splits = 0
+    for name in dict.fromkeys(t["who"] for t in told):
+        own = [t for t in told if t["who"] == name]
+        if len(own) < 2:
+            continue
+        i, j = min(((i, j) for i in range(len(own)) for j in range(len(own))), key=lambda p: dot(own[p[0]]["vec"], own[p[1]]["vec"]))
+        a, b, label = own[i]["vec"], own[j]["vec"], None
+        for _ in range(20):
+            new = [int(dot(t["vec"], b) > dot(t["vec"], a)) for t in own]
+            if new == label:
+                break
+            label = new
+            if len(set(label)) < 2:
+                break
+            a, b = (norm([sum(t["vec"][d] for t, x in zip(own, label) if x == k) for d in range(len(a))]) for k in (0, 1))
+        if len(set(label)) < 2:
+            continue
+        one = norm([sum(t["vec"][d] for t in own) for d in range(len(a))])
+        gain = sum(dot(t["vec"], (a, b)[x]) - dot(t["vec"], one) for t, x in zip(own, label)) / len(own)
+        if dot(a, b) >= 0.55 or gain < 0.10:
+            continue
+        goes = int(sum(label) < len(own) - sum(label)) if 2 * sum(label) != len(own) else label[-1]
+        new = f"SPEAKER_{free:02d}"
+        free, splits = free + 1, splits + 1
+        for t, x in zip(own, label):
+            t["who"] = new if x == goes else name
+        for k, t in enumerate(ts):
+            if t["vec"] is None and t["who"] == name:
+                left = next((u["who"] for u in reversed(ts[:k]) if u["who"] in (name, new)), None)
+                right = next((u["who"] for u in ts[k + 1 :] if u["who"] in (name, new)), None)
+                if left == right == new:
+                    t["who"] = new
+    c = centres()
+    pairs = sorted(((dot(c[p], c[q]), p, q) for p in c for q in c if p < q and dot(c[p], c[q]) >= 0.88 and (p, q) not in overlaps), reverse=True)
+    into = {}
+    for _, p, q in pairs:
+        p, q = into.get(p, p), into.get(q, q)
+        if p != q:
+            into[q] = p
+    names = set(c)
+    for t in ts:
+        while t["who"] in into:
+            t["who"] = into[t["who"]]
+    merged = sum(n in into for n in names)
+    short = 0
+    for k in range(1, len(ts) - 1):
+        l, t, r = ts[k - 1 : k + 2]
+        close = t["end"] - t["start"] <= 0.25 + 1e-9 and t["start"] - l["end"] <= 0.08 + 1e-9 and r["start"] - t["end"] <= 0.08 + 1e-9
+        if l["who"] == r["who"] != t["who"] and close and l["vec"] and r["vec"] and dot(l["vec"], r["vec"]) >= 0.75:
+            t["who"] = l["who"]
+            short += 1
+    out = []
+    for t in ts:
+        if out and out[-1][2] == t["who"] and 0 <= t["start"] - out[-1][1] <= 0.08:
+            out[-1] = (out[-1][0], t["end"], t["who"])
+        else:
+            out.append((t["start"], t["end"], t["who"]))
+    return out, (moved, splits, merged, short)
+
+
+def random_turns(seed):
+    rng = np.random.default_rng(seed)
+    voices, at, turns = rng.normal(size=(4, 6)), 0.0, []
+    for _ in range(int(rng.integers(1, 40))):
+        at = round(at + float(rng.choice([0.0, 0.05, 0.5])), 3)
+        length = round(float(rng.choice([0.2, 0.4, 1.0, 3.0, 9.0])), 3)
+        who = int(rng.integers(4))
+        vec = voices[who] + rng.normal(size=6) * float(rng.choice([0.05, 0.4]))
+        turns.append({"start": at, "end": round(at + length, 3), "who": f"S_{int(rng.integers(3)) if rng.random() < 0.3 else who % 3}", "vec": vec.tolist() if rng.random() < 0.9 else None})
+        at = turns[-1]["end"]
+    return turns, {("S_0", "S_1")} if seed % 3 == 0 else set()
+
+
+def test_correction_chain_equals_the_plain_version(spark):
+    rows, pairs, want = [], [], {}
+    for seed in range(40):
+        turns, overlaps = random_turns(seed)
+        rows += [(seed, t["start"], t["end"], t["who"], t["vec"]) for t in turns]
+        pairs += [(seed, a, b) for a, b in overlaps]
+        want[seed] = plain_chain(turns, overlaps)
+    got = {v: [] for v in want}
+    for r in C.corrected_turns(spark.createDataFrame(rows, "video_id long, start_seconds double, end_seconds double, speaker string, vec array<double>"), spark.createDataFrame(pairs, "video_id long, a string, b string")).collect():
+        got[r.video_id].append(((r.start_seconds, r.end_seconds, r.speaker), (r.reassigned, r.splits, r.merged, r.interruptions)))
+    for v, (turns, counts) in want.items():
+        assert sorted(t for t, _ in got[v]) == turns and {c for _, c in got[v]} == {counts}, v
+    assert all(any(c[k] for _, c in want.values()) for k in range(4))
+
+
+def test_the_larger_half_keeps_its_name():
+    x = [[1, 0]] * 5 + [[0, 1]]
+    assert C.split_speakers(x, ["S_0"] * 6) == (["S_0"] * 5 + ["SPEAKER_01"], 1)
+    assert C.split_speakers([[1, 0], [0, 1]], ["S_0"] * 2) == (["S_0", "SPEAKER_01"], 1)
+    assert C.split_speakers([None, None], ["A", "A"]) == (["A", "A"], 0)

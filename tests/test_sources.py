@@ -130,3 +130,37 @@ def test_a_stage_that_is_not_complete_is_not_taken_over(spark, tmp_path):
         a.run("bad", {}, lambda: (_ for _ in ()).throw(RuntimeError("stage")))
     b.adopt(a, ["bad", "never"])
     assert b.entry("bad") is None and b.entry("never") is None
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    import os
+
+    from sceneql.sources import atomic
+
+    good = spark.range(5).selectExpr("id", "'a' as kind", "array(1.0D, double(id)) as vec")
+    bad = good.selectExpr("if(id = 3, raise_error('broken'), id) as id", "kind", "vec")
+    sinks = {
+        "json": (lambda d, p: S.write_json(d.select("id"), p), lambda p: S.read_json(spark, p, "id long", lines=True).count()),
+        "csv": (lambda d, p: S.write_csv(d.select("id"), p), lambda p: spark.read.option("header", True).csv(p).count()),
+        "store": (S.write_store, lambda p: S.store_matrix(spark, p, "a").count()),
+    }
+    for name, (write, rows) in sinks.items():
+        path = str(tmp_path / "sinks" / name)
+        write(good, path)
+        with pytest.raises(Exception, match="broken"):
+            write(bad, path)
+        assert rows(path) == 5
+        write(good.limit(2), path)
+        assert rows(path) == 2
+    assert sorted(os.listdir(tmp_path / "sinks")) == sorted(sinks)
+    # cut off between the two renames: the old table is found beside
+    os.rename(tmp_path / "sinks/json", tmp_path / "sinks/.json.old")
+    assert S.read_json(spark, str(tmp_path / "sinks/json"), "id long", lines=True).count() == 2
+    assert atomic.current(spark, str(tmp_path / "nothing")) == str(tmp_path / "nothing")
+    m = Manifest(spark, str(tmp_path / "stages"))
+    m.run("s", {"v": 1}, lambda: good)
+    with pytest.raises(Exception, match="broken"):
+        m.run("s", {"v": 2}, lambda: bad)
+    assert m.entry("s")["status"] == "failed" and spark.read.parquet(str(tmp_path / "stages/s")).count() == 5
+    m.run("s", {"v": 2}, lambda: good.limit(1))
+    assert m.entry("s")["status"] == "complete" and spark.read.parquet(str(tmp_path / "stages/s")).count() == 1
