@@ -139,29 +139,26 @@ def mutate(p: Packing, rng: np.random.Generator, loose: list[int], others: int =
 def refill(p: Packing, loose: list[int], most: int = 4 * LOOSE) -> list[int]:
     """New bins of the largest loose item and the one or two others that leave the least room, as long as that is under
     one part in 64; the items of no such bin, largest first."""
-    left, size = list(loose), np.array([p.sizes[i] for i in loose])
-    rest: list[int] = list(left[most:])
-    left, size = left[:most], size[:most]
+    rest: list[int] = list(loose[most:])
+    left = list(loose[:most])[::-1]  # from the smallest on: a partner is one search
+    size = np.array([p.sizes[i] for i in left])
     while left:
-        room = p.capacity - int(size[0])
-        one = np.where(size[1:] <= room, size[1:], 0)
-        two = one[:, None] + one[None, :]
-        np.fill_diagonal(two, one)
-        two[(two > room) | (one[:, None] == 0)] = 0
-        at = int(np.argmax(two)) if two.size else 0
-        got = int(two.ravel()[at]) if two.size else 0
-        if room - got > p.capacity // 64:
-            rest.append(left[0])
-            left, size = left[1:], size[1:]
+        room = p.capacity - int(size[-1])
+        n = int(np.searchsorted(size[:-1], room, "right"))
+        small = size[:n]
+        other = np.minimum(np.searchsorted(small, room - small, "right"), np.arange(n)) - 1
+        sums = small + np.where(other >= 0, small[other], 0) if n else small
+        at = int(np.argmax(sums)) if n else -1
+        if room - (int(sums[at]) if n else 0) > p.capacity // 64:
+            rest.append(left.pop())
+            size = size[:-1]
             continue
-        inside = {0}
-        if got:
-            i, j = divmod(at, len(one))
-            inside |= {i + 1, j + 1} if one[j] else {i + 1}
-        p.bins.append([left[n] for n in sorted(inside)])
-        p.fill.append(sum(p.sizes[i] for i in p.bins[-1]))
-        keep = [n for n in range(len(left)) if n not in inside]
-        left, size = [left[n] for n in keep], size[keep]
+        inside = [len(left) - 1, *([at] if n else []), *([int(other[at])] if n and other[at] >= 0 else [])]
+        p.bins.append([left[k] for k in inside])
+        p.fill.append(int(size[inside].sum()))
+        size = np.delete(size, inside)
+        for k in sorted(inside, reverse=True):
+            del left[k]
     return sorted(rest, key=lambda i: (-p.sizes[i], i))
 
 
