@@ -34,6 +34,31 @@ def bigrams(t: Column) -> Column:
     return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws("::", a, b)))
 
 
+def word_grams(s) -> Column:
+    """Words and pairs of neighbouring words, lower-cased."""
+    t = tokens(s)
+    return F.concat(t, F.transform(bigrams(t), lambda x: F.replace(x, F.lit("::"), F.lit(" "))))
+
+
+def char_grams(s, least: int = 3, most: int = 5) -> Column:
+    """Runs of `least` to `most` characters within the words, each with a space before and behind; a word that is no longer
+    than a run counts once."""
+
+    def of(word: Column) -> Column:
+        p, n = F.concat(F.lit(" "), word, F.lit(" ")), F.char_length(word) + 2
+        parts = []
+        for k in range(least, most + 1):
+            runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), _run(p, k))
+            parts.append(runs if k == least else F.when(n > k - 1, runs).otherwise(F.array().cast("array<string>")))
+        return F.concat(*parts)
+
+    return F.flatten(F.transform(F.filter(F.split(F.lower(_c(s)), r"\s+"), lambda w: w != ""), of))
+
+
+def _run(text: Column, size: int):
+    return lambda i: F.substring(text, i, F.lit(size))
+
+
 def ends_sentence(s) -> Column:
     return F.trim(_c(s)).rlike("[.!?\u2026]+([\"'\u201d\u2019)\\]]+)?$")
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneql.operators.groups import by_arrays
+from sceneql.operators.selection import knapsack
+
 
 def f1(hit: Column, predicted: Column, truth: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 of counts; 0 where a side is empty."""
@@ -58,3 +62,76 @@ def kendall(df: DataFrame, keys: Sequence[str], row: str, x: str, y: str, out: s
     p = a.join(b, list(keys)).where("_r < _s").select(*keys, F.signum(F.col("_x") - F.col("_u")).alias("dx"), F.signum(F.col("_y") - F.col("_v")).alias("dy"))
     g = p.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dy")).alias("s"), F.sum(F.abs("dx")).alias("nx"), F.sum(F.abs("dy")).alias("ny"))
     return g.select(*keys, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).otherwise(0.0).alias(out))
+
+
+USERS = 20
+
+
+def user_scores(predicted: DataFrame, gold: DataFrame, videos: DataFrame, users: int = USERS) -> DataFrame:
+    """(video_id, category, user, ok, precision, recall, f1): a predicted mask against each user's; ok where a video has one.
+
+    predicted: video_id, frame; gold: video_id, user, frame; videos: video_id, category. Every video has `users` rows, also one
+    without a prediction and a user without a frame: these score 0.
+    """
+    everyone = videos.select("video_id", "category", F.explode(F.sequence(F.lit(1), F.lit(users))).alias("user"))
+    p = predicted.distinct().withColumn("_p", F.lit(1))
+    n = p.groupBy("video_id").agg(F.count("*").alias("_np"))
+    hits = gold.distinct().join(p, ["video_id", "frame"], "left").groupBy("video_id", "user").agg(F.count("_p").alias("_h"), F.count("*").alias("_nt"))
+    d = everyone.join(n, "video_id", "left").join(hits, ["video_id", "user"], "left").fillna(0, ["_np", "_h", "_nt"])
+    precision, recall, score = f1(F.col("_h"), F.col("_np"), F.col("_nt"))
+    return d.select("video_id", "category", "user", (F.col("_np") > 0).alias("ok"), precision.alias("precision"), recall.alias("recall"), score.alias("f1"))
+
+
+def benchmark(scores: DataFrame) -> DataFrame:
+    """(category, n, succeeded, f1, and means over successes): means over users, then over videos, by category and for all.
+
+    f1 counts a video without a prediction as 0; f1_of_successes, precision_of_successes and recall_of_successes leave it out.
+    """
+    v = scores.groupBy("video_id", "category").agg(F.max("ok").alias("ok"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    good = lambda c: F.avg(F.when(F.col("ok"), F.col(c)))
+    g = v.rollup("category").agg(F.count("*").alias("n"), F.count(F.when(F.col("ok"), 1)).alias("succeeded"), F.avg(F.when(F.col("ok"), F.col("f1")).otherwise(0.0)).alias("f1"), *[good(c).alias(f"{c}_of_successes") for c in ("f1", "precision", "recall")])
+    return g.fillna("all", ["category"])
+
+
+def uniform_frames(sizes: DataFrame) -> DataFrame:
+    """(video_id, frame) of `n` frames spread evenly over n_frames, from 1: a baseline as long as a prediction.
+    sizes: video_id, n_frames, n."""
+    d = sizes.where("n > 0").select("video_id", "n", "n_frames", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    return d.select("video_id", F.expr("1 + k * n_frames div n").alias("frame")).distinct()
+
+
+def best_segments(score: np.ndarray, first: np.ndarray, last: np.ndarray, portion: float) -> np.ndarray:
+    """A mask of frames: the segments (first .. last, from 0) of the highest mean scores that fit the portion of all frames.
+
+    Where none fits, the frames above the quantile of what the portion leaves; where none is, the highest frames up to the
+    portion, the first on ties.
+    """
+    n, out = len(score), np.zeros(len(score), dtype=bool)
+    last = np.minimum(last, n - 1)
+    sums = np.append(0.0, np.cumsum(score))
+    length = last - first + 1
+    mean = (sums[last + 1] - sums[first]) / np.maximum(length, 1)
+    for k in knapsack(mean.tolist(), length.tolist(), int(portion * n)):
+        out[first[k] : last[k] + 1] = True
+    if not out.any():
+        out = score > np.quantile(score, 1 - portion, method="hazen")
+    if not out.any():
+        out[np.argsort(-score, kind="stable")[: int(np.ceil(portion * n))]] = True
+    return out
+
+
+def segment_masks(frames: DataFrame, segments: DataFrame, portion: float = 0.15) -> DataFrame:
+    """(video_id, rater, frame): the frames that best_segments chooses for each rater, the prediction being one of them.
+
+    frames: video_id, rater, frame (from 0), score; segments: video_id, first, last. A rater's frames of a video meet in one
+    group.
+    """
+    raters = frames.select("video_id", "rater").distinct()
+    own = raters.join(segments.select("video_id", "first", "last"), "video_id")
+
+    def choose(g: dict) -> list[tuple]:
+        s = g["segments"]
+        at = np.flatnonzero(best_segments(g["frames"]["score"].astype(float), s["first"].astype(int), s["last"].astype(int), portion))
+        return [(int(g["frames"]["frame"][k]),) for k in at]
+
+    return by_arrays({"frames": (frames.select("video_id", "rater", "frame", "score"), ["frame"]), "segments": (own, ["first", "last"])}, ["video_id", "rater"], choose, "frame long")

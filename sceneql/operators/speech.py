@@ -283,11 +283,47 @@ def viterbi(words: list[dict], turns: list[dict], switch: float = 0.35) -> list[
     return out[::-1]
 
 
-def safe_end(said: DataFrame, shots: DataFrame, keys: Sequence[str], target: float) -> DataFrame:
-    """(keys, end): the last end of a complete utterance within the target, else of a shot, else the target."""
-    a = said.where(F.col("complete") & (F.col("end_seconds") <= target)).groupBy(*keys).agg(F.max("end_seconds").alias("_u"))
-    b = shots.where(F.col("end_seconds") <= target).groupBy(*keys).agg(F.max("end_seconds").alias("_s"))
-    return a.join(b, list(keys), "full").select(*keys, F.coalesce("_u", "_s", F.lit(target)).alias("end"))
+def safe_end(said: DataFrame, shots: DataFrame, words: DataFrame, keys: Sequence[str], target: float) -> DataFrame:
+    """(keys, end, mode): the last end up to the target of a complete utterance, else of a shot that ends in no word, else of a
+    word, else the target."""
+    from sceneql.operators.joins import point_join
+
+    most = target + EPSILON
+    a = said.where(F.col("complete") & (F.col("end_seconds") <= most)).groupBy(*keys).agg(F.max("end_seconds").alias("_u"))
+    ends = shots.where(F.col("end_seconds") <= most).select(*keys, F.col("end_seconds").alias("_at")).distinct()
+    inner = words.select(*keys, (F.col("start_seconds") + EPSILON).alias("_ws"), (F.col("end_seconds") - EPSILON).alias("_we")).where("_we > _ws")
+    cut = point_join(ends, inner, keys, "_at", "_ws", "_we", 30.0).where("_at > _ws").select(*keys, "_at").distinct()
+    b = ends.join(cut, [*keys, "_at"], "left_anti").groupBy(*keys).agg(F.max("_at").alias("_s"))
+    c = words.where(F.col("end_seconds") <= most).groupBy(*keys).agg(F.max("end_seconds").alias("_w"))
+    every = said.select(*keys).unionByName(shots.select(*keys)).distinct()
+    d = every.join(a, list(keys), "left").join(b, list(keys), "left").join(c, list(keys), "left")
+    mode = F.when(F.col("_u").isNotNull(), "sentence").when(F.col("_s").isNotNull(), "shot").when(F.col("_w").isNotNull(), "word").otherwise("target")
+    return d.select(*keys, F.coalesce("_u", "_s", "_w", F.lit(target)).alias("end"), mode.alias("mode"))
+
+
+def verified_edges(segments: DataFrame, words: DataFrame, keys: Sequence[str], row: str, duration: str, pad: float = 0.30, most: float = 1.5, slop: float = 0.05) -> DataFrame:
+    """segments with edges moved out of words that straddle them by more than .05 s, .3 s beyond the word, 1.5 s at most.
+
+    An end goes no further than the next segment's start and the video's end, a start no further than the end before it, as
+    moved. An end depends on its own segment and the next one's start alone, so all ends move at once, then all starts.
+    words: keys, start_seconds, end_seconds.
+    """
+    from sceneql.operators.joins import point_join
+
+    w = Window.partitionBy(*keys).orderBy("start_seconds", "end_seconds", row)
+
+    def straddling(at: Column, out: Column) -> DataFrame:
+        points = segments.select(*keys, row, at.alias("_at"))
+        return point_join(points, words.select(*keys, F.col("start_seconds").alias("_ws"), F.col("end_seconds").alias("_we")), keys, "_at", "_ws", "_we", 30.0).where("_at > _ws").groupBy(*keys, row).agg(out)
+
+    d = segments.join(straddling(F.col("end_seconds") + slop, F.max("_we").alias("_far")), [*keys, row], "left")
+    limit = F.least(F.lead("start_seconds").over(w), F.col(duration), F.col("end_seconds") + most)
+    moved = F.least(F.col("_far") + pad, limit)
+    d = d.withColumn("_end", F.when(moved > F.col("end_seconds") + slop, F.round(moved, 3)).otherwise(F.col("end_seconds")))
+    d = d.join(straddling(F.col("start_seconds") - slop, F.min("_ws").alias("_near")), [*keys, row], "left")
+    back = F.greatest(F.col("_near") - pad, F.coalesce(F.lag("_end").over(w), F.lit(0.0)), F.col("start_seconds") - most, F.lit(0.0))
+    start = F.when(F.col("_near").isNotNull() & (back < F.col("start_seconds") - slop), F.round(back, 3)).otherwise(F.col("start_seconds"))
+    return d.withColumn("_start", start).select(*[c for c in segments.columns if c not in ("start_seconds", "end_seconds")], F.col("_start").alias("start_seconds"), F.col("_end").alias("end_seconds"))
 
 
 def repair(segments: DataFrame, chunks: DataFrame, keys: Sequence[str], bad: Column) -> DataFrame:

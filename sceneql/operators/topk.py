@@ -110,22 +110,49 @@ def cues(tokens: Column, prefixes: Sequence[str]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, prefixes)), lambda c: F.exists(tokens, lambda t: F.startswith(t, c))))
 
 
-def majority(df: DataFrame, keys: Sequence[str], choice: str, least: int, share: float) -> DataFrame:
-    """Each key's most frequent choice, where it is frequent enough."""
+def majority(df: DataFrame, keys: Sequence[str], choice: str, least: int, share: float, once: bool = False) -> DataFrame:
+    """Each key's most frequent choice, where it is frequent enough; ties to the smallest choice.
+
+    once: a choice is one key's alone, within all keys but the last: the one with the greatest share, then count, then key.
+    Every key has one candidate, so this is what a greedy assignment by (share, count, key) gives.
+    """
     c = df.groupBy(*keys, choice).agg(F.count("*").alias("n"))
     c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
-    return top(c, keys, [F.desc("n"), choice], 1, "_r").where((F.col("n") >= least) & (F.col("share") >= share)).drop("_r")
-
-
-def one_to_one(rows: list[dict], left: str, right: str) -> list[dict]:
-    """Greedy assignment of rows in their order: each left and each right once."""
-    ls, rs, out = set(), set(), []
-    for r in rows:
-        if r[left] not in ls and r[right] not in rs:
-            ls.add(r[left])
-            rs.add(r[right])
-            out.append(r)
-    return out
+    best = top(c, keys, [F.desc("n"), choice], 1, "_r").where((F.col("n") >= least) & (F.col("share") >= share))
+    if once:
+        best = top(best.drop("_r"), [*keys[:-1], choice], [F.desc("share"), F.desc("n"), F.desc(keys[-1])], 1, "_r")
+    return best.drop("_r")
+
+
+def screen_time(seen: DataFrame, scenes: DataFrame, share: float = 0.005, most: int = 24, leads: int = 3) -> DataFrame:
+    """(video_id, actor, seconds, n, rank, role): the cast by screen time, a scene's seconds weighted by the share of its samples
+    that show the actor.
+
+    seen: video_id, scene_id, sample, actor; scenes: video_id, scene_id, duration_seconds, samples. An actor appears in two
+    scenes at least, and in half a percent of them; the first `most` count. Where no one does, the first three do.
+    """
+    hits = seen.groupBy("video_id", "scene_id", "actor").agg(F.count_distinct("sample").alias("_hits"))
+    t = hits.join(scenes, ["video_id", "scene_id"]).groupBy("video_id", "actor").agg(F.sum(F.col("duration_seconds") * F.col("_hits") / F.greatest("samples", F.lit(1))).alias("seconds"), F.count("*").alias("n"))
+    floor = scenes.groupBy("video_id").agg(F.greatest(F.lit(2), F.ceil(F.count("*") * share)).alias("_floor"))
+    t = t.join(floor, "video_id").withColumn("_fits", F.col("n") >= F.col("_floor")).withColumn("_any", F.max("_fits").over(Window.partitionBy("video_id")))
+    cast = ranked(t.where("_fits or not _any"), ["video_id"], [F.desc("seconds"), "actor"], "rank").where(F.col("rank") <= F.when(F.col("_any"), most).otherwise(3))
+    return cast.select("video_id", "actor", "seconds", "n", "rank", F.when(F.col("rank") <= leads, "lead").otherwise("support").alias("role"))
+
+
+def story_cap(df: DataFrame, keys: Sequence[str], story: str, order: Sequence[Column | str], per_story: int, most: int, required: Column | None = None) -> DataFrame:
+    """The first per_story rows of each story, required ones beyond that, and the first `most` of these in all."""
+    r = ranked(df, [*keys, story], order, "_r")
+    kept = r.where((F.col("_r") <= per_story) | (F.lit(False) if required is None else required))
+    return top(kept.drop("_r"), keys, order, most, "rank")
+
+
+def distribution(df: DataFrame, keys: Sequence[str], kinds: dict[str, Column]) -> DataFrame:
+    """(keys, kind, name, n): how many rows each name of each kind has: regions, acts, tenths of the time."""
+    both = None
+    for kind, name in kinds.items():
+        x = df.groupBy(*keys, name.cast("string").alias("name")).agg(F.count("*").alias("n")).select(*keys, F.lit(kind).alias("kind"), "name", "n")
+        both = x if both is None else both.unionByName(x)
+    return both
 
 
 def same_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], ids: Sequence[str]) -> DataFrame:

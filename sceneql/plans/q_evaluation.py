@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from sceneql.functions import vectors as V
 from sceneql.operators import evaluate as E
-from sceneql.operators import selection as S
 from sceneql.operators import topk as K
 from sceneql.operators import windows as W
-from sceneql.operators.groups import by_group
 from sceneql.plans import adapters as A
+from sceneql.plans.q_aggregates import _USERS, annotated
 from sceneql.plans.registry import query
 
 
@@ -23,11 +22,19 @@ def mask_scores(spark, sf_dir):
     return d.select("video_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("eval_2_benchmark_means", A.sql("WITH v AS (SELECT event_type AS category, video_id, avg(emotion) AS f, count(*) > 12 AS ok FROM shots GROUP BY ALL) SELECT coalesce(category, 'all') AS category, round(avg(f), 6) AS every, round(coalesce(avg(f) FILTER (ok), 0e0), 6) AS successful, round(sum(CASE WHEN ok THEN f ELSE 0e0 END) / count(*), 6) AS failures_zero FROM v GROUP BY GROUPING SETS ((category), ())", "shots"))
+@query("eval_2_benchmark_means", A.sql(_USERS + """,
+z AS (SELECT video_id, n_shots AS nf, count(*) FILTER (narrative_score >= 0.7e0) AS n FROM shots GROUP BY ALL), b AS (SELECT DISTINCT video_id, 1 + k * nf // n AS scene_id FROM (SELECT *, unnest(range(0, n)) AS k FROM z WHERE n > 0)),
+bn AS (SELECT video_id, count(*) AS np FROM b GROUP BY video_id), bh AS (SELECT m.video_id, usr, count(b.scene_id) AS h, count(*) AS nt FROM m LEFT JOIN b ON b.video_id = m.video_id AND b.scene_id = m.scene_id WHERE (cents * usr) % 7 >= 4 GROUP BY ALL),
+bu AS (SELECT v.video_id, v.category, v.ok, coalesce(CASE WHEN h > 0 THEN 2e0 * h / (np + nt) END, 0e0) AS f FROM v CROSS JOIN (SELECT unnest(range(1, 21)) AS usr) x LEFT JOIN bn ON bn.video_id = v.video_id LEFT JOIN bh ON bh.video_id = v.video_id AND bh.usr = x.usr),
+bv AS (SELECT video_id, category, ok, avg(f) AS f FROM bu GROUP BY ALL), w AS (SELECT coalesce(category, 'all') AS category, round(avg(f) FILTER (ok), 6) AS uniform FROM bv GROUP BY GROUPING SETS ((category), ())),
+y AS (SELECT coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN ok THEN f1 ELSE 0e0 END), 6) AS f1, round(avg(f1) FILTER (ok), 6) AS f1_of_successes FROM v GROUP BY GROUPING SETS ((category), ()))
+SELECT category, n, f1, f1_of_successes, uniform FROM y JOIN w USING (category)""", "shots"))
 def benchmark_means(spark, sf_dir):
-    v = A.shots(spark, sf_dir).groupBy(F.col("event_type").alias("category"), "video_id").agg(F.avg("emotion").alias("f"), (F.count("*") > 12).alias("ok"))
-    good = F.when(F.col("ok"), F.col("f"))
-    return v.rollup("category").agg(F.round(F.avg("f"), 6).alias("every"), F.round(F.coalesce(F.avg(good), F.lit(0.0)), 6).alias("successful"), F.round(F.sum(F.coalesce(good, F.lit(0.0))) / F.count("*"), 6).alias("failures_zero")).fillna("all", ["category"])
+    predicted, gold, videos = annotated(spark, sf_dir)
+    sizes = videos.join(predicted.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
+    model = E.benchmark(E.user_scores(predicted, gold, videos))
+    plain = E.benchmark(E.user_scores(E.uniform_frames(sizes), gold, videos)).select("category", F.round("f1_of_successes", 6).alias("uniform"))
+    return model.select("category", "n", F.round("f1", 6).alias("f1"), F.round("f1_of_successes", 6).alias("f1_of_successes")).join(plain, "category")
 
 
 @query("eval_4_cut_matching", A.sql("""
@@ -87,12 +94,15 @@ def diversity(spark, sf_dir):
 
 @query("eval_10_segment_knapsack")
 def segment_knapsack(spark, sf_dir):
-    def f(rows):
-        n = len(rows)
-        pick = S.knapsack([r["narrative_score"] for r in rows], [max(1, int(r["duration_seconds"])) for r in rows], int(0.15 * sum(r["duration_seconds"] for r in rows)))
-        chosen = set(pick)
-        hits = sum(1 for i in chosen if rows[i]["emotion"] >= 0.7)
-        truth = sum(1 for r in rows if r["emotion"] >= 0.7)
-        return [{"n": n, "f1": round(2 * hits / max(1, len(chosen) + truth), 6)}]
-
-    return by_group(A.shots(spark, sf_dir), ["video_id"], ["scene_id"], ["narrative_score", "duration_seconds", "emotion"], f, "n bigint, f1 double")
+    """Every rater's frames by one knapsack over the predicted segments, and the prediction against each user's; the means."""
+    s = A.shots(spark, sf_dir)
+    w = Window.partitionBy("video_id").orderBy("scene_id").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.least(F.lit(20), F.greatest(F.lit(1), F.ceil("duration_seconds"))).cast("long")
+    cut = s.withColumn("first", F.coalesce(F.sum(length).over(w), F.lit(0))).withColumn("last", F.col("first") + length - 1)
+    rated = cut.select("video_id", "first", "last", "cents", "narrative_score", F.explode(F.sequence(F.lit(0), F.lit(E.USERS))).alias("rater"))
+    score = F.when(F.col("rater") == 0, F.col("narrative_score")).otherwise(((F.col("cents") * F.col("rater")) % 5 + 1).cast("double"))
+    frames = rated.withColumn("score", score).select("video_id", "rater", F.explode(F.sequence("first", "last")).alias("frame"), "score")
+    masks = E.segment_masks(frames, cut.select("video_id", "first", "last"))
+    videos = s.select("video_id", F.concat(F.lit("c"), F.col("video_id") % 4).alias("category")).distinct()
+    scores = E.user_scores(masks.where("rater = 0").select("video_id", "frame"), masks.where("rater > 0").withColumnRenamed("rater", "user"), videos)
+    return E.benchmark(scores).select("category", "n", "succeeded", F.round("f1", 6).alias("f1"))

@@ -18,7 +18,7 @@ from sceneql.plans.registry import query
 
 #: The rows of a video's best subset within the capacity, by listing all subsets of its items (at most 13). What decides
 #: comes first in {order}; then the cheaper subset, and of equal ones the one of earlier items.
-_SUBSETS = """
+SUBSETS = """
 WITH t AS (SELECT video_id, ord, value, duration, {cost} AS c, row_number() OVER (PARTITION BY video_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM items),
 m AS (SELECT DISTINCT video_id, unnest(range(0, 1::BIGINT << n)) AS m FROM t),
 s AS (SELECT video_id, m, round(sum(value), 2) AS v, sum(c) AS c, count(*) AS size FROM m JOIN t USING (video_id) WHERE (m >> k) % 2 = 1 GROUP BY ALL),
@@ -28,7 +28,7 @@ SELECT t.video_id, ord, value, duration FROM b JOIN t USING (video_id) WHERE (m
 
 
 def knap(name: str, cost: str, capacity: int, budget: float, order: str = "v DESC", **how):
-    @query(name, A.sql(_SUBSETS.format(cost=cost, capacity=capacity, order=order), "items"))
+    @query(name, A.sql(SUBSETS.format(cost=cost, capacity=capacity, order=order), "items"))
     def f(spark, sf_dir):
         return S.knapsack_rows(A.items(spark, sf_dir), ["video_id"], ["ord"], "value", "duration", budget, **how)
 
@@ -228,7 +228,11 @@ def mock_captions(spark, sf_dir):
     return A.shots(spark, sf_dir).select("video_id", "scene_id", mock_captioner(F.col("scene_id"), F.col("event_type")).alias("caption"))
 
 
-@query("udf_5_budget_select", A.sql("SELECT count(*) AS videos FROM (SELECT DISTINCT video_id FROM shots)", "shots"))
+@query("udf_5_budget_select", A.sql(SUBSETS.format(cost="greatest(1, round_even(duration / 0.5e0, 0))::BIGINT", capacity=120, order="v DESC, size DESC"), "items"))
 def budget_select(spark, sf_dir):
-    d = S.knapsack_rows(A.shots(spark, sf_dir), ["video_id"], ["scene_id"], "action_score", "duration_seconds", 60.0)
-    return d.agg(F.count_distinct("video_id").alias("videos"))
+    from sceneql.operators.tables import register
+
+    register(spark)
+    items = A.items(spark, sf_dir).select(F.col("video_id").alias("k"), "ord", "value", "duration")
+    chosen = spark.sql("SELECT k AS video_id, ord, value, cost AS duration FROM budget_select(TABLE(SELECT k, ord, value, duration FROM {items}) PARTITION BY (k) ORDER BY (ord), 60.0D, 0.5D)", items=items)
+    return chosen

@@ -45,28 +45,46 @@ def zero_shot(spark, sf_dir):
     return s.groupBy("kf_id").agg(F.max_by("prompt", F.struct(F.col("s"), -F.col("prompt"))).alias("prompt"))
 
 
-_TFIDF = r"""
-WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM conversations), tf AS (SELECT conv_id, turn, token, count(*) AS tf FROM t GROUP BY ALL),
-df AS (SELECT conv_id, token, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT conv_id, count(DISTINCT turn) AS n FROM conversations GROUP BY conv_id),
-w AS (SELECT tf.conv_id, turn, token, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (conv_id, token) JOIN n USING (conv_id)),
+def _tfidf_sql(grams: str, most: int | None, tf: str) -> str:
+    """Weights of the tokens that `grams` makes of a text, by conversation; the `most` commonest tokens alone."""
+    cap = f"QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY sum(tf) DESC, encode(token)) <= {most}" if most else ""
+    return rf"""
+WITH t AS (SELECT conv_id, turn, unnest({grams}) AS token FROM conversations), tf AS (SELECT conv_id, turn, token, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT conv_id, token, count(*) AS df FROM tf GROUP BY conv_id, token {cap}), n AS (SELECT conv_id, count(DISTINCT turn) AS n FROM conversations GROUP BY conv_id),
+w AS (SELECT tf.conv_id, turn, token, {tf} * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (conv_id, token) JOIN n USING (conv_id)),
 v AS (SELECT conv_id, turn, token, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)) AS weight FROM w)
 """
 
 
+_WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_PAIRS_SQL = f"list_concat({_WORDS_SQL}, list_transform(list_zip({_WORDS_SQL}[:-2], {_WORDS_SQL}[2:]), lambda x: x[1] || ' ' || x[2]))"
+_CHARS_SQL = (
+    r"flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), lambda w: list_concat("
+    + ", ".join(f"CASE WHEN {k} = 3 OR len(w) + 2 > {k - 1} THEN list_transform(range(1, greatest(len(w) + 2 - {k - 1}, 1)::BIGINT + 1), lambda i: substr(' ' || w || ' ', i, {k})) ELSE [] END" for k in (3, 4, 5)) + ")))"
+)
+
+
 def _weights(spark, sf_dir):
-    return R.tfidf(A.table(spark, sf_dir, "conversations"), "turn", T.tokens("text"), ["conv_id"])
+    return R.tfidf(A.table(spark, sf_dir, "conversations"), "turn", T.word_grams("text"), ["conv_id"])
 
 
-@query("sim_4_tfidf", _TFIDF + "SELECT conv_id, turn, token, round(weight, 6) AS weight FROM v")
+@query("sim_4_tfidf", _tfidf_sql(_PAIRS_SQL, None, "(1 + ln(tf))") + "SELECT conv_id, turn, token, round(weight, 6) AS weight FROM v")
 def tfidf(spark, sf_dir):
     return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
-@query("sim_5_relevance", _TFIDF + ", s AS (SELECT a.conv_id, a.turn, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.token = b.token AND b.turn = 0 AND a.turn > 0 GROUP BY ALL) SELECT conv_id, turn, round(CASE WHEN max(s) OVER p > min(s) OVER p THEN (s - min(s) OVER p) / (max(s) OVER p - min(s) OVER p) ELSE 0.5e0 END, 6) AS relevance FROM s WINDOW p AS (PARTITION BY conv_id)")
+@query("sim_4_tfidf_capped", _tfidf_sql(_WORDS_SQL, 64, "tf") + "SELECT conv_id, turn, token, round(weight, 6) AS weight FROM v")
+def tfidf_capped(spark, sf_dir):
+    # the conversations are short: 64 words stand for the 512 of long films, so that the cap acts
+    w = R.tfidf(A.table(spark, sf_dir, "conversations"), "turn", T.tokens("text"), ["conv_id"], 64, False)
+    return w.withColumn("weight", F.round("weight", 6))
+
+
+@query("sim_5_relevance", _tfidf_sql(_CHARS_SQL, 2048, "tf") + ", s AS (SELECT a.conv_id, a.turn, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.token = b.token AND b.turn = 0 AND a.turn > 0 GROUP BY ALL) SELECT conv_id, turn, round(CASE WHEN max(s) OVER p > min(s) OVER p THEN (s - min(s) OVER p) / (max(s) OVER p - min(s) OVER p) ELSE 0.5e0 END, 6) AS relevance FROM s WINDOW p AS (PARTITION BY conv_id)")
 def relevance(spark, sf_dir):
     from sceneql.operators.topk import min_max
 
-    w = _weights(spark, sf_dir)
+    w = R.tfidf(A.table(spark, sf_dir, "conversations"), "turn", T.char_grams("text"), ["conv_id"], 2048, False)
     s = R.sparse_similarity(w.where("turn > 0"), w.where("turn = 0").withColumnRenamed("turn", "asked"), "turn", "asked", ["conv_id"])
     return min_max(s, "similarity", "relevance", 0.5, ["conv_id"]).select("conv_id", "turn", F.round("relevance", 6).alias("relevance"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sceneql.operators import joins as J
 from sceneql.plans import adapters as A
+from sceneql.plans.q_selection import SUBSETS
 from sceneql.plans.registry import query
 from sceneql.sources import tables as S
 from sceneql.sources.manifest import Manifest
@@ -236,28 +237,29 @@ def metric_csv(spark, sf_dir):
     return spark.read.option("header", True).schema("event_type string, n long").csv(path)
 
 
-@query("cache_2_stage_status", "SELECT 'good' AS stage, 'complete' AS status UNION ALL SELECT 'bad', 'failed'")
+@query("cache_2_stage_status", A.sql("SELECT stage, status, rows FROM (SELECT 'good' AS stage, 'complete' AS status, count(*) AS rows FROM shots WHERE action_score >= 0.5e0) UNION ALL SELECT 'bad', 'failed', 0", "shots"))
 def stage_status(spark, sf_dir):
     m = Manifest(spark, scratch(spark))
-    m.run("good", {}, lambda: spark.range(3).toDF("i"))
+    good, _ = m.run("good", {"floor": 0.5}, lambda: A.shots(spark, sf_dir).where("action_score >= 0.5"))
     try:
-        m.run("bad", {}, lambda: (_ for _ in ()).throw(RuntimeError("stage")))
-    except RuntimeError:
+        m.run("bad", {}, lambda: A.shots(spark, sf_dir).select(F.raise_error(F.lit("stage")).alias("x")))
+    except Exception:
         pass
-    return spark.createDataFrame([(s, m.entry(s)["status"]) for s in ("good", "bad")], "stage string, status string")
+    rows = {"good": good.count(), "bad": 0}
+    return spark.createDataFrame([(s, m.entry(s)["status"], rows[s]) for s in ("good", "bad")], "stage string, status string, rows long")
 
 
-@query("cache_3_chained_hashes", "SELECT * FROM (VALUES (1, 'up', 1), (2, 'down', 1), (3, 'up', 2), (4, 'down', 2)) AS v(build, stage, version)")
+@query("cache_3_chained_hashes", A.sql("SELECT build, stage, version, (SELECT count(*) FROM shots WHERE scene_id <= version) AS rows FROM (VALUES (1, 'up', 1), (2, 'down', 1), (3, 'up', 2), (4, 'down', 2)) AS v(build, stage, version)", "shots"))
 def chained_hashes(spark, sf_dir):
     m, built = Manifest(spark, scratch(spark)), []
 
-    def stage(k):
-        return lambda: (built.append(k), spark.range(3).toDF("i"))[1]
-
     for version in (1, 1, 2):
-        _, h = m.run("up", {"version": version}, stage(("up", version)))
-        m.run("down", {}, stage(("down", version)), h)
-    return spark.createDataFrame([(i + 1, *k) for i, k in enumerate(built)], "build int, stage string, version int")
+        up, h = m.run("up", {"scenes": version}, lambda: (built.append(["up", version]), A.shots(spark, sf_dir).where(F.col("scene_id") <= version))[1])  # noqa: B023
+        down, _ = m.run("down", {}, lambda: (built.append(["down", version]), up.select("video_id", "scene_id"))[1], h)  # noqa: B023
+        for b in built:
+            if len(b) == 2:
+                b.append((up if b[0] == "up" else down).count())
+    return spark.createDataFrame([(i + 1, *k) for i, k in enumerate(built)], "build int, stage string, version int, rows long")
 
 
 @query("cache_4_response_cache", A.sql("SELECT video_id, scene_id, cents % 10 AS answer FROM shots WHERE cents % 4 <> 0", "shots"))
@@ -271,12 +273,12 @@ def response_cache(spark, sf_dir):
     return s.join(cache, "asked").select("video_id", "scene_id", "answer")
 
 
-@query("udf_1_column_parameters", A.sql("SELECT count(DISTINCT video_id) AS videos FROM shots", "shots"))
+@query("udf_1_column_parameters", A.sql(SUBSETS.format(cost="greatest(1, round_even(duration / 0.5e0, 0))::BIGINT", capacity=120, order="v DESC, size DESC").replace("SELECT t.video_id, ord, value, duration FROM b", "SELECT t.video_id AS film, ord AS place, value AS worth, duration AS price FROM b"), "items"))
 def column_parameters(spark, sf_dir):
-    from sceneql.operators.selection import diverse_rows
+    from sceneql.operators.selection import knapsack_rows
 
-    d = A.shots(spark, sf_dir).select("video_id", F.col("scene_id").alias("id"), F.col("emotion").alias("worth"), F.col("duration_seconds").alias("price"), (F.col("start_seconds") / F.col("video_duration")).alias("place"), F.col("story_id").alias("family"))
-    return diverse_rows(d, ["video_id"], "id", "worth", "price", "place", "family", 60.0).agg(F.count_distinct("video_id").alias("videos"))
+    d = A.items(spark, sf_dir).select(F.col("video_id").alias("film"), F.col("ord").alias("place"), F.col("value").alias("worth"), F.col("duration").alias("price"))
+    return knapsack_rows(d, ["film"], ["place"], "worth", "price", 60.0, more_items=True)
 
 
 @query("udf_2_word_provider", A.sql("SELECT video_id, turn, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS said FROM words GROUP BY ALL", "words"))

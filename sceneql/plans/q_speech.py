@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneql.functions import text as T
@@ -108,12 +109,20 @@ def transcript_repair(spark, sf_dir):
     return S.repair(t, c, ["video_id"], F.col("end_seconds") - F.col("start_seconds") > 20.0).drop("repaired")
 
 
-@query("ivl_23_boundary_verification", A.sql("SELECT q.video_id, q.turn, round(least(max(greatest(z, w.end_seconds + 0.3e0)), z + 1.5e0), 6) AS verified FROM (SELECT video_id, turn, start_seconds + 2.05e0 AS z FROM turns) q JOIN words w ON w.video_id = q.video_id AND w.start_seconds < z - 0.05e0 AND w.end_seconds > z + 0.05e0 GROUP BY q.video_id, q.turn, z", "words"))
+@query("ivl_23_boundary_verification", A.sql("""
+WITH q AS (SELECT video_id, turn, start_seconds + 0.85e0 AS a, end_seconds - 0.75e0 AS z, max(end_seconds) OVER (PARTITION BY video_id) AS d FROM turns),
+f AS (SELECT q.video_id, q.turn, max(w.end_seconds) AS far FROM q JOIN words w ON w.video_id = q.video_id AND w.start_seconds < z + 0.05e0 AND w.end_seconds > z + 0.05e0 GROUP BY ALL),
+n AS (SELECT q.video_id, q.turn, min(w.start_seconds) AS near FROM q JOIN words w ON w.video_id = q.video_id AND w.start_seconds < a - 0.05e0 AND w.end_seconds > a - 0.05e0 GROUP BY ALL),
+e AS (SELECT q.*, least(coalesce(lead(a) OVER (PARTITION BY video_id ORDER BY a, z, turn), d), d, z + 1.5e0, far + 0.3e0) AS m, far FROM q LEFT JOIN f USING (video_id, turn)),
+g AS (SELECT *, CASE WHEN far IS NOT NULL AND m > z + 0.05e0 THEN round(m, 3) ELSE z END AS y FROM e),
+h AS (SELECT g.*, near, greatest(near - 0.3e0, coalesce(lag(y) OVER (PARTITION BY g.video_id ORDER BY a, z, g.turn), 0e0), a - 1.5e0, 0e0) AS b FROM g LEFT JOIN n ON n.video_id = g.video_id AND n.turn = g.turn)
+SELECT h.video_id, h.turn, round(CASE WHEN near IS NOT NULL AND b < a - 0.05e0 THEN round(b, 3) ELSE a END, 6) AS start_seconds, round(y, 6) AS end_seconds FROM h""", "words"))
 def boundary_verification(spark, sf_dir):
-    q = A.turns(spark, sf_dir).select("video_id", F.col("turn").alias("q"), (F.col("start_seconds") + 2.05).alias("z"))
-    w = A.words(spark, sf_dir).select("video_id", (F.col("start_seconds") + 0.05).alias("s"), (F.col("end_seconds") - 0.05).alias("e"), "end_seconds").where("e > s")
-    hits = J.point_join(q, w, ["video_id"], "z", "s", "e", 30.0).where("z > s and z < e")
-    return hits.groupBy("video_id", F.col("q").alias("turn"), "z").agg(F.max(F.greatest("z", F.col("end_seconds") + 0.3)).alias("m")).select("video_id", "turn", F.round(F.least(F.col("m"), F.col("z") + 1.5), 6).alias("verified"))
+    # segments that begin and end inside a turn's words
+    t = A.turns(spark, sf_dir).withColumn("d", F.max("end_seconds").over(Window.partitionBy("video_id")))
+    q = t.select("video_id", "turn", (F.col("start_seconds") + 0.85).alias("start_seconds"), (F.col("end_seconds") - 0.75).alias("end_seconds"), "d")
+    got = S.verified_edges(q, A.words(spark, sf_dir), ["video_id"], "turn", "d")
+    return got.select("video_id", "turn", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"))
 
 
 @query("ivl_24_silence_refinement", A.sql("SELECT q.video_id, q.turn, round(max(w.end_seconds) + 0.45e0, 6) AS refined FROM (SELECT video_id, turn, start_seconds + 12e0 AS z FROM turns) q JOIN words w ON w.video_id = q.video_id AND w.end_seconds > z - 15e0 AND w.start_seconds < z + 8e0 WHERE regexp_matches(w.word, '[.!?]$') GROUP BY ALL", "words"))
@@ -128,7 +137,12 @@ def silence_refinement(spark, sf_dir):
 WITH f AS (SELECT *, lag({_END.format('word')}) OVER w AS pf, start_seconds - lag(end_seconds) OVER w AS gap FROM words WINDOW w AS (PARTITION BY video_id ORDER BY start_seconds, end_seconds, word)),
 g AS (SELECT *, sum(CASE WHEN pf IS NULL OR pf OR gap >= 2.75e0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds, word ROWS UNBOUNDED PRECEDING) AS u FROM f),
 u AS (SELECT video_id, max(end_seconds) AS e, arg_max(word, start_seconds) AS last FROM g GROUP BY video_id, u),
-a AS (SELECT video_id, max(e) AS ue FROM u WHERE NOT regexp_matches(last, '[,;:]$') AND e <= 60e0 GROUP BY video_id), b AS (SELECT video_id, max(end_seconds) AS se FROM turns WHERE end_seconds <= 60e0 GROUP BY video_id)
-SELECT video_id, coalesce(ue, se, 60e0) AS "end" FROM a FULL JOIN b USING (video_id)""", "words"))
+a AS (SELECT video_id, max(e) AS ue FROM u WHERE NOT regexp_matches(last, '[,;:]$') AND e <= 8.02e0 GROUP BY video_id),
+b AS (SELECT t.video_id, max(t.end_seconds - 0.1e0) AS se FROM turns t WHERE t.end_seconds - 0.1e0 <= 8.02e0 AND NOT EXISTS (SELECT 1 FROM words w WHERE w.video_id = t.video_id AND w.start_seconds + 0.02e0 < t.end_seconds - 0.1e0 AND t.end_seconds - 0.1e0 < w.end_seconds - 0.02e0) GROUP BY t.video_id),
+c AS (SELECT video_id, max(end_seconds) AS we FROM words WHERE end_seconds <= 8.02e0 GROUP BY video_id)
+SELECT video_id, round(coalesce(ue, se, we, 8e0), 6) AS "end", CASE WHEN ue IS NOT NULL THEN 'sentence' WHEN se IS NOT NULL THEN 'shot' WHEN we IS NOT NULL THEN 'word' ELSE 'target' END AS mode FROM (SELECT DISTINCT video_id FROM turns) LEFT JOIN a USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN c USING (video_id)""", "words"))
 def safe_budget_end(spark, sf_dir):
-    return S.safe_end(S.utterances(A.words(spark, sf_dir), ["video_id"]), A.turns(spark, sf_dir), ["video_id"], 60.0)
+    # shots end a tenth of a second before the turns; eight seconds, so that every kind of end occurs
+    shots = A.turns(spark, sf_dir).withColumn("end_seconds", F.col("end_seconds") - 0.1)
+    w = A.words(spark, sf_dir)
+    return S.safe_end(S.utterances(w, ["video_id"]), shots, w, ["video_id"], 8.0).withColumn("end", F.round("end", 6))
