@@ -31,3 +31,7 @@ SOUND_LABELS = (
     ("footsteps", "Footsteps"), ("typing", "Typing"), ("door", "Door"), ("knock", "Knock"), ("explosion", "Explosion"), ("gunshot", "Gunshot"), ("wind", "Wind"), ("rain", "Rain"), ("thunder", "Thunder"), ("noise", "Noise"),
 )
 VOCAL_SOUNDS = ("Laughter", "Giggle", "Chuckle", "Crying", "Sobbing", "Cough", "Sneeze")
+
+# Words of a wish that ask for a kind of scene, and words that make it exclusive.
+REQUEST_TYPES = {"action": ("aksiyon", "action", "dövüş", "kovalamaca", "çatışma"), "dialogue": ("konuşma", "konuşmalı", "diyalog", "dialogue"), "silent": ("konuşmasız", "sessiz", "silent", "no dialogue"), "music": ("müzik", "müzikli", "music")}
+STRICT_MARKERS = ("sadece", "yalnız", "yalnızca", "only ")

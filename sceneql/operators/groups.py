@@ -14,12 +14,17 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from sceneql.sources.package import ship
 
 
+#: Rows of one kind that a group may have; more raise an error instead of filling a task's memory.
+MOST = 2_000_000
+
+
 def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], f: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """f over each group's rows, in the order of `order` then `columns`; f returns rows of `schema`. A group must fit in memory:
-    callers bound it (a video's shots, a pool)."""
+    """f over each group's rows, in the order of `order` then `columns`; f returns rows of `schema`. A group of more than MOST rows
+    raises an error."""
     ship(df.sparkSession)
     names = list(dict.fromkeys([*order, *columns]))
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    rows = F.array_sort(F.collect_list(F.struct(*names)))
+    g = df.groupBy(*keys).agg(F.when(F.count("*") <= MOST, rows).otherwise(F.raise_error(F.lit(f"a group has more than {MOST} rows"))).alias("rows"))
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     out = StructType.fromDDL(f"{key_types}, {schema}") if hasattr(StructType, "fromDDL") else _parse_datatype_string(f"{key_types}, {schema}")
     arrow = to_arrow_schema(out)
@@ -36,10 +41,6 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return g.mapInArrow(run, out)
 
 
-#: Rows of one kind that a group may have; more raise an error instead of filling a task's memory.
-MOST = 2_000_000
-
-
 def by_arrays(frames: Mapping[str, tuple[DataFrame, Sequence[str]]], keys: Sequence[str], f: Callable[[dict[str, dict[str, np.ndarray]]], Sequence[tuple]], schema: str, most: int = MOST) -> DataFrame:
     """f over each group of the first frame with the same keys' rows of the others; f returns rows of `schema` as tuples.
 

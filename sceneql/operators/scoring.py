@@ -59,9 +59,15 @@ def credits(visual, position: Column, speech) -> Column:
     return clip((0.65 * _c(visual) + 0.25 * edge + 0.10 * (1.0 - F.least(2.0 * _c(speech), F.lit(1.0)))) * F.when(edge == 0, 0.35).otherwise(1.0))
 
 
-def heuristic_credits(label, position: Column, dia, dark) -> Column:
+def any_word(text, words: Sequence[str]) -> Column:
+    """Whether the text, lower-cased, holds any of the words."""
+    low = F.lower(_c(text))
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(False))
+
+
+def heuristic_credits(text, position: Column, dia, dark, words: Sequence[str] = L.CREDIT_WORDS) -> Column:
     """Keyword, edge of the video, silence and darkness; capped without a keyword before the last tenth."""
-    word = _c(label) == "signup"
+    word = any_word(text, words)
     h = F.when(word, 0.55).otherwise(0.0) + F.when((position >= 0.90) | (position <= 0.055), 0.25).otherwise(0.0) + F.when(_c(dia) < 0.1, 0.10).otherwise(0.0) + 0.20 * _c(dark)
     return clip(F.when(~word & (position < 0.90), F.least(h, F.lit(0.58))).otherwise(h))
 
@@ -72,27 +78,48 @@ def without_credits(df: DataFrame, probability: str, limit: float = 0.65) -> Dat
     return df.withColumn("_left", left).where((F.col(probability) < limit) | (F.col("_left") == 0)).drop("_left")
 
 
-def scene_flags(label, dia, speech, change) -> Column:
-    return F.array_compact(F.array(F.when(_c(dia) >= 0.40, "dialogue"), F.when(_c(speech) < 0.10, "silent"), F.when(_c(label).isin("error", "purchase") | (_c(change) >= 0.72), "action"), F.when(_c(label) == "signup", "music")))
+def scene_flags(text, dia, speech, change, action_words: Sequence[str] = L.ACTION_WORDS, music_words: Sequence[str] = L.MUSIC_WORDS) -> Column:
+    """Which of dialogue, silent, action (by a word or by how much the picture changes) and music a scene is."""
+    return F.array_compact(F.array(F.when(_c(dia) >= 0.40, "dialogue"), F.when(_c(speech) < 0.10, "silent"), F.when(any_word(text, action_words) | (_c(change) >= 0.72), "action"), F.when(any_word(text, music_words), "music")))
 
 
 #: Weights of dialogue, audio, character, visual, uniqueness and structure, by content profile.
 PROFILES = {"mixed": (24, 16, 16, 12, 21, 11), "action_led": (12, 23, 12, 23, 18, 12), "atmospheric": (8, 16, 10, 24, 30, 12), "ensemble": (21, 12, 25, 10, 20, 12), "dialogue_led": (31, 11, 16, 8, 22, 12)}
 
 
-def content_profile(df: DataFrame) -> DataFrame:
-    """(video_id, profile) from the shares of action, silence, motion, dialogue and the spread over labels."""
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    spread = df.groupBy("video_id", "event_type").agg(F.count("*").alias("c")).groupBy("video_id").agg(F.count("*").alias("k"), (F.max("c") / F.sum("c")).alias("dom"))
-    p = df.groupBy("video_id").agg(share(F.col("event_type").isin("error", "purchase")).alias("a"), share(F.col("speech_ratio") < 0.10).alias("s"), F.avg("onset").alias("v"), share(F.col("dialogue_score") >= 0.40).alias("d")).join(spread, "video_id")
-    profile = F.when(F.col("a") >= 0.34, "action_led").when((F.col("s") >= 0.58) & (F.col("v") >= 0.35), "atmospheric").when((F.col("k") >= 4) & (F.col("dom") < 0.58), "ensemble").when(F.col("d") >= 0.62, "dialogue_led").otherwise("mixed")
-    return p.select("video_id", profile.alias("profile"))
+PARTS = ("dialogue", "audio", "character", "visual", "uniqueness", "structure")
+
+
+def content_profile(df: DataFrame, flags: str, change: str, actors: str) -> DataFrame:
+    """(video_id, profile, and the profile's six weights) from the shares of scenes by flag, how much the picture changes, and
+    how the actors share the scenes.
+
+    flags: array of scene_flags; actors: array of names. Rules in order: a third of action; silence with motion or music; four
+    actors of which none dominates; dialogue.
+    """
+    share = lambda flag: F.avg(F.when(F.array_contains(flags, flag), 1.0).otherwise(0.0))
+    each = df.select("video_id", F.explode(actors).alias("_who")).groupBy("video_id", "_who").agg(F.count("*").alias("_c"))
+    spread = each.groupBy("video_id").agg(F.count("*").alias("_k"), (F.max("_c") / F.sum("_c")).alias("_most"))
+    p = df.groupBy("video_id").agg(share("action").alias("_a"), share("silent").alias("_s"), share("music").alias("_m"), F.avg(change).alias("_v"), share("dialogue").alias("_d")).join(spread, "video_id", "left")
+    still = (F.col("_s") >= 0.58) & ((F.col("_v") >= 0.35) | (F.col("_m") >= 0.25))
+    profile = F.when(F.col("_a") >= 0.34, "action_led").when(still, "atmospheric").when((F.col("_k") >= 4) & (F.col("_most") < 0.58), "ensemble").when(F.col("_d") >= 0.62, "dialogue_led").otherwise("mixed")
+    weights = F.create_map(*[x for name, w in PROFILES.items() for x in (F.lit(name), F.struct(*[F.lit(v).alias(n) for n, v in zip(PARTS, w)]))])
+    return p.select("video_id", profile.alias("profile")).select("video_id", "profile", weights[F.col("profile")].alias("_w")).select("video_id", "profile", "_w.*")
+
 
+def six_components(df: DataFrame, parts: Sequence[str], weights: Sequence[float | Column], intent: str, credit: str, strict: Column | None = None, matches: Column | None = None, relevance: str | None = None) -> DataFrame:
+    """Rows under .72 credits with score and parts: the weighted parts, blended 65 to 35 with the intent, less the credit share.
 
-def six_components(df: DataFrame, parts: Sequence[str], weights: Sequence[float], intent: str, credit: str) -> DataFrame:
-    """Rows under .72 credits with score: the weighted parts, blended 65 to 35 with the intent, less the credit share."""
-    total = sum((w * F.col(p) for w, p in zip(weights[1:], parts[1:])), weights[0] * F.col(parts[0])) / 100.0
-    return df.where(F.col(credit) < 0.72).withColumn("score", (0.65 * (total * 1.0) + 0.35 * F.col(intent)) * (1.0 - F.col(credit)))
+    weights: numbers, or columns of the video's profile. strict: rows whose wish is exclusive go where they don't match it or
+    are relevant by less than .55. parts: what each part adds to the score.
+    """
+    share = lambda w, p: (F.lit(w) if isinstance(w, (int, float)) else w) * F.col(p)
+    total = sum((share(w, p) for w, p in zip(weights[1:], parts[1:])), share(weights[0], parts[0])) / 100.0
+    d = df.where(F.col(credit) < 0.72)
+    if strict is not None:
+        d = d.where(~strict | ((F.lit(True) if matches is None else matches) & (F.lit(True) if relevance is None else F.col(relevance) >= 0.55)))
+    told = F.map_from_arrays(F.array(*[F.lit(n) for n in PARTS]), F.array(*[F.round(0.65 * share(w, p) / 100.0, 6) for w, p in zip(weights, parts)]))
+    return d.withColumn("score", (0.65 * (total * 1.0) + 0.35 * F.col(intent)) * (1.0 - F.col(credit))).withColumn("parts", told)
 
 
 def repetition_penalty(df: DataFrame, score: str, look: str, free: int) -> DataFrame:
@@ -195,21 +222,35 @@ def good_caption(tokens: Column) -> Column:
     return (n >= 3) & ~generic & ((n < 6) | (F.size(F.array_distinct(tokens)) / n >= 0.35))
 
 
-def valid_recommendations(made: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Rows with an allowed id and a reason, the first of an id, priorities within 1 and 100, reasons of at most 300 characters."""
+def valid_recommendations(made: DataFrame, allowed: DataFrame, context: str | None = None, most: int = 4) -> DataFrame:
+    """Rows with an allowed id and a reason, the first of an id, priorities within 1 and 100, reasons of at most 300 characters.
+
+    context: a column with an array of ids; the first `most` of them that are allowed stay, each once.
+    """
     ok = made.join(allowed, ["video_id", "scene_id"], "left_semi").where(F.trim("reason") != "")
     w = Window.partitionBy("video_id", "scene_id").orderBy("priority", "reason")
-    return ok.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("video_id", "scene_id", F.least(F.greatest("priority", F.lit(1)), F.lit(100)).alias("priority"), F.substring("reason", 1, 300).alias("reason"))
+    d = ok.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    out = ["video_id", "scene_id", F.least(F.greatest("priority", F.lit(1)), F.lit(100)).alias("priority"), F.substring("reason", 1, 300).alias("reason")]
+    if context is None:
+        return d.select(*out)
+    asked = d.select("video_id", "scene_id", F.posexplode(F.array_distinct(context)).alias("_at", "_id"))
+    known = asked.join(allowed.select("video_id", F.col("scene_id").alias("_id")).distinct(), ["video_id", "_id"], "left_semi")
+    ids = known.groupBy("video_id", "scene_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"]), 1, most).alias("context"))
+    return d.select(*out).join(ids, ["video_id", "scene_id"], "left").withColumn("context", F.coalesce("context", F.array().cast(ids.schema["context"].dataType)))
 
 
 def transition(gap: Column) -> Column:
     return F.when(gap.isNull(), "start").when(gap <= 2.5, "merge").when(gap < 30, "hard_cut").otherwise("crossfade")
 
 
-def request(df: DataFrame, text: str) -> DataFrame:
-    """df with request (1000 characters), kind and people of a free-text wish."""
-    r = F.substring(F.trim(text), 1, 1000)
-    return df.withColumn("request", r).withColumn("kind", F.when(F.lower(text).rlike("quick|fast"), "action").otherwise("any")).withColumn("people", F.slice(F.split(r, "[,;\n]+"), 1, 12))
+def request(df: DataFrame, text: str, people: str | None = None, strict: Column | None = None, types: Mapping[str, Sequence[str]] = L.REQUEST_TYPES, markers: Sequence[str] = L.STRICT_MARKERS) -> DataFrame:
+    """df with request (single spaces, 1000 characters), types of scene that its words ask for, in order of name, people (12 names
+    of 80 characters, parted by commas, semicolons or lines) and strict, by a flag or a word."""
+    r = F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 1000)
+    kinds = F.array_compact(F.array(*[F.when(any_word("request", words), name) for name, words in sorted(types.items())]))
+    names = F.transform(F.filter(F.split(F.coalesce(people or text, F.lit("")), "[,;\n]+"), lambda x: F.trim(x) != ""), lambda x: F.substring(F.trim(x), 1, 80))
+    given = F.lit(False) if strict is None else strict
+    return df.withColumn("request", r).withColumn("types", kinds).withColumn("people", F.slice(names, 1, 12)).withColumn("strict", given | any_word("request", markers))
 
 
 def payload(parts: Mapping[str, tuple[str, int]]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sceneql.functions import text as T
 from sceneql.functions import vocabularies as L
+from sceneql.operators.groups import by_arrays
 from sceneql.operators.intervals import outside_turns
 
 SILENCE, EPSILON, ANSWER, CONTINUATION, LEADING = 2.75, 0.02, 5.0, 12.0, 6.0
@@ -253,36 +254,54 @@ def budget_end(start: float, most: float, said: Said, category: str, shortest: f
 
 def viterbi(words: list[dict], turns: list[dict], switch: float = 0.35) -> list[str]:
     """The likeliest speaker of each word: its share of overlap with a speaker's turns (nearest: .1 if none), less the price
-    of a change. A word's `forced` speaker is certain."""
+    of a change. A word's `forced` speaker is certain. Turns are found by their times, so a word costs those near it."""
     names = sorted({t["who"] for t in turns} | {w["forced"] for w in words if w.get("forced")})
     if not names:
         return [""] * len(words)
-    score, back = {n: 0.0 for n in names}, []
-    for w in words:
-        length = max(0.01, w["e"] - w["s"])
-        say = {n: 0.0 for n in names}
-        for t in turns:
-            say[t["who"]] += max(0.0, min(w["e"], t["e"]) - max(w["s"], t["s"])) / length
-        if turns and not any(say.values()):
+    number = {n: k for k, n in enumerate(names)}
+    ordered = sorted(turns, key=lambda t: t["s"])
+    start, end = np.array([t["s"] for t in ordered]), np.array([t["e"] for t in ordered])
+    who = np.array([number[t["who"]] for t in ordered], dtype=int)
+    far = np.maximum.accumulate(end) if len(end) else end
+    score, back = np.zeros(len(names)), np.zeros((len(words), len(names)), dtype=int)
+    for i, w in enumerate(words):
+        say, length = np.zeros(len(names)), max(0.01, w["e"] - w["s"])
+        lo, hi = np.searchsorted(far, w["s"], "right"), np.searchsorted(start, w["e"], "left")
+        if lo < hi:
+            np.add.at(say, who[lo:hi], np.maximum(0.0, np.minimum(w["e"], end[lo:hi]) - np.maximum(w["s"], start[lo:hi])) / length)
+        if len(ordered) and not say.any():
             mid = (w["s"] + w["e"]) / 2
-            say[min(turns, key=lambda t: (max(t["s"] - mid, mid - t["e"], 0.0), t["s"]))["who"]] = 0.1
+            away = np.maximum(np.maximum(start - mid, mid - end), 0.0)
+            say[who[int(np.argmin(away))]] = 0.1
         if w.get("forced"):
-            say = {n: 1e6 if n == w["forced"] else -1e6 for n in names}
-        best = max(names, key=lambda n: score[n])
-        step, new = {}, {}
-        for n in names:
-            stay, change = score[n], score[best] - switch
-            step[n], new[n] = (n, stay + say[n]) if stay >= change else (best, change + say[n])
-        score = new
-        back.append(step)
-    at = max(names, key=lambda n: score[n])
-    out = []
-    for step in reversed(back):
-        out.append(at)
-        at = step[at]
+            say = np.where(np.arange(len(names)) == number[w["forced"]], 1e6, -1e6)
+        best = int(np.argmax(score))
+        stays = score >= score[best] - switch
+        back[i] = np.where(stays, np.arange(len(names)), best)
+        score = np.where(stays, score, score[best] - switch) + say
+    at, out = int(np.argmax(score)), []
+    for i in range(len(words) - 1, -1, -1):
+        out.append(names[at])
+        at = int(back[i, at])
     return out[::-1]
 
 
+def word_speakers(words: DataFrame, turns: DataFrame, switch: float = 0.35) -> DataFrame:
+    """(video_id, start_seconds, speaker) of each word by `viterbi`. A video's words and turns meet once, as arrays.
+
+    words: video_id, start_seconds, end_seconds; turns: video_id, start_seconds, end_seconds, speaker.
+    """
+    frames = {"words": (words.select("video_id", "start_seconds", "end_seconds"), ["start_seconds", "end_seconds"]), "turns": (turns.select("video_id", "start_seconds", "end_seconds", "speaker"), ["start_seconds", "end_seconds", "speaker"])}
+
+    def path(g: dict) -> list[tuple]:
+        t = g["turns"]
+        told = [{"s": a, "e": z, "who": n} for a, z, n in zip(t["start_seconds"].tolist(), t["end_seconds"].tolist(), t["speaker"].tolist())]
+        said = [{"s": a, "e": z} for a, z in zip(g["words"]["start_seconds"].tolist(), g["words"]["end_seconds"].tolist())]
+        return [(w["s"], n) for w, n in zip(said, viterbi(said, told, switch))]
+
+    return by_arrays(frames, ["video_id"], path, "start_seconds double, speaker string")
+
+
 def safe_end(said: DataFrame, shots: DataFrame, words: DataFrame, keys: Sequence[str], target: float) -> DataFrame:
     """(keys, end, mode): the last end up to the target of a complete utterance, else of a shot that ends in no word, else of a
     word, else the target."""

@@ -34,9 +34,11 @@ _EDGE = f"greatest((0.03e0 - {_POS}) / 0.03e0, ({_POS} - 0.96e0) / 0.04e0, 0e0)"
 prj("prj_8_credit_probability", lambda: F.round(P.credits("clip_action", F.col("scene_id") / F.col("n_shots"), "speech_ratio"), 6),
     f"round({clip01.format(f'(0.65e0 * clip_action + 0.25e0 * {_EDGE} + 0.10e0 * (1e0 - least(2e0 * speech_ratio, 1e0))) * CASE WHEN {_EDGE} = 0e0 THEN 0.35e0 ELSE 1e0 END')}, 6)", "credit")
 _H = f"(CASE WHEN event_type = 'signup' THEN 0.55e0 ELSE 0e0 END + CASE WHEN {_POS} >= 0.90e0 OR {_POS} <= 0.055e0 THEN 0.25e0 ELSE 0e0 END + CASE WHEN dialogue_score < 0.1e0 THEN 0.10e0 ELSE 0e0 END + 0.20e0 * energy)"
-prj("prj_9_heuristic_credits", lambda: F.round(P.heuristic_credits("event_type", F.col("scene_id") / F.col("n_shots"), "dialogue_score", "energy"), 8),
+prj("prj_9_heuristic_credits", lambda: F.round(P.heuristic_credits("event_type", F.col("scene_id") / F.col("n_shots"), "dialogue_score", "energy", ("signup",)), 8),
     f"round({clip01.format(f"CASE WHEN event_type <> 'signup' AND {_POS} < 0.90e0 THEN least({_H}, 0.58e0) ELSE {_H} END")}, 8)", "credit")
-prj("prj_12_scene_flags", lambda: F.concat_ws(",", P.scene_flags("event_type", "dialogue_score", "speech_ratio", "onset")), "coalesce(concat_ws(',', CASE WHEN dialogue_score >= 0.40e0 THEN 'dialogue' END, CASE WHEN speech_ratio < 0.10e0 THEN 'silent' END, CASE WHEN event_type IN ('error', 'purchase') OR onset >= 0.72e0 THEN 'action' END, CASE WHEN event_type = 'signup' THEN 'music' END), '')", "flags")
+#: The tables' labels that stand for words of action and of music.
+_LABELS = (("error", "purchase"), ("signup",))
+prj("prj_12_scene_flags", lambda: F.concat_ws(",", P.scene_flags("event_type", "dialogue_score", "speech_ratio", "onset", *_LABELS)), "coalesce(concat_ws(',', CASE WHEN dialogue_score >= 0.40e0 THEN 'dialogue' END, CASE WHEN speech_ratio < 0.10e0 THEN 'silent' END, CASE WHEN event_type IN ('error', 'purchase') OR onset >= 0.72e0 THEN 'action' END, CASE WHEN event_type = 'signup' THEN 'music' END), '')", "flags")
 _T = "((start_seconds + end_seconds) / 2e0 / video_duration)"
 _MID = lambda: (F.col("start_seconds") + F.col("end_seconds")) / 2 / F.col("video_duration")
 prj("prj_17_narrative_region", lambda: P.narrative_region(F.col("scene_id") / F.col("n_shots")), "CASE " + " ".join(f"WHEN {_POS} <= {b}e0 THEN '{n}'" for n, b, _ in P.REGIONS[:-1]) + f" ELSE '{P.REGIONS[-1][0]}' END", "region")
@@ -75,17 +77,27 @@ def eligible(spark, sf_dir):
     return W.eligible(A.shots(spark, sf_dir), "narrative_score").select(*ID)
 
 
-@query("prj_13_content_profile", A.sql("""
-WITH p AS (SELECT video_id, avg(CASE WHEN event_type IN ('error', 'purchase') THEN 1e0 ELSE 0e0 END) AS a, avg(CASE WHEN speech_ratio < 0.10e0 THEN 1e0 ELSE 0e0 END) AS s, avg(onset) AS v, avg(CASE WHEN dialogue_score >= 0.40e0 THEN 1e0 ELSE 0e0 END) AS d, count(DISTINCT event_type) AS k, max(c)::DOUBLE / sum(c1) AS dom FROM (SELECT *, count(*) OVER (PARTITION BY video_id, event_type) AS c, 1 AS c1 FROM shots) GROUP BY video_id)
-SELECT video_id, CASE WHEN a >= 0.34e0 THEN 'action_led' WHEN s >= 0.58e0 AND v >= 0.35e0 THEN 'atmospheric' WHEN k >= 4 AND dom < 0.58e0 THEN 'ensemble' WHEN d >= 0.62e0 THEN 'dialogue_led' ELSE 'mixed' END AS profile FROM p""", "shots"))
+_WEIGHTS = ", ".join(f"CASE profile {' '.join(f"WHEN '{n}' THEN {w[k]}" for n, w in P.PROFILES.items())} END AS {part}" for k, part in enumerate(P.PARTS))
+
+
+@query("prj_13_content_profile", A.sql(f"""
+WITH c AS (SELECT video_id, max(c)::DOUBLE / sum(c) AS dom, count(*) AS k FROM (SELECT video_id, event_type, count(*) AS c FROM shots GROUP BY ALL) GROUP BY video_id),
+p AS (SELECT video_id, avg((event_type IN ('error', 'purchase') OR onset >= 0.72e0)::INT) AS a, avg((speech_ratio < 0.10e0)::INT) AS s, avg((event_type = 'signup')::INT) AS m, avg(onset) AS v, avg((dialogue_score >= 0.40e0)::INT) AS d FROM shots GROUP BY video_id),
+q AS (SELECT p.video_id, CASE WHEN a >= 0.34e0 THEN 'action_led' WHEN s >= 0.58e0 AND (v >= 0.35e0 OR m >= 0.25e0) THEN 'atmospheric' WHEN k >= 4 AND dom < 0.58e0 THEN 'ensemble' WHEN d >= 0.62e0 THEN 'dialogue_led' ELSE 'mixed' END AS profile FROM p JOIN c USING (video_id))
+SELECT video_id, profile, {_WEIGHTS} FROM q""", "shots"))
 def content_profile(spark, sf_dir):
-    return P.content_profile(A.shots(spark, sf_dir))
+    d = A.shots(spark, sf_dir).withColumn("flags", P.scene_flags("event_type", "dialogue_score", "speech_ratio", "onset", *_LABELS)).withColumn("actors", F.array("event_type"))
+    return P.content_profile(d, "flags", "onset", "actors")
+
 
+_PARTS = ["dialogue_score", "energy", "speech_ratio", "onset", "narrative_score", "emotion"]
 
-@query("prj_15_six_component_score", A.sql("SELECT video_id, scene_id, round((0.65e0 * (24 * dialogue_score + 16 * energy + 16 * speech_ratio + 12 * onset + 21 * narrative_score + 11 * emotion) / 100e0 + 0.35e0 * action_score) * (1e0 - credit_probability), 6) AS score FROM shots WHERE credit_probability < 0.72e0", "shots"))
+
+@query("prj_15_six_component_score", A.sql("SELECT video_id, scene_id, round((0.65e0 * (24 * dialogue_score + 16 * energy + 16 * speech_ratio + 12 * onset + 21 * narrative_score + 11 * emotion) / 100e0 + 0.35e0 * action_score) * (1e0 - credit_probability), 6) AS score, round(0.65e0 * 24 * dialogue_score / 100e0, 6) AS dialogue, round(0.65e0 * 11 * emotion / 100e0, 6) AS structure FROM shots WHERE credit_probability < 0.72e0 AND (cents % 3 <> 0 OR (event_type = 'click' AND action_score >= 0.55e0))", "shots"))
 def six_components(spark, sf_dir):
-    d = P.six_components(A.shots(spark, sf_dir), ["dialogue_score", "energy", "speech_ratio", "onset", "narrative_score", "emotion"], P.PROFILES["mixed"], "action_score", "credit_probability")
-    return d.select(*ID, F.round("score", 6).alias("score"))
+    # a third of the rows has an exclusive wish, which clicks match
+    d = P.six_components(A.shots(spark, sf_dir), _PARTS, P.PROFILES["mixed"], "action_score", "credit_probability", F.col("cents") % 3 == 0, F.col("event_type") == "click", "action_score")
+    return d.select(*ID, F.round("score", 6).alias("score"), F.col("parts")["dialogue"].alias("dialogue"), F.col("parts")["structure"].alias("structure"))
 
 
 @query("prj_16_story_repetition", A.sql("""
@@ -120,12 +132,14 @@ def caption_quality(spark, sf_dir):
 
 
 @query("prj_30_validate_recommendations", A.sql("""
-WITH c AS (SELECT video_id, scene_id, (cents % 140)::INT AS priority, event_type AS reason, event_type = 'click' AS unknown FROM shots)
-SELECT video_id, scene_id, least(greatest(priority, 1), 100) AS priority, reason FROM c WHERE NOT unknown AND reason <> 'error'""", "shots"))
+WITH c AS (SELECT video_id, scene_id, (cents % 140)::INT AS priority, event_type AS reason, event_type = 'click' AS unknown FROM shots),
+k AS (SELECT c.video_id, c.scene_id, n FROM c, (SELECT unnest(range(1, 9)) AS n) WHERE EXISTS (SELECT 1 FROM c x WHERE x.video_id = c.video_id AND x.scene_id = c.scene_id + n AND NOT x.unknown))
+SELECT c.video_id, c.scene_id, least(greatest(priority, 1), 100) AS priority, reason, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n), '') AS context FROM c LEFT JOIN (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY video_id, scene_id ORDER BY n) <= 4) k ON k.video_id = c.video_id AND k.scene_id = c.scene_id WHERE NOT unknown AND reason <> 'error' GROUP BY c.video_id, c.scene_id, priority, reason""", "shots"))
 def validate_recommendations(spark, sf_dir):
     s = A.shots(spark, sf_dir)
-    made = s.select("video_id", "scene_id", (F.col("cents") % 140).cast("int").alias("priority"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("reason"))
-    return P.valid_recommendations(made.union(made), s.where("event_type <> 'click'").select("video_id", "scene_id"))
+    made = s.select("video_id", "scene_id", (F.col("cents") % 140).cast("int").alias("priority"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("reason"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.col("scene_id") + n).alias("near"))
+    got = P.valid_recommendations(made.union(made), s.where("event_type <> 'click'").select("video_id", "scene_id"), "near")
+    return got.withColumn("context", F.array_join(F.transform("context", lambda x: (x - F.col("scene_id")).cast("string")), ","))
 
 
 @query("prj_32_transition_type", A.sql("SELECT video_id, scene_id, CASE WHEN gap IS NULL THEN 'start' WHEN gap <= 2.5e0 THEN 'merge' WHEN gap < 30e0 THEN 'hard_cut' ELSE 'crossfade' END AS transition FROM (SELECT *, start_seconds - lag(end_seconds) OVER (PARTITION BY video_id ORDER BY scene_id) AS gap FROM shots WHERE action_score >= 0.5e0)", "shots"))
@@ -141,16 +155,24 @@ def document_content(spark, sf_dir):
     return A.shots(spark, sf_dir).select(*ID, F.format_string("Scene %d (%s). Before: %s. After: %s.", "scene_id", "event_type", before, after).alias("content"))
 
 
-@query("prj_14_request_words", A.sql("SELECT conv_id, turn, left(trim(text), 1000) AS request, CASE WHEN regexp_matches(lower(text), 'quick|fast') THEN 'action' ELSE 'any' END AS kind, list_count(string_split_regex(left(trim(text), 1000), '[,;\\n]+')[:12]) AS people FROM conversations"))
+_ASKED = {"action": ("code", "run"), "dialogue": ("write", "ask")}
+
+
+@query("prj_14_request_words", A.sql(r"""
+WITH r AS (SELECT conv_id, turn, text, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1000) AS request FROM conversations)
+SELECT conv_id, turn, request, concat_ws(',', CASE WHEN contains(lower(request), 'code') OR contains(lower(request), 'run') THEN 'action' END, CASE WHEN contains(lower(request), 'write') OR contains(lower(request), 'ask') THEN 'dialogue' END) AS types,
+ array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[,;\n]+'), lambda x: trim(x) <> '')[:12], lambda x: left(trim(x), 80)), '|') AS people, contains(lower(request), 'only ') OR contains(lower(request), 'the ') AS strict FROM r"""))
 def request_words(spark, sf_dir):
-    return P.request(A.table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "request", "kind", F.size("people").cast("long").alias("people"))
+    # the tables' conversations are invented: words that occur in them
+    d = P.request(A.table(spark, sf_dir, "conversations"), "text", types=_ASKED, markers=("only ", "the "))
+    return d.select("conv_id", "turn", "request", F.concat_ws(",", "types").alias("types"), F.array_join("people", "|").alias("people"), "strict")
 
 
-@query("prj_29_payload", A.sql("SELECT video_id, turn, len(left(text, 300)) AS a, len(left(text, 180)) AS b FROM turns", "turns"))
+@query("prj_29_payload", A.sql("SELECT video_id, turn, left(text, 300) AS a, left(text, 180) AS b FROM turns", "turns"))
 def payload(spark, sf_dir):
     d = A.turns(spark, sf_dir).withColumn("payload", P.payload({"text": ("text", 300), "caption": ("text", 180)}))
     got = F.from_json("payload", "text string, caption string")
-    return d.select("video_id", "turn", F.char_length(got["text"]).cast("long").alias("a"), F.char_length(got["caption"]).cast("long").alias("b"))
+    return d.select("video_id", "turn", got["text"].alias("a"), got["caption"].alias("b"))
 
 
 @query("prj_37_decorate_nested", A.sql("SELECT video_id, string_agg('/media/' || video_id || '/' || scene_id || '.jpg', ',' ORDER BY scene_id) AS urls FROM shots GROUP BY video_id", "shots"))

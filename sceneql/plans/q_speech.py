@@ -74,14 +74,8 @@ def alignment(spark, sf_dir):
 
 @query("ivl_20_word_speakers")
 def word_speakers(spark, sf_dir):
-    w = A.words(spark, sf_dir)
-    t = A.turns(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_seconds").alias("s"), (F.col("end_seconds") - 0.2).alias("e"), F.col("speaker").alias("who")))).alias("turns"))
-
-    def f(rows):
-        words = [{"s": r["start_seconds"], "e": r["end_seconds"]} for r in rows]
-        return [{"start_seconds": r["start_seconds"], "speaker": n} for r, n in zip(rows, S.viterbi(words, rows[0]["turns"]))]
-
-    return by_group(w.join(t, "video_id"), ["video_id"], ["start_seconds", "end_seconds"], ["turns"], f, "start_seconds double, speaker string")
+    t = A.turns(spark, sf_dir).select("video_id", "start_seconds", (F.col("end_seconds") - 0.2).alias("end_seconds"), "speaker")
+    return S.word_speakers(A.words(spark, sf_dir), t)
 
 
 @query("ivl_21_speaker_turns")
