@@ -76,3 +76,14 @@ def outside(left: DataFrame, taken: DataFrame, keys: Sequence[str], ls: str, le:
     near = _buckets(a.select(*keys, *[F.col(c) for c in dict.fromkeys((ls, le))], "_row"), ls, le, width, "_k").join(_buckets(wide, "_rs", "_re", width, "_k"), [*keys, "_k"])
     near = near.where((F.col(ls) <= F.col("_re")) & (F.col(le) >= F.col("_rs"))).select("_row").distinct()
     return a.join(near, "_row", "left_anti").drop("_row")
+
+
+def catalog_match(catalog: DataFrame, files: DataFrame, slack: float = 8.0, share: float = 0.03) -> DataFrame:
+    """(video_id, stem, duration): the file of each catalog row, by its id or else by its alias.
+
+    A file of another length than the catalog's, by more than 8 s and 3 %, isn't it. catalog: video_id, alias, length; files:
+    stem, duration.
+    """
+    names = catalog.select("video_id", "length", F.posexplode(F.array(F.col("video_id").cast("string"), F.col("alias").cast("string"))).alias("_rank", "stem")).where("stem is not null")
+    fit = names.join(files.select("stem", "duration"), "stem").where(F.abs(F.col("duration") - F.col("length")) <= F.greatest(F.lit(slack), share * F.col("length")))
+    return fit.groupBy("video_id").agg(F.min_by(F.struct("stem", "duration"), F.struct("_rank", "duration")).alias("f")).select("video_id", "f.stem", "f.duration")

@@ -61,3 +61,24 @@ def average_precision(df: DataFrame, hit: Column, order: Sequence[Column | str],
     d = df.withColumn("_hit", hit.cast("int")).withColumn("_r", F.row_number().over(w))
     d = d.withColumn("_p", F.sum("_hit").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_r"))
     return d.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_hit") == 1, F.col("_p"))) / F.sum("_hit"), F.lit(0.0)).alias(out))
+
+
+def boundaries(shots: DataFrame, vec: str, weights: DataFrame, longest_gap: float = 2.0) -> DataFrame:
+    """(video_id, left_id, right_id, gap, visual, text, speech, temporal, continuity) of neighbouring shots.
+
+    visual and text are cosines from 0 to 1, speech falls with the difference of the speech ratios, temporal with the gap, to
+    0 at longest_gap; continuity weighs them .52, .28, .12 and .08. weights: video_id, scene_id, token, weight, of unit
+    length for each shot (retrieval.tfidf).
+    """
+    from sceneql.functions.vectors import cosine
+
+    w = by_scene(order=("start_seconds", "scene_id"))
+    d = shots.select("video_id", "scene_id", F.lead("scene_id").over(w).alias("_next"), vec, F.lead(vec).over(w).alias("_vec"), "speech_ratio", F.lead("speech_ratio").over(w).alias("_speech"), F.greatest(F.lit(0.0), F.lead("start_seconds").over(w) - F.col("end_seconds")).alias("gap")).where("_next is not null")
+    left = weights.join(d.select("video_id", "scene_id", "_next"), ["video_id", "scene_id"])
+    right = weights.select("video_id", F.col("scene_id").alias("_next"), "token", F.col("weight").alias("_other"))
+    text = left.join(right, ["video_id", "_next", "token"]).groupBy("video_id", "scene_id").agg(F.sum(F.col("weight") * F.col("_other")).alias("_text"))
+    d = d.join(text, ["video_id", "scene_id"], "left")
+    visual, said = cosine(vec, "_vec", 0.0), F.least(F.greatest(F.coalesce("_text", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    spoken, near = 1.0 - F.least(F.abs(F.col("speech_ratio") - F.col("_speech")), F.lit(1.0)), F.greatest(F.lit(0.0), 1.0 - F.col("gap") / longest_gap)
+    d = d.select("video_id", F.col("scene_id").alias("left_id"), F.col("_next").alias("right_id"), "gap", visual.alias("visual"), said.alias("text"), spoken.alias("speech"), near.alias("temporal"))
+    return d.withColumn("continuity", 0.52 * F.col("visual") + 0.28 * F.col("text") + 0.12 * F.col("speech") + 0.08 * F.col("temporal"))

@@ -5,7 +5,7 @@ Signals are small integer remainders over constants, and times whole millisecond
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: (name, SQL) in order of use; {diff} and {words} are written for each engine. One hour of events counts as a second.
@@ -57,6 +57,18 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, "shots")
 
 
+def films(spark: SparkSession, sf_dir: str, videos: int = 37) -> DataFrame:
+    """shots with `videos` of them one after the other as one film: some 2 500 shots each."""
+    s = shots(spark, sf_dir)
+    ends = s.select("video_id", "video_duration").distinct().withColumn("film", F.expr(f"video_id div {videos}"))
+    ahead = Window.partitionBy("film").orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("video_duration").over(ahead), F.lit(0.0))).withColumn("_all", F.sum("video_duration").over(Window.partitionBy("film"))).drop("video_duration")
+    d = s.join(ends, "video_id").withColumn("start_seconds", F.round(F.col("start_seconds") + F.col("_before"), 3)).withColumn("end_seconds", F.round(F.col("end_seconds") + F.col("_before"), 3))
+    order = Window.partitionBy("film").orderBy("start_seconds", "video_id", "scene_id")
+    d = d.withColumn("story_id", F.col("video_id") * 100_000 + F.col("story_id")).withColumn("scene_id", F.row_number().over(order).cast("long"))
+    return d.withColumn("video_duration", F.col("_all")).drop("video_id", "_before", "_all").withColumnRenamed("film", "video_id")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, "turns").drop("ws")
 

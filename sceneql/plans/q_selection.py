@@ -188,6 +188,11 @@ def summarize(spark, sf_dir):
     return M.summarize(A.shots(spark, sf_dir), "action", 60.0, columns=PLAN)
 
 
+@query("api_summarize_films")
+def summarize_films(spark, sf_dir):
+    return M.summarize(A.films(spark, sf_dir), "action", 180.0, columns=PLAN)
+
+
 @query("api_summarize_all")
 def summarize_all(spark, sf_dir):
     return M.summarize(A.shots(spark, sf_dir), "dialogue", None, columns=PLAN)

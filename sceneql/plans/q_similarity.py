@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -95,8 +97,9 @@ def hybrid_retrieval(spark, sf_dir):
     q = v.where("kf_id % 100 = 0").select("kf_id", "label", "vec")
     c = v.select(F.col("kf_id").alias("doc"), F.col("label").alias("doc_label"), F.col("vec").alias("dv"))
     same = F.when(F.col("label") == F.col("doc_label"), 1.0).otherwise(0.0)
-    # a stated set of queries against all rows
-    s = c.join(F.broadcast(q)).where("kf_id <> doc").withColumn("s", R.hybrid(V.dot("vec", "dv"), same, F.col("kf_id") - F.col("doc"), F.lit(500.0)))
+    # a stated set of queries against all rows, in blocks
+    pairs = reduce(lambda x, y: x.unionByName(y), [c.join(F.broadcast(bank)) for bank in R.banks(q, "vec")])
+    s = pairs.where("kf_id <> doc").withColumn("s", R.hybrid(V.dot("vec", "dv"), same, F.col("kf_id") - F.col("doc"), F.lit(500.0)))
     w = Window.partitionBy("kf_id").orderBy(F.desc(F.round("s", 9)), "doc")
     return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("kf_id", "doc", F.round("s", 6).alias("score"))
 
@@ -130,7 +133,14 @@ def uniqueness(spark, sf_dir):
 
 @query("sim_10_plane")
 def plane(spark, sf_dir):
-    return R.plane(A.vectors(spark, sf_dir), "kf_id", "vec")
+    return R.plane(A.vectors(spark, sf_dir), "kf_id", "vec")[0]
+
+
+@query("sim_10_story_points")
+def story_points(spark, sf_dir):
+    v = A.vectors(spark, sf_dir)
+    points, shares = R.plane(v, "kf_id", "vec")
+    return R.centroids(points.join(v.select("kf_id", "scene_id"), "kf_id"), "scene_id").select("*", F.lit(shares[0]).alias("first_share"), F.lit(shares[1]).alias("second_share"))
 
 
 @query("sim_11_face_clusters")

@@ -29,12 +29,27 @@ def emotion_peak(spark, sf_dir):
     return W.emotion_peak(A.shots(spark, sf_dir), "emotion", "energy", "onset").select("video_id", "scene_id", F.round("emotion_change", 7).alias("emotion_change"), F.round("emotion_peak", 7).alias("emotion_peak"))
 
 
-@query("win_4_boundary_features", A.sql("SELECT kf_id, CASE WHEN lead(vec) OVER w IS NOT NULL THEN round(0.52e0 * greatest(0e0, least(1e0, list_dot_product(vec, lead(vec) OVER w))) + 0.28e0 * CASE WHEN label = lead(label) OVER w THEN 1e0 ELSE 0e0 END + 0.12e0 * 0.5e0 + 0.08e0, 6) END AS continuity FROM vectors WINDOW w AS (PARTITION BY video_id ORDER BY kf_id)", "vectors"))
+@query("win_4_boundary_features", A.sql(r"""
+WITH s AS (SELECT *, [energy, onset, emotion, clip_action] AS vec FROM shots),
+d AS (SELECT s.video_id, s.scene_id, unnest(regexp_extract_all(lower(t.text), '[\p{L}\p{N}_]+')) AS token FROM s JOIN turns t ON t.video_id = s.video_id AND t.start_seconds >= s.start_seconds AND t.start_seconds < s.end_seconds),
+tf AS (SELECT video_id, scene_id, token, 1 + ln(count(*)) AS tf FROM d GROUP BY ALL), df AS (SELECT video_id, token, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT video_id, count(*) AS n FROM s GROUP BY video_id),
+w AS (SELECT video_id, scene_id, token, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (video_id, token) JOIN n USING (video_id)),
+v AS (SELECT video_id, scene_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY video_id, scene_id)) AS w FROM w),
+p AS (SELECT *, lead(scene_id) OVER o AS nxt, lead(vec) OVER o AS nv, lead(speech_ratio) OVER o AS ns, greatest(0e0, lead(start_seconds) OVER o - end_seconds) AS gap FROM s WINDOW o AS (PARTITION BY video_id ORDER BY start_seconds, scene_id)),
+c AS (SELECT p.video_id, p.scene_id, sum(a.w * b.w) AS c FROM p JOIN v a ON a.video_id = p.video_id AND a.scene_id = p.scene_id JOIN v b ON b.video_id = p.video_id AND b.scene_id = nxt AND b.token = a.token GROUP BY ALL),
+q AS (SELECT p.video_id, p.scene_id, nxt, gap, greatest(0e0, least(1e0, CASE WHEN list_sum(list_transform(vec, lambda x: x * x)) > 0e0 AND list_sum(list_transform(nv, lambda x: x * x)) > 0e0 THEN list_cosine_similarity(vec, nv) ELSE 0e0 END)) AS visual, least(1e0, coalesce(c, 0e0)) AS txt, 1e0 - least(abs(speech_ratio - ns), 1e0) AS speech, greatest(0e0, 1e0 - gap / 2e0) AS temporal FROM p LEFT JOIN c ON c.video_id = p.video_id AND c.scene_id = p.scene_id WHERE nxt IS NOT NULL)
+SELECT video_id, scene_id AS left_id, nxt AS right_id, round(gap, 6) AS gap, round(visual, 6) AS visual, round(txt, 6) AS text, round(speech, 6) AS speech, round(temporal, 6) AS temporal, round(0.52e0 * visual + 0.28e0 * txt + 0.12e0 * speech + 0.08e0 * temporal, 6) AS continuity FROM q""", "shots", "turns"))
 def boundary_features(spark, sf_dir):
-    w = W.by_scene(order=("kf_id",))
-    v = A.vectors(spark, sf_dir).withColumn("nv", F.lead("vec").over(w)).withColumn("nl", F.lead("label").over(w))
-    visual = F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.dot("vec", "nv")))
-    return v.select("kf_id", F.when(F.col("nv").isNotNull(), F.round(0.52 * visual + 0.28 * F.when(F.col("label") == F.col("nl"), 1.0).otherwise(0.0) + F.lit(0.12) * 0.5 + 0.08, 6)).alias("continuity"))
+    from sceneql.functions import text as T
+    from sceneql.operators import joins as J
+    from sceneql.operators import retrieval as R
+
+    s = A.shots(spark, sf_dir).withColumn("vec", F.array("energy", "onset", "emotion", "clip_action"))
+    said = J.point_join(A.turns(spark, sf_dir).select("video_id", "text", F.col("start_seconds").alias("_at")), s.select("video_id", "scene_id", "start_seconds", "end_seconds"), ["video_id"], "_at", "start_seconds", "end_seconds", 30.0)
+    texts = s.select("video_id", "scene_id").join(said.groupBy("video_id", "scene_id").agg(F.array_join(F.collect_list("text"), " ").alias("text")), ["video_id", "scene_id"], "left")
+    weights = R.tfidf(texts, "scene_id", T.tokens("text"), ["video_id"])
+    got = W.boundaries(s, "vec", weights)
+    return got.select("video_id", "left_id", "right_id", *[F.round(c, 6).alias(c) for c in ("gap", "visual", "text", "speech", "temporal", "continuity")])
 
 
 @query("win_5_position_ratio", A.sql("SELECT video_id, scene_id, scene_id::DOUBLE / n_shots AS position FROM shots", "shots"))

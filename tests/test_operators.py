@@ -526,3 +526,66 @@ def test_the_larger_half_keeps_its_name():
     assert C.split_speakers(x, ["S_0"] * 6) == (["S_0"] * 5 + ["SPEAKER_01"], 1)
     assert C.split_speakers([[1, 0], [0, 1]], ["S_0"] * 2) == (["S_0", "SPEAKER_01"], 1)
     assert C.split_speakers([None, None], ["A", "A"]) == (["A", "A"], 0)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_viterbi_equals_the_best_of_all_paths(seed):
+    rng = random.Random(seed)
+    turns = [{"s": a, "e": a + rng.randrange(1, 12) / 4, "who": rng.choice("ABC")} for a in (rng.randrange(0, 24) / 4 for _ in range(rng.randrange(1, 7)))]
+    words = sorted(({"s": a, "e": a + rng.randrange(1, 4) / 4} for a in (rng.randrange(0, 32) / 4 for _ in range(6))), key=lambda w: (w["s"], w["e"]))
+    if seed % 3 == 0:
+        words[2]["forced"] = "B"
+    names = sorted({t["who"] for t in turns} | {w["forced"] for w in words if "forced" in w})
+
+    def says(w):
+        if "forced" in w:
+            return {n: 1e6 if n == w["forced"] else -1e6 for n in names}
+        out = {n: sum(max(0.0, min(w["e"], t["e"]) - max(w["s"], t["s"])) for t in turns if t["who"] == n) / (w["e"] - w["s"]) for n in names}
+        mid = (w["s"] + w["e"]) / 2
+        if not any(out.values()):
+            out[min(turns, key=lambda t: (max(t["s"] - mid, mid - t["e"], 0.0), t["s"]))["who"]] = 0.1
+        return out
+
+    emit = [says(w) for w in words]
+    worth = lambda path: sum(e[n] for e, n in zip(emit, path)) - 0.35 * sum(a != b for a, b in zip(path, path[1:]))
+    best = max(worth(p) for p in itertools.product(names, repeat=len(words)))
+    assert math.isclose(worth(P.viterbi(words, turns)), best, abs_tol=1e-6)
+
+
+def test_plane_equals_a_decomposition(spark):
+    from sceneql.operators import retrieval as Q
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) * [5, 2, 1, 0.5, 0.1] + 3
+    got, shares = Q.plane(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>"), "i", "v")
+    left, single, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    raw = left[:, :2] * single[:2]
+    raw *= np.sign(raw[np.abs(raw).argmax(axis=0), [0, 1]])
+    lo, hi = np.percentile(raw, [2, 98], axis=0)
+    want = 0.06 + 0.88 * np.clip((raw - lo) / (hi - lo), 0, 1)
+    assert np.allclose(shares, (single**2 / (single**2).sum())[:2], atol=1e-4)
+    assert np.allclose([[r.x, r.y] for r in got.orderBy("i").collect()], want, atol=1e-6)
+    assert [(r.x, r.y) for r in Q.plane(spark.createDataFrame([(1, [1.0, 2.0])], "i long, v array<double>"), "i", "v")[0].collect()] == [(0.5, 0.5)]
+
+
+def test_query_banks_are_bounded(spark):
+    from sceneql.operators import retrieval as Q
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "i long, v array<double>")
+    q = v.where("i % 4 = 0").select("i", F.col("v").alias("qv"))
+    items = v.select(F.col("i").alias("j"), "v")
+    rows = lambda most: sorted(map(tuple, Q.top_cosine(q, items, "i", "qv", "j", "v", 3, most=most).collect()))
+    assert len(Q.banks(q, "qv", 6)) == 5 and rows(6) == rows(1 << 24) and len(rows(6)) == 30
+
+
+def test_segment_masks_fall_back(spark):
+    seg = np.array([0, 4]), np.array([3, 9])
+    assert E.best_segments(np.array([0.1] * 4 + [0.9] * 6), *seg, 0.6).tolist() == [False] * 4 + [True] * 6
+    assert E.best_segments(np.arange(10.0), *seg, 0.15).nonzero()[0].tolist() == [9]
+    assert E.best_segments(np.ones(10), *seg, 0.15).nonzero()[0].tolist() == [0, 1]
+
+
+def test_character_grams(spark):
+    d = spark.createDataFrame([("a bcd",), ("",), (None,)], "s string").select(T.char_grams("s").alias("g"))
+    assert d.first().g == [" a ", " bc", "bcd", "cd ", " bcd", "bcd ", " bcd "]
+    assert [r.g for r in d.collect()][1:] == [[], None]
