@@ -64,19 +64,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(k) + 1), pa.string()), pa.array(np.append(k, -1)), pa.array(np.append(c[k], 0))], names=["lang", "gram", "n"])
 
 
+def _likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, grams, counts): the language and its trigrams' likelihoods as bytes of float32."""
+    for b in batches:
+        out = []
+        for gram, n in zip(b.column(1), b.column(2)):
+            count = np.full(1 << BITS, PRIOR)
+            count[np.asarray(gram.values)] += np.asarray(n.values)
+            out.append((count / count.sum()).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["lang", "like"])
+
+
 def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, likelihoods (trigram, language)) from rows (lang, text): counts over all of them."""
+    """(languages, likelihoods (trigram, language)) from rows (lang, text): counts over all of them.
+
+    A language's counts meet as 2**BITS numbers at most and leave their task as 2**BITS bytes times four, so that the driver
+    gets 131 MB for the most languages that there may be.
+    """
     counted = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
-    langs = sorted((r.lang for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()), key=lambda x: x.encode())
-    if len(langs) > MOST_LANGUAGES:
+    if counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    got = counted.where("gram >= 0").toArrow()
-    count = np.full((1 << BITS, max(len(langs), 1)), PRIOR)
-    if len(langs):
-        number = {x: k for k, x in enumerate(langs)}
-        column = np.array([number[x] for x in got.column(0).to_pylist()], dtype=np.int64)
-        np.add.at(count, (got.column(1).to_numpy(), column), got.column(2).to_numpy())
-    return langs, (count / count.sum(axis=0)).astype(np.float32)
+    pair = F.filter(F.collect_list(F.struct("gram", "n")), lambda x: x["gram"] >= 0)
+    lists = counted.groupBy("lang").agg(pair.alias("pairs")).select("lang", F.col("pairs.gram").alias("grams"), F.col("pairs.n").alias("counts"))
+    got = sorted(lists.mapInArrow(_likelihoods, "lang string, like binary").collect(), key=lambda r: r.lang.encode())
+    if not got:
+        return [], np.full((1 << BITS, 1), 1 / (1 << BITS), dtype=np.float32)
+    return [r.lang for r in got], np.ascontiguousarray(np.stack([np.frombuffer(r.like, dtype="<f4") for r in got], axis=1))
 
 
 def mixtures(row: np.ndarray, gram: np.ndarray, n: int, like: np.ndarray, steps: int = STEPS) -> np.ndarray:

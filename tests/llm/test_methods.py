@@ -144,6 +144,14 @@ def test_tiff_known_packbits():
     assert L2.packbits_decode(data, 24) == want and L2.packbits_decode(L2.packbits_encode(want), 24) == want
 
 
+def test_tiff_lzw_example_of_the_specification():
+    data = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    want = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    assert L2.lzw_encode(data) == want and L2.lzw_decode(want, len(data)) == data
+
+
 def test_tiff_samples_and_float_predictor():
     x = np.arange(24, dtype=np.float32).reshape(2, 4, 3) * 1.5
     wide = x.astype(">f4").view(np.uint8).reshape(2, 12, 4).transpose(0, 2, 1).reshape(2, -1)

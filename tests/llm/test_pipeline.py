@@ -60,7 +60,7 @@ def test_rows_without_ids_or_with_shared_ones_stay(spark, sf_dir):
     want = Counter(rows) - Counter([(5, c), (9, c)])
     got = P.drop_near_duplicates(spark, docs, sf_dir)
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
-    left = P.drop_passages(spark, got, sf_dir).localCheckpoint()
+    left = P.drop_passages(spark, got, sf_dir).checkpoint()
     assert Counter((r.doc_id, r.text) for r in left.collect()) == want - Counter([(9, e + " " + d)]) + Counter([(9, e)])
     words = sum(len((r.text or "").split()) for r in left.collect())
     assert sum(len(r.text.split()) for r in P.mix_sources(spark, left, sf_dir).collect()) == int(1.5 * words)
