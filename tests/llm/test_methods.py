@@ -359,6 +359,36 @@ def test_single_pages(page, want):
     assert L7.extract(page, None) == want
 
 
+def planted_pages(rng, per_host=20):
+    """(url, html, article's lines) of four hosts with templates of their own; short articles, too, with sidebars longer than they are."""
+    from helpers import prose
+
+    def shell(host, i, body, noise):
+        return {
+            "blog": f"<body><header class=top><nav><ul><li>Home<li>About us<li>{noise[0]}</ul></nav></header><div id=wrap><main class=content><article class='post post-{i}'>{body}<div class='share-buttons'>Share this {noise[1]}</div></article><section class=comments><p>{noise[2]}</p></section></main><aside class=sidebar><p>{noise[3]}</p></aside></div><footer><p>{noise[4]}</p></footer></body>",
+            "plain": f"<div class=header><ul class=menu><li><a href=/>Start</a><li><a href=/x>{noise[0]}</a></ul></div><div class=page><div class=story-body>{body}</div><div class=related-posts><a href=/1>{noise[1]}</a><a href=/2>{noise[2]}</a></div></div><div class=footer>{noise[4]}</div>",
+            "news": f"<div class=cookie-banner><p>{noise[0]}</p></div><div class=ad-slot>{noise[1]}</div><div role=main class='col col-{i}'>{body}</div><form><p>{noise[2]}</p><input></form><div class=footer><p>{noise[4]}</p></div>",
+            "wiki": f"<div id=nav><a href=/a>{noise[0]}</a> <a href=/b>{noise[1]}</a></div><div id=content-{i} class='content page-{i}'><div class=inner>{body}</div></div><div class='sidebar widget'><p>{noise[3]}</p><p>{noise[2]}</p></div>",
+        }[host]
+
+    for host in ("blog", "plain", "news", "wiki"):
+        for i in range(per_host):
+            lines = [prose(rng, rng.randrange(3, 8)), *[prose(rng, rng.randrange(12, 60)) for _ in range(rng.choice([1, 2, 5, 9]))]]
+            body = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" if k % 2 else f"<div>{x}</div>" for k, x in enumerate(lines[1:]))
+            yield f"https://{host}.example/{i}", shell(host, i, body, [prose(rng, rng.randrange(3, 40)) for _ in range(5)]), lines
+
+
+def test_articles_of_planted_templates(spark):
+    import random
+
+    pages = [(k, *p) for k, p in enumerate(planted_pages(random.Random(12)))]
+    got = {r.page_id: r.text.split("\n") for r in L7.main_text(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    right = sum(len(set(got[k]) & set(lines)) for k, _, _, lines in pages)
+    precision, recall = right / sum(map(len, got.values())), right / sum(len(lines) for *_, lines in pages)
+    print(f"precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.97 and recall >= 0.97
+
+
 @pytest.mark.parametrize("page", ["<" * 200_000, "<a href=\"" * 20_000, "<a href=\"" * 20_000 + ">", "<p><b>" * 30_000, "<div>" * 20_000 + "x", "&" * 100_000, "<!--" * 50_000, "<!" * 50_000])
 def test_broken_pages_take_linear_time(page):
     import time
