@@ -139,12 +139,15 @@ def speech_safe_bounds(spark, sf_dir):
 
 @query("ivl_29_highlight_intervals")
 def highlight_intervals(spark, sf_dir):
+    from pyspark.sql import Window
+
     t = A.turns(spark, sf_dir)
-    s = t.select("video_id", (F.col("start_seconds") + 0.7).alias("start_seconds"), (F.col("start_seconds") + 4.3).alias("end_seconds"))
+    # videos end with their last turn, which the last intervals reach beyond
+    s = t.select("video_id", (F.col("start_seconds") + 0.7).alias("start_seconds"), (F.col("start_seconds") + 4.3).alias("end_seconds"), F.max("end_seconds").over(Window.partitionBy("video_id")).alias("ends"))
     edges = t.select("video_id", F.col("start_seconds").alias("ts"), F.col("end_seconds").alias("te"))
-    safe = I.safe_bounds(s, edges, ["video_id"], "start_seconds", "end_seconds", "ts", "te")
-    merged = I.merge(safe, ["video_id"], "start_seconds", "end_seconds", 0.08)
-    return I.safe_bounds(merged, edges, ["video_id"], "start_seconds", "end_seconds", "ts", "te")
+    safe = I.safe_bounds(s, edges, ["video_id"], "start_seconds", "end_seconds", "ts", "te", duration="ends").where("end_seconds > start_seconds")
+    merged = I.merge(safe, ["video_id"], "start_seconds", "end_seconds", 0.08, aggregates=[F.max("ends").alias("ends")])
+    return I.safe_bounds(merged, edges, ["video_id"], "start_seconds", "end_seconds", "ts", "te", duration="ends").drop("ends")
 
 
 @query("ivl_19_overlap_suppression", A.sql("""

@@ -176,17 +176,17 @@ def all_pairs(spark, sf_dir):
 
 
 @query("join_21_speaker_pairs", A.sql("""
-WITH s AS (SELECT DISTINCT video_id, speaker FROM spans), o AS (SELECT DISTINCT a.video_id, a.speaker AS l, b.speaker AS r FROM spans a JOIN spans b ON a.video_id = b.video_id AND a.speaker < b.speaker AND a.end_day > b.start_day AND a.start_day < b.end_day AND a.price > 300000 AND b.price > 300000)
-SELECT x.video_id, x.speaker AS l, y.speaker AS r FROM s x JOIN s y ON x.video_id = y.video_id AND x.speaker < y.speaker WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.video_id = x.video_id AND o.l = x.speaker AND o.r = y.speaker)""", "spans"))
+WITH s AS (SELECT DISTINCT video_id, speaker FROM spans), o AS (SELECT a.video_id, a.speaker AS l, b.speaker AS r, count(*) AS n FROM spans a JOIN spans b ON a.video_id = b.video_id AND a.speaker < b.speaker AND a.end_day > b.start_day AND a.start_day < b.end_day GROUP BY ALL)
+SELECT x.video_id, x.speaker AS l, y.speaker AS r, coalesce(o.n, 0)::BIGINT AS overlaps FROM s x JOIN s y ON x.video_id = y.video_id AND x.speaker < y.speaker LEFT JOIN o ON o.video_id = x.video_id AND o.l = x.speaker AND o.r = y.speaker""", "spans"))
 def speaker_pairs(spark, sf_dir):
+    """Every pair of a video's speakers and how often they speak at the same time; pairs without are free to be one person."""
     s = A.spans(spark, sf_dir)
     who = s.select("video_id", F.col("speaker").alias("l")).distinct()
-    pairs = who.join(who.withColumnRenamed("l", "r"), "video_id").where("l < r")
-    big = s.where("price > 300000")
-    a = big.select("video_id", F.col("speaker").alias("l"), F.col("start_day").alias("ls"), F.col("end_day").alias("le"))
-    b = big.select("video_id", F.col("speaker").alias("r"), F.col("start_day").alias("rs"), F.col("end_day").alias("re"))
-    met = J.overlap_join(a, b, ["video_id"], "ls", "le", "rs", "re", 8.0).where("l < r").select("video_id", "l", "r").distinct()
-    return pairs.join(met, ["video_id", "l", "r"], "left_anti")
+    pairs = who.join(who.withColumnRenamed("l", "r"), "video_id").where("l < r")  # seven speakers a video
+    a = s.select("video_id", F.col("speaker").alias("l"), F.col("start_day").alias("ls"), F.col("end_day").alias("le"))
+    b = s.select("video_id", F.col("speaker").alias("r"), F.col("start_day").alias("rs"), F.col("end_day").alias("re"))
+    met = J.overlap_join(a, b, ["video_id"], "ls", "le", "rs", "re", 8.0).where("l < r").groupBy("video_id", "l", "r").agg(F.count("*").alias("n"))
+    return pairs.join(met, ["video_id", "l", "r"], "left").select("video_id", "l", "r", F.coalesce("n", F.lit(0)).alias("overlaps"))
 
 
 @query("join_22_overlay_captions", A.sql("SELECT s.video_id, s.scene_id, coalesce(c.event_type, 'none') AS caption FROM shots s LEFT JOIN (SELECT video_id, scene_id, event_type FROM shots WHERE event_type = 'view') c USING (video_id, scene_id)", "shots"))
