@@ -474,6 +474,7 @@ def spark_hash(*values) -> int:
 
 
 def brute_fingerprint(text: str, k: int = 3, bins: int = 64) -> list[int]:
+    """With 32 bits of hash a k-mer, the first 6 of them its bin."""
     words = text.split()
     if not words:
         return []
@@ -482,14 +483,14 @@ def brute_fingerprint(text: str, k: int = 3, bins: int = 64) -> list[int]:
     grams = [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
     seen, items = {}, []
     for place, g in enumerate(grams):
-        h = spark_hash(*g) >> 25
+        h = spark_hash(*g) >> 32
         c = seen[h] = seen.get(h, -1) + 1
-        items.append(((spark_hash(h, np.int32(c)) >> 25) if c else h, place))
-    held = [x for b in range(bins) for x in sorted(x for x in items if x[0] >> 33 == b)[:2]]
+        items.append(((spark_hash(h, np.int32(c)) >> 32) if c else h, place))
+    held = [x for b in range(bins) for x in sorted(x for x in items if x[0] >> 26 == b)[:2]]
     out = []
     for i, x in enumerate(held):
-        b = x[0] >> 33
-        if not i or held[i - 1][0] >> 33 != b:
+        b = x[0] >> 26
+        if not i or held[i - 1][0] >> 26 != b:
             two = sorted({x, held[(i + 1) % len(held)]}, key=lambda y: y[1])
             out.append((b << 26 | spark_hash(*(h for h, _ in two)) >> 38) - (1 << 31))
     return out
