@@ -186,13 +186,14 @@ def annotated(spark, sf_dir):
 
 
 @query("agg_22_distribution", A.sql("""
-WITH m AS (SELECT video_id, (start_seconds + end_seconds) / 2e0 / video_duration AS x, start_seconds / video_duration AS y FROM shots),
+WITH m AS (SELECT video_id, (start_seconds + end_seconds) / 2e0 / video_duration AS x, start_seconds AS s, video_duration FROM shots),
 n AS (SELECT video_id, unnest(['region', 'act', 'bin']) AS kind, unnest([CASE WHEN x <= 0.15e0 THEN 'opening' WHEN x <= 0.38e0 THEN 'development' WHEN x <= 0.65e0 THEN 'middle' WHEN x <= 0.75e0 THEN 'rising' WHEN x <= 0.80e0 THEN 'conflict' WHEN x <= 0.81e0 THEN 'turn' WHEN x <= 0.82e0 THEN 'onset' WHEN x <= 0.90e0 THEN 'climax' WHEN x <= 0.925e0 THEN 'falling' ELSE 'resolution' END,
- CASE WHEN x < 0.25e0 THEN 'act_i' WHEN x < 0.75e0 THEN 'act_ii' ELSE 'act_iii' END, least(9, floor(10e0 * y))::BIGINT::VARCHAR]) AS name FROM m)
+ CASE WHEN x < 0.25e0 THEN 'act_i' WHEN x < 0.75e0 THEN 'act_ii' ELSE 'act_iii' END, least(9, floor(round(10e0 * s / video_duration, 9)))::BIGINT::VARCHAR]) AS name FROM m)
 SELECT video_id, kind, name, count(*) AS n FROM n GROUP BY ALL""", "shots"))
 def distribution(spark, sf_dir):
+    # nine places: a start at a whole tenth, in milliseconds, is in the tenth that it begins
     middle = (F.col("start_seconds") + F.col("end_seconds")) / 2 / F.col("video_duration")
-    return K.distribution(A.shots(spark, sf_dir), ["video_id"], {"region": P.narrative_region(middle), "act": P.act(middle), "bin": F.least(F.lit(9), F.floor(10.0 * F.col("start_seconds") / F.col("video_duration")))})
+    return K.distribution(A.shots(spark, sf_dir), ["video_id"], {"region": P.narrative_region(middle), "act": P.act(middle), "bin": F.least(F.lit(9), F.floor(F.round(10.0 * F.col("start_seconds") / F.col("video_duration"), 9)))})
 
 
 _USERS = """
