@@ -13,7 +13,8 @@ def by_scene(keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("scene
 
 
 def smooth(df: DataFrame, score: str, out: str, keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("scene_id",)) -> DataFrame:
-    """A fifth of each neighbour and three fifths of the row itself, which stands in for a missing neighbour; four places."""
+    """A fifth of each neighbour and three fifths of the row itself, which stands in for a missing neighbour; four places of the
+    shortest decimal that names the double, halves up."""
     w = by_scene(keys, order)
     x = F.col(score)
     return df.withColumn(out, F.round(0.20 * F.coalesce(F.lag(score).over(w), x) + 0.60 * x + 0.20 * F.coalesce(F.lead(score).over(w), x), 4))

@@ -268,7 +268,7 @@ def anchors_per_act(spark, sf_dir):
 
 
 @query("top_4_act_reserves", A.sql("""
-WITH d AS (SELECT video_id, scene_id, story_id, round(0.20e0 * coalesce(lag(narrative_score) OVER w, narrative_score) + 0.60e0 * narrative_score + 0.20e0 * coalesce(lead(narrative_score) OVER w, narrative_score), 4) AS x, emotion, onset >= 0.95e0 AS chosen,
+WITH d AS (SELECT video_id, scene_id, story_id, round((0.20e0 * coalesce(lag(narrative_score) OVER w, narrative_score) + 0.60e0 * narrative_score + 0.20e0 * coalesce(lead(narrative_score) OVER w, narrative_score))::VARCHAR::DECIMAL(38, 20), 4) AS x, emotion, onset >= 0.95e0 AS chosen,
   CASE WHEN (start_seconds + end_seconds) / 2e0 / video_duration < 0.25e0 THEN 1 WHEN (start_seconds + end_seconds) / 2e0 / video_duration < 0.75e0 THEN 2 ELSE 3 END AS act FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY scene_id)),
 f AS (SELECT * FROM d WHERE (video_id, story_id) NOT IN (SELECT (video_id, story_id) FROM d WHERE chosen)),
 a1 AS (SELECT * FROM (SELECT * FROM f WHERE act = 1 QUALIFY row_number() OVER (PARTITION BY video_id, story_id ORDER BY x DESC, emotion DESC, scene_id) = 1) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY x DESC, emotion DESC, scene_id) <= 2),

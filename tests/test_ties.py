@@ -34,3 +34,9 @@ def test_a_start_at_a_whole_tenth(both):
     # 50.4 of 504 seconds; in doubles 50.4 / 504 is under a tenth
     got = both("agg_22_distribution", [(0, 0), (50_400, 0), (499_000, 0)])
     assert {r["name"]: r["n"] for r in got if r["kind"] == "bin"} == {"0": 1, "1": 1, "9": 1}
+
+
+def test_a_smoothed_score_is_rounded_as_a_decimal(both):
+    # the fifth's smoothed score is just under a half of the fourth place; times 10**4 it is that half
+    got = both("top_4_act_reserves", [(5000 * i, c) for i, c in enumerate((7498, 4442, 5418, 2075, 720, 3726))])
+    assert [r["scene_id"] for r in got] == [1, 6]
