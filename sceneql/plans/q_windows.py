@@ -88,7 +88,7 @@ def context_frames(spark, sf_dir):
     return A.shots(spark, sf_dir).select("video_id", "scene_id", F.concat_ws(",", F.collect_list(F.col("scene_id").cast("string")).over(w)).alias("frames"))
 
 
-@query("win_10_sustained_cluster", A.sql("SELECT video_id, scene_id, count(*) OVER (PARTITION BY video_id ORDER BY start_seconds RANGE BETWEEN CURRENT ROW AND 30e0 FOLLOWING) >= 3 AS sustained FROM shots WHERE action_score >= 0.45e0", "shots"))
+@query("win_10_sustained_cluster", A.sql("SELECT video_id, scene_id, count(*) OVER (PARTITION BY video_id ORDER BY round(start_seconds * 1e3)::BIGINT RANGE BETWEEN CURRENT ROW AND 30000 FOLLOWING) >= 3 AS sustained FROM shots WHERE action_score >= 0.45e0", "shots"))
 def sustained_cluster(spark, sf_dir):
     return W.sustained(A.shots(spark, sf_dir).where("action_score >= 0.45"), "start_seconds", 30.0, 3, "sustained").select("video_id", "scene_id", "sustained")
 

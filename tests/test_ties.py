@@ -40,3 +40,9 @@ def test_a_smoothed_score_is_rounded_as_a_decimal(both):
     # the fifth's smoothed score is just under a half of the fourth place; times 10**4 it is that half
     got = both("top_4_act_reserves", [(5000 * i, c) for i, c in enumerate((7498, 4442, 5418, 2075, 720, 3726))])
     assert [r["scene_id"] for r in got] == [1, 6]
+
+
+def test_rows_thirty_seconds_apart_are_within_thirty_seconds(both):
+    # in doubles .577 + 30 is under 30.577
+    got = both("win_10_sustained_cluster", [(0, 0), (577, 50), (600, 50), (30_577, 50)])
+    assert {r["scene_id"]: r["sustained"] for r in got} == {2: True, 3: False, 4: False}
