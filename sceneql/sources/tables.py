@@ -169,10 +169,11 @@ def sharpest(shots: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFr
     """
     from sceneql.operators.joins import point_join
 
-    windows = F.when(F.col("end_seconds") - F.col("start_seconds") < 10, F.array(F.struct(F.lit(0).alias("k"), F.lit(0.30).alias("a"), F.lit(0.70).alias("z")))).otherwise(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(z).alias("z")) for k, (a, z) in enumerate(((0.10, 0.35), (0.35, 0.65), (0.65, 0.90)))]))
-    w = shots.select(*keys, "scene_id", "start_seconds", "end_seconds", F.explode(windows).alias("w"))
-    length = F.col("end_seconds") - F.col("start_seconds")
-    w = w.select(*keys, "scene_id", F.col("w.k").alias("kf_index"), (F.col("start_seconds") + F.col("w.a") * length).alias("_a"), (F.col("start_seconds") + F.col("w.z") * length).alias("_z"))
+    # microseconds: the difference of two doubles misses a length of 10 s
+    length = F.round(F.col("end_seconds") - F.col("start_seconds"), 6)
+    windows = F.when(F.col("_length") < 10, F.array(F.struct(F.lit(0).alias("k"), F.lit(0.30).alias("a"), F.lit(0.70).alias("z")))).otherwise(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(z).alias("z")) for k, (a, z) in enumerate(((0.10, 0.35), (0.35, 0.65), (0.65, 0.90)))]))
+    w = shots.select(*keys, "scene_id", "start_seconds", length.alias("_length")).select("*", F.explode(windows).alias("w"))
+    w = w.select(*keys, "scene_id", F.col("w.k").alias("kf_index"), (F.col("start_seconds") + F.col("w.a") * F.col("_length")).alias("_a"), (F.col("start_seconds") + F.col("w.z") * F.col("_length")).alias("_z"))
     hits = point_join(frames, w, keys, "t", "_a", "_z", 30.0)
     return hits.groupBy(*keys, "scene_id", "kf_index").agg(F.max_by("frame", F.struct(F.col("blur"), -F.col("frame"))).alias("frame"))
 

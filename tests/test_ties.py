@@ -46,3 +46,9 @@ def test_rows_thirty_seconds_apart_are_within_thirty_seconds(both):
     # in doubles .577 + 30 is under 30.577
     got = both("win_10_sustained_cluster", [(0, 0), (577, 50), (600, 50), (30_577, 50)])
     assert {r["scene_id"]: r["sustained"] for r in got} == {2: True, 3: False, 4: False}
+
+
+def test_a_shot_of_ten_seconds_has_three_windows(both):
+    # in doubles 16.016 - 6.016 is under 10
+    got = both("src_14_sharpest_frames", [(0, 0), (6016, 10), (16_016, 20)])
+    assert {r["kf_index"] for r in got if r["scene_id"] == 2} == {0, 1}
