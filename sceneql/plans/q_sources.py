@@ -75,7 +75,7 @@ def sharpest_frames(spark, sf_dir):
     return S.sharpest(s, f, ["video_id"])
 
 
-@query("src_15_sample_frames", A.sql("SELECT video_id, floor(start_seconds / 20e0)::BIGINT AS k, arg_min(scene_id, start_seconds) AS frame, min(start_seconds) AS t FROM shots GROUP BY ALL", "shots"))
+@query("src_15_sample_frames", A.sql("SELECT video_id, floor(start_seconds / 20e0)::BIGINT AS k, arg_min(scene_id, (start_seconds, scene_id)) AS frame, min(start_seconds) AS t FROM shots GROUP BY ALL", "shots"))
 def sample_frames(spark, sf_dir):
     return S.sample_frames(A.shots(spark, sf_dir).select("video_id", F.col("scene_id").alias("frame"), F.col("start_seconds").alias("t")), ["video_id"], 20.0)
 

@@ -179,8 +179,8 @@ def sharpest(shots: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def sample_frames(frames: DataFrame, keys: Sequence[str], interval: float, most: int | None = None) -> DataFrame:
-    """The first frame of each interval of time."""
-    d = frames.groupBy(*keys, F.floor(F.col("t") / interval).alias("k")).agg(F.min_by("frame", "t").alias("frame"), F.min("t").alias("t"))
+    """The first frame of each interval of time, of several at one time the smallest."""
+    d = frames.groupBy(*keys, F.floor(F.col("t") / interval).alias("k")).agg(F.min_by("frame", F.struct("t", "frame")).alias("frame"), F.min("t").alias("t"))
     if most is None:
         return d
     return d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("k"))).where(F.col("_r") <= most).drop("_r")

@@ -7,6 +7,7 @@ import pytest
 from test_queries import as_rows
 
 from sceneql.plans import registry
+from sceneql.sources import tables as S
 
 
 @pytest.fixture
@@ -52,3 +53,11 @@ def test_a_shot_of_ten_seconds_has_three_windows(both):
     # in doubles 16.016 - 6.016 is under 10
     got = both("src_14_sharpest_frames", [(0, 0), (6016, 10), (16_016, 20)])
     assert {r["kf_index"] for r in got if r["scene_id"] == 2} == {0, 1}
+
+
+@pytest.mark.parametrize("frames", [(1, 2), (2, 1)])
+def test_the_first_of_two_frames_at_one_time(spark, both, frames):
+    d = spark.createDataFrame([(0, f, 1.0) for f in frames], "video_id long, frame long, t double").coalesce(1)
+    assert S.sample_frames(d, ["video_id"], 20.0).first().frame == 1
+    got = both("src_15_sample_frames", [(0, 0), (0, 1), (0, 2), (25_000, 3), (25_000, 4)])
+    assert [(r["k"], r["frame"]) for r in got] == [(0, 1), (1, 4)]
