@@ -159,10 +159,11 @@ def final_guard(spark, sf_dir):
     return by_group(t, ["video_id"], ["start_seconds", "end_seconds"], ["turn"], f, "start_seconds double, end_seconds double, score double")
 
 
-@query("sel_18_gold_shots", A.sql("WITH g AS (SELECT video_id, story_id AS shot, avg(action_score) AS m, count(*) AS n FROM shots GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY m DESC, shot) AS k FROM g WHERE n = 4) SELECT r.video_id, shot FROM r JOIN (SELECT DISTINCT video_id, floor(0.15e0 * n_shots) AS b FROM shots) b ON b.video_id = r.video_id WHERE k <= b // 4", "shots"))
+@query("sel_18_gold_shots", A.sql("WITH g AS (SELECT video_id, story_id AS shot, round(avg(action_score), 9) AS m, count(*) AS n FROM shots GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY m DESC, shot) AS k FROM g WHERE n = 4) SELECT r.video_id, shot FROM r JOIN (SELECT DISTINCT video_id, floor(0.15e0 * n_shots) AS b FROM shots) b ON b.video_id = r.video_id WHERE k <= b // 4", "shots"))
 def gold_shots(spark, sf_dir):
+    # nine places: equal means tie, in whatever order their scores were added
     s = A.shots(spark, sf_dir)
-    g = s.groupBy("video_id", F.col("story_id").alias("shot")).agg(F.avg("action_score").alias("m"), F.count("*").alias("n"), F.max("n_shots").alias("all")).where("n = 4")
+    g = s.groupBy("video_id", F.col("story_id").alias("shot")).agg(F.round(F.avg("action_score"), 9).alias("m"), F.count("*").alias("n"), F.max("n_shots").alias("all")).where("n = 4")
     return K.ranked(g, ["video_id"], [F.desc("m"), "shot"], "k").where("k <= cast(floor(0.15D * `all`) as bigint) div 4").select("video_id", "shot")
 
 

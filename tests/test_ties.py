@@ -61,3 +61,9 @@ def test_the_first_of_two_frames_at_one_time(spark, both, frames):
     assert S.sample_frames(d, ["video_id"], 20.0).first().frame == 1
     got = both("src_15_sample_frames", [(0, 0), (0, 1), (0, 2), (25_000, 3), (25_000, 4)])
     assert [(r["k"], r["frame"]) for r in got] == [(0, 1), (1, 4)]
+
+
+def test_equal_means_tie_whatever_their_order(both):
+    # added from the left, the second story's mean is .47500000000000003, the first one's .475
+    cents = [30, 75, 69, 16, 69, 16, 75, 30] + 24 * [0]
+    assert [r["shot"] for r in both("sel_18_gold_shots", [(5000 * i, c) for i, c in enumerate(cents)])] == [0]
