@@ -16,6 +16,26 @@ from sceneql.sources.package import ship
 
 #: Rows of one kind that a group may have; more raise an error instead of filling a task's memory.
 MOST = 2_000_000
+#: Rows of groups that are Python objects at once, unless one group has more, and rows of results that wait for a batch.
+AT_ONCE = 20_000
+
+
+def pieces(sizes: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Stretches [i, j) of groups that have at most `most` rows together, or are one group."""
+    i, rows = 0, 0
+    for j, n in enumerate(sizes.tolist()):
+        if j > i and rows + n > most:
+            yield i, j
+            i, rows = j, 0
+        rows += n
+    if i < len(sizes):
+        yield i, len(sizes)
+
+
+def structs(rows: pa.Array) -> list[dict]:
+    """The structs of an array as dicts, column by column."""
+    names = [rows.type.field(k).name for k in range(rows.type.num_fields)]
+    return [dict(zip(names, x)) for x in zip(*(c.to_pylist() for c in rows.flatten()))]
 
 
 def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], f: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -30,13 +50,22 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
         for b in batches:
-            made = []
-            for row in b.to_pylist():
-                own = {k: row[k] for k in keys}
-                made += [own | r for r in f(row["rows"])]
-            if made:
-                yield pa.RecordBatch.from_pylist(made, schema=arrow)
+            lists = b.column(b.num_columns - 1)
+            for i, j in pieces(lists.value_lengths().to_numpy(zero_copy_only=False)):
+                part = lists.slice(i, j - i)
+                rows, ends = structs(part.flatten()), np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+                first = 0
+                for at, end in enumerate(ends, i):
+                    own = {k: b.column(n)[at].as_py() for n, k in enumerate(keys)}
+                    made += [own | r for r in f(rows[first:end])]
+                    first = end
+                if len(made) >= AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return g.mapInArrow(run, out)
 
@@ -72,6 +101,9 @@ def by_arrays(frames: Mapping[str, tuple[DataFrame, Sequence[str]]], keys: Seque
                     values = lists[name][i].values
                     group[name] = {c: values.field(c).to_numpy(zero_copy_only=False) if values is not None else np.zeros(0) for c in own}
                 made += [(*key, *row) for row in f(group)]
+                if len(made) >= AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], names=arrow.names)
+                    made = []
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], names=arrow.names)
 
