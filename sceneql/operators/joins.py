@@ -32,12 +32,32 @@ def point_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str
     return a.join(b, [*keys, "_k"], how).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_k")
 
 
+def _shapes(left: DataFrame, keys: Sequence[str], row: str, ls: str, le: str) -> tuple[DataFrame, DataFrame]:
+    """((keys, row, _shape), (keys, _shape, ls, le)): each row's intervals, and once each the ones that differ. What rows meet depends on
+    these alone, so that many rows at equal times are joined as one."""
+    rows = left.groupBy(*keys, row).agg(F.array_sort(F.collect_list(F.struct(ls, le))).alias("_shape"))
+    once = rows.select(*keys, "_shape").distinct().select(*keys, "_shape", F.explode("_shape").alias("_at"))
+    return rows, once.select(*keys, "_shape", F.col(f"_at.{ls}").alias(ls), F.col(f"_at.{le}").alias(le))
+
+
 def largest_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, ls: str, le: str, rs: str, re: str, who: str, width: float) -> DataFrame:
-    """(keys, row, who, seconds): for each left row the `who` with the greatest sum of overlaps; on ties the one that starts first."""
-    pairs = overlap_join(left.select(*keys, row, ls, le), right.select(*keys, who, rs, re), keys, ls, le, rs, re, width)
-    sums = pairs.groupBy(*keys, row, who).agg(F.sum(F.least(le, re) - F.greatest(ls, rs)).alias("seconds"), F.min(F.struct(rs, re)).alias("_first"))
-    w = Window.partitionBy(*keys, row).orderBy(F.desc("seconds"), "_first", who)
-    return sums.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_first")
+    """(keys, row, who, seconds): for each left row the `who` with the greatest sum of overlaps; on ties the one that starts first.
+
+    Equal intervals are joined once, with their number.
+    """
+    rows, once = _shapes(left, keys, row, ls, le)
+    pairs = overlap_join(once, right.groupBy(*keys, who, rs, re).agg(F.count("*").alias("_n")), keys, ls, le, rs, re, width)
+    sums = pairs.groupBy(*keys, "_shape", who).agg(F.sum(F.col("_n") * (F.least(le, re) - F.greatest(ls, rs))).alias("seconds"), F.min(F.struct(rs, re)).alias("_first"))
+    w = Window.partitionBy(*keys, "_shape").orderBy(F.desc("seconds"), "_first", who)
+    best = sums.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return rows.join(best, [*keys, "_shape"]).select(*keys, row, who, "seconds")
+
+
+def met(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, ls: str, le: str, rs: str, re: str, who: str, width: float, out: str) -> DataFrame:
+    """(keys, row, out): for each left row the distinct `who` of the intervals that it overlaps, in order. Equal intervals are joined once."""
+    rows, once = _shapes(left, keys, row, ls, le)
+    pairs = overlap_join(once, right.select(*keys, who, rs, re).distinct(), keys, ls, le, rs, re, width)
+    return rows.join(pairs.groupBy(*keys, "_shape").agg(F.array_sort(F.collect_set(who)).alias(out)), [*keys, "_shape"]).select(*keys, row, out)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, at: str, start: str, end: str, who: str) -> DataFrame:
@@ -62,11 +82,12 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, at
 
 
 def smallest_container(points: DataFrame, spans: DataFrame, keys: Sequence[str], row: str, at: str, start: str, end: str, who: str, width: float) -> DataFrame:
-    """(keys, row, who): for each point the `who` of the narrowest closed interval that holds it."""
-    a = points.select(*keys, row, at, F.floor(F.col(at) / width).alias("_k"))
-    b = _buckets(spans.select(*keys, who, start, end), start, end, width, "_k")
+    """(keys, row, who): for each point the `who` of the narrowest closed interval that holds it. Equal points and intervals meet once."""
+    a = points.select(*keys, at).distinct().withColumn("_k", F.floor(F.col(at) / width))
+    b = _buckets(spans.groupBy(*keys, start, end).agg(F.min(F.struct(who)).alias("_who")), start, end, width, "_k")
     held = a.join(b, [*keys, "_k"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
-    return held.groupBy(*keys, row).agg(F.min_by(who, F.struct(F.col(end) - F.col(start), F.col(start), F.col(who))).alias(who))
+    best = held.groupBy(*keys, at).agg(F.min(F.struct((F.col(end) - F.col(start)).alias("_long"), F.col(start), F.col("_who"))).alias("_best"))
+    return points.select(*keys, row, at).join(best, [*keys, at]).groupBy(*keys, row).agg(F.min("_best").alias("_best")).select(*keys, row, F.col(f"_best._who.{who}").alias(who))
 
 
 def outside(left: DataFrame, taken: DataFrame, keys: Sequence[str], ls: str, le: str, rs: str, re: str, gap: float, width: float) -> DataFrame:

@@ -117,8 +117,8 @@ def smallest_container(spark, sf_dir):
 @query("join_13_segment_speakers", A.sql(_AB + "SELECT a.video_id, span_id, string_agg(DISTINCT speaker::VARCHAR, ',' ORDER BY speaker::VARCHAR) AS speakers FROM a JOIN b ON a.video_id = b.video_id AND te > start_day AND ts < end_day GROUP BY ALL", "spans"))
 def segment_speakers(spark, sf_dir):
     a, b = _turn_spans(spark, sf_dir)
-    pairs = J.overlap_join(a, b, ["video_id"], "start_day", "end_day", "ts", "te", 8.0)
-    return pairs.groupBy("video_id", "span_id").agg(F.concat_ws(",", F.array_sort(F.collect_set(F.col("speaker").cast("string")))).alias("speakers"))
+    b = b.withColumn("speaker", F.col("speaker").cast("string"))
+    return J.met(a, b, ["video_id"], "span_id", "start_day", "end_day", "ts", "te", "speaker", 8.0, "speakers").withColumn("speakers", F.concat_ws(",", "speakers"))
 
 
 @query("join_14_recommendation_floor", A.sql("SELECT s.video_id, s.scene_id, coalesce(r.p, 0.15e0) AS priority FROM shots s LEFT JOIN (SELECT video_id, scene_id, emotion AS p FROM shots WHERE event_type = 'purchase') r USING (video_id, scene_id)", "shots"))
