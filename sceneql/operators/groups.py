@@ -38,13 +38,44 @@ def structs(rows: pa.Array) -> list[dict]:
     return [dict(zip(names, x)) for x in zip(*(c.to_pylist() for c in rows.flatten()))]
 
 
+def _ordered(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(keys, rows): each group's rows as one array in the order of the names."""
+    rows = F.array_sort(F.collect_list(F.struct(*names)))
+    return df.groupBy(*keys).agg(F.when(F.count("*") <= MOST, rows).otherwise(F.raise_error(F.lit(f"a group has more than {MOST} rows"))).alias("rows"))
+
+
+def rows_of_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], f: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], out: Sequence[str]) -> DataFrame:
+    """(keys, out) of the rows that f chooses, many groups a call and no row a Python object.
+
+    f gets `columns` as arrays of doubles (null: NaN) of many groups' rows, each group in the order of `order` then `columns`, and
+    where the groups begin, with the end; it returns which rows stay. A group of more than MOST rows raises an error.
+    """
+    ship(df.sparkSession)
+    names = list(dict.fromkeys([*order, *columns]))
+    schema = _parse_datatype_string(", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, *out]))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            for i, j in pieces(lists.value_lengths().to_numpy(zero_copy_only=False)):
+                part = lists.slice(i, j - i)
+                size = part.value_lengths().to_numpy(zero_copy_only=False)
+                own = dict(zip(names, part.flatten().flatten()))
+                given = {c: own[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns}
+                chosen = np.flatnonzero(f(given, np.append(0, np.cumsum(size))))
+                rows, group = pa.array(chosen), pa.array(np.repeat(np.arange(i, j), size)[chosen])
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*(b.column(k).take(group) for k in range(len(keys))), *(own[c].take(rows) for c in out)], arrow.types)], names=arrow.names)
+
+    return _ordered(df, keys, names).mapInArrow(run, schema)
+
+
 def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], f: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """f over each group's rows, in the order of `order` then `columns`; f returns rows of `schema`. A group of more than MOST rows
     raises an error."""
     ship(df.sparkSession)
     names = list(dict.fromkeys([*order, *columns]))
-    rows = F.array_sort(F.collect_list(F.struct(*names)))
-    g = df.groupBy(*keys).agg(F.when(F.count("*") <= MOST, rows).otherwise(F.raise_error(F.lit(f"a group has more than {MOST} rows"))).alias("rows"))
+    g = _ordered(df, keys, names)
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     out = StructType.fromDDL(f"{key_types}, {schema}") if hasattr(StructType, "fromDDL") else _parse_datatype_string(f"{key_types}, {schema}")
     arrow = to_arrow_schema(out)
