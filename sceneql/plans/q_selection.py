@@ -240,5 +240,5 @@ def budget_select(spark, sf_dir):
 
     register(spark)
     items = A.items(spark, sf_dir).select(F.col("video_id").alias("k"), "ord", "value", "duration")
-    chosen = spark.sql("SELECT k AS video_id, ord, value, cost AS duration FROM budget_select(TABLE(SELECT k, ord, value, duration FROM {items}) PARTITION BY (k) ORDER BY (ord), 60.0D, 0.5D)", items=items)
+    chosen = spark.sql("SELECT k AS video_id, ord, value, cost AS duration FROM budget_select(TABLE(SELECT k, ord, value, duration FROM {items}) PARTITION BY (pmod(hash(k), 4096)) ORDER BY (k, ord), 60.0D, 0.5D)", items=items)
     return chosen

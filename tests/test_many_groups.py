@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from sceneql.operators import selection as S
 
@@ -39,3 +40,27 @@ def test_rows_keep_their_types_and_keys(spark):
     got = S.knapsack_rows(d, ["k"], ["o"], "value", "cost", 5.0)
     assert got.dtypes == [("k", "string"), ("o", "int"), ("value", "double"), ("cost", "double")]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["('a', 2, 9.0, 4.0)", "(None, 1, 5.0, 2.0)"]
+
+
+def test_budget_select_takes_many_keys_a_partition(spark, monkeypatch):
+    from sceneql.operators import tables as T
+
+    T.register(spark)
+    rng = random.Random(3)
+    rows = [(k if k else None, o, rng.choice([0.0, 1.0, 2.0, rng.random()]), rng.choice([1.0, 3.0, 8.2])) for k in range(300) for o in range(rng.choice([1, 3, 9, 200 if k == 7 else 5]))]
+    spark.createDataFrame(rows, "k long, ord long, value double, cost double").createOrReplaceTempView("many_keys")
+    got = [sorted(map(str, map(tuple, spark.sql(f"SELECT k, ord, value, cost FROM budget_select(TABLE(many_keys) PARTITION BY ({p}) ORDER BY ({o}), 10.0D, 0.5D)").collect()))) for p, o in (("k", "ord"), ("pmod(hash(k), 3)", "k, ord"))]
+    want = []
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        pick = S.knapsack([max(r[2], 1e-6) for r in own], [S.ticks(r[3], 0.5, "round") for r in own], 20, more_items=True)
+        want += [str(own[i]) for i in pick]
+    assert got[0] == got[1] == sorted(want)
+
+    # keys that go on in the next batch
+    for cut in (1, 7, 1000):
+        f = T.BudgetSelect.func()
+        monkeypatch.setattr(T, "AT_ONCE", 50)
+        ordered = pa.RecordBatch.from_pylist([dict(zip("abcd", r)) for r in rows])
+        out = [t for at in range(0, len(rows), cut) for t in f.eval(ordered.slice(at, cut), pa.array([10.0]), pa.array([0.5]))] + list(f.terminate())
+        assert sorted(str(tuple(r.values())) for t in out for r in t.to_pylist()) == sorted(want)
