@@ -9,6 +9,7 @@ from sceneql.functions import vectors as V
 from sceneql.operators import evaluate as E
 from sceneql.operators import topk as K
 from sceneql.operators import windows as W
+from sceneql.operators.summary import kept
 from sceneql.plans import adapters as A
 from sceneql.plans.q_aggregates import _USERS, annotated
 from sceneql.plans.registry import query
@@ -99,10 +100,8 @@ def segment_knapsack(spark, sf_dir):
     w = Window.partitionBy("video_id").orderBy("scene_id").rowsBetween(Window.unboundedPreceding, -1)
     length = F.least(F.lit(20), F.greatest(F.lit(1), F.ceil("duration_seconds"))).cast("long")
     cut = s.withColumn("first", F.coalesce(F.sum(length).over(w), F.lit(0))).withColumn("last", F.col("first") + length - 1)
-    rated = cut.select("video_id", "first", "last", "cents", "narrative_score", F.explode(F.sequence(F.lit(0), F.lit(E.USERS))).alias("rater"))
-    score = F.when(F.col("rater") == 0, F.col("narrative_score")).otherwise(((F.col("cents") * F.col("rater")) % 5 + 1).cast("double"))
-    frames = rated.withColumn("score", score).select("video_id", "rater", F.explode(F.sequence("first", "last")).alias("frame"), "score")
-    masks = E.segment_masks(frames, cut.select("video_id", "first", "last"))
+    score = {f"r{r}": F.col("narrative_score") if r == 0 else ((F.col("cents") * r) % 5 + 1).cast("double") for r in range(E.USERS + 1)}
+    spans = kept(E.segment_spans(cut.select("video_id", "first", "last", *[c.alias(name) for name, c in score.items()]), list(score)))
     videos = s.select("video_id", F.concat(F.lit("c"), F.col("video_id") % 4).alias("category")).distinct()
-    scores = E.user_scores(masks.where("rater = 0").select("video_id", "frame"), masks.where("rater > 0").withColumnRenamed("rater", "user"), videos)
+    scores = E.span_scores(spans.where("rater = 0"), spans.where("rater > 0").withColumnRenamed("rater", "user"), videos)
     return E.benchmark(scores).select("category", "n", "succeeded", F.round("f1", 6).alias("f1"))

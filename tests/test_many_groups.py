@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from sceneql.operators import evaluate as E
 from sceneql.operators import selection as S
 
 
@@ -64,3 +65,25 @@ def test_budget_select_takes_many_keys_a_partition(spark, monkeypatch):
         ordered = pa.RecordBatch.from_pylist([dict(zip("abcd", r)) for r in rows])
         out = [t for at in range(0, len(rows), cut) for t in f.eval(ordered.slice(at, cut), pa.array([10.0]), pa.array([0.5]))] + list(f.terminate())
         assert sorted(str(tuple(r.values())) for t in out for r in t.to_pylist()) == sorted(want)
+
+
+def test_spans_are_the_masks(spark):
+    rng = random.Random(5)
+    frames, segments = [], []
+    for video in range(12):
+        at = 0
+        for _ in range(rng.choice([1, 2, 9, 30])):
+            n = rng.choice([1, 2, 3, 7])
+            scores = [rng.choice([0.0, 0.0, 0.1, rng.random(), 5.0]) for _ in range(4)]
+            segments.append((video, at, at + n - 1, *scores))
+            frames += [(video, r, f, x) for f in range(at, at + n) for r, x in enumerate(scores)]
+            at += n
+    s = spark.createDataFrame(segments, "video_id long, first long, last long, a double, b double, c double, d double")
+    f = spark.createDataFrame(frames, "video_id long, rater int, frame long, score double")
+    videos = s.selectExpr("video_id", "'x' as category").distinct()
+    spans, masks = E.segment_spans(s, ["a", "b", "c", "d"]), E.segment_masks(f, s.select("video_id", "first", "last"))
+    each = spans.selectExpr("video_id", "rater", "explode(sequence(first, last)) as frame")
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, masks.collect()))
+    got = E.span_scores(spans.where("rater = 0 and video_id < 11"), spans.where("rater > 0").withColumnRenamed("rater", "user"), videos, 4, 3.0)
+    want = E.user_scores(masks.where("rater = 0 and video_id < 11"), masks.where("rater > 0").withColumnRenamed("rater", "user"), videos, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
