@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -96,12 +94,9 @@ def hybrid_retrieval(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     q = v.where("kf_id % 100 = 0").select("kf_id", "label", "vec")
     c = v.select(F.col("kf_id").alias("doc"), F.col("label").alias("doc_label"), F.col("vec").alias("dv"))
-    same = F.when(F.col("label") == F.col("doc_label"), 1.0).otherwise(0.0)
     # a stated set of queries against all rows, in blocks
-    pairs = reduce(lambda x, y: x.unionByName(y), [c.join(F.broadcast(bank)) for bank in R.banks(q, "vec")])
-    s = pairs.where("kf_id <> doc").withColumn("s", R.hybrid(V.dot("vec", "dv"), same, F.col("kf_id") - F.col("doc"), F.lit(500.0)))
-    w = Window.partitionBy("kf_id").orderBy(F.desc(F.round("s", 9)), "doc")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("kf_id", "doc", F.round("s", 6).alias("score"))
+    s = R.top_hybrid(q, c, ["kf_id", "label", "vec"], ["doc", "doc_label", "dv"], 500.0, 5)
+    return s.select("kf_id", "doc", F.round("s", 6).alias("score"))
 
 
 @query("sim_7_cosine_top_k", A.sql("SELECT kf_id, doc, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY kf_id ORDER BY s DESC, doc) AS r FROM (SELECT q.kf_id, c.kf_id AS doc, list_cosine_similarity(q.vec, c.vec) AS s FROM vectors q, vectors c WHERE q.kf_id % 100 = 0)) WHERE r <= 10", "vectors"))
