@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sceneql.operators.joins import overlap_join
@@ -161,14 +162,23 @@ def safe_bounds(df: DataFrame, turns: DataFrame, keys: Sequence[str], start: str
     duration: the column with the video's end, beyond which no interval goes. A key's rows and turns meet in one group.
     """
     ship(df.sparkSession)
-    lists = [(c.cast("double")).alias(n) for c, n in ((F.col(turn_start), "_s"), (F.col(turn_end), "_e"))]
     schema = StructType([StructField(f.name, DoubleType() if f.name in (start, end) else f.dataType) for f in df.schema.fields])
-
-    def move(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return own[schema.names]
-        last = float(own[duration].iloc[0]) if duration else np.inf
-        own[start], own[end] = outside_turns(own[start].to_numpy(dtype=float), own[end].to_numpy(dtype=float), told[["_s", "_e"]].to_numpy(dtype=float), pad, last)
-        return own[schema.names]
-
-    return df.groupBy(*keys).cogroup(turns.select(*keys, *lists).groupBy(*keys)).applyInPandas(move, schema)
+    arrow = to_arrow_schema(schema)
+    told = F.struct(F.col(turn_start).cast("double").alias("_s"), F.col(turn_end).cast("double").alias("_e"))
+    both = df.select(*keys, F.struct(*df.columns).alias("_row")).unionByName(turns.select(*keys, told.alias("_turn")), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, turns = b.column(len(keys)), b.column(len(keys) + 1)
+            own = dict(zip(schema.names, rows.flatten().flatten()))
+            a, z = (own[c].cast(pa.float64()).to_numpy(zero_copy_only=False).copy() for c in (start, end))
+            edges = np.stack([c.to_numpy(zero_copy_only=False) for c in turns.flatten().flatten()], axis=1)
+            i, t = (np.append(0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))) for x in (rows, turns))
+            for g in np.flatnonzero(np.diff(i)):
+                last = float(own[duration][i[g]].as_py()) if duration else np.inf
+                own_ = slice(i[g], i[g + 1])
+                a[own_], z[own_] = outside_turns(a[own_], z[own_], edges[t[g] : t[g + 1]], pad, last)
+            own |= {start: pa.array(a, from_pandas=True), end: pa.array(z, from_pandas=True)}
+            yield pa.RecordBatch.from_arrays([own[n].cast(k) for n, k in zip(arrow.names, arrow.types)], names=arrow.names)
+
+    return both.groupBy(*keys).agg(F.collect_list("_row").alias("_rows"), F.collect_list("_turn").alias("_turns")).mapInArrow(run, schema)

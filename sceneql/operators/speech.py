@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +67,9 @@ def describe(windows: DataFrame, words: DataFrame, keys: Sequence[str], row: str
     return d.select(*keys, row, F.coalesce(F.col("word_count") > 0, F.lit(False)).alias("has_speech"), F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+_NONE = np.zeros(0, dtype=np.int64)
+
+
 @dataclass(frozen=True)
 class Said:
     """What a video has to keep whole, as arrays in time order: utterances, words, shots with or without speech, whole turns."""
@@ -89,10 +94,10 @@ class Said:
         return cls(u[:, 0], u[:, 1], u[:, 2] > 0, u[:, 3] > 0, u[:, 4] > 0, w[:, 0], w[:, 1], s[:, 0], s[:, 1], s[:, 2] > 0, t, duration)
 
     def within(self, a: float, z: float) -> np.ndarray:
-        return np.flatnonzero((self.ends > a) & (self.starts < z))
+        return ((self.ends > a) & (self.starts < z)).nonzero()[0] if len(self.starts) else _NONE
 
     def words_within(self, a: float, z: float) -> int:
-        return int(np.count_nonzero((self.word_ends > a) & (self.word_starts < z)))
+        return int(np.count_nonzero((self.word_ends > a) & (self.word_starts < z))) if len(self.word_starts) else 0
 
     def after(self, k: int, gap: float) -> int | None:
         """The utterance that follows utterance k within the gap."""
@@ -100,15 +105,35 @@ class Said:
 
     def cut_word(self, at: float) -> int | None:
         """The first word that `at` lies strictly inside."""
-        hit = np.flatnonzero((self.word_starts + EPSILON < at) & (at < self.word_ends - EPSILON))
+        if not len(self.word_starts):
+            return None
+        hit = ((self.word_starts + EPSILON < at) & (at < self.word_ends - EPSILON)).nonzero()[0]
         return int(hit[0]) if len(hit) else None
 
     def safe(self, a: float, z: float) -> tuple[float, float]:
         """The edges outside whole turns, by .22 s."""
         if not len(self.turns):
             return a, z
-        b, y = outside_turns(np.array([a]), np.array([z]), self.turns, 0.22, self.duration)
-        return float(b[0]), float(y[0])
+        starts, ends, reach = self._sorted_turns
+        a, z = max(a, 0.0), min(z, self.duration)
+        # as intervals.outside_turns moves an edge
+        while (k := bisect_right(reach, a)) < len(reach) and starts[k] < a:
+            to = max(0.0, starts[k] - 0.22)
+            if abs(to - a) < 1e-6:
+                break
+            a = to
+        while (k := bisect_right(reach, z)) < len(reach) and starts[k] < z:
+            to = min(self.duration, ends[k] + 0.22)
+            if abs(to - z) < 1e-6:
+                break
+            z = to
+        return float(np.round(a, 3)), float(np.round(z, 3))
+
+    @cached_property
+    def _sorted_turns(self) -> tuple[list[float], list[float], list[float]]:
+        """Starts, ends and the running last end of the turns in order."""
+        t = self.turns[np.lexsort((self.turns[:, 1], self.turns[:, 0]))]
+        return t[:, 0].tolist(), t[:, 1].tolist(), np.maximum.accumulate(t[:, 1]).tolist()
 
 
 def window(a: float, z: float, said: Said) -> tuple[bool, bool, int]:

@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 
 from sceneql.operators import evaluate as E
+from sceneql.operators import intervals as I
 from sceneql.operators import selection as S
+from sceneql.operators.speech import Said
 
 
 def _table(seed: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, random.Random]:
@@ -87,3 +89,28 @@ def test_spans_are_the_masks(spark):
     got = E.span_scores(spans.where("rater = 0 and video_id < 11"), spans.where("rater > 0").withColumnRenamed("rater", "user"), videos, 4, 3.0)
     want = E.user_scores(masks.where("rater = 0 and video_id < 11"), masks.where("rater > 0").withColumnRenamed("rater", "user"), videos, 4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_safe_edges_one_and_many(spark):
+    rng = random.Random(8)
+    rows, turns = [], []
+    for video in [None, *range(20)]:
+        for _ in range(rng.choice([0, 1, 6])):
+            a = rng.choice([0.0, 1.0, round(rng.random() * 60, 4)])
+            turns.append((video, a, a + rng.choice([0.1, 2.0, 9.5])))
+        for i in range(rng.choice([0, 1, 5])):
+            a = round(rng.random() * 60, 4)
+            rows.append((video, a, a + rng.choice([0.5, 8.0]), f"n{i}" if i else None, 58.25))
+    d = spark.createDataFrame(rows, "video_id long, a double, z double, name string, last double").repartition(3)
+    t = spark.createDataFrame(turns, "video_id long, s double, e double")
+    got = I.safe_bounds(d, t, ["video_id"], "a", "z", "s", "e", 0.22, "last")
+    assert got.dtypes == d.dtypes
+    want = []
+    for v, a, z, name, last in rows:
+        own = np.array([x[1:] for x in turns if x[0] == v], dtype=float).reshape(-1, 2)
+        b, y = I.outside_turns(np.array([a]), np.array([z]), own, 0.22, last)
+        want.append(str((v, float(b[0]), float(y[0]), name, last)))
+        assert not len(own) or Said.of(turns=own.tolist(), duration=last).safe(a, z) == (float(b[0]), float(y[0]))
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
+    # no group of pandas rows: the plan has no cogroup
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
