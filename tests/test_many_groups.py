@@ -9,6 +9,7 @@ from sceneql.operators import evaluate as E
 from sceneql.operators import intervals as I
 from sceneql.operators import selection as S
 from sceneql.operators.speech import Said
+from sceneql.plans import adapters as A
 
 
 def _table(seed: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, random.Random]:
@@ -114,3 +115,12 @@ def test_safe_edges_one_and_many(spark):
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
     # no group of pandas rows: the plan has no cogroup
     assert "CoGroup" not in got._jdf.queryExecution().toString()
+
+
+def test_words_have_partitions_by_the_length_of_their_texts(spark, tmp_path, monkeypatch):
+    rows = [(c, t, "user", f"one two three {c}") for c in range(40) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = sorted(map(str, A.words(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(A, "TEXT", 50)
+    got = A.words(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 20 and sorted(map(str, got.collect())) == want
