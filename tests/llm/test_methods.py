@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from helpers import frame, prose
@@ -325,6 +326,33 @@ def test_words_beyond_the_commonest_have_contexts(spark):
         assert all(abs(want[i].score - r.score) < 0.02 * abs(r.score) for i, r in got.items())
 
 
+def shuffles(spark) -> set[str]:
+    """The shuffles whose files are on the disk."""
+    return set(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keySet().mkString(",").split(",")) - {""}
+
+
+def test_rounds_of_sweeps_leave_no_shuffles(spark):
+    """What is read again is a checkpoint, so that no shuffle has to stay until the result is there; the result's own ones stay."""
+    rows = [(i, f"a word{i % 7} and a word{i % 5} of many", None, None, None) for i in range(80)]
+    before, setting = shuffles(spark), spark.conf.get(L6.CLEANUP)
+    out = L6.score_texts(frame(spark, rows))
+    assert not shuffles(spark) - before and spark.conf.get(L6.CLEANUP) == setting
+    assert out.count() == len(out.collect()) == 80
+
+
+def test_parts_are_kept_without_what_they_say(spark):
+    """A part's state, in the checkpoint that stays to the end, is apart from what it asks of words, which goes after a round."""
+    message = L6.packed(*L6.named(np.array([3, 9], np.uint64), np.array([3], np.uint64)), np.array([2, 1]), *L6.named(np.array([3, 4, 5], np.uint64), np.array([3], np.uint64)), np.array([2, 1, 1]), np.array([2, 1, 1]), np.array([0, 1, 0, 1]))
+    common = np.array([3], np.uint64)
+    kept = L6._merge(L6.rows_of([(1, 7, L6.MESSAGE, message)]), common, 2)
+    assert sorted(kept.column("kind").to_pylist()) == [L6.STATE, L6.LINKS]
+    said = [r for b in L6._begun(iter(kept.filter(pc.equal(kept.column("kind"), L6.STATE)).to_batches()), common, common) for r in b.to_pylist()]
+    assert {r["kind"] for r in said} == {L6.TABLES_OF, L6.ASK, L6.SUMS}
+    asked = [L6.unpacked(r["data"]) for r in said if r["kind"] == L6.ASK]
+    assert sorted(h for x in asked for h in L6.hashes_of(*x[:2], common).tolist()) == [3, 4, 5]
+    assert sum(x[2].sum() for x in asked) == 4 and sum(x[3].sum() for x in asked) == 3
+
+
 def test_a_path_that_is_fourth_on_every_page_can_win(spark):
     rows = []
     for k, name in enumerate("alpha beta gamma delta kappa sigma omega theta".split()):
