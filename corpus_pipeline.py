@@ -55,10 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if shared(named.select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y")).distinct()):
         rows = numbered(once)
         gone = near_duplicates(rows, "_row").where("not kept").select(F.col("doc_id").alias("_row"))
-        left = rows.join(gone, "_row", "left_anti")
+        left = rows.join(gone.hint("merge"), "_row", "left_anti")
     else:
         gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-        left = once.join(gone, "doc_id", "left_anti")
+        left = once.join(gone.hint("merge"), "doc_id", "left_anti")
     return left.select(COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
