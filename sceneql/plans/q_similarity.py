@@ -84,8 +84,7 @@ def tfidf_capped(spark, sf_dir):
 def relevance(spark, sf_dir):
     from sceneql.operators.topk import min_max
 
-    w = R.tfidf(A.table(spark, sf_dir, "conversations"), "turn", T.char_grams("text"), ["conv_id"], 2048, False)
-    s = R.sparse_similarity(w.where("turn > 0"), w.where("turn = 0").withColumnRenamed("turn", "asked"), "turn", "asked", ["conv_id"])
+    s = R.similar_to(A.table(spark, sf_dir, "conversations"), "turn", "text", T.char_grams, "conv_id", 0, 2048).where("turn > 0")
     return min_max(s, "similarity", "relevance", 0.5, ["conv_id"]).select("conv_id", "turn", F.round("relevance", 6).alias("relevance"))
 
 
