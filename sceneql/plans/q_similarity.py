@@ -98,11 +98,9 @@ def hybrid_retrieval(spark, sf_dir):
     return s.select("kf_id", "doc", F.round("s", 6).alias("score"))
 
 
-@query("sim_7_cosine_top_k", A.sql("SELECT kf_id, doc, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY kf_id ORDER BY s DESC, doc) AS r FROM (SELECT q.kf_id, c.kf_id AS doc, list_cosine_similarity(q.vec, c.vec) AS s FROM vectors q, vectors c WHERE q.kf_id % 100 = 0)) WHERE r <= 10", "vectors"))
+@query("sim_7_cosine_top_k", A.sql("SELECT kf_id, doc, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY kf_id ORDER BY s DESC, doc) AS r FROM (SELECT q.kf_id, c.kf_id AS doc, list_cosine_similarity(q.vec, c.vec) AS s FROM vectors q, vectors c)) WHERE r <= 10", "vectors"))
 def cosine_top_k(spark, sf_dir):
-    v = A.vectors(spark, sf_dir)
-    q = v.where("kf_id % 100 = 0").select("kf_id", F.col("vec").alias("qv"))
-    got = R.top_cosine(q, v.select(F.col("kf_id").alias("doc"), "vec"), "kf_id", "qv", "doc", "vec", 10)
+    got = R.neighbours(A.vectors(spark, sf_dir), "kf_id", "vec", "doc", 10)
     return got.select("kf_id", "doc", F.round("similarity", 6).alias("similarity"))
 
 
